@@ -1,0 +1 @@
+"""Empty on purpose: the mart is loaded and queried in batch, so there is no stream to serve."""
