@@ -35,7 +35,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS "Order", CAST(l_partkey AS VARCHAR) AS Com
   CAST(l_linenumber AS DOUBLE) AS Reqmnt_qty,
   CASE WHEN l_linestatus = 'O' THEN l_quantity END AS Comm_qty,
   CAST(l_suppkey AS DOUBLE) AS Qty_issued, l_discount AS ShortageQuantity,
-  CAST(trunc(-l_extendedprice) AS INTEGER) AS MissingPart,
+  CAST(trunc(-l_extendedprice) AS BIGINT) AS MissingPart,
   CAST(l_shipdate AS DATE) AS RequirementDate, l_linestatus AS ComponentText
 FROM lineitem"""
 
@@ -70,11 +70,12 @@ FROM orders"""
 
 RAW["d02_same_number"] = f"""
 SELECT {_pad("o_orderkey", 18)} AS "Order", CAST(o_orderkey AS VARCHAR) AS number,
-  1 AS same_order, CASE WHEN o_orderkey = o_custkey THEN 1 ELSE 0 END AS same_customer
+  CAST(1 AS BIGINT) AS same_order,
+  CAST(o_orderkey = o_custkey AS BIGINT) AS same_customer
 FROM orders"""
 
 RAW["d03_code_text"] = f"""
-SELECT l_orderkey, l_linenumber,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
   CASE WHEN l_linestatus = 'O' THEN {_ROLE} ELSE 'GRIND' END AS code,
   CASE WHEN l_linestatus = 'O' THEN {ROLE_TEXTS} ELSE 'GRIND' END AS code_text
 FROM lineitem"""
@@ -83,8 +84,8 @@ RAW["d04_system_status"] = """
 SELECT "Order", StatusShort, SystemStatus AS derived_status FROM hdr"""
 
 RAW["d05_released"] = """
-SELECT "Order", CASE WHEN StatusShort = 'CRTD' THEN 0 ELSE 1 END AS released,
-  CASE WHEN contains(SystemStatus, 'REL') THEN 1 ELSE 0 END AS released_exact
+SELECT "Order", CAST(StatusShort <> 'CRTD' AS BIGINT) AS released,
+  CAST(contains(SystemStatus, 'REL') AS BIGINT) AS released_exact
 FROM hdr"""
 
 RAW["d06_backlog"] = """
@@ -125,12 +126,12 @@ SELECT MATNR, MTART, CASE WHEN MTART = 'FERT' THEN 'E' ELSE 'F' END AS BESKZ FRO
 RAW["d13_mrp_controller"] = f"SELECT p_partkey, p_type, {CONTROLLER} AS DISPO FROM part"
 
 RAW["d14_bottleneck_flag"] = """
-SELECT l_orderkey, l_linenumber, CAST(l_linenumber = 4 AS BIGINT) AS flag FROM lineitem"""
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_linenumber = 4 AS BIGINT) AS flag FROM lineitem"""
 
 RAW["d15_operation_no"] = 'SELECT "Order", Operation, WorkCenter FROM ops'
 
 RAW["d16_work_center"] = """
-SELECT l_orderkey, l_linenumber,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
   CASE WHEN l_partkey % 4 = 0 THEN '2000' ELSE '1000' END AS WERKS,
   CASE WHEN l_partkey % 4 = 0
     THEN ['WC-TURN02', 'WC-TURN02', 'WC-ASSY02', 'WC-LASER02', 'WC-ASSY02', 'WC-PAINT01',
@@ -195,14 +196,14 @@ FROM conf"""
 RAW["d24_round"] = """
 WITH cents AS (
   SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, ((c + 5) // 10) / 10.0::DOUBLE AS half_up,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, ((c + 5) // 10) / 10.0::DOUBLE AS half_up,
   (CASE WHEN c % 10 = 5 AND c // 10 % 2 = 0 THEN c // 10 ELSE (c + 5) // 10 END)
     / 10.0::DOUBLE AS half_even,
   ((c + 2) // 4) / 100.0::DOUBLE AS quarter
 FROM cents"""
 
 RAW["d25_format"] = """
-SELECT l_orderkey, l_linenumber,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
   format('{:,}', CAST(round(CAST(l_extendedprice AS DECIMAL(18, 4)), 0) AS BIGINT)) AS whole,
   CAST(round(CAST(l_extendedprice AS DECIMAL(18, 4)), 1) AS VARCHAR) AS one_digit,
   CAST(CAST(round(l_discount * 100) AS DECIMAL(9, 1)) AS VARCHAR) || '%' AS percent,
@@ -459,7 +460,7 @@ FROM conf f {_BY_CENTER} GROUP BY wkey"""
 RAW["i03_filtered_measure"] = """
 SELECT StatusShort, Priority, count(*) AS order_count,
   count(*) FILTER (StatusShort = 'REL') AS released_here,
-  any_value(n) AS released_anywhere
+  coalesce(any_value(n), 0) AS released_anywhere
 FROM hdr LEFT JOIN (SELECT Priority, count(*) AS n FROM hdr WHERE StatusShort = 'REL'
   GROUP BY Priority) r USING (Priority)
 WHERE StatusShort IN ('REL', 'PCNF', 'CNF') GROUP BY StatusShort, Priority"""
@@ -669,7 +670,7 @@ SELECT "Order", WorkCenter, ActualEnd, SAP_PostingTime, ceil(DelayHours) AS Dela
   conf.DelayHours AS ExpectedDelay
 FROM conf WHERE ceil(conf.DelayHours) <> conf.DelayHours"""
 RAW["k03_backlog"] = """
-SELECT "Order", Backlog, 0 AS ExpectedBacklog FROM hdr
+SELECT "Order", Backlog, CAST(0 AS BIGINT) AS ExpectedBacklog FROM hdr
 WHERE Backlog = 1 AND FinishDate >= DATE '1999-01-01'"""
 RAW["k04_status"] = """
 SELECT "Order", StatusShort, 'REL CNF DLV TECO' AS SystemStatus FROM hdr

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forgemart import fixed_values as fixed
 from forgemart.functions import derivations as D
@@ -32,10 +33,22 @@ CONFIRMATIONS = "COOIS_Confirmations"
 
 
 def query(build: Callable[[BoundMart], DataFrame], name: str | None = None):
-    QUERIES[name or build.__name__] = lambda spark, root: build(BoundMart(spark, root))
+    QUERIES[name or build.__name__] = lambda spark, root: _widened(build(BoundMart(spark, root)))
     return build
 
 
+def _widened(df: DataFrame) -> DataFrame:
+    """Results show every whole number as a bigint."""
+    return df.select(
+        *[
+            F.col(f"`{f.name}`").cast("bigint").alias(f.name)
+            if isinstance(f.dataType, T.IntegerType)
+            else F.col(f"`{f.name}`")
+            for f in df.schema
+        ]
+    )
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """``Table.column`` names as Table_column."""
     return df.toDF(*[c.replace(".", "_") for c in df.columns])
@@ -191,7 +204,7 @@ def d05_released(m):
 def d06_backlog(m):
     df = m.table(HEADERS, "Order", "StatusShort", "FinishDate")
     flag = D.backlog_flag("StatusShort", "FinishDate", "1998-07-15")
-    return df.select("Order", flag.cast("bigint").alias("backlog"))
+    return df.select("Order", flag.alias("backlog"))
 
 
 @query
@@ -212,8 +225,8 @@ def d08_shortage(m):
         "Component",
         "RequirementDate",
         gap.alias("shortage"),
-        D.missing_part(gap).cast("bigint").alias("missing"),
-        F.when(due, D.missing_part(gap)).otherwise(0).cast("bigint").alias("missing_and_due"),
+        D.missing_part(gap).alias("missing"),
+        F.when(due, D.missing_part(gap)).otherwise(0).alias("missing_and_due"),
     )
 
 
@@ -261,7 +274,7 @@ def d13_mrp_controller(m):
 @query
 def d14_bottleneck_flag(m):
     return m.source("lineitem").select(
-        "l_orderkey", "l_linenumber", D.bottleneck_flag(_role()).cast("bigint").alias("flag")
+        "l_orderkey", "l_linenumber", D.bottleneck_flag(_role()).alias("flag")
     )
 
 
@@ -509,7 +522,7 @@ def j21_stock_part(m):
 @query
 def j22_hierarchy(m):
     return joins.ancestors(m.table("ProductHierarchy")).select(
-        "node", "ancestor", F.col("distance").cast("bigint").alias("distance")
+        "node", "ancestor", "distance"
     )
 
 
@@ -635,9 +648,7 @@ def i07_stock_total(m):
 @query
 def q1_released_and_backlog(m):
     headers = m.table(HEADERS, "StatusShort", "SystemStatus", "Backlog")
-    return A.released_and_backlog(headers, ["StatusShort"]).withColumn(
-        "subtotal_level", F.col("subtotal_level").cast("bigint")
-    )
+    return A.released_and_backlog(headers, ["StatusShort"])
 
 
 @query
@@ -745,16 +756,12 @@ def a10_bottleneck_board(m):
 def a11_output(m):
     by = ["WERKS", "WorkCenter"]
     confirmations = m.table(CONFIRMATIONS, *by, *totals.OUTPUT.values())
-    return A.output_by(confirmations, by).withColumn(
-        "subtotal_level", F.col("subtotal_level").cast("bigint")
-    )
+    return A.output_by(confirmations, by)
 
 
 @query
 def a12_sop(m):
-    return A.sop_attainment(m.table("SOP_Targets"), ["ProductGroup", "WERKS"], cube=True).withColumn(
-        "subtotal_level", F.col("subtotal_level").cast("bigint")
-    )
+    return A.sop_attainment(m.table("SOP_Targets"), ["ProductGroup", "WERKS"], cube=True)
 
 
 @query
