@@ -65,15 +65,16 @@ def row_numbers(
     bins: Sequence[str],
     rest: Sequence[str],
     name: str,
-    hot_rows: int = HOT_ROWS,
+    hot: list | None = None,
 ) -> DataFrame:
     """Add 1, 2, 3 … per ``key`` in the order of ``bins`` then ``rest``.
 
     ``bins`` are the leading sort columns; together with ``rest`` they order rows totally.
+    ``hot`` are the keys to split; they are looked for when not given.
     """
     order = _order([*bins, *rest])
     plain = F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("bigint")
-    hot = hot_keys(df, key, hot_rows)
+    hot = hot_keys(df, key) if hot is None else hot
     if not hot:
         return df.withColumn(name, plain)
     cold_df, hot_df = _routes(df, key, hot)

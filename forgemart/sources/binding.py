@@ -7,7 +7,7 @@ rows. Amounts are computed in whole cents, tenths or hundredths and divided once
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from forgemart import fixed_values as fixed
 from forgemart.functions import derivations as D
 from forgemart.operators.generate import expand_locations
-from forgemart.operators.sequences import HOT_ROWS, row_numbers
+from forgemart.operators.sequences import HOT_ROWS, hot_keys, row_numbers
 from forgemart.sources import schema as S
 
 AS_OF = "2000-01-01"
@@ -52,6 +52,24 @@ LINE_REST = (
     "l_linestatus",
 )
 
+# Types of the given tables that are read, so that opening them needs no look into their files.
+SOURCES = {
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+        " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+        " p_retailprice double"
+    ),
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+
 MRP_ROWS = [
     ("101", "1000", "Controller 101", "Rotating parts", "c101@example.org"),
     ("102", "1000", "Controller 102", "Housings and shields", "c102@example.org"),
@@ -88,15 +106,118 @@ def _percent(c: str) -> Column:
     return F.rint(F.col(c) * 100).cast("bigint")
 
 
+def _order_key(c: str) -> Column:
+    return D.pad_key(c, fixed.ORDER_WIDTH)
+
+
+def _quantity() -> Column:
+    return F.col("l_quantity").cast("bigint")
+
+
+def _machine_hundredths() -> Column:
+    return F.floor((F.rint(F.col("l_extendedprice") * 100) + 5000) / 10000)
+
+
+def _labor_hours() -> Column:
+    return F.floor(_machine_hundredths() * 3 / 5) / 100
+
+
+def _setup_hours() -> Column:
+    return _percent("l_tax") * 10 / 100
+
+
+def _role() -> Column:
+    return F.array(*[F.lit(r) for r in ROLES])[F.col("l_linenumber") - 1]
+
+
+def _ship_day() -> Column:
+    return F.to_date("l_shipdate")
+
+
+def _material_type(group: str) -> Column:
+    return F.when(F.col(group).isin(*FINISHED_GROUPS), "FERT").otherwise("HALB")
+
+
+def _line_number(width: int) -> Column:
+    """Document number of a line item: its order followed by its position."""
+    return D.pad_key(F.concat(F.col("l_orderkey").cast("string"), D.pad_key("op_seq", 4)), width)
+
+
+def _order_status() -> Column:
+    priority = F.substring("o_orderpriority", 1, 1)
+    finished = (
+        F.when(priority == "1", "CNF")
+        .when(priority == "2", "DLV")
+        .when(priority == "3", "TECO")
+        .otherwise("CLSD")
+    )
+    return (
+        F.when((F.col("o_orderstatus") == "O") & (priority == "5"), "CRTD")
+        .when(F.col("o_orderstatus") == "O", "REL")
+        .when(F.col("o_orderstatus") == "P", "PCNF")
+        .otherwise(finished)
+    )
+
+
+def _priority() -> Column:
+    return F.substring("o_orderpriority", 1, 1).cast("int")
+
+
+def _start_date() -> Column:
+    return F.date_add(F.to_date("o_orderdate"), _priority())
+
+
+def _finish_date() -> Column:
+    return F.date_add(_start_date(), (F.col("o_orderkey") % 18 + 3).cast("int"))
+
+
+def _order_quantity() -> Column:
+    return F.col("order_quantity").cast("double")
+
+
+def _delay() -> Column:
+    return F.array(*[F.lit(h) for h in fixed.DELAY_HOURS])[F.col("l_partkey") % 8]
+
+
+def _actual_end() -> Column:
+    return F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber") * 3)
+
+
+def _committed() -> Column:
+    return F.floor((_quantity() * (100 - 5 * _percent("l_discount")) + 5) / 10) / 10
+
+
+def _issued() -> Column:
+    return F.floor((_quantity() * _percent("l_tax") + 5) / 10) / 10
+
+
+def _gap() -> Column:
+    return D.shortage(_quantity(), _committed(), _issued())
+
+
+Columns = dict[str, Callable[[], Column]]
+
+
+def _plain(df: DataFrame) -> tuple[DataFrame, Columns]:
+    return df, {c: lambda c=c: F.col(c) for c in df.columns}
+
+
 class BoundMart:
-    def __init__(self, spark: SparkSession, root: str, hot_rows: int = HOT_ROWS):
-        self.spark, self._root, self._hot_rows = spark, root, hot_rows
-        self._build: dict[str, Callable[[set[str]], DataFrame]] = {
+    """Mart tables over the tables in ``root``.
+
+    ``hot_rows`` is the size from which one order's line items are numbered in bins; ``None``
+    numbers without looking for such orders, for callers that only need the schema.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, hot_rows: int | None = HOT_ROWS):
+        self.spark, self.root, self._hot_rows = spark, root, hot_rows
+        self._hot_orders: list | None = None if hot_rows else []
+        self._build: dict[str, Callable[[set[str]], tuple[DataFrame, Columns]]] = {
             "ProductGroup": self._product_group,
             "ProductHierarchy": self._product_hierarchy,
-            "MRP_Cntr": lambda _: small_table(spark, "MRP_Cntr", MRP_ROWS),
-            "ActivityTypes": lambda _: small_table(spark, "ActivityTypes", ACTIVITY_ROWS),
-            "MovementTypes": lambda _: small_table(spark, "MovementTypes", MOVEMENT_ROWS),
+            "MRP_Cntr": lambda _: _plain(small_table(spark, "MRP_Cntr", MRP_ROWS)),
+            "ActivityTypes": lambda _: _plain(small_table(spark, "ActivityTypes", ACTIVITY_ROWS)),
+            "MovementTypes": lambda _: _plain(small_table(spark, "MovementTypes", MOVEMENT_ROWS)),
             "WorkCenters": self._work_centers,
             "MARA": self._mara,
             "MARC": self._marc,
@@ -114,204 +235,186 @@ class BoundMart:
     def table(self, name: str, *columns: str) -> DataFrame:
         wanted = columns or tuple(S.column_names(name))
         types = {field.name: field.dataType for field in S.schema(name)}
-        df = self._build[name](set(wanted))
-        return df.select(*[F.col(c).cast(types[c]).alias(c) for c in wanted])
+        df, build = self._build[name](set(wanted))
+        return df.select(*[build[c]().cast(types[c]).alias(c) for c in wanted])
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._root}/{name}.parquet")
+        return self.spark.read.schema(SOURCES[name]).parquet(f"{self.root}/{name}.parquet")
 
     # ---- master data --------------------------------------------------------------------
 
     def _groups(self) -> DataFrame:
         return self.source("part").select(F.col("p_type").alias("ProductGroup")).distinct()
 
-    def _product_group(self, _: set[str]) -> DataFrame:
-        return self._groups().withColumn("Description", F.initcap("ProductGroup"))
+    def _product_group(self, _: set[str]) -> tuple[DataFrame, Columns]:
+        return _plain(self._groups().withColumn("Description", F.initcap("ProductGroup")))
 
-    def _product_hierarchy(self, _: set[str]) -> DataFrame:
-        """Root, one node per material type, one node per product group."""
-        groups = self._groups()
-        kind = self._material_type(F.col("ProductGroup"))
+    def _product_hierarchy(self, _: set[str]) -> tuple[DataFrame, Columns]:
+        """Root, one node per material type, one node per product group: every group yields the
+        path to its own node, and repeated nodes fold."""
+        kind = _material_type("ProductGroup")
         node = F.concat(F.lit("RE-"), F.col("ProductGroup"))
-        leaves = groups.select(
-            node.alias("ProductHierarchy"),
-            F.initcap("ProductGroup").alias("Description"),
-            F.lit(3).alias("Level"),
-            F.concat(F.lit("RE-"), kind).alias("Parent"),
-        )
-        kinds = groups.select(kind.alias("kind")).distinct()
-        middle = kinds.select(
-            F.concat(F.lit("RE-"), F.col("kind")).alias("ProductHierarchy"),
-            F.col("kind").alias("Description"),
-            F.lit(2).alias("Level"),
-            F.lit("RE-ALL").alias("Parent"),
-        )
-        root = middle.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit("RE-ALL").alias("ProductHierarchy"),
-            F.lit("All").alias("Description"),
-            F.lit(1).alias("Level"),
-            F.lit(None).cast("string").alias("Parent"),
-        )
-        return root.unionByName(middle).unionByName(leaves)
-
-    @staticmethod
-    def _material_type(group: Column) -> Column:
-        return F.when(group.isin(*FINISHED_GROUPS), "FERT").otherwise("HALB")
-
-    def _mara(self, _: set[str]) -> DataFrame:
-        return self.source("part").select(
-            D.pad_key("p_partkey").alias("MATNR"),
-            self._material_type(F.col("p_type")).alias("MTART"),
-            F.col("p_brand").alias("MATKL"),
-            F.lit("PC").alias("MEINS"),
-            F.col("p_size").alias("NTGEW"),
-            F.lit("KG").alias("GEWEI"),
-            D.hierarchy_key("p_type", BOUND_NODES).alias("PRDHA"),
-            F.col("p_type").alias("ProductGroup"),
-            F.col("p_name").alias("MAKTX"),
-        )
+        parent = F.concat(F.lit("RE-"), kind)
+
+        def row(key: Column, text: Column, level: int, above: Column) -> Column:
+            return F.struct(
+                key.alias("ProductHierarchy"),
+                text.alias("Description"),
+                F.lit(level).alias("Level"),
+                above.cast("string").alias("Parent"),
+            )
 
-    def _marc(self, _: set[str]) -> DataFrame:
-        plant = plant_of(F.col("p_partkey"))
-        horizon = F.array(*[F.lit(x) for x in (1, 2, 3, 5)])
-        return self.source("part").select(
-            D.pad_key("p_partkey").alias("MATNR"),
-            plant.alias("WERKS"),
-            D.mrp_controller(plant, "p_type", BOUND_CONTROLLERS).alias("DISPO"),
-            D.procurement(self._material_type(F.col("p_type"))).alias("BESKZ"),
-            F.lit("PP01").alias("FEVOR"),
-            horizon[F.col("p_partkey") % 4].alias("DZEIT"),
-            ((F.col("p_size") % 26 + 5) / 10).alias("InHouseProductionTimeDays"),
+        steps = F.array(
+            row(F.lit("RE-ALL"), F.lit("All"), 1, F.lit(None)),
+            row(parent, kind, 2, F.lit("RE-ALL")),
+            row(node, F.initcap("ProductGroup"), 3, parent),
         )
+        return _plain(self._groups().select(F.inline(steps)).distinct())
+
+    def _mara(self, _: set[str]) -> tuple[DataFrame, Columns]:
+        return self.source("part"), {
+            "MATNR": lambda: D.pad_key("p_partkey"),
+            "MTART": lambda: _material_type("p_type"),
+            "MATKL": lambda: F.col("p_brand"),
+            "MEINS": lambda: F.lit("PC"),
+            "NTGEW": lambda: F.col("p_size"),
+            "GEWEI": lambda: F.lit("KG"),
+            "PRDHA": lambda: D.hierarchy_key("p_type", BOUND_NODES),
+            "ProductGroup": lambda: F.col("p_type"),
+            "MAKTX": lambda: F.col("p_name"),
+        }
 
-    def _mard(self, _: set[str]) -> DataFrame:
-        factor = F.when(F.col("LGORT") == fixed.STORAGE_LOCATIONS[0], 7).otherwise(11)
+    def _marc(self, _: set[str]) -> tuple[DataFrame, Columns]:
         key = F.col("p_partkey")
-        return expand_locations(self.source("part").select("p_partkey")).select(
-            D.pad_key(key).alias("MATNR"),
-            plant_of(key).alias("WERKS"),
-            "LGORT",
-            (key * factor % 120).alias("LABST"),
-            ((key + factor) % 11).alias("INSME"),
-            F.date_sub(F.lit(AS_OF).cast("date"), (key % 40 + 1).cast("int")).alias("StockDate"),
-        )
+        return self.source("part"), {
+            "MATNR": lambda: D.pad_key(key),
+            "WERKS": lambda: plant_of(key),
+            "DISPO": lambda: D.mrp_controller(plant_of(key), "p_type", BOUND_CONTROLLERS),
+            "BESKZ": lambda: D.procurement(_material_type("p_type")),
+            "FEVOR": lambda: F.lit("PP01"),
+            "DZEIT": lambda: F.array(*[F.lit(x) for x in (1, 2, 3, 5)])[key % 4],
+            "InHouseProductionTimeDays": lambda: (F.col("p_size") % 26 + 5) / 10,
+        }
 
-    def _d_part(self, _: set[str]) -> DataFrame:
+    def _mard(self, _: set[str]) -> tuple[DataFrame, Columns]:
+        key = F.col("p_partkey")
+        factor = F.when(F.col("LGORT") == fixed.STORAGE_LOCATIONS[0], 7).otherwise(11)
+        return expand_locations(self.source("part").select("p_partkey")), {
+            "MATNR": lambda: D.pad_key(key),
+            "WERKS": lambda: plant_of(key),
+            "LGORT": lambda: F.col("LGORT"),
+            "LABST": lambda: key * factor % 120,
+            "INSME": lambda: (key + factor) % 11,
+            "StockDate": lambda: F.date_sub(
+                F.lit(AS_OF).cast("date"), (key % 40 + 1).cast("int")
+            ),
+        }
+
+    def _d_part(self, _: set[str]) -> tuple[DataFrame, Columns]:
         size = F.col("p_size")
-        xyz = F.array(*[F.lit(x) for x in "XYZ"])
-        return self.source("part").select(
-            D.pad_key("p_partkey").alias("MATNR"),
-            F.col("p_type").alias("ProductGroup"),
-            F.col("p_name").alias("Description"),
-            F.when(size <= 25, "A").when(size <= 40, "B").otherwise("C").alias("ABC_Class"),
-            xyz[size % 3].alias("XYZ_Class"),
-            F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0).alias("CriticalPart"),
-            F.col("p_retailprice").alias("StandardPrice"),
-        )
+        return self.source("part"), {
+            "MATNR": lambda: D.pad_key("p_partkey"),
+            "ProductGroup": lambda: F.col("p_type"),
+            "Description": lambda: F.col("p_name"),
+            "ABC_Class": lambda: F.when(size <= 25, "A").when(size <= 40, "B").otherwise("C"),
+            "XYZ_Class": lambda: F.array(*[F.lit(x) for x in "XYZ"])[size % 3],
+            "CriticalPart": lambda: F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0),
+            "StandardPrice": lambda: F.col("p_retailprice"),
+        }
 
-    def _part_stock(self, _: set[str]) -> DataFrame:
+    def _part_stock(self, _: set[str]) -> tuple[DataFrame, Columns]:
         key = F.col("p_partkey")
         clock = F.lit(f"{AS_OF} 07:30:00").cast("timestamp_ntz")
-        return self.source("part").select(
-            D.pad_key(key).alias("Part"),
-            plant_of(key).alias("WERKS"),
-            (key * 7 % 120 + key * 11 % 120).alias("Stock"),
-            F.lit("PC").alias("Unit"),
-            (clock - F.make_dt_interval(hours=(key % 12 + 1).cast("int"))).alias("SnapshotTime"),
-        )
+        return self.source("part"), {
+            "Part": lambda: D.pad_key(key),
+            "WERKS": lambda: plant_of(key),
+            "Stock": lambda: key * 7 % 120 + key * 11 % 120,
+            "Unit": lambda: F.lit("PC"),
+            "SnapshotTime": lambda: clock - F.make_dt_interval(hours=(key % 12 + 1).cast("int")),
+        }
 
-    def _work_centers(self, _: set[str]) -> DataFrame:
+    def _work_centers(self, _: set[str]) -> tuple[DataFrame, Columns]:
         key = F.col("s_suppkey")
-        df = self.source("supplier").select(
-            center_key(key).alias("WorkCenter"),
-            F.when(F.col("s_nationkey") % 2 == 0, "1000").otherwise("2000").alias("WERKS"),
-            F.col("s_name").alias("Description"),
-            (key % 26 + 70).alias("NGRAD"),
-            F.lit(8.0).alias("EINZH"),
-            (key % 3 + 1).alias("AZNOR"),
-            F.lit("001").alias("CapacityCategory"),
-            F.when(key % 10 == 0, 1).otherwise(0).alias("Bottleneck"),
-        )
-        return df.withColumn("TheoreticalCapacityHrDay", D.capacity("NGRAD", "EINZH", "AZNOR"))
 
-    # ---- orders -------------------------------------------------------------------------
+        def percent() -> Column:
+            return key % 26 + 70
+
+        def units() -> Column:
+            return key % 3 + 1
+
+        return self.source("supplier"), {
+            "WorkCenter": lambda: center_key(key),
+            "WERKS": lambda: F.when(F.col("s_nationkey") % 2 == 0, "1000").otherwise("2000"),
+            "Description": lambda: F.col("s_name"),
+            "NGRAD": percent,
+            "EINZH": lambda: F.lit(8.0),
+            "AZNOR": units,
+            "CapacityCategory": lambda: F.lit("001"),
+            "Bottleneck": lambda: F.when(key % 10 == 0, 1).otherwise(0),
+            "TheoreticalCapacityHrDay": lambda: D.capacity(percent(), F.lit(8.0), units()),
+        }
 
-    @staticmethod
-    def _order_status() -> Column:
-        priority = F.substring("o_orderpriority", 1, 1)
-        finished = (
-            F.when(priority == "1", "CNF")
-            .when(priority == "2", "DLV")
-            .when(priority == "3", "TECO")
-            .otherwise("CLSD")
-        )
-        return (
-            F.when((F.col("o_orderstatus") == "O") & (priority == "5"), "CRTD")
-            .when(F.col("o_orderstatus") == "O", "REL")
-            .when(F.col("o_orderstatus") == "P", "PCNF")
-            .otherwise(finished)
-        )
+    # ---- orders -------------------------------------------------------------------------
 
     def _order_totals(self) -> DataFrame:
         """Material and quantity of each order; unique by construction, so an unused join to
         it is dropped by the optimizer."""
         return (
             self.source("lineitem")
-            .groupBy("l_orderkey")
-            .agg(
-                F.min("l_partkey").alias("order_part"),
-                F.sum(F.col("l_quantity").cast("bigint")).alias("order_quantity"),
-            )
+            .groupBy(F.col("l_orderkey").alias("total_order"))
+            .agg(F.min("l_partkey").alias("order_part"), F.sum(_quantity()).alias("order_quantity"))
         )
 
-    def _with_order_part(self, df: DataFrame, key: str, wanted: Iterable[str]) -> DataFrame:
+    def _with_order_part(self, df: DataFrame, key: str, wanted: set[str]) -> DataFrame:
         """Add the order's material number and, where needed, its part row."""
-        totals = self._order_totals().withColumnRenamed("l_orderkey", "total_order")
-        df = df.join(totals, F.col(key) == F.col("total_order"), "left")
-        if set(wanted) & {"ProductGroup", "MaterialText", "SOP_Relevant"}:
+        df = df.join(self._order_totals(), F.col(key) == F.col("total_order"), "left")
+        if wanted & {"ProductGroup", "MaterialText", "SOP_Relevant"}:
             part = self.source("part").select("p_partkey", "p_name", "p_type")
             df = df.join(part, F.col("order_part") == F.col("p_partkey"), "left")
         return df
 
-    def _order_headers(self, wanted: set[str]) -> DataFrame:
-        df = self.source("orders")
-        columns = {
-            "Order": D.pad_key("o_orderkey", fixed.ORDER_WIDTH),
-            "OrderType": F.lit("PP01"),
-            "Unit": F.lit("PC"),
-            "StatusShort": self._order_status(),
-            "SystemStatus": D.system_status(self._order_status()),
-            "Priority": F.substring("o_orderpriority", 1, 1).cast("int"),
-            "CreationDate": F.to_date("o_orderdate"),
+    def _order_headers(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
+        relevant = F.col("o_orderkey") % 10 < 7
+        own: Columns = {
+            "Order": lambda: _order_key("o_orderkey"),
+            "OrderType": lambda: F.lit("PP01"),
+            "Unit": lambda: F.lit("PC"),
+            "StatusShort": _order_status,
+            "SystemStatus": lambda: D.system_status(_order_status()),
+            "Priority": _priority,
+            "Backlog": lambda: D.backlog_flag(_order_status(), _finish_date(), AS_OF),
+            "CreationDate": lambda: F.to_date("o_orderdate"),
+            "StartDate": _start_date,
+            "FinishDate": _finish_date,
         }
-        columns["StartDate"] = F.date_add(columns["CreationDate"], columns["Priority"])
-        span = (F.col("o_orderkey") % 18 + 3).cast("int")
-        columns["FinishDate"] = F.date_add(columns["StartDate"], span)
-        columns["Backlog"] = D.backlog_flag(
-            columns["StatusShort"], columns["FinishDate"], AS_OF
-        )
-        if wanted - set(columns):
+        joined: Columns = {
+            "Material": lambda: D.pad_key("order_part"),
+            "WERKS": lambda: plant_of(F.col("order_part")),
+            "OrderQuantity": _order_quantity,
+            "DeliveredQuantity": lambda: D.expected_delivered(
+                _order_status(), _order_quantity(), 0.5
+            ),
+            "MaterialText": lambda: F.col("p_name"),
+            "ProductGroup": lambda: F.col("p_type"),
+            "SOP_Relevant": lambda: F.when(
+                F.col("p_type").isin(*FINISHED_GROUPS) & relevant, 1
+            ).otherwise(0),
+        }
+        df = self.source("orders")
+        if wanted & set(joined):
             df = self._with_order_part(df, "o_orderkey", wanted)
-            quantity = F.col("order_quantity").cast("double")
-            columns |= {
-                "Material": D.pad_key("order_part"),
-                "WERKS": plant_of(F.col("order_part")),
-                "OrderQuantity": quantity,
-                "DeliveredQuantity": D.expected_delivered(columns["StatusShort"], quantity, 0.5),
-                "MaterialText": F.col("p_name"),
-                "ProductGroup": F.col("p_type"),
-                "SOP_Relevant": F.when(
-                    F.col("p_type").isin(*FINISHED_GROUPS) & (F.col("o_orderkey") % 10 < 7), 1
-                ).otherwise(0),
-            }
-        return df.select(*[columns[c].alias(c) for c in wanted])
+        return df, own | joined
 
     # ---- line-item facts ----------------------------------------------------------------
 
     def numbered_lines(self) -> DataFrame:
-        """Line items with their position 1, 2, 3 … inside the order."""
+        """Line items with their position 1, 2, 3 … inside the order. Orders too large for one
+        task are looked for once per mart."""
+        lines = self.source("lineitem")
+        if self._hot_orders is None:
+            self._hot_orders = hot_keys(lines, "l_orderkey", self._hot_rows)
         return row_numbers(
-            self.source("lineitem"), "l_orderkey", LINE_BINS, LINE_REST, "op_seq", self._hot_rows
+            lines, "l_orderkey", LINE_BINS, LINE_REST, "op_seq", self._hot_orders
         )
 
     def _lines(self, wanted: set[str], numbered: set[str], by_order: set[str]) -> DataFrame:
@@ -320,155 +423,142 @@ class BoundMart:
             df = self._with_order_part(df, "l_orderkey", wanted)
         return df
 
-    @staticmethod
-    def _machine_hundredths() -> Column:
-        return F.floor((F.rint(F.col("l_extendedprice") * 100) + 5000) / 10000)
-
-    def _order_operations(self, wanted: set[str]) -> DataFrame:
+    def _order_operations(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         df = self._lines(wanted, {"Operation"}, {"Material", "ProductGroup", "WERKS"})
-        open_status = F.lit("REL")
         if wanted & {"StatusShort", "SystemStatus"}:
             orders = self.source("orders").select(
-                "o_orderkey", self._order_status().alias("order_status")
+                "o_orderkey", _order_status().alias("order_status")
             )
             df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-            open_status = F.when(F.col("order_status") == "CRTD", "CRTD").otherwise("REL")
-        flag, quantity = F.col("l_returnflag"), F.col("l_quantity").cast("bigint")
-        status = F.when(flag == "R", "CNF").when(flag == "A", "PCNF").otherwise(open_status)
-        machine = self._machine_hundredths()
-        setup = _percent("l_tax") * 10
-        role = F.array(*[F.lit(r) for r in ROLES])[F.col("l_linenumber") - 1]
-        start = F.to_date("l_shipdate")
-        days = D.op_duration(setup / 100, machine / 100)
-        columns = {
-            "Order": D.pad_key("l_orderkey", fixed.ORDER_WIDTH),
-            "Operation": D.operation_no("op_seq"),
-            "WorkCenter": center_key(F.col("l_suppkey")),
-            "WERKS": plant_of(F.col("order_part")),
-            "OperationText": D.decode(role, fixed.ROLE_TEXT),
+        flag = F.col("l_returnflag")
+
+        def status() -> Column:
+            waiting = F.when(F.col("order_status") == "CRTD", "CRTD").otherwise("REL")
+            return F.when(flag == "R", "CNF").when(flag == "A", "PCNF").otherwise(waiting)
+
+        def done() -> Column:
+            half = F.floor(_quantity() / 2)
+            return F.when(flag == "R", _quantity()).when(flag == "A", half).otherwise(0)
+
+        def finish() -> Column:
+            days = D.op_duration(_setup_hours(), _machine_hundredths() / 100)
+            return F.date_add(_ship_day(), F.floor(days).cast("int"))
+
+        return df, {
+            "Order": lambda: _order_key("l_orderkey"),
+            "Operation": lambda: D.operation_no("op_seq"),
+            "WorkCenter": lambda: center_key(F.col("l_suppkey")),
+            "WERKS": lambda: plant_of(F.col("order_part")),
+            "OperationText": lambda: D.decode(_role(), fixed.ROLE_TEXT),
             "StatusShort": status,
-            "SystemStatus": D.system_status(status),
-            "ControlKey": F.lit("PP01"),
-            "TargetQuantity": quantity,
-            "ActualQuantity": F.when(flag == "R", quantity)
-            .when(flag == "A", F.floor(quantity / 2))
-            .otherwise(0),
-            "SetupTime": setup / 100,
-            "MachineTime": machine / 100,
-            "LaborTime": F.floor(machine * 3 / 5) / 100,
-            "StartDate": start,
-            "FinishDate": F.date_add(start, F.floor(days).cast("int")),
-            "Material": D.pad_key("order_part"),
-            "ProductGroup": F.col("p_type"),
-            "BottleneckOperation": D.bottleneck_flag(role),
+            "SystemStatus": lambda: D.system_status(status()),
+            "ControlKey": lambda: F.lit("PP01"),
+            "TargetQuantity": _quantity,
+            "ActualQuantity": done,
+            "SetupTime": _setup_hours,
+            "MachineTime": lambda: _machine_hundredths() / 100,
+            "LaborTime": _labor_hours,
+            "StartDate": _ship_day,
+            "FinishDate": finish,
+            "Material": lambda: D.pad_key("order_part"),
+            "ProductGroup": lambda: F.col("p_type"),
+            "BottleneckOperation": lambda: D.bottleneck_flag(_role()),
         }
-        return df.select(*[columns[c].alias(c) for c in wanted])
 
-    def _confirmations(self, wanted: set[str]) -> DataFrame:
+    def _confirmations(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         df = self._lines(wanted, {"Operation", "Confirmation"}, {"Material", "WERKS"})
-        df = df.where(F.col("l_returnflag").isin("A", "R"))
-        quantity = F.col("l_quantity").cast("bigint")
-        machine = self._machine_hundredths()
-        delay = F.array(*[F.lit(h) for h in fixed.DELAY_HOURS])[F.col("l_partkey") % 8]
-        end = F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber") * 3)
-        minutes = F.rint(delay * 60).cast("int")
-        columns = {
-            "Confirmation": self._line_number(fixed.CONFIRMATION_WIDTH),
-            "Order": D.pad_key("l_orderkey", fixed.ORDER_WIDTH),
-            "Operation": D.operation_no("op_seq"),
-            "WorkCenter": center_key(F.col("l_suppkey")),
-            "WERKS": plant_of(F.col("order_part")),
-            "YieldQuantity": F.when(F.col("l_returnflag") == "R", quantity).otherwise(
-                F.floor(quantity / 2)
-            ),
-            "ScrapQuantity": F.floor(quantity * _percent("l_discount") / 100),
-            "ReworkQuantity": F.floor(quantity * _percent("l_tax") / 100),
-            "ActualMachineTime": machine / 100,
-            "ActualLaborTime": F.floor(machine * 3 / 5) / 100,
-            "ActualEnd": end,
-            "SAP_PostingTime": end + F.make_dt_interval(mins=minutes),
-            "DelayHours": delay,
-            "Cancelled": F.lit(0),
-            "Material": D.pad_key("order_part"),
-        }
-        return df.select(*[columns[c].alias(c) for c in wanted])
 
-    @staticmethod
-    def _line_number(width: int) -> Column:
-        return D.pad_key(
-            F.concat(F.col("l_orderkey").cast("string"), D.pad_key("op_seq", 4)), width
-        )
+        def good() -> Column:
+            half = F.floor(_quantity() / 2)
+            return F.when(F.col("l_returnflag") == "R", _quantity()).otherwise(half)
+
+        def posting() -> Column:
+            minutes = F.rint(_delay() * 60).cast("int")
+            return _actual_end() + F.make_dt_interval(mins=minutes)
+
+        return df.where(F.col("l_returnflag").isin("A", "R")), {
+            "Confirmation": lambda: _line_number(fixed.CONFIRMATION_WIDTH),
+            "Order": lambda: _order_key("l_orderkey"),
+            "Operation": lambda: D.operation_no("op_seq"),
+            "WorkCenter": lambda: center_key(F.col("l_suppkey")),
+            "WERKS": lambda: plant_of(F.col("order_part")),
+            "YieldQuantity": good,
+            "ScrapQuantity": lambda: F.floor(_quantity() * _percent("l_discount") / 100),
+            "ReworkQuantity": lambda: F.floor(_quantity() * _percent("l_tax") / 100),
+            "ActualMachineTime": lambda: _machine_hundredths() / 100,
+            "ActualLaborTime": _labor_hours,
+            "ActualEnd": _actual_end,
+            "SAP_PostingTime": posting,
+            "DelayHours": _delay,
+            "Cancelled": lambda: F.lit(0),
+            "Material": lambda: D.pad_key("order_part"),
+        }
 
-    def _missing_parts(self, wanted: set[str]) -> DataFrame:
+    def _missing_parts(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         df = self._lines(wanted, set(), {"WERKS"})
         if "ComponentText" in wanted:
-            names = self.source("part").select("p_partkey", F.col("p_name").alias("part_name"))
-            df = df.join(
-                names.withColumnRenamed("p_partkey", "name_key"),
-                F.col("l_partkey") == F.col("name_key"),
-                "left",
+            names = self.source("part").select(
+                F.col("p_partkey").alias("name_key"), F.col("p_name").alias("part_name")
             )
-        quantity, discount = F.col("l_quantity").cast("bigint"), _percent("l_discount")
-        committed = F.floor((quantity * (100 - 5 * discount) + 5) / 10) / 10
-        issued = F.floor((quantity * _percent("l_tax") + 5) / 10) / 10
-        gap = D.shortage(quantity, committed, issued)
-        columns = {
-            "Order": D.pad_key("l_orderkey", fixed.ORDER_WIDTH),
-            "Component": D.pad_key("l_partkey"),
-            "WERKS": plant_of(F.col("order_part")),
-            "LGORT": F.lit(fixed.STORAGE_LOCATIONS[0]),
-            "Reqmnt_qty": quantity,
-            "Comm_qty": committed,
-            "Qty_issued": issued,
-            "ShortageQuantity": gap,
-            "MissingPart": D.missing_part(gap),
-            "RequirementDate": F.to_date("l_shipdate"),
-            "ComponentText": F.col("part_name"),
+            df = df.join(names, F.col("l_partkey") == F.col("name_key"), "left")
+        return df, {
+            "Order": lambda: _order_key("l_orderkey"),
+            "Component": lambda: D.pad_key("l_partkey"),
+            "WERKS": lambda: plant_of(F.col("order_part")),
+            "LGORT": lambda: F.lit(fixed.STORAGE_LOCATIONS[0]),
+            "Reqmnt_qty": _quantity,
+            "Comm_qty": _committed,
+            "Qty_issued": _issued,
+            "ShortageQuantity": _gap,
+            "MissingPart": lambda: D.missing_part(_gap()),
+            "RequirementDate": _ship_day,
+            "ComponentText": lambda: F.col("part_name"),
         }
-        return df.select(*[columns[c].alias(c) for c in wanted])
 
-    def _movements(self, wanted: set[str]) -> DataFrame:
+    def _movements(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         df = self._lines(wanted, {"Mblnr"}, {"WERKS"})
-        pair = F.concat("l_returnflag", "l_linestatus")
-        kind = (
-            F.when(pair == "RF", "101")
-            .when(pair.isin("AF", "NF"), "261")
-            .when(pair == "NO", "531")
-            .when(pair == "AO", "311")
-            .when(pair == "RO", "262")
-        )
-        posted = F.to_date("l_shipdate")
-        columns = {
-            "Mblnr": self._line_number(fixed.DOCUMENT_WIDTH),
-            "Line": F.lit("0001"),
-            "Matnr": D.pad_key("l_partkey"),
-            "WERKS": plant_of(F.col("order_part")),
-            "LGORT": F.lit(fixed.STORAGE_LOCATIONS[0]),
+
+        def kind() -> Column:
+            pair = F.concat("l_returnflag", "l_linestatus")
+            return (
+                F.when(pair == "RF", "101")
+                .when(pair.isin("AF", "NF"), "261")
+                .when(pair == "NO", "531")
+                .when(pair == "AO", "311")
+                .when(pair == "RO", "262")
+            )
+
+        return df, {
+            "Mblnr": lambda: _line_number(fixed.DOCUMENT_WIDTH),
+            "Line": lambda: F.lit("0001"),
+            "Matnr": lambda: D.pad_key("l_partkey"),
+            "WERKS": lambda: plant_of(F.col("order_part")),
+            "LGORT": lambda: F.lit(fixed.STORAGE_LOCATIONS[0]),
             "MovementType": kind,
-            "Quantity": F.col("l_quantity"),
-            "Unit": F.lit("PC"),
-            "PostingDate": posted,
-            "DocumentDate": F.date_add(posted, (F.col("l_partkey") % 5 - 2).cast("int")),
-            "Order": D.pad_key("l_orderkey", fixed.ORDER_WIDTH),
-            "CostCenter": F.lit("CC100"),
+            "Quantity": lambda: F.col("l_quantity"),
+            "Unit": lambda: F.lit("PC"),
+            "PostingDate": _ship_day,
+            "DocumentDate": lambda: F.date_add(
+                _ship_day(), (F.col("l_partkey") % 5 - 2).cast("int")
+            ),
+            "Order": lambda: _order_key("l_orderkey"),
+            "CostCenter": lambda: F.lit("CC100"),
         }
-        return df.select(*[columns[c].alias(c) for c in wanted])
 
-    def _sop_targets(self, _: set[str]) -> DataFrame:
+    def _sop_targets(self, _: set[str]) -> tuple[DataFrame, Columns]:
         """Line quantities per part and month first, which also folds a very frequent part,
         then the join to the part for its group."""
         month = F.month("l_shipdate")
-        quantity = F.col("l_quantity").cast("bigint")
         per_part = (
             self.source("lineitem")
             .groupBy("l_partkey", D.period("l_shipdate").alias("Period"))
             .agg(
-                F.sum(quantity).alias("actual"),
-                F.sum(quantity * (90 + 5 * (month % 5))).alias("target_hundredths"),
+                F.sum(_quantity()).alias("actual"),
+                F.sum(_quantity() * (90 + 5 * (month % 5))).alias("target_hundredths"),
             )
         )
         part = self.source("part").select("p_partkey", "p_type")
-        return (
+        df = (
             per_part.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
             .groupBy(
                 F.col("p_type").alias("ProductGroup"),
@@ -479,7 +569,10 @@ class BoundMart:
                 F.sum("actual").cast("double").alias("ActualQuantity"),
                 (F.sum("target_hundredths") / 100).alias("TargetQuantity"),
             )
-            .withColumn("Description", F.initcap("ProductGroup"))
-            .withColumn("Deviation", D.sop_deviation("ActualQuantity", "TargetQuantity"))
-            .withColumn("Version", F.lit("V01"))
         )
+        same = {c: lambda c=c: F.col(c) for c in df.columns}
+        return df, same | {
+            "Description": lambda: F.initcap("ProductGroup"),
+            "Deviation": lambda: D.sop_deviation("ActualQuantity", "TargetQuantity"),
+            "Version": lambda: F.lit("V01"),
+        }

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from forgemart.sources import schema as S
 from forgemart.sources import storage
 
+WRITES_AT_ONCE = 4
+
 
 class FrameMart:
     """Tables held as DataFrames."""
@@ -33,6 +36,10 @@ class StoredMart:
 
 
 def store(mart, root: str, tables: tuple[str, ...] = S.TABLES, fmt: str | None = None) -> None:
-    """Write mart tables under ``root``, each conformed to its schema."""
-    for name in tables:
+    """Write mart tables under ``root``, each conformed to its schema. The tables do not depend
+    on each other, so a few are written at the same time."""
+    def write(name: str) -> None:
         storage.save(storage.conform(mart.table(name), name), root, name, fmt)
+
+    with ThreadPoolExecutor(max_workers=WRITES_AT_ONCE) as pool:
+        list(pool.map(write, tables))
