@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgemart.functions.derivations import is_released, signed_quantity
+from forgemart.sources.storage import materialize
 
 
 def orders_with_missing_parts(co24: DataFrame) -> DataFrame:
@@ -74,7 +75,9 @@ def with_controller(headers: DataFrame, marc: DataFrame, controllers: DataFrame)
 
 
 def ancestors(hierarchy: DataFrame) -> DataFrame:
-    """Every (node, ancestor, distance) of a parent/child table, the node itself included."""
+    """Every (node, ancestor, distance) of a parent/child table, the node itself included. Each
+    level of the walk reads the table again, so its two columns are written out first."""
+    hierarchy = materialize(hierarchy.select("ProductHierarchy", "Parent"))
     return hierarchy.sparkSession.sql(
         """
         WITH RECURSIVE walk (node, ancestor, distance) AS (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from forgemart import fixed_values as fixed
 from forgemart.functions import derivations as D
-from forgemart.operators.sequences import HOT_ROWS, previous_row
+from forgemart.operators.sequences import previous_row
 from forgemart.operators.totals import stock_total
 from forgemart.sources import schema as S
 
@@ -101,11 +101,11 @@ def check_k8(headers: DataFrame) -> DataFrame:
     return headers.where(~lead.between(*START_DAYS) | ~span.between(*DURATION_DAYS))
 
 
-def check_k9(operations: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def check_k9(operations: DataFrame, hot: list | None = None) -> DataFrame:
     """A confirmed operation never follows an unconfirmed one of its order."""
     rows = operations.withColumn("_number", operation_number())
     linked = previous_row(
-        rows, "Order", "_number", operation_bin(), ["Operation", "StatusShort"], "_before", hot_rows
+        rows, "Order", "_number", operation_bin(), ["Operation", "StatusShort"], "_before", hot
     )
     return (
         linked.where((F.col("StatusShort") == "CNF") & (F.col("_before.StatusShort") != "CNF"))

@@ -106,21 +106,13 @@ def widen(
     edges = list(dict.fromkeys(e for table, _ in wanted for e in path(fact, table)))
     keys = [e.many_key for e in edges if e.many == fact]
     df = prefixed(mart.table(fact, *dict.fromkeys((*columns, *keys))), fact)
-    return follow_all(df, mart, edges, wanted).select(
-        *[dotted(f"{fact}.{c}").alias(c) for c in columns], *[dotted(c) for c in dim_columns]
-    )
-
-
-def follow_all(
-    df: DataFrame, mart, edges: Sequence[Edge], wanted: Sequence[Sequence[str]]
-) -> DataFrame:
-    """Left join edges in path order, reading the ``(table, column)`` pairs in ``wanted`` and
-    the keys that later edges need."""
     for e in edges:
         onward = [n.many_key for n in edges if n.many == e.one]
         asked = [column for table, column in wanted if table == e.one]
         df = follow(df, mart, e, (*onward, *asked))
-    return df
+    return df.select(
+        *[dotted(f"{fact}.{c}").alias(c) for c in columns], *[dotted(c) for c in dim_columns]
+    )
 
 
 def orphans(mart, edges: Sequence[Edge] = EDGES) -> DataFrame:

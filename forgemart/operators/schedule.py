@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from forgemart.functions.derivations import op_duration
 from forgemart.operators.quality import operation_bin, operation_number
-from forgemart.operators.sequences import HOT_ROWS, running_total
+from forgemart.operators.sequences import running_total
 
 
 def schedule(
-    operations: DataFrame, gap_hours: Column | float, hot_rows: int = HOT_ROWS
+    operations: DataFrame, gap_hours: Column | float, hot: list | None = None
 ) -> DataFrame:
     """Add ``ScheduledStart`` and ``ScheduledEnd``. Each operation starts ``gap_hours`` after the
     previous one ends; the first starts at ``OrderStart``. Time runs in whole seconds, so the
@@ -25,7 +25,7 @@ def schedule(
         (seconds + F.rint(gap * 3600).cast("bigint")).alias("_step"),
     )
     placed = running_total(
-        timed, "Order", "_number", operation_bin(), "_step", "_before", hot_rows
+        timed, "Order", "_number", operation_bin(), "_step", "_before", hot
     )
     start = F.unix_seconds(F.col("OrderStart").cast("timestamp")) + F.col("_before")
     return placed.select(

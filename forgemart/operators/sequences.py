@@ -6,7 +6,7 @@ frequent-items sketch: one pass over the key column, merged into a single bounde
 data is shuffled. The few keys it names are split along the sort order into bins; every bin is
 windowed on its own and a small per-bin summary carries the state from one bin into the next.
 All other keys take the plain window. Both ways are exact, so the sketch only decides the route
-and never the result.
+and never the result. Callers that hold a cheaper view of the same keys pass ``hot`` themselves.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def running_total(
     bin_of: Column,
     value: str,
     name: str,
-    hot_rows: int = HOT_ROWS,
+    hot: list | None = None,
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows of ``key`` that precede the row.
 
@@ -107,7 +107,7 @@ def running_total(
             F.sum(value).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
         )
 
-    hot = hot_keys(df, key, hot_rows)
+    hot = hot_keys(df, key) if hot is None else hot
     if not hot:
         return df.withColumn(name, preceding(key))
     cold_df, hot_df = _routes(df, key, hot)
@@ -128,7 +128,7 @@ def previous_row(
     bin_of: Column,
     fields: Sequence[str],
     name: str,
-    hot_rows: int = HOT_ROWS,
+    hot: list | None = None,
 ) -> DataFrame:
     """Add a struct ``name`` with ``fields`` of the row before, null on the first row."""
     row = F.struct(*fields)
@@ -136,7 +136,7 @@ def previous_row(
     def lagged(*keys: str) -> Column:
         return F.lag(row).over(W.partitionBy(*keys).orderBy(order_by))
 
-    hot = hot_keys(df, key, hot_rows)
+    hot = hot_keys(df, key) if hot is None else hot
     if not hot:
         return df.withColumn(name, lagged(key))
     cold_df, hot_df = _routes(df, key, hot)

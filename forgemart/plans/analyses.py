@@ -25,7 +25,7 @@ from forgemart.functions.measures import (
 )
 from forgemart.operators import joins
 from forgemart.operators.quality import operation_bin, operation_number
-from forgemart.operators.sequences import HOT_ROWS, previous_row
+from forgemart.operators.sequences import hot_keys, previous_row
 from forgemart.operators.totals import OUTPUT, stock_total, subtotal_sums
 from forgemart.plans.evaluate import evaluate, finish, partial_sums
 
@@ -211,19 +211,21 @@ def throughput_compare(matdoc: DataFrame, confirmations: DataFrame) -> DataFrame
 
 
 def by_precedence(key: str, *sources: tuple[str, DataFrame]) -> DataFrame:
-    """First non-null ``value`` per ``key`` in the order of the sources, and its source."""
+    """First non-null ``value`` per ``key`` in the order of the sources, and its source. Each
+    source has one row per key and gets its own column, so one hash aggregation decides."""
+    columns = [f"_{name}" for name, _ in sources]
     stacked = _stack(
         *[
-            df.select(key, "value", F.lit(rank).alias("rank"), F.lit(name).alias("source"))
-            for rank, (name, df) in enumerate(sources)
+            df.select(key, F.col("value").alias(column))
+            for column, (_, df) in zip(columns, sources, strict=True)
         ]
     )
-    best = F.min_by(F.struct("value", "source"), "rank")
+    found = [F.when(F.col(c).isNotNull(), F.lit(c.removeprefix("_"))) for c in columns]
     return (
-        stacked.where(F.col("value").isNotNull())
-        .groupBy(key)
-        .agg(best.alias("best"))
-        .select(key, "best.value", "best.source")
+        stacked.groupBy(key)
+        .agg(*[F.max(c).alias(c) for c in columns])
+        .select(key, F.coalesce(*columns).alias("value"), F.coalesce(*found).alias("source"))
+        .where(F.col("value").isNotNull())
     )
 
 
@@ -285,17 +287,18 @@ def delay_profile(
 
 
 def queue_time(
-    operations: DataFrame, confirmations: DataFrame, hot_rows: int = HOT_ROWS
+    operations: DataFrame, confirmations: DataFrame, hot: list | None = None
 ) -> DataFrame:
     """Wait before every operation but the first (chosen here): planned days from the previous
     finish to the start, and actual hours from the previous real end to the own one, less the
     machine time."""
+    hot = hot_keys(operations.select("Order"), "Order") if hot is None else hot
     rows = joins.with_confirmation(
         operations.select("Order", "Operation", "StartDate", "FinishDate"),
         confirmations.select("Order", "Operation", "ActualEnd", "ActualMachineTime"),
     ).withColumn("_number", operation_number())
     linked = previous_row(
-        rows, "Order", "_number", operation_bin(), ["FinishDate", "ActualEnd"], "_before", hot_rows
+        rows, "Order", "_number", operation_bin(), ["FinishDate", "ActualEnd"], "_before", hot
     )
     seconds = F.unix_seconds("ActualEnd") - F.unix_seconds("_before.ActualEnd")
     hours = (seconds * SCALE / 3600 - units("ActualMachineTime")) / SCALE

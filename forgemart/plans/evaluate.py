@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgemart.functions.measures import Measure, count_of
-from forgemart.operators.relations import dotted, follow_all, narrow_column, path
+from forgemart.operators.relations import dotted, follow, narrow_column, path
 
 Predicate = Callable[[Column], Column]
 
@@ -36,34 +36,44 @@ def output_names(by: Sequence[str]) -> dict[str, str]:
 def partial_sums(
     mart, fact: str, measures: Sequence[Measure], by: Sequence[str], where: Mapping[str, Predicate]
 ) -> DataFrame:
-    """Partial sums of one fact by the group columns, ready to be stacked."""
+    """Partial sums of one fact by the group columns, ready to be stacked.
+
+    Rows are summed per foreign key before the first hop and again before every later one, so a
+    key shared by very many rows (or by all rows without a key) is one row at each join.
+    """
     wanted = list(dict.fromkeys([*by, *where]))
-    own = [c for c in wanted if _split(c)[0] == fact]
     far = [c for c in wanted if _split(c)[0] != fact]
     edges = list(dict.fromkeys(e for c in far for e in path(fact, _split(c)[0])))
-    keys = list(dict.fromkeys(e.many_key for e in edges if e.many == fact))
 
-    read = [_split(c)[1] for c in own] + keys + [c for m in measures for c in m.columns]
+    own = [_split(c)[1] for c in wanted if _split(c)[0] == fact]
+    keys = [e.many_key for e in edges if e.many == fact]
+    read = [*own, *keys, *(c for m in measures for c in m.columns)]
     df = mart.table(fact, *dict.fromkeys(read or [narrow_column(fact)]))
-    for name in own:
-        if name in where:
+    for name in where:
+        if name not in far:
             df = df.where(where[name](F.col(_split(name)[1])))
 
-    group = list(dict.fromkeys([_split(c)[1] for c in own if c in by] + keys))
     parts = [
         part.aggregate().alias(f"{m.alias}#{i}")
         for m in measures
         for i, part in enumerate(m.parts)
     ]
-    df = df.groupBy(*group).agg(*parts)
+    group = list(dict.fromkeys([_split(c)[1] for c in by if c not in far] + keys))
+    df = df.groupBy(*[F.col(c).alias(f"{fact}.{c}") for c in group]).agg(*parts)
     sums = [c for c in df.columns if "#" in c]
-    df = df.select(*[F.col(c).alias(f"{fact}.{c}") for c in group], *sums)
 
-    asked = [_split(c) for c in far]
-    df = follow_all(df, mart, edges, asked)
-    for name in far:
-        if name in where:
-            df = df.where(where[name](dotted(name)))
+    for at, e in enumerate(edges):
+        later = edges[at:]
+        needed = {f"{n.many}.{n.many_key}" for n in later} | set(by)
+        if e.many != fact:
+            kept = [dotted(c) for c in df.columns if c in needed]
+            df = df.groupBy(*kept).agg(*[F.sum(dotted(c)).alias(c) for c in sums])
+        onward = [n.many_key for n in later if n.many == e.one]
+        asked = [_split(c)[1] for c in far if _split(c)[0] == e.one]
+        df = follow(df, mart, e, (*onward, *asked))
+        for name in far:
+            if name in where and _split(name)[0] == e.one:
+                df = df.where(where[name](dotted(name)))
     return df.select(*[dotted(b).alias(n) for b, n in output_names(by).items()], *sums)
 
 

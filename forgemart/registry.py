@@ -306,7 +306,7 @@ def d18_schedule(m):
     starts = m.table(HEADERS, "Order", "StartDate").withColumnRenamed("StartDate", "OrderStart")
     ops = m.table(OPERATIONS, "Order", "Operation", "SetupTime", "MachineTime")
     timed = ops.join(starts, "Order", "left")
-    return schedule(timed, gap_hours=6).select(
+    return schedule(timed, gap_hours=6, hot=m.hot_orders()).select(
         "Order", "Operation", "ScheduledStart", "ScheduledEnd"
     )
 
@@ -737,6 +737,7 @@ def a08_queue_time(m):
     return A.queue_time(
         m.table(OPERATIONS, "Order", "Operation", "StartDate", "FinishDate"),
         m.table(CONFIRMATIONS, "Order", "Operation", "ActualEnd", "ActualMachineTime"),
+        m.hot_orders(),
     )
 
 
@@ -882,7 +883,8 @@ def k08_dates(m):
 
 @query
 def k09_sequence(m):
-    return quality.check_k9(m.table(OPERATIONS, "Order", "Operation", "StatusShort"))
+    operations = m.table(OPERATIONS, "Order", "Operation", "StatusShort")
+    return quality.check_k9(operations, m.hot_orders())
 
 
 @query

@@ -407,15 +407,19 @@ class BoundMart:
 
     # ---- line-item facts ----------------------------------------------------------------
 
-    def numbered_lines(self) -> DataFrame:
-        """Line items with their position 1, 2, 3 … inside the order. Orders too large for one
-        task are looked for once per mart."""
-        lines = self.source("lineitem")
+    def _hot_order_keys(self) -> list:
         if self._hot_orders is None:
-            self._hot_orders = hot_keys(lines, "l_orderkey", self._hot_rows)
-        return row_numbers(
-            lines, "l_orderkey", LINE_BINS, LINE_REST, "op_seq", self._hot_orders
-        )
+            self._hot_orders = hot_keys(self.source("lineitem"), "l_orderkey", self._hot_rows)
+        return self._hot_orders
+
+    def hot_orders(self) -> list[str]:
+        """Orders with too many line items for one task, looked for once per mart."""
+        return [str(key).zfill(fixed.ORDER_WIDTH) for key in self._hot_order_keys()]
+
+    def numbered_lines(self) -> DataFrame:
+        """Line items with their position 1, 2, 3 … inside the order."""
+        lines, hot = self.source("lineitem"), self._hot_order_keys()
+        return row_numbers(lines, "l_orderkey", LINE_BINS, LINE_REST, "op_seq", hot)
 
     def _lines(self, wanted: set[str], numbered: set[str], by_order: set[str]) -> DataFrame:
         df = self.numbered_lines() if wanted & numbered else self.source("lineitem")

@@ -87,6 +87,13 @@ def refresh(spark: SparkSession, root: str, table: str, fmt: str | None = None)
     return load(spark, root, table, fmt)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back, for one that is read often."""
+    path = f"{work_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table. Pass stored tables: Parquet counts come from file footers."""
     counts = [
