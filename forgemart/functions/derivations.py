@@ -1,8 +1,8 @@
 """Column derivations. Every function takes and returns ``Column`` and stays inside codegen.
 
-Quantities and hours are stored as doubles. Where a result is rounded or compared, the inputs
-are first read as decimals, so 0.8 - 0.7 - 0.1 is exactly zero and a flag never depends on
-binary noise.
+Quantities and hours are stored as doubles. Where they are subtracted, compared or summed, they
+are first taken as whole ten-thousandths in 64-bit integers, so 0.8 - 0.7 - 0.1 is exactly zero
+and a flag never depends on binary noise. Few-row tables use decimals instead.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from forgemart import fixed_values as fixed
 
 EXACT = "decimal(18,4)"
+SCALE = 10_000
 
 
 def _col(c: Column | str) -> Column:
@@ -25,6 +26,11 @@ def exact(c: Column | str) -> Column:
     return _col(c).cast(EXACT)
 
 
+def units(c: Column | str) -> Column:
+    """A quantity in whole ten-thousandths."""
+    return F.rint(_col(c).cast("double") * SCALE).cast("bigint")
+
+
 # ---- keys -------------------------------------------------------------------------------
 
 
@@ -131,7 +137,8 @@ def expected_delivered(
 ) -> Column:
     """All of the quantity once finished, a whole-piece share while partially confirmed."""
     amount = _col(quantity)
-    share = F.floor(exact(amount) * F.lit(fraction).cast(EXACT)).cast("double")
+    part = fraction if isinstance(fraction, Column) else F.lit(fraction)
+    share = F.floor(units(amount) * units(part) / SCALE**2).cast("double")
     return (
         F.when(_col(status).isin(*fixed.FINISHED_STATUSES), amount)
         .when(_col(status) == "PCNF", share)
@@ -192,8 +199,8 @@ def shortage(
     required: Column | str, committed: Column | str, issued: Column | str
 ) -> Column:
     """Uncovered requirement, never negative, to one decimal."""
-    gap = exact(required) - exact(committed) - exact(issued)
-    return F.round(F.greatest(gap, F.lit(0).cast(EXACT)), 1).cast("double")
+    gap = units(required) - units(committed) - units(issued)
+    return F.floor((F.greatest(gap, F.lit(0)) + 500) / 1000) / 10
 
 
 def missing_part(shortage_quantity: Column | str) -> Column:
@@ -201,9 +208,10 @@ def missing_part(shortage_quantity: Column | str) -> Column:
 
 
 def delay_hours(actual_end: Column | str, posting: Column | str) -> Column:
-    """Hours from the real event to its posting, to two decimals."""
+    """Hours from the real event to its posting, to two decimals, halves away from zero."""
     micros = F.unix_micros(_col(posting)) - F.unix_micros(_col(actual_end))
-    return F.round(micros.cast("decimal(20,0)") / 3_600_000_000, 2).cast("double")
+    hundredths = F.floor((F.abs(micros) + 18_000_000) / 36_000_000) / 100
+    return F.when(micros < 0, -hundredths).otherwise(hundredths)
 
 
 def sop_deviation(actual: Column | str, target: Column | str) -> Column:

@@ -14,15 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from forgemart.functions.derivations import is_released
-
-SCALE = 10_000
-
-
-def units(c: Column | str) -> Column:
-    """A quantity in whole ten-thousandths."""
-    value = F.col(c) if isinstance(c, str) else c
-    return F.rint(value.cast("double") * SCALE).cast("bigint")
+from forgemart.functions.derivations import SCALE, is_released, units
 
 
 def exact_sum(c: Column | str) -> Column:

@@ -23,7 +23,10 @@ SKETCH_ITEMS = 100_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """At most ``MOST_HOT_KEYS`` keys that hold ``hot_rows`` rows or more."""
+    """At most ``MOST_HOT_KEYS`` keys that hold ``hot_rows`` rows or more; none are looked for
+    where all rows together are fewer, which Parquet footers tell."""
+    if df.count() < hot_rows:
+        return []
     sketch = F.expr(f"approx_top_k(`{key}`, {MOST_HOT_KEYS}, {SKETCH_ITEMS})")
     items = df.where(F.col(key).isNotNull()).agg(sketch.alias("top")).first()["top"]
     return [item["item"] for item in items or [] if item["count"] >= hot_rows]

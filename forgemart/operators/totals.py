@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forgemart.functions.measures import SCALE, exact_sum, units
+from forgemart.functions.derivations import SCALE, units
+from forgemart.functions.measures import exact_sum
 from forgemart.sources import schema as S
 
 

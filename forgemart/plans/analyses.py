@@ -14,15 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forgemart.functions.derivations import is_released, period
-from forgemart.functions.measures import (
-    SCALE,
-    Measure,
-    exact_avg,
-    exact_sum,
-    measure,
-    units,
-)
+from forgemart.functions.derivations import SCALE, is_released, period, units
+from forgemart.functions.measures import Measure, exact_avg, exact_sum, measure
 from forgemart.operators import joins
 from forgemart.operators.quality import operation_bin, operation_number
 from forgemart.operators.sequences import hot_keys, previous_row
@@ -78,18 +71,30 @@ def bottleneck_operations(operations: DataFrame, centers: DataFrame) -> DataFram
 
 
 def waiting_on_parts(headers: DataFrame, co24: DataFrame) -> DataFrame:
-    """Waiting orders with missing parts and shortage, and one row (null order) for the total."""
+    """Waiting orders with missing parts and shortage, and one row (null order) for the total.
+    Lines become one row per order before they meet the headers, which hold an order once. The
+    total is taken from the same grouped lines, whose shuffle Spark reuses, so the orders are not
+    shuffled a second time as a rollup would."""
     per_order = (
         co24.where(F.col("MissingPart") == 1)
         .groupBy("Order")
         .agg(_rows("missing_parts"), F.sum(units("ShortageQuantity")).alias("shortage"))
-        .join(headers.select("Order"), "Order", "left_semi")
+        .join(headers.select("Order"), "Order")
     )
-    return per_order.rollup("Order").agg(
-        F.grouping_id().alias("subtotal_level"),
-        _rows("orders"),
+    total = per_order.agg(
+        F.count("Order").alias("orders"),
         F.sum("missing_parts").alias("missing_parts"),
-        (F.sum("shortage") / SCALE).alias("shortage_quantity"),
+        F.sum("shortage").alias("shortage"),
+    )
+    return _stack(
+        per_order.withColumns({"subtotal_level": F.lit(0), "orders": F.lit(1).cast("bigint")}),
+        total.withColumn("subtotal_level", F.lit(1)),
+    ).select(
+        "Order",
+        "subtotal_level",
+        "orders",
+        "missing_parts",
+        (F.col("shortage") / SCALE).alias("shortage_quantity"),
     )
 
 
@@ -127,7 +132,8 @@ def order_load(headers: DataFrame, by: Sequence[str]) -> DataFrame:
 def material_buffer(operations: DataFrame, headers: DataFrame) -> DataFrame:
     """Released orders with an unfinished operation at a work centre, and what is still to be
     made there (target minus actual, chosen here). Operations shrink to one row per order and
-    centre before they meet the headers, so counting rows then counts distinct orders."""
+    centre before they meet the headers, so counting rows then counts distinct orders. The headers
+    hold an order once; a semi join would be moved below the sums by the optimizer."""
     waiting = (
         operations.where(F.col("StatusShort") != "CNF")
         .groupBy("Order", "WorkCenter")
@@ -135,7 +141,7 @@ def material_buffer(operations: DataFrame, headers: DataFrame) -> DataFrame:
     )
     released = _released(headers).select("Order")
     return (
-        waiting.join(released, "Order", "left_semi")
+        waiting.join(released, "Order")
         .groupBy("WorkCenter")
         .agg(_rows("orders"), (F.sum("open_units") / SCALE).alias("open_quantity"))
     )

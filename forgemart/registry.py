@@ -39,11 +39,11 @@ def query(build: Callable[[BoundMart], DataFrame], name: str | None = None):
 
 def _widened(df: DataFrame) -> DataFrame:
     """Results show every whole number as a bigint."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.col(f"`{f.name}`").cast("bigint").alias(f.name)
+            f"CAST(`{f.name}` AS BIGINT) AS `{f.name}`"
             if isinstance(f.dataType, T.IntegerType)
-            else F.col(f"`{f.name}`")
+            else f"`{f.name}`"
             for f in df.schema
         ]
     )
@@ -470,10 +470,18 @@ def j14_widen(m):
 @query
 def j15_orphans(m):
     """Dimensions cut down, so that keys go missing."""
-    frames = {t: m.table(t) for t in {e.many for e in EDGES} | {e.one for e in EDGES}}
-    frames["MARA"] = frames["MARA"].where(F.col("MTART") == "FERT")
-    frames["WorkCenters"] = frames["WorkCenters"].where(F.col("WERKS") == "1000")
-    frames[HEADERS] = frames[HEADERS].where(F.col("StatusShort") != "CLSD")
+    columns: dict[str, set[str]] = {}
+    for e in EDGES:
+        columns.setdefault(e.many, set()).add(e.many_key)
+        columns.setdefault(e.one, set()).add(e.one_key)
+    cuts = {
+        "MARA": ("MTART", F.col("MTART") == "FERT"),
+        "WorkCenters": ("WERKS", F.col("WERKS") == "1000"),
+        HEADERS: ("StatusShort", F.col("StatusShort") != "CLSD"),
+    }
+    frames = {t: m.table(t, *names) for t, names in columns.items() if t not in cuts}
+    for t, (name, kept) in cuts.items():
+        frames[t] = m.table(t, *columns[t], name).where(kept)
     return orphans(FrameMart(frames))
 
 

@@ -115,7 +115,7 @@ def _quantity() -> Column:
 
 
 def _machine_hundredths() -> Column:
-    return F.floor((F.rint(F.col("l_extendedprice") * 100) + 5000) / 10000)
+    return F.expr("(CAST(rint(l_extendedprice * 100) AS BIGINT) + 5000) div 10000")
 
 
 def _labor_hours() -> Column:
@@ -144,23 +144,18 @@ def _line_number(width: int) -> Column:
 
 
 def _order_status() -> Column:
-    priority = F.substring("o_orderpriority", 1, 1)
-    finished = (
-        F.when(priority == "1", "CNF")
-        .when(priority == "2", "DLV")
-        .when(priority == "3", "TECO")
-        .otherwise("CLSD")
-    )
-    return (
-        F.when((F.col("o_orderstatus") == "O") & (priority == "5"), "CRTD")
-        .when(F.col("o_orderstatus") == "O", "REL")
-        .when(F.col("o_orderstatus") == "P", "PCNF")
-        .otherwise(finished)
+    return F.expr(
+        """CASE o_orderstatus
+             WHEN 'O' THEN if(startswith(o_orderpriority, '5'), 'CRTD', 'REL')
+             WHEN 'P' THEN 'PCNF'
+             ELSE CASE substring(o_orderpriority, 1, 1)
+               WHEN '1' THEN 'CNF' WHEN '2' THEN 'DLV' WHEN '3' THEN 'TECO' ELSE 'CLSD' END
+           END"""
     )
 
 
 def _priority() -> Column:
-    return F.substring("o_orderpriority", 1, 1).cast("int")
+    return F.expr("CAST(substring(o_orderpriority, 1, 1) AS INT)")
 
 
 def _start_date() -> Column:
@@ -168,7 +163,7 @@ def _start_date() -> Column:
 
 
 def _finish_date() -> Column:
-    return F.date_add(_start_date(), (F.col("o_orderkey") % 18 + 3).cast("int"))
+    return F.date_add(_start_date(), F.expr("CAST(o_orderkey % 18 + 3 AS INT)"))
 
 
 def _order_quantity() -> Column:
@@ -184,11 +179,16 @@ def _actual_end() -> Column:
 
 
 def _committed() -> Column:
-    return F.floor((_quantity() * (100 - 5 * _percent("l_discount")) + 5) / 10) / 10
+    """Requirement less five times the discount, to tenths."""
+    tenths = "(CAST(l_quantity AS BIGINT) * (100 - 5 * CAST(rint(l_discount * 100) AS BIGINT)) + 5)"
+    return F.expr(f"{tenths} div 10 / 10")
 
 
 def _issued() -> Column:
-    return F.floor((_quantity() * _percent("l_tax") + 5) / 10) / 10
+    """The tax share of the requirement, to tenths."""
+    return F.expr(
+        "(CAST(l_quantity AS BIGINT) * CAST(rint(l_tax * 100) AS BIGINT) + 5) div 10 / 10"
+    )
 
 
 def _gap() -> Column:
@@ -427,17 +427,21 @@ class BoundMart:
             df = self._with_order_part(df, "l_orderkey", wanted)
         return df
 
+    def _created(self) -> DataFrame:
+        """Which orders are only created. Grouping by the key costs no shuffle beyond the one that
+        the join needs, and shows the optimizer that the key is unique: where a filter makes the
+        flag needless, the join is dropped."""
+        created = F.max((_order_status() == "CRTD").cast("int")).alias("created")
+        return self.source("orders").groupBy("o_orderkey").agg(created)
+
     def _order_operations(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         df = self._lines(wanted, {"Operation"}, {"Material", "ProductGroup", "WERKS"})
         if wanted & {"StatusShort", "SystemStatus"}:
-            orders = self.source("orders").select(
-                "o_orderkey", _order_status().alias("order_status")
-            )
-            df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+            df = df.join(self._created(), F.col("l_orderkey") == F.col("o_orderkey"), "left")
         flag = F.col("l_returnflag")
 
         def status() -> Column:
-            waiting = F.when(F.col("order_status") == "CRTD", "CRTD").otherwise("REL")
+            waiting = F.when(F.col("created") == 1, "CRTD").otherwise("REL")
             return F.when(flag == "R", "CNF").when(flag == "A", "PCNF").otherwise(waiting)
 
         def done() -> Column:
@@ -523,13 +527,10 @@ class BoundMart:
         df = self._lines(wanted, {"Mblnr"}, {"WERKS"})
 
         def kind() -> Column:
-            pair = F.concat("l_returnflag", "l_linestatus")
-            return (
-                F.when(pair == "RF", "101")
-                .when(pair.isin("AF", "NF"), "261")
-                .when(pair == "NO", "531")
-                .when(pair == "AO", "311")
-                .when(pair == "RO", "262")
+            return F.expr(
+                """CASE l_returnflag || l_linestatus
+                     WHEN 'RF' THEN '101' WHEN 'AF' THEN '261' WHEN 'NF' THEN '261'
+                     WHEN 'NO' THEN '531' WHEN 'AO' THEN '311' WHEN 'RO' THEN '262' END"""
             )
 
         return df, {
