@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgemart.functions.derivations import is_released, signed_quantity
+from forgemart.operators.skew import hot_keys, lookup
 from forgemart.sources.storage import materialize
 
 
@@ -35,17 +36,21 @@ def with_movement_type(matdoc: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def with_component(
-    co24: DataFrame, mara: DataFrame | None = None, d_part: DataFrame | None = None
+    co24: DataFrame,
+    mara: DataFrame | None = None,
+    d_part: DataFrame | None = None,
+    hot: list | None = None,
 ) -> DataFrame:
-    """Missing-part lines with the component's material and part attributes."""
+    """Missing-part lines with the component's material and part attributes. Both joins have the
+    same key, so very frequent components (looked for when ``hot`` is not given) go their own
+    way; adaptive execution could not split them."""
+    hot = hot_keys(co24.select("Component"), "Component") if hot is None else hot
     df = co24
     for master in (mara, d_part):
         if master is not None:
             clashes = {c: f"Component{c}" for c in master.columns if c in df.columns}
-            attributes = master.withColumnsRenamed(clashes).withColumnRenamed(
-                "MATNR", "Component"
-            )
-            df = df.join(attributes, "Component", "left")
+            attributes = master.withColumnsRenamed(clashes).withColumnRenamed("MATNR", "_key")
+            df = lookup(df, attributes, "Component", "_key", hot).drop("_key")
     return df
 
 

@@ -1,12 +1,10 @@
 """Ordered computations inside a key (row number, running total, previous row) that survive a
 key holding a large part of all rows.
 
-A window sorts all rows of one key in one task. Keys too large for that are found first with a
-frequent-items sketch: one pass over the key column, merged into a single bounded row, so no
-data is shuffled. The few keys it names are split along the sort order into bins; every bin is
-windowed on its own and a small per-bin summary carries the state from one bin into the next.
-All other keys take the plain window. Both ways are exact, so the sketch only decides the route
-and never the result. Callers that hold a cheaper view of the same keys pass ``hot`` themselves.
+A window sorts all rows of one key in one task. The few keys too large for that are split along
+the sort order into bins; every bin is windowed on its own and a small per-bin summary carries
+the state from one bin into the next. All other keys take the plain window. Both ways are exact.
+Callers that hold a cheaper view of the same keys pass ``hot`` themselves.
 """
 
 from __future__ import annotations
@@ -17,25 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 1_000
-SKETCH_ITEMS = 100_000
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """At most ``MOST_HOT_KEYS`` keys that hold ``hot_rows`` rows or more; none are looked for
-    where all rows together are fewer, which Parquet footers tell."""
-    if df.count() < hot_rows:
-        return []
-    sketch = F.expr(f"approx_top_k(`{key}`, {MOST_HOT_KEYS}, {SKETCH_ITEMS})")
-    items = df.where(F.col(key).isNotNull()).agg(sketch.alias("top")).first()["top"]
-    return [item["item"] for item in items or [] if item["count"] >= hot_rows]
-
-
-def _routes(df: DataFrame, key: str, hot: list) -> tuple[DataFrame, DataFrame]:
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return df.where(~is_hot), df.where(is_hot)
-
+from forgemart.operators.skew import hot_keys, routes
 
 def _order(columns: Sequence[str]) -> list[Column]:
     return [F.col(c).asc() for c in columns]
@@ -80,7 +60,7 @@ def row_numbers(
     hot = hot_keys(df, key) if hot is None else hot
     if not hot:
         return df.withColumn(name, plain)
-    cold_df, hot_df = _routes(df, key, hot)
+    cold_df, hot_df = routes(df, key, hot)
     carried = _carried(hot_df, key, bins, F.count(F.lit(1)), F.sum("_summary"))
     inside = F.row_number().over(W.partitionBy(key, *bins).orderBy(*_order(rest)))
     split = (
@@ -113,7 +93,7 @@ def running_total(
     hot = hot_keys(df, key) if hot is None else hot
     if not hot:
         return df.withColumn(name, preceding(key))
-    cold_df, hot_df = _routes(df, key, hot)
+    cold_df, hot_df = routes(df, key, hot)
     hot_df = hot_df.withColumn("_bin", bin_of)
     carried = _carried(hot_df, key, ["_bin"], F.sum(value), F.sum("_summary"))
     split = (
@@ -142,7 +122,7 @@ def previous_row(
     hot = hot_keys(df, key) if hot is None else hot
     if not hot:
         return df.withColumn(name, lagged(key))
-    cold_df, hot_df = _routes(df, key, hot)
+    cold_df, hot_df = routes(df, key, hot)
     hot_df = hot_df.withColumn("_bin", bin_of)
     last = F.max_by(row, F.col(order_by))
     carried = _carried(hot_df, key, ["_bin"], last, F.last("_summary"))

@@ -18,7 +18,8 @@ from forgemart.functions.derivations import SCALE, is_released, period, units
 from forgemart.functions.measures import Measure, exact_avg, exact_sum, measure
 from forgemart.operators import joins
 from forgemart.operators.quality import operation_bin, operation_number
-from forgemart.operators.sequences import hot_keys, previous_row
+from forgemart.operators.sequences import previous_row
+from forgemart.operators.skew import hot_keys
 from forgemart.operators.totals import OUTPUT, stock_total, subtotal_sums
 from forgemart.plans.evaluate import evaluate, finish, partial_sums
 
@@ -459,7 +460,7 @@ def critical_shortage(co24: DataFrame, d_part: DataFrame) -> DataFrame:
         "MATNR", "ABC_Class", "XYZ_Class", "CriticalPart"
     )
     return (
-        joins.with_component(per_component, d_part=critical)
+        joins.with_component(per_component, d_part=critical, hot=[])
         .where(F.col("CriticalPart") == 1)
         .groupBy("ABC_Class", "XYZ_Class")
         .agg(

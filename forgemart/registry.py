@@ -16,6 +16,7 @@ from forgemart.operators import joins, quality, totals
 from forgemart.operators.generate import expand_locations, expand_routing, periods, sop_grid
 from forgemart.operators.relations import EDGES, join_edge, orphans, widen
 from forgemart.operators.schedule import schedule
+from forgemart.operators.skew import lookup
 from forgemart.plans import analyses as A
 from forgemart.plans.evaluate import evaluate
 from forgemart.sources import binding as B
@@ -320,11 +321,11 @@ def d19_op_status(m):
     )
     counts = ops.groupBy("Order").agg(F.count(F.lit(1)).alias("n"))
     plan = headers.join(counts, "Order").select(
-        "Order",
+        F.col("Order").alias("plan_order"),
         "StatusShort",
         D.confirmed_operations("StatusShort", "n", F.col("Order").cast("bigint")).alias("done"),
     )
-    return ops.join(plan, "Order").select(
+    return lookup(ops, plan, "Order", "plan_order", m.hot_orders()).select(
         "Order", "Operation", D.op_status("StatusShort", "position", "done").alias("op_status")
     )
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from forgemart import fixed_values as fixed
 from forgemart.functions import derivations as D
 from forgemart.operators.generate import expand_locations
-from forgemart.operators.sequences import HOT_ROWS, hot_keys, row_numbers
+from forgemart.operators.sequences import row_numbers
+from forgemart.operators.skew import HOT_ROWS, hot_keys, lookup
 from forgemart.sources import schema as S
 
 AS_OF = "2000-01-01"
@@ -365,9 +366,11 @@ class BoundMart:
             .agg(F.min("l_partkey").alias("order_part"), F.sum(_quantity()).alias("order_quantity"))
         )
 
-    def _with_order_part(self, df: DataFrame, key: str, wanted: set[str]) -> DataFrame:
+    def _with_order_part(
+        self, df: DataFrame, key: str, wanted: set[str], hot: list
+    ) -> DataFrame:
         """Add the order's material number and, where needed, its part row."""
-        df = df.join(self._order_totals(), F.col(key) == F.col("total_order"), "left")
+        df = lookup(df, self._order_totals(), key, "total_order", hot)
         if wanted & {"ProductGroup", "MaterialText", "SOP_Relevant"}:
             part = self.source("part").select("p_partkey", "p_name", "p_type")
             df = df.join(part, F.col("order_part") == F.col("p_partkey"), "left")
@@ -402,7 +405,7 @@ class BoundMart:
         }
         df = self.source("orders")
         if wanted & set(joined):
-            df = self._with_order_part(df, "o_orderkey", wanted)
+            df = self._with_order_part(df, "o_orderkey", wanted, [])
         return df, own | joined
 
     # ---- line-item facts ----------------------------------------------------------------
@@ -424,7 +427,7 @@ class BoundMart:
     def _lines(self, wanted: set[str], numbered: set[str], by_order: set[str]) -> DataFrame:
         df = self.numbered_lines() if wanted & numbered else self.source("lineitem")
         if wanted & by_order:
-            df = self._with_order_part(df, "l_orderkey", wanted)
+            df = self._with_order_part(df, "l_orderkey", wanted, self._hot_order_keys())
         return df
 
     def _created(self) -> DataFrame:
@@ -437,7 +440,8 @@ class BoundMart:
     def _order_operations(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         df = self._lines(wanted, {"Operation"}, {"Material", "ProductGroup", "WERKS"})
         if wanted & {"StatusShort", "SystemStatus"}:
-            df = df.join(self._created(), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+            hot = self._hot_order_keys()
+            df = lookup(df, self._created(), "l_orderkey", "o_orderkey", hot)
         flag = F.col("l_returnflag")
 
         def status() -> Column:

@@ -35,6 +35,17 @@ class StoredMart:
         return df.select(*columns) if columns else df
 
 
+class CatalogMart:
+    """Tables of a database in the session catalog, by lower-case name."""
+
+    def __init__(self, spark: SparkSession, database: str):
+        self._spark, self._database = spark, database
+
+    def table(self, name: str, *columns: str) -> DataFrame:
+        df = storage.load_table(self._spark, self._database, name)
+        return df.select(*columns) if columns else df
+
+
 def store(mart, root: str, tables: tuple[str, ...] = S.TABLES, fmt: str | None = None) -> None:
     """Write mart tables under ``root``, each conformed to its schema. The tables do not depend
     on each other, so a few are written at the same time."""

@@ -37,14 +37,10 @@ def new_root(spark: SparkSession) -> str:
     return f"{work_dir(spark)}/mart-{uuid.uuid4().hex}"
 
 
-@cache
-def table_format() -> str:
-    """Delta where its package is installed, else Parquet."""
-    try:
-        import delta  # noqa: F401
-    except ImportError:
-        return "parquet"
-    return "delta"
+def table_format(spark: SparkSession) -> str:
+    """Delta where the session has its extension, else Parquet."""
+    extensions = spark.conf.get("spark.sql.extensions", "") or ""
+    return "delta" if "DeltaSparkSessionExtension" in extensions else "parquet"
 
 
 def path_of(root: str, table: str) -> str:
@@ -65,22 +61,46 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def load(spark: SparkSession, root: str, table: str, fmt: str | None = None) -> DataFrame:
-    reader = spark.read.format(fmt or table_format())
-    if (fmt or table_format()) != "delta":
+    fmt = fmt or table_format(spark)
+    reader = spark.read.format(fmt)
+    if fmt != "delta":
         reader = reader.schema(S.schema(table))
     return reader.load(path_of(root, table))
 
 
-def save(df: DataFrame, root: str, table: str, fmt: str | None = None) -> None:
-    """Replace the whole table, schema included."""
-    (
+def _overwrite(df: DataFrame, fmt: str | None):
+    return (
         df.write.mode("overwrite")
-        .format(fmt or table_format())
+        .format(fmt or table_format(df.sparkSession))
         .option("overwriteSchema", "true")
-        .save(path_of(root, table))
     )
 
 
+def save(df: DataFrame, root: str, table: str, fmt: str | None = None) -> None:
+    """Replace the whole table, schema included."""
+    _overwrite(df, fmt).save(path_of(root, table))
+
+
+def save_table(
+    df: DataFrame, database: str, table: str, root: str | None = None, fmt: str | None = None
+) -> None:
+    """Replace a catalog table; its files go under ``root``, or to the warehouse without one."""
+    writer = _overwrite(df, fmt)
+    if root:
+        writer = writer.option("path", path_of(root, table))
+    writer.saveAsTable(f"{database}.{S.physical_name(table)}")
+
+
+def load_table(spark: SparkSession, database: str, table: str) -> DataFrame:
+    return spark.table(f"{database}.{S.physical_name(table)}")
+
+
+def refresh_table(spark: SparkSession, database: str, table: str) -> DataFrame:
+    """Like ``refresh``, for a catalog table that another session rewrote."""
+    spark.catalog.refreshTable(f"{database}.{S.physical_name(table)}")
+    return load_table(spark, database, table)
+
+
 def refresh(spark: SparkSession, root: str, table: str, fmt: str | None = None) -> DataFrame:
     """Drop what Spark remembers of the table's files and read it again."""
     spark.catalog.refreshByPath(path_of(root, table))
@@ -135,10 +155,8 @@ def run_steps(
                 done.append((name, "error", traceback.format_exc()))
                 raise
     finally:
-        run_log(spark, done).write.mode("overwrite").format(table_format()).option(
-            "overwriteSchema", "true"
-        ).save(path_of(root, "run_log"))
-    return spark.read.format(table_format()).load(path_of(root, "run_log"))
+        _overwrite(run_log(spark, done), None).save(path_of(root, "run_log"))
+    return spark.read.format(table_format(spark)).load(path_of(root, "run_log"))
 
 
 def validate(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from forgemart.operators.quality import check_k9
 from forgemart.operators.schedule import schedule
-from forgemart.operators.sequences import hot_keys, previous_row, row_numbers, running_total
+from forgemart.operators.sequences import previous_row, row_numbers, running_total
+from forgemart.operators.skew import hot_keys
 from forgemart.plans.analyses import queue_time
 from forgemart.sources.binding import BoundMart
 

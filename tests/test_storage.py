@@ -7,7 +7,7 @@ from forgemart.operators import quality
 from forgemart.sources import schema as S
 from forgemart.sources import storage
 from forgemart.sources.binding import AS_OF, BoundMart
-from forgemart.sources.mart import FrameMart, StoredMart, store
+from forgemart.sources.mart import CatalogMart, FrameMart, StoredMart, store
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +100,19 @@ def test_frames_and_files_agree(spark, stored):
 
     frames = FrameMart({t: stored.table(t) for t in S.TABLES})
     assert bottleneck_board(frames).exceptAll(bottleneck_board(stored)).count() == 0
+
+
+def test_catalog_tables(spark, bound):
+    root = storage.new_root(spark)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS plant LOCATION '{root}/db'")
+    storage.save_table(bound.table("MARC"), "plant", "MARA", root)
+    storage.save_table(bound.table("MARA"), "plant", "MARA", root)
+    held = CatalogMart(spark, "plant").table("MARA")
+    assert held.columns == S.column_names("MARA")
+    assert held.exceptAll(bound.table("MARA")).count() == 0
+    assert storage.refresh_table(spark, "plant", "MARA").count() == held.count()
+    spark.sql("DROP DATABASE plant CASCADE")
+
+
+def test_delta_only_with_its_extension(spark):
+    assert storage.table_format(spark) == "parquet"
