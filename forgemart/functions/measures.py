@@ -31,6 +31,14 @@ class Part:
     column: str = ""
     keep: Callable[[], Column] | None = None
 
+    def value(self) -> Column:
+        """What one row adds to the part."""
+        keep = self.keep() if self.keep else F.lit(True)
+        if self.kind == "sum":
+            return F.when(keep, units(self.column))
+        counted = keep if self.kind == "rows" else keep & F.col(self.column).isNotNull()
+        return F.when(counted, 1).otherwise(0).cast("bigint")
+
     def aggregate(self) -> Column:
         keep = self.keep() if self.keep else None
         if self.kind == "rows":

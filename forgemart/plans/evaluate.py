@@ -1,11 +1,10 @@
 """Measures by columns of any reachable dimension, over one or several facts.
 
-Each fact is summed first, per its own group columns and foreign keys, and only these partial
-sums are joined to dimensions. So a fact row is never multiplied by another fact, a key that
-holds much of a fact is one row before any join, and the partial sums are already partitioned
-on the key that the join needs. The partial sums of all facts are then stacked and summed once
-more: one shuffle on the group columns joins all facts, and rows without a dimension meet in
-the null group.
+A fact is never joined to another fact, so its rows are never multiplied. Where possible a fact
+is summed per foreign key before it is joined to a dimension, and again before each further one
+(see ``partial_sums``). The partial sums of all facts are then stacked and summed once more: one
+shuffle on the group columns brings all facts together, and rows without a dimension meet in the
+null group.
 """
 
 from __future__ import annotations
@@ -38,8 +37,11 @@ def partial_sums(
 ) -> DataFrame:
     """Partial sums of one fact by the group columns, ready to be stacked.
 
-    Rows are summed per foreign key before the first hop and again before every later one, so a
-    key shared by very many rows (or by all rows without a key) is one row at each join.
+    Before a hop, rows are summed per join key if that is the only column they are still told
+    apart by: the sums are then partitioned just as the join needs, and a key shared by very many
+    rows (or by all rows without a key) is one row. With more columns the sums would need a
+    shuffle of their own; there the join stays a plain one, in which adaptive execution splits an
+    overlarge key.
     """
     wanted = list(dict.fromkeys([*by, *where]))
     far = [c for c in wanted if _split(c)[0] != fact]
@@ -53,35 +55,42 @@ def partial_sums(
         if name not in far:
             df = df.where(where[name](F.col(_split(name)[1])))
 
-    parts = [
-        part.aggregate().alias(f"{m.alias}#{i}")
-        for m in measures
-        for i, part in enumerate(m.parts)
-    ]
     group = list(dict.fromkeys([_split(c)[1] for c in by if c not in far] + keys))
-    df = df.groupBy(*[F.col(c).alias(f"{fact}.{c}") for c in group]).agg(*parts)
-    sums = [c for c in df.columns if "#" in c]
+    values = {
+        f"{m.alias}#{i}": part.value() for m in measures for i, part in enumerate(m.parts)
+    }
+    df = df.select(
+        *[F.col(c).alias(f"{fact}.{c}") for c in group],
+        *[value.alias(name) for name, value in values.items()],
+    )
 
     for at, e in enumerate(edges):
         later = edges[at:]
         needed = {f"{n.many}.{n.many_key}" for n in later} | set(by)
-        if e.many != fact:
-            kept = [dotted(c) for c in df.columns if c in needed]
-            df = df.groupBy(*kept).agg(*[F.sum(dotted(c)).alias(c) for c in sums])
+        kept = [c for c in df.columns if c in needed]
+        if len(kept) == 1:
+            df = df.groupBy(dotted(kept[0])).agg(*[F.sum(dotted(c)).alias(c) for c in values])
         onward = [n.many_key for n in later if n.many == e.one]
         asked = [_split(c)[1] for c in far if _split(c)[0] == e.one]
         df = follow(df, mart, e, (*onward, *asked))
         for name in far:
             if name in where and _split(name)[0] == e.one:
                 df = df.where(where[name](dotted(name)))
-    return df.select(*[dotted(b).alias(n) for b, n in output_names(by).items()], *sums)
+    return df.select(
+        *[dotted(b).alias(n) for b, n in output_names(by).items()], *[dotted(c) for c in values]
+    )
 
 
 def finish(measures: Sequence[Measure], df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sum the partial sums and form the measures."""
+    """Sum the partial sums and form the measures. Without groups a count over no rows is 0; in a
+    group that only another fact has, it is null."""
+    def total(m: Measure, i: int) -> Column:
+        value = F.sum(dotted(f"{m.alias}#{i}"))
+        counts = m.parts[i].kind != "sum" and not by
+        return F.coalesce(value, F.lit(0)) if counts else value
+
     results = [
-        m.final([F.sum(dotted(f"{m.alias}#{i}")) for i in range(len(m.parts))]).alias(m.alias)
-        for m in measures
+        m.final([total(m, i) for i in range(len(m.parts))]).alias(m.alias) for m in measures
     ]
     return df.groupBy(*by).agg(*results)
 

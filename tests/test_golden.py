@@ -129,6 +129,12 @@ def test_empty_facts(mart, spark):
         assert result[m.alias] == (0 if name.endswith("Count") or "Load" in name or "(" in name else None)
 
 
+def test_filter_that_keeps_nothing(mart):
+    names = ["Order Count", "Total Order Quantity", "Scrap Rate"]
+    none = {"MARA.MTART": lambda c: c == "none"}
+    assert tuple(evaluate(mart, [measure(n) for n in names], [], none).first()) == (0, None, None)
+
+
 def test_headline_questions(mart):
     t = mart.table
     total = A.released_and_backlog(t("COOIS_OrderHeaders")).first()
