@@ -189,7 +189,8 @@ CTES = {
   SELECT DISTINCT p_type AS ProductGroup, upper(p_type[1]) || lower(p_type[2:]) AS Description
   FROM part""",
     "hier": """
-  SELECT 'RE-ALL' AS ProductHierarchy, 'All' AS Description, CAST(1 AS BIGINT) AS Level, NULL AS Parent
+  SELECT 'RE-ALL' AS ProductHierarchy, 'All' AS Description, CAST(1 AS BIGINT) AS Level,
+    NULL AS Parent
   UNION ALL
   SELECT DISTINCT 'RE-' || MTART, MTART, 2, 'RE-ALL' FROM mara
   UNION ALL

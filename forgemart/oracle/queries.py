@@ -126,7 +126,9 @@ SELECT MATNR, MTART, CASE WHEN MTART = 'FERT' THEN 'E' ELSE 'F' END AS BESKZ FRO
 RAW["d13_mrp_controller"] = f"SELECT p_partkey, p_type, {CONTROLLER} AS DISPO FROM part"
 
 RAW["d14_bottleneck_flag"] = """
-SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_linenumber = 4 AS BIGINT) AS flag FROM lineitem"""
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  CAST(l_linenumber = 4 AS BIGINT) AS flag
+FROM lineitem"""
 
 RAW["d15_operation_no"] = 'SELECT "Order", Operation, WorkCenter FROM ops'
 
@@ -196,7 +198,8 @@ FROM conf"""
 RAW["d24_round"] = """
 WITH cents AS (
   SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem)
-SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, ((c + 5) // 10) / 10.0::DOUBLE AS half_up,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey,
+  ((c + 5) // 10) / 10.0::DOUBLE AS half_up,
   (CASE WHEN c % 10 = 5 AND c // 10 % 2 = 0 THEN c // 10 ELSE (c + 5) // 10 END)
     / 10.0::DOUBLE AS half_even,
   ((c + 2) // 4) / 100.0::DOUBLE AS quarter

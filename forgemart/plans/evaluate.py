@@ -146,8 +146,8 @@ def _beside(groups: DataFrame | None, single: DataFrame, keys: list[str], alias:
     if groups is None:
         return single
     if not keys:
-        # No group column is left, so the measure is one row.
-        return groups.join(F.broadcast(single), F.lit(True), "left")
+        # No group column is left, so the measure is a single value.
+        return groups.select("*", single.scalar().alias(alias))
     left, right = groups.alias("g"), single.alias("s")
     same = reduce(lambda a, b: a & b, [F.col(f"g.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
     return left.join(right, same, "left").select("g.*", F.col(f"s.{alias}"))

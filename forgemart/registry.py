@@ -240,13 +240,9 @@ def d09_posting_delay(m):
 
 @query
 def d10_sop_deviation(m):
-    df = m.table("SOP_Targets", "ProductGroup", "WERKS", "Period", "ActualQuantity", "TargetQuantity")
-    return df.select(
-        "ProductGroup",
-        "WERKS",
-        "Period",
-        D.sop_deviation("ActualQuantity", "TargetQuantity").alias("deviation"),
-    )
+    keys = ["ProductGroup", "WERKS", "Period"]
+    df = m.table("SOP_Targets", *keys, "ActualQuantity", "TargetQuantity")
+    return df.select(*keys, D.sop_deviation("ActualQuantity", "TargetQuantity").alias("deviation"))
 
 
 @query
@@ -455,7 +451,11 @@ EDGE_QUERIES = {
     "j10_conf_wc": ("J10", ["Order", "WorkCenter", "ScrapQuantity"], ["WorkCenter", "NGRAD"]),
     "j11_co24_hdr": ("J11", ["Order", "Component", "ShortageQuantity"], ["Order", "FinishDate"]),
     "j12_matdoc_hdr": ("J12", ["Order", "Matnr", "Quantity"], ["Order", "StatusShort"]),
-    "j13_sop_pg": ("J13", ["ProductGroup", "Period", "TargetQuantity"], ["ProductGroup", "Description"]),
+    "j13_sop_pg": (
+        "J13",
+        ["ProductGroup", "Period", "TargetQuantity"],
+        ["ProductGroup", "Description"],
+    ),
 }
 
 for _name, (_edge, _many, _one) in EDGE_QUERIES.items():
@@ -697,7 +697,9 @@ def a01_order_load(m):
 @query
 def a02_material_buffer(m):
     return A.material_buffer(
-        m.table(OPERATIONS, "Order", "WorkCenter", "StatusShort", "TargetQuantity", "ActualQuantity"),
+        m.table(
+            OPERATIONS, "Order", "WorkCenter", "StatusShort", "TargetQuantity", "ActualQuantity"
+        ),
         m.table(HEADERS, "Order", "SystemStatus"),
     )
 
@@ -835,7 +837,8 @@ def k01_shortage(m):
 @query
 def k02_delay(m):
     """Half-hour delays booked as whole hours."""
-    rows = m.table(CONFIRMATIONS, "Order", "WorkCenter", "ActualEnd", "SAP_PostingTime", "DelayHours")
+    columns = ["Order", "WorkCenter", "ActualEnd", "SAP_PostingTime", "DelayHours"]
+    rows = m.table(CONFIRMATIONS, *columns)
     return quality.check_k2(rows.withColumn("DelayHours", F.ceil("DelayHours").cast("double")))
 
 
@@ -864,7 +867,8 @@ def k05_delivered(m):
 @query
 def k06_capacity(m):
     """Utilisation not applied."""
-    centers = m.table("WorkCenters", "WorkCenter", "NGRAD", "EINZH", "AZNOR", "TheoreticalCapacityHrDay")
+    columns = ["WorkCenter", "NGRAD", "EINZH", "AZNOR", "TheoreticalCapacityHrDay"]
+    centers = m.table("WorkCenters", *columns)
     wrong = F.col("EINZH") * F.col("AZNOR")
     return quality.check_k6(centers.withColumn("TheoreticalCapacityHrDay", wrong)).select(
         "WorkCenter", "TheoreticalCapacityHrDay", "ExpectedCapacity"
@@ -874,12 +878,11 @@ def k06_capacity(m):
 @query
 def k07_sop(m):
     """Deviation cut to whole pieces."""
-    sop = m.table(
-        "SOP_Targets", "ProductGroup", "WERKS", "Period", "TargetQuantity", "ActualQuantity", "Deviation"
-    )
+    keys = ["ProductGroup", "WERKS", "Period"]
+    sop = m.table("SOP_Targets", *keys, "TargetQuantity", "ActualQuantity", "Deviation")
     wrong = F.col("Deviation").cast("bigint").cast("double")
     return quality.check_k7(sop.withColumn("Deviation", wrong)).select(
-        "ProductGroup", "WERKS", "Period", "Deviation", "ExpectedDeviation"
+        *keys, "Deviation", "ExpectedDeviation"
     )
 
 

@@ -176,4 +176,5 @@ def validate(
             have = found.get(field.name.lower(), "missing")
             if have != want:
                 drift.append((table, field.name, want, have))
-    return spark.createDataFrame(drift, "table string, column string, expected string, found string")
+    columns = ("table", "column", "expected", "found")
+    return spark.createDataFrame(drift, ", ".join(f"{c} string" for c in columns))
