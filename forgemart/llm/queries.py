@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgemart.llm import html_text, quality, simhash, token_counts
+from forgemart.llm import decontaminate, html_text, mixing, quality, simhash, token_counts, token_store
+from forgemart.llm.scratch import scratch_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +34,28 @@ def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_pages(_table(spark, folder, "pages"))
 
 
+def op7_token_binary(spark: SparkSession, folder: str) -> DataFrame:
+    place = scratch_folder(spark)
+    model = public_tokenizers.path("byte_bpe_50k.json")
+    token_store.write_tokens(_table(spark, folder, "documents"), model, place, end=2)
+    found = token_store.read_tokens(spark, place, lambda ids: zlib.crc32(ids.tobytes()), "long")
+    return found.withColumnRenamed("value", "ids_crc32")
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    found = decontaminate.find_overlaps(docs, benchmark, window=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin)
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_counts(_table(spark, folder, "documents"), weights=(1.0, 2.0, 3.0), repeats=3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -38,6 +63,9 @@ QUERIES = {
         op4_quality_classifier,
         op5_token_counts,
         op6_html_extraction,
+        op7_token_binary,
+        op8_decontamination,
+        op9_mixing,
     )
 }
 
