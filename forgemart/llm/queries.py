@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgemart.llm import decontaminate, html_text, mixing, quality, simhash, token_counts, token_store
+from forgemart.llm import (
+    decontaminate,
+    embeddings,
+    html_text,
+    line_dedup,
+    mixing,
+    quality,
+    simhash,
+    token_counts,
+    token_store,
+)
 from forgemart.llm.scratch import scratch_folder
 
 
@@ -21,6 +31,10 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, folder, "embeddings"), cosine=0.98)
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -56,16 +70,23 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_counts(_table(spark, folder, "documents"), weights=(1.0, 2.0, 3.0), repeats=3)
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_table(spark, folder, "documents"), min_chars=16)
+    return found.select("doc_id", "n_lines", "n_copies", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_embedding_near_dedup,
         op4_quality_classifier,
         op5_token_counts,
         op6_html_extraction,
         op7_token_binary,
         op8_decontamination,
         op9_mixing,
+        op10_line_dedup,
     )
 }
 

@@ -214,3 +214,14 @@ def near_duplicates(
         )
     )
     return prints.join(groups, "simhash", "left").select("doc_id", "simhash", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4, *, doc_id="doc_id", text="text") -> DataFrame:
+    """The rows of documents, all columns, that near_duplicates names as their groups' least.
+
+    Of repeated rows of one id one stays. Rows without an id can't be named, so all of them stay.
+    """
+    found = near_duplicates(docs, shingle, radius, doc_id=doc_id, text=text)
+    least = saved(found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct())
+    named = docs.join(least, doc_id, "left_semi").dropDuplicates([doc_id])
+    return named.select(docs.columns).union(docs.where(F.col(doc_id).isNull()))
