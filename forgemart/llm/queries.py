@@ -15,6 +15,7 @@ from forgemart.llm import (
     line_dedup,
     mixing,
     quality,
+    repeats,
     simhash,
     token_counts,
     token_store,
@@ -35,6 +36,15 @@ def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, folder, "embeddings"), cosine=0.98)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, folder, "documents"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin)
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -80,6 +90,7 @@ QUERIES = {
     for f in (
         op1_simhash_near_dedup,
         op2_embedding_near_dedup,
+        op3_suffix_array_dedup,
         op4_quality_classifier,
         op5_token_counts,
         op6_html_extraction,
