@@ -20,6 +20,7 @@ from forgemart.llm import (
     token_counts,
     token_store,
 )
+from forgemart.llm.oracle import ORACLE  # noqa: F401  served with QUERIES
 from forgemart.llm.scratch import scratch_folder
 
 
@@ -100,5 +101,3 @@ QUERIES = {
         op10_line_dedup,
     )
 }
-
-ORACLE: dict[str, str] = {}
