@@ -240,7 +240,8 @@ def lookup_tokens(spark: SparkSession, folder: str, doc_id) -> list[np.ndarray]:
     """The ids of the documents with this id, reading the blocks whose range has it and decompressing
     these documents alone."""
     dictionaries = _dictionaries(spark, folder)
-    blocks = spark.read.parquet(f"{folder}/blocks").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    begins = F.col("first_id").isNull() | (F.col("first_id") <= doc_id)
+    blocks = spark.read.parquet(f"{folder}/blocks").where(begins & (F.col("last_id") >= doc_id))
     place = F.posexplode("doc_ids").alias("i", "id")
     rows = blocks.select("dict_hash", "offsets", "body", "part", "number", place).where(F.col("id") == doc_id)
     begin, end = F.element_at("offsets", F.col("i") + 1), F.element_at("offsets", F.col("i") + 2)
