@@ -107,14 +107,10 @@ MOVEMENT_TYPES = {
     "311": ("0", "TR"),
 }
 
-# Plants, storage locations, possible posting delays in hours.
+# Plants, storage locations.
 PLANTS = ("1000", "2000")
 STORAGE_LOCATIONS = ("0001", "0002")
-DELAY_HOURS = (0.2, 0.5, 1.0, 2.0, 4.0, 8.0, 24.0, 48.0)
 
 # Hours in a planned working day, least duration of an operation in days.
 WORKDAY_HOURS = 8.0
 LEAST_OPERATION_DAYS = 0.5
-
-# Longest detail text kept in the run log.
-LOG_DETAIL_LENGTH = 5000

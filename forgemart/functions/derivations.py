@@ -1,8 +1,8 @@
 """Column derivations. Every function takes and returns ``Column`` and stays inside codegen.
 
 Quantities and hours are stored as doubles. Where they are subtracted, compared or summed, they
-are first taken as whole ten-thousandths in 64-bit integers, so 0.8 - 0.7 - 0.1 is exactly zero
-and a flag never depends on binary noise. Few-row tables use decimals instead.
+are first taken as decimals, or as whole ten-thousandths in 64-bit integers where the result has
+fewer places, so 0.8 - 0.7 - 0.1 is exactly zero and a flag never depends on binary noise.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from forgemart import fixed_values as fixed
 
 EXACT = "decimal(18,4)"
 SCALE = 10_000
+AMOUNT = "decimal(32,16)"
 
 
 def _col(c: Column | str) -> Column:
@@ -31,6 +32,11 @@ def units(c: Column | str) -> Column:
     return F.rint(_col(c).cast("double") * SCALE).cast("bigint")
 
 
+def amount(c: Column | str) -> Column:
+    """A value as it enters sums: a decimal of 16 places, of which sums keep 22 before the point."""
+    return _col(c).cast(AMOUNT)
+
+
 # ---- keys -------------------------------------------------------------------------------
 
 
@@ -147,21 +153,14 @@ def expected_delivered(
 
 
 def confirmed_operations(
-    status: Column | str, operations: Column | str, draw: Column | str
+    status: Column | str, operations: Column | str, reported: Column | str
 ) -> Column:
-    """How many leading operations of an order are done.
-
-    ``draw`` is any non-negative integer; it picks a value inside the range that the order
-    status allows: at least one and not all when partially confirmed, and leaving the last
-    two open when only released.
-    """
-    n, d = _col(operations), _col(draw)
-    partial = F.lit(1) + d % F.greatest(n - 1, F.lit(1))
-    released = d % (F.greatest(n - 2, F.lit(0)) + 1)
+    """How many leading operations of an order are done: as many as are ``reported``, held to what
+    the order's status allows. A finished order has all done, a created one none."""
+    n, count = _col(operations), _col(reported)
     return (
         F.when(_col(status).isin(*fixed.FINISHED_STATUSES), n)
-        .when(_col(status) == "PCNF", partial)
-        .when(_col(status) == "REL", released)
+        .when(_col(status).isin("PCNF", "REL"), F.greatest(F.least(count, n), F.lit(0)))
         .otherwise(F.lit(0))
         .cast("bigint")
     )
@@ -198,13 +197,24 @@ def capacity(utilization: Column | str, hours: Column | str, units: Column | str
 def shortage(
     required: Column | str, committed: Column | str, issued: Column | str
 ) -> Column:
-    """Uncovered requirement, never negative, to one decimal."""
+    """Uncovered requirement, never negative, to one decimal; unknown where a quantity is."""
     gap = units(required) - units(committed) - units(issued)
-    return F.floor((F.greatest(gap, F.lit(0)) + 500) / 1000) / 10
+    return F.floor((F.when(gap < 0, 0).otherwise(gap) + 500) / 1000) / 10
 
 
-def missing_part(shortage_quantity: Column | str) -> Column:
-    return F.when(_col(shortage_quantity) > 0, 1).otherwise(0)
+def missing_part(
+    shortage_quantity: Column | str,
+    due: Column | str | None = None,
+    as_of: Column | str | None = None,
+) -> Column:
+    """1 for a shortage, null for an unknown one. With ``due`` and ``as_of`` (a date literal or
+    column) only requirements due by then count."""
+    short = _col(shortage_quantity)
+    flag = F.when(short > 0, 1).when(short.isNotNull(), 0)
+    if due is None:
+        return flag
+    clock = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
+    return F.when(_col(due) <= clock, flag).otherwise(0)
 
 
 def delay_hours(actual_end: Column | str, posting: Column | str) -> Column:

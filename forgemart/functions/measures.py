@@ -2,8 +2,8 @@
 
 A measure is a set of parts. Every part is a sum or a count over rows of one fact, so it can be
 taken per foreign key before a join and summed again afterwards; ratios and averages are formed
-from the summed parts only. Sums run on whole ten-thousandths in 64-bit integers: results do not
-depend on the order in which partitions arrive, and an overflow raises instead of wrapping.
+from the summed parts only. Sums run on decimals of 16 places: results do not depend
+on the order in which partitions arrive, and an overflow raises instead of wrapping.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from forgemart.functions.derivations import SCALE, is_released, units
+from forgemart.functions.derivations import amount, is_released
 
 
 def exact_sum(c: Column | str) -> Column:
-    return F.sum(units(c)) / SCALE
+    return F.sum(amount(c)).cast("double")
 
 
 def exact_avg(c: Column | str) -> Column:
@@ -35,7 +35,7 @@ class Part:
         """What one row adds to the part."""
         keep = self.keep() if self.keep else F.lit(True)
         if self.kind == "sum":
-            return F.when(keep, units(self.column))
+            return F.when(keep, amount(self.column))
         counted = keep if self.kind == "rows" else keep & F.col(self.column).isNotNull()
         return F.when(counted, 1).otherwise(0).cast("bigint")
 
@@ -43,7 +43,7 @@ class Part:
         keep = self.keep() if self.keep else None
         if self.kind == "rows":
             return F.count(F.lit(1)) if keep is None else F.count_if(keep)
-        value = units(self.column) if self.kind == "sum" else F.col(self.column)
+        value = amount(self.column) if self.kind == "sum" else F.col(self.column)
         if keep is not None:
             value = F.when(keep, value)
         return F.sum(value) if self.kind == "sum" else F.count(value)
@@ -82,7 +82,8 @@ class Measure:
         """The measure over the rows that also meet ``keep``, which reads ``columns``.
 
         With ``override`` the condition takes the place of any outer filter or grouping on
-        those columns; without it, it narrows the outer selection further.
+        those columns, beside those that earlier ones replace; without it, it narrows the outer
+        selection further.
         """
         def both(old: Callable[[], Column] | None) -> Callable[[], Column]:
             return keep if old is None else lambda: old() & keep()
@@ -91,7 +92,7 @@ class Measure:
             self,
             parts=tuple(replace(p, keep=both(p.keep)) for p in self.parts),
             columns=tuple(dict.fromkeys((*self.columns, *columns))),
-            replaces=tuple(columns) if override else self.replaces,
+            replaces=tuple(dict.fromkeys((*self.replaces, *columns))) if override else self.replaces,
         )
 
     @staticmethod
@@ -125,12 +126,12 @@ def count_of(name: str, fact: str) -> Measure:
 
 
 def sum_of(name: str, fact: str, column: str) -> Measure:
-    return Measure(name, fact, (Part("sum", column),), lambda v: v[0] / SCALE, (column,))
+    return Measure(name, fact, (Part("sum", column),), lambda v: v[0].cast("double"), (column,))
 
 
 def average_of(name: str, fact: str, column: str) -> Measure:
     parts = (Part("sum", column), Part("count", column))
-    return Measure(name, fact, parts, lambda v: F.try_divide(v[0] / SCALE, v[1]), (column,))
+    return Measure(name, fact, parts, lambda v: F.try_divide(v[0].cast("double"), v[1]), (column,))
 
 
 def _is_one(column: str) -> Callable[[], Column]:
@@ -144,6 +145,7 @@ def _model() -> dict[str, Measure]:
     ops = count_of("Operation Count", operations)
     scrap = sum_of("Total Scrap", confirmations, "ScrapQuantity")
     good = sum_of("Total Yield", confirmations, "YieldQuantity")
+    # The names of the model's measures.
     measures = [
         orders,
         orders.where(lambda: is_released("SystemStatus"), ["SystemStatus"]).named(

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgemart.functions.derivations import is_released, signed_quantity
-from forgemart.operators.skew import hot_keys, lookup
-from forgemart.sources.storage import materialize
+from forgemart.operators.skew import lookup
 
 
 def orders_with_missing_parts(co24: DataFrame) -> DataFrame:
@@ -39,18 +38,14 @@ def with_component(
     co24: DataFrame,
     mara: DataFrame | None = None,
     d_part: DataFrame | None = None,
-    hot: list | None = None,
 ) -> DataFrame:
-    """Missing-part lines with the component's material and part attributes. Both joins have the
-    same key, so very frequent components (looked for when ``hot`` is not given) go their own
-    way; adaptive execution could not split them."""
-    hot = hot_keys(co24.select("Component"), "Component") if hot is None else hot
+    """Missing-part lines with the component's material and part attributes."""
     df = co24
     for master in (mara, d_part):
         if master is not None:
             clashes = {c: f"Component{c}" for c in master.columns if c in df.columns}
             attributes = master.withColumnsRenamed(clashes).withColumnRenamed("MATNR", "_key")
-            df = lookup(df, attributes, "Component", "_key", hot).drop("_key")
+            df = lookup(df, attributes, "Component", "_key").drop("_key")
     return df
 
 
@@ -80,21 +75,23 @@ def with_controller(headers: DataFrame, marc: DataFrame, controllers: DataFrame)
 
 
 def ancestors(hierarchy: DataFrame) -> DataFrame:
-    """Every (node, ancestor, distance) of a parent/child table, the node itself included. Each
-    level of the walk reads the table again, so its two columns are written out first."""
-    hierarchy = materialize(hierarchy.select("ProductHierarchy", "Parent"))
-    return hierarchy.sparkSession.sql(
+    """Every (node, ancestor, distance) of a parent/child table, the node itself included. The walk
+    has no limit of levels or rows; a branch that comes back to a node of its own ends there."""
+    spark = hierarchy.sparkSession
+    for limit in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
+        spark.conf.set(limit, "-1")
+    return spark.sql(
         """
-        WITH RECURSIVE walk (node, ancestor, distance) AS (
-          SELECT ProductHierarchy, ProductHierarchy, 0 FROM {hierarchy}
+        WITH RECURSIVE walk (node, ancestor, distance, passed) AS (
+          SELECT ProductHierarchy, ProductHierarchy, 0, array(ProductHierarchy) FROM {hierarchy}
           UNION ALL
-          SELECT walk.node, up.Parent, walk.distance + 1
+          SELECT walk.node, up.Parent, walk.distance + 1, array_append(walk.passed, up.Parent)
           FROM walk JOIN {hierarchy} up ON walk.ancestor = up.ProductHierarchy
-          WHERE up.Parent IS NOT NULL
+          WHERE up.Parent IS NOT NULL AND NOT array_contains(walk.passed, up.Parent)
         )
         SELECT node, ancestor, distance FROM walk
         """,
-        hierarchy=hierarchy,
+        hierarchy=hierarchy.select("ProductHierarchy", "Parent"),
     )
 
 

@@ -89,23 +89,27 @@ def check_k7(sop: DataFrame) -> DataFrame:
     )
 
 
-# Days allowed from creation to start and from start to finish.
-START_DAYS = (1, 5)
-DURATION_DAYS = (3, 20)
-
+def check_k8(
+    headers: DataFrame,
+    lead_days: tuple[int, int | None] = (0, None),
+    span_days: tuple[int, int | None] = (0, None),
+) -> DataFrame:
+    """Start doesn't precede creation, nor finish start; ``lead_days`` and ``span_days`` are the
+    least and most days allowed between them, without a limit where None."""
+    def outside(days: Column, least: int, most: int | None) -> Column:
+        return (days < least) if most is None else ~days.between(least, most)
 
-def check_k8(headers: DataFrame) -> DataFrame:
-    """Start follows creation, and finish follows start, within the allowed days."""
     lead = F.date_diff("StartDate", "CreationDate")
     span = F.date_diff("FinishDate", "StartDate")
-    return headers.where(~lead.between(*START_DAYS) | ~span.between(*DURATION_DAYS))
+    return headers.where(outside(lead, *lead_days) | outside(span, *span_days))
 
 
-def check_k9(operations: DataFrame, hot: list | None = None) -> DataFrame:
-    """A confirmed operation never follows an unconfirmed one of its order."""
+def check_k9(operations: DataFrame) -> DataFrame:
+    """A confirmed operation never follows an unconfirmed one of its order. Operations without an
+    order follow nothing."""
     rows = operations.withColumn("_number", operation_number())
     linked = previous_row(
-        rows, "Order", "_number", operation_bin(), ["Operation", "StatusShort"], "_before", hot
+        rows, "Order", "_number", operation_bin(), ["Operation", "StatusShort"], "_before"
     )
     return (
         linked.where((F.col("StatusShort") == "CNF") & (F.col("_before.StatusShort") != "CNF"))

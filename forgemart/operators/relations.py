@@ -116,22 +116,22 @@ def widen(
 
 
 def orphans(mart, edges: Sequence[Edge] = EDGES) -> DataFrame:
-    """Keys of a many side that the one side lacks, with how many rows carry them. Rows are
-    counted per key before the join, so a frequent key is one row by then."""
-    def of(e: Edge) -> DataFrame:
-        keys = (
+    """Keys of a many side that the one side lacks, with how many rows carry them. The many sides
+    of one dimension are stacked: rows are counted per edge and key once, so a frequent key is one
+    row before the dimension's join, of which there is one."""
+    def of(one: str, one_key: str) -> DataFrame:
+        sides = [
             mart.table(e.many, e.many_key)
             .where(F.col(e.many_key).isNotNull())
-            .groupBy(F.col(e.many_key).alias("key"))
-            .agg(F.count(F.lit(1)).alias("rows"))
-        )
-        known = mart.table(e.one, e.one_key).select(F.col(e.one_key).alias("key"))
-        return keys.join(known, "key", "left_anti").select(
-            F.lit(e.name).alias("edge"),
-            F.lit(e.many).alias("many"),
-            F.lit(e.one).alias("one"),
-            "key",
-            "rows",
-        )
-
-    return reduce(DataFrame.unionByName, [of(e) for e in edges])
+            .select(F.lit(e.name).alias("edge"), F.lit(e.many).alias("many"), F.col(e.many_key).alias("key"))
+            for e in edges
+            if (e.one, e.one_key) == (one, one_key)
+        ]
+        keys = reduce(DataFrame.unionByName, sides).groupBy("edge", "many", "key")
+        keys = keys.agg(F.count(F.lit(1)).alias("rows"))
+        known = mart.table(one, one_key).select(F.col(one_key).alias("key"))
+        missing = keys.join(known, "key", "left_anti")
+        return missing.select("edge", "many", F.lit(one).alias("one"), "key", "rows")
+
+    ones = dict.fromkeys((e.one, e.one_key) for e in edges)
+    return reduce(DataFrame.unionByName, [of(*one) for one in ones])

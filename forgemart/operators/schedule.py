@@ -10,9 +10,7 @@ from forgemart.operators.quality import operation_bin, operation_number
 from forgemart.operators.sequences import running_total
 
 
-def schedule(
-    operations: DataFrame, gap_hours: Column | float, hot: list | None = None
-) -> DataFrame:
+def schedule(operations: DataFrame, gap_hours: Column | float) -> DataFrame:
     """Add ``ScheduledStart`` and ``ScheduledEnd``. Each operation starts ``gap_hours`` after the
     previous one ends; the first starts at ``OrderStart``. Time runs in whole seconds, so the
     running total is exact."""
@@ -24,9 +22,7 @@ def schedule(
         seconds.alias("_seconds"),
         (seconds + F.rint(gap * 3600).cast("bigint")).alias("_step"),
     )
-    placed = running_total(
-        timed, "Order", "_number", operation_bin(), "_step", "_before", hot
-    )
+    placed = running_total(timed, "Order", "_number", operation_bin(), "_step", "_before")
     start = F.unix_seconds(F.col("OrderStart").cast("timestamp")) + F.col("_before")
     return placed.select(
         *operations.columns,

@@ -1,10 +1,11 @@
-"""Ordered computations inside a key (row number, running total, previous row) that survive a
-key holding a large part of all rows.
-
-A window sorts all rows of one key in one task. The few keys too large for that are split along
-the sort order into bins; every bin is windowed on its own and a small per-bin summary carries
-the state from one bin into the next. All other keys take the plain window. Both ways are exact.
-Callers that hold a cheaper view of the same keys pass ``hot`` themselves.
+"""Ordered computations inside a key (row number, running total, previous row) that survive a key
+holding a large part of all rows.
+
+There is one route for every key and size: rows are windowed by (key, bin), where bins follow the
+sort order, and a summary of one row for each bin carries the state from a key's bins into the
+next. Keys of one bin, which is most keys, have no carry, so that the summary that is joined back
+holds later bins alone. Rows that agree in key and bin stay together. Rows without a key are in no
+sequence: they are dealt out by what they hold, and their result is null.
 """
 
 from __future__ import annotations
@@ -15,120 +16,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forgemart.operators.skew import hot_keys, routes
+from forgemart.operators.skew import spread
 
-def _order(columns: Sequence[str]) -> list[Column]:
-    return [F.col(c).asc() for c in columns]
 
+def _binned(df: DataFrame, key: str, bin_of: Column) -> DataFrame:
+    known = F.col(key).isNotNull()
+    return df.withColumn("_bin", F.when(known, bin_of.cast("bigint")).otherwise(spread(df)))
 
-def _carried(
-    hot_df: DataFrame, key: str, bins: Sequence[str], summary: Column, carry: Column
-) -> DataFrame:
-    """One row per (key, bin) with the state that enters the bin."""
-    before = W.partitionBy(key).orderBy(*_order(bins)).rowsBetween(W.unboundedPreceding, -1)
+
+def _carried(rows: DataFrame, key: str, summary: Column, carry: Column) -> DataFrame:
+    """(key, bin, state that enters the bin) of all bins but a key's first."""
+    before = W.partitionBy(key).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     return (
-        hot_df.groupBy(key, *bins)
+        rows.where(F.col(key).isNotNull())
+        .groupBy(key, "_bin")
         .agg(summary.alias("_summary"))
-        .withColumn("_carry", carry.over(before))
-        .drop("_summary")
+        .select(
+            F.col(key).alias("_key"),
+            F.col("_bin").alias("_at"),
+            carry.over(before).alias("_carry"),
+            F.row_number().over(W.partitionBy(key).orderBy("_bin")).alias("_place"),
+        )
+        .where("_place > 1")
+        .drop("_place")
     )
 
 
-def _join_carry(rows: DataFrame, carried: DataFrame, key: str, bins: Sequence[str]) -> DataFrame:
-    left, right = rows.alias("r"), carried.alias("c")
-    same = F.lit(True)
-    for name in (key, *bins):
-        same = same & F.col(f"r.{name}").eqNullSafe(F.col(f"c.{name}"))
-    return left.join(right, same, "left").select("r.*", "c._carry")
+def _with_carry(rows: DataFrame, carried: DataFrame, key: str) -> DataFrame:
+    same = (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_at"))
+    return rows.join(carried, same, "left").drop("_key", "_at")
+
+
+def _known(key: str, value: Column) -> Column:
+    return F.when(F.col(key).isNotNull(), value)
 
 
 def row_numbers(
-    df: DataFrame,
-    key: str,
-    bins: Sequence[str],
-    rest: Sequence[str],
-    name: str,
-    hot: list | None = None,
+    df: DataFrame, key: str, order: Sequence[str], bin_of: Column, name: str
 ) -> DataFrame:
-    """Add 1, 2, 3 … per ``key`` in the order of ``bins`` then ``rest``.
-
-    ``bins`` are the leading sort columns; together with ``rest`` they order rows totally.
-    ``hot`` are the keys to split; they are looked for when not given.
-    """
-    order = _order([*bins, *rest])
-    plain = F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("bigint")
-    hot = hot_keys(df, key) if hot is None else hot
-    if not hot:
-        return df.withColumn(name, plain)
-    cold_df, hot_df = routes(df, key, hot)
-    carried = _carried(hot_df, key, bins, F.count(F.lit(1)), F.sum("_summary"))
-    inside = F.row_number().over(W.partitionBy(key, *bins).orderBy(*_order(rest)))
-    split = (
-        _join_carry(hot_df.withColumn(name, inside), carried, key, bins)
-        .withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0)))
-        .drop("_carry")
-    )
-    return cold_df.withColumn(name, plain).unionByName(split)
+    """Add 1, 2, 3 … per ``key`` in the order of ``order``, which orders a key's rows totally.
+    ``bin_of`` must grow with that order."""
+    rows = _binned(df, key, bin_of)
+    carried = _carried(rows, key, F.count(F.lit(1)), F.sum("_summary"))
+    inside = F.row_number().over(W.partitionBy(key, "_bin").orderBy(*order)).cast("bigint")
+    placed = _with_carry(rows.withColumn(name, inside), carried, key)
+    number = F.col(name) + F.coalesce("_carry", F.lit(0))
+    return placed.withColumn(name, _known(key, number)).drop("_bin", "_carry")
 
 
 def running_total(
-    df: DataFrame,
-    key: str,
-    order_by: str,
-    bin_of: Column,
-    value: str,
-    name: str,
-    hot: list | None = None,
+    df: DataFrame, key: str, order_by: str, bin_of: Column, value: str, name: str
 ) -> DataFrame:
-    """Add the sum of ``value`` over the rows of ``key`` that precede the row.
-
-    ``bin_of`` must grow with ``order_by``; it is used for large keys only.
-    """
-    def preceding(*keys: str) -> Column:
-        window = W.partitionBy(*keys).orderBy(order_by)
-        return F.coalesce(
-            F.sum(value).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        )
-
-    hot = hot_keys(df, key) if hot is None else hot
-    if not hot:
-        return df.withColumn(name, preceding(key))
-    cold_df, hot_df = routes(df, key, hot)
-    hot_df = hot_df.withColumn("_bin", bin_of)
-    carried = _carried(hot_df, key, ["_bin"], F.sum(value), F.sum("_summary"))
-    split = (
-        _join_carry(hot_df.withColumn(name, preceding(key, "_bin")), carried, key, ["_bin"])
-        .withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0)))
-        .drop("_carry", "_bin")
-    )
-    return cold_df.withColumn(name, preceding(key)).unionByName(split)
+    """Add the sum of ``value`` over the rows of ``key`` that precede the row."""
+    rows = _binned(df, key, bin_of)
+    carried = _carried(rows, key, F.sum(value), F.sum("_summary"))
+    before = W.partitionBy(key, "_bin").orderBy(order_by)
+    inside = F.sum(value).over(before.rowsBetween(W.unboundedPreceding, -1))
+    placed = _with_carry(rows.withColumn(name, F.coalesce(inside, F.lit(0))), carried, key)
+    total = F.col(name) + F.coalesce("_carry", F.lit(0))
+    return placed.withColumn(name, _known(key, total)).drop("_bin", "_carry")
 
 
 def previous_row(
-    df: DataFrame,
-    key: str,
-    order_by: str,
-    bin_of: Column,
-    fields: Sequence[str],
-    name: str,
-    hot: list | None = None,
+    df: DataFrame, key: str, order_by: str, bin_of: Column, fields: Sequence[str], name: str
 ) -> DataFrame:
     """Add a struct ``name`` with ``fields`` of the row before, null on the first row."""
     row = F.struct(*fields)
-
-    def lagged(*keys: str) -> Column:
-        return F.lag(row).over(W.partitionBy(*keys).orderBy(order_by))
-
-    hot = hot_keys(df, key) if hot is None else hot
-    if not hot:
-        return df.withColumn(name, lagged(key))
-    cold_df, hot_df = routes(df, key, hot)
-    hot_df = hot_df.withColumn("_bin", bin_of)
-    last = F.max_by(row, F.col(order_by))
-    carried = _carried(hot_df, key, ["_bin"], last, F.last("_summary"))
-    split = (
-        _join_carry(hot_df.withColumn(name, lagged(key, "_bin")), carried, key, ["_bin"])
-        .withColumn(name, F.coalesce(name, "_carry"))
-        .drop("_carry", "_bin")
-    )
-    return cold_df.withColumn(name, lagged(key)).unionByName(split)
+    rows = _binned(df, key, bin_of)
+    carried = _carried(rows, key, F.max_by(row, F.col(order_by)), F.last("_summary"))
+    inside = F.lag(row).over(W.partitionBy(key, "_bin").orderBy(order_by))
+    placed = _with_carry(rows.withColumn(name, inside), carried, key)
+    return placed.withColumn(name, _known(key, F.coalesce(name, "_carry"))).drop("_bin", "_carry")

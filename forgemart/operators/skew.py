@@ -1,48 +1,30 @@
-"""Keys that hold a large part of all rows.
+"""Joins to a one-row-per-key side whose other side may have very frequent keys, or no key at all.
 
-They are found with a frequent-items sketch: one pass over the key column, merged into a single
-bounded row, so no data is shuffled. What it returns only decides which of two exact ways a row
-takes, never the result.
-
-Plain two-table joins need none of this: adaptive execution splits an overlarge key there. It
-cannot where one side comes out of an aggregation or another join on the same key.
+There is one route for every size. Adaptive execution splits an overlarge key of a join only where
+both sides reach it by exchanges of their own, so both join on the key and its hash: an
+aggregate by the key then gets such an exchange, of one row a key. Rows without a key, which match
+nothing, are dealt out by a hash of what they hold instead of meeting in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 1_000
-SKETCH_ITEMS = 100_000
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """At most ``MOST_HOT_KEYS`` keys that hold ``hot_rows`` rows or more; none are looked for
-    where all rows together are fewer, which Parquet footers tell."""
-    if df.count() < hot_rows:
-        return []
-    sketch = F.expr(f"approx_top_k(`{key}`, {MOST_HOT_KEYS}, {SKETCH_ITEMS})")
-    items = df.where(F.col(key).isNotNull()).agg(sketch.alias("top")).first()["top"]
-    return [item["item"] for item in items or [] if item["count"] >= hot_rows]
-
+SPREAD = 4096  # places that rows without a key are dealt to
 
-def routes(df: DataFrame, key: str, hot: list) -> tuple[DataFrame, DataFrame]:
-    """Rows of all other keys (and of none), and rows of the hot keys."""
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return df.where(~is_hot), df.where(is_hot)
 
+def spread(df: DataFrame) -> Column:
+    """A number below SPREAD from a row's numbers, texts and times."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    return F.pmod(F.xxhash64(*plain), F.lit(SPREAD)).cast("int")
 
-def lookup(df: DataFrame, one: DataFrame, key: str, one_key: str, hot: list) -> DataFrame:
-    """Left join to the row of ``one`` with the same key, which ``one`` holds once.
 
-    Rows of hot keys are not shuffled: they meet a broadcast of the rows of just these keys, of
-    which there are at most ``MOST_HOT_KEYS``.
-    """
-    same = F.col(key) == F.col(one_key)
-    if not hot:
-        return df.join(one, same, "left")
-    cold_df, hot_df = routes(df, key, hot)
-    few = F.broadcast(one.where(F.col(one_key).isin(hot)))
-    return cold_df.join(one, same, "left").unionByName(hot_df.join(few, same, "left"))
+def lookup(df: DataFrame, one: DataFrame, key: str, one_key: str) -> DataFrame:
+    """Left join to the row of ``one`` with the same key, which ``one`` holds once."""
+    known = F.xxhash64(key)  # a constant would be taken out of the join's keys
+    rows = df.withColumn("_spread", F.when(F.col(key).isNull(), spread(df)).otherwise(known))
+    side = one.withColumn("_side", F.xxhash64(one_key))
+    same = (F.col(key) == F.col(one_key)) & (F.col("_spread") == F.col("_side"))
+    return rows.join(side, same, "left").drop("_spread", "_side")

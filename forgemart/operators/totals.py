@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forgemart.functions.derivations import SCALE, units
+from forgemart.functions.derivations import amount
 from forgemart.functions.measures import exact_sum
 from forgemart.sources import schema as S
 
@@ -30,12 +30,12 @@ def subtotal_sums(
     Rows are grouped fully first, and only these groups are rolled up (or cubed). The
     ``subtotal_level`` is 0 for a plain group and has one bit per group column summed over.
     """
-    first: list[Column] = [F.sum(units(c)).alias(name) for name, c in sums.items()]
+    first: list[Column] = [F.sum(amount(c)).alias(name) for name, c in sums.items()]
     if rows:
         first.append(F.count(F.lit(1)).alias(rows))
     groups = df.groupBy(*by).agg(*first)
     grouped = groups.cube(*by) if cube else groups.rollup(*by)
-    second = [(F.sum(name) / SCALE).alias(name) for name in sums]
+    second = [F.sum(name).cast("double").alias(name) for name in sums]
     if rows:
         second.append(F.sum(rows).alias(rows))
     return grouped.agg(F.grouping_id().alias("subtotal_level"), *second)

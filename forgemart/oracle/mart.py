@@ -106,7 +106,7 @@ CTES = {
     l_shipdate + to_hours(3 * l_linenumber) AS ActualEnd,
     l_shipdate + to_hours(3 * l_linenumber) + to_minutes(minutes) AS SAP_PostingTime,
     minutes / 60.0::DOUBLE AS DelayHours, CAST(0 AS BIGINT) AS Cancelled, h.Material
-  FROM (SELECT *, [12, 30, 60, 120, 240, 480, 1440, 2880][l_partkey % 8 + 1] AS minutes
+  FROM (SELECT *, [6, 18, 45, 90, 150, 300, 720, 2160][l_partkey % 8 + 1] AS minutes
     FROM lines WHERE l_returnflag IN ('A', 'R')) s
   LEFT JOIN hdr h ON h."Order" = {_pad("l_orderkey", 18)}""",
     "co24": f"""
@@ -152,13 +152,13 @@ CTES = {
   SELECT {_pad("p_partkey", 18)} AS MATNR,
     CASE WHEN p_partkey % 4 = 0 THEN '2000' ELSE '1000' END AS WERKS, {CONTROLLER} AS DISPO,
     CASE WHEN p_type IN ('LARGE', 'PROMO') THEN 'E' ELSE 'F' END AS BESKZ, 'PP01' AS FEVOR,
-    CAST([1, 2, 3, 5][p_partkey % 4 + 1] AS BIGINT) AS DZEIT,
-    (5 + p_size % 26) / 10.0::DOUBLE AS InHouseProductionTimeDays
+    CAST(p_partkey % 6 + 2 AS BIGINT) AS DZEIT,
+    (3 + p_size % 30) / 10.0::DOUBLE AS InHouseProductionTimeDays
   FROM part""",
     "mard": f"""
   SELECT {_pad("p_partkey", 18)} AS MATNR,
     CASE WHEN p_partkey % 4 = 0 THEN '2000' ELSE '1000' END AS WERKS, LGORT,
-    CAST(p_partkey * f % 120 AS DOUBLE) AS LABST, CAST((p_partkey + f) % 11 AS DOUBLE) AS INSME,
+    CAST(p_partkey * f % 250 AS DOUBLE) AS LABST, CAST((p_partkey + f) % 9 AS DOUBLE) AS INSME,
     DATE '2000-01-01' - CAST(p_partkey % 40 + 1 AS INTEGER) AS StockDate
   FROM part, (VALUES ('0001', 7), ('0002', 11)) loc (LGORT, f)""",
     "dpart": f"""
@@ -171,7 +171,7 @@ CTES = {
     "stock": f"""
   SELECT {_pad("p_partkey", 18)} AS Part,
     CASE WHEN p_partkey % 4 = 0 THEN '2000' ELSE '1000' END AS WERKS,
-    CAST(p_partkey * 7 % 120 + p_partkey * 11 % 120 AS DOUBLE) AS Stock, 'PC' AS Unit,
+    CAST(p_partkey * 7 % 250 + p_partkey * 11 % 250 AS DOUBLE) AS Stock, 'PC' AS Unit,
     TIMESTAMP '2000-01-01 07:30:00' - to_hours(CAST(p_partkey % 12 + 1 AS INTEGER))
       AS SnapshotTime
   FROM part""",
@@ -181,7 +181,7 @@ CTES = {
   FROM (
     SELECT 'WC' || {_pad("s_suppkey", 8)} AS WorkCenter,
       CASE WHEN s_nationkey % 2 = 0 THEN '1000' ELSE '2000' END AS WERKS, s_name AS Description,
-      CAST(70 + s_suppkey % 26 AS BIGINT) AS NGRAD, 8.0::DOUBLE AS EINZH,
+      CAST(60 + s_suppkey % 31 AS BIGINT) AS NGRAD, 8.0::DOUBLE AS EINZH,
       CAST(1 + s_suppkey % 3 AS BIGINT) AS AZNOR, '001' AS CapacityCategory,
       CAST(CASE WHEN s_suppkey % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS Bottleneck
     FROM supplier)""",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from forgemart.oracle.mart import CONTROLLER, ROLE_TEXTS, TABLE_CTE, _pad, with_mart
-from forgemart.sources.schema import TABLES, column_names, summable_columns
+from forgemart.sources.schema import KEYS, TABLES, column_names, summable_columns
 
 
 def _sum(expr: str) -> str:
@@ -48,15 +50,16 @@ RAW["s05_row_counts"] = "\nUNION ALL\n".join(
 RAW["s06_run_log"] = "\nUNION ALL\n".join(
     f"""SELECT 'save {t}' AS step, 'ok' AS status, CAST(count(*) AS VARCHAR) AS detail
     FROM {TABLE_CTE[t]}"""
-    for t in ("MARA", "COOIS_OrderHeaders", "CO24", "SOP_Targets")
+    for t in TABLES
 )
 
 RAW["s07_refresh"] = "SELECT * FROM mard"
 
 RAW["s08_validate"] = """
-SELECT * FROM (VALUES ('CO24', 'MissingPart', 'int', 'missing'),
-  ('MARC', 'DZEIT', 'int', 'string'), ('MATDOC', NULL, 'table', 'missing'))
-  t ("table", "column", expected, found)"""
+SELECT 'CO24' AS "table", 'MissingPart' AS "column", 'int' AS expected, 'missing' AS found,
+  count(*) AS "rows" FROM co24
+UNION ALL SELECT 'MARC', 'DZEIT', 'int', 'string', count(*) FROM marc
+UNION ALL SELECT 'MATDOC', NULL, 'table', 'missing', NULL"""
 
 # ---- derivations ------------------------------------------------------------------------
 
@@ -95,7 +98,7 @@ FROM hdr"""
 
 RAW["d07_capacity"] = """
 SELECT 'WC' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS WorkCenter,
-  ((70 + s_suppkey % 26) * 8 * (1 + s_suppkey % 3)) / 100.0::DOUBLE AS capacity
+  ((60 + s_suppkey % 31) * 8 * (1 + s_suppkey % 3)) / 100.0::DOUBLE AS capacity
 FROM supplier"""
 
 RAW["d08_shortage"] = """
@@ -163,13 +166,12 @@ FROM placed"""
 
 RAW["d19_op_status"] = """
 WITH plan AS (
-  SELECT "Order", CAST("Order" AS BIGINT) AS draw, n, st FROM (
-    SELECT "Order", count(*) AS n FROM ops GROUP BY "Order")
+  SELECT "Order", done, n, st FROM (
+    SELECT "Order", count(*) AS n, count_if(StatusShort = 'CNF') AS done FROM ops GROUP BY "Order")
   JOIN (SELECT "Order", StatusShort AS st FROM hdr) USING ("Order")),
 done AS (
   SELECT "Order", st, CASE WHEN st IN ('CNF', 'DLV', 'TECO', 'CLSD') THEN n
-    WHEN st = 'PCNF' THEN 1 + draw % greatest(n - 1, 1)
-    WHEN st = 'REL' THEN draw % (greatest(n - 2, 0) + 1) ELSE 0 END AS k
+    WHEN st IN ('PCNF', 'REL') THEN done ELSE 0 END AS k
   FROM plan)
 SELECT "Order", Operation, CASE WHEN CAST(Operation AS BIGINT) // 10 <= k THEN 'CNF'
   WHEN st = 'PCNF' AND CAST(Operation AS BIGINT) // 10 = k + 1 THEN 'PCNF'
@@ -251,8 +253,9 @@ FROM span"""
 
 RAW["x04_sop_grid"] = """
 WITH months AS (
-  SELECT strftime(unnest(generate_series(TIMESTAMP '1994-11-01', TIMESTAMP '2002-04-01',
-    INTERVAL 1 MONTH)), '%Y%m') AS Period)
+  SELECT strftime(unnest(generate_series(strptime(min(Period) || '01', '%Y%m%d'),
+    strptime(max(Period) || '01', '%Y%m%d'), INTERVAL 1 MONTH)), '%Y%m') AS Period
+  FROM sop)
 SELECT ProductGroup, Period, WERKS, ActualQuantity
 FROM pg CROSS JOIN months CROSS JOIN (VALUES ('1000'), ('2000')) w (WERKS)
   LEFT JOIN sop USING (ProductGroup, Period, WERKS)"""
@@ -333,9 +336,7 @@ RAW["j15_orphans"] = "\nUNION ALL\n".join(
                 ("J2", "D_Part", "MATNR"),
             )
         ],
-        _orphans("J6", _H, "Material", "MARA", "MATNR", "MTART = 'FERT'").replace(
-            "WHERE", "WHERE StatusShort <> 'CLSD' AND", 1
-        ),
+        _orphans("J6", _H, "Material", "MARA", "MATNR", "MTART = 'FERT'"),
         *[
             _orphans(e, t, "Order", _H, "Order", "StatusShort <> 'CLSD'")
             for e, t in (("J7", _O), ("J9", _C), ("J11", "CO24"), ("J12", "MATDOC"))
@@ -700,11 +701,23 @@ WITH p AS (SELECT "Order", Operation, StatusShort, lag(Operation) OVER w AS Prev
   FROM ops WINDOW w AS (PARTITION BY "Order" ORDER BY CAST(Operation AS BIGINT)))
 SELECT * FROM p WHERE StatusShort = 'CNF' AND PreviousStatus <> 'CNF'"""
 RAW["k10_confirmed_only"] = """
-SELECT "Order", Operation, CAST(1 AS BIGINT) AS confirmations, 'not confirmable' AS rule
-FROM ops WHERE StatusShort = 'PCNF'"""
-RAW["k11_keys"] = """
-SELECT 'lineitem' AS "table", l_orderkey || '|' || l_linenumber AS "key", count(*) AS "rows"
-FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
+SELECT "Order", Operation, count(*) AS confirmations, 'not confirmable' AS rule
+FROM conf c WHERE NOT EXISTS (SELECT 1 FROM ops o
+  WHERE o."Order" = c."Order" AND o.Operation = c.Operation AND o.StatusShort = 'CNF')
+GROUP BY "Order", Operation
+UNION ALL
+SELECT "Order", Operation, count(*), 'confirmed twice' FROM conf
+GROUP BY "Order", Operation HAVING count(*) > 1"""
+def _repeated(table: str, source: str, keys: Sequence[str]) -> str:
+    text = " || '|' || ".join(f"coalesce(CAST({_q(k)} AS VARCHAR), 'null')" for k in keys)
+    return f"""SELECT '{table}' AS "table", {text} AS "key", count(*) AS "rows"
+FROM {source} GROUP BY {", ".join(map(_q, keys))} HAVING count(*) > 1"""
+
+
+RAW["k11_keys"] = "\nUNION ALL\n".join(
+    [_repeated(t, TABLE_CTE[t], keys) for t, keys in KEYS.items()]
+    + [_repeated("lineitem", "lineitem", ("l_orderkey", "l_linenumber"))]
+)
 RAW["k12_stock"] = """
 SELECT MATNR, WERKS, Stock, LABST AS LocationStock
 FROM mard JOIN (SELECT Part AS MATNR, WERKS, Stock FROM stock) USING (MATNR, WERKS)

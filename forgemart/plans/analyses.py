@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forgemart.functions.derivations import SCALE, is_released, period, units
+from forgemart.functions.derivations import SCALE, amount, is_released, period, units
 from forgemart.functions.measures import Measure, exact_avg, exact_sum, measure
 from forgemart.operators import joins
 from forgemart.operators.quality import operation_bin, operation_number
 from forgemart.operators.sequences import previous_row
-from forgemart.operators.skew import hot_keys
 from forgemart.operators.totals import OUTPUT, stock_total, subtotal_sums
 from forgemart.plans.evaluate import evaluate, finish, partial_sums
 
@@ -79,7 +78,7 @@ def waiting_on_parts(headers: DataFrame, co24: DataFrame) -> DataFrame:
     per_order = (
         co24.where(F.col("MissingPart") == 1)
         .groupBy("Order")
-        .agg(_rows("missing_parts"), F.sum(units("ShortageQuantity")).alias("shortage"))
+        .agg(_rows("missing_parts"), F.sum(amount("ShortageQuantity")).alias("shortage"))
         .join(headers.select("Order"), "Order")
     )
     total = per_order.agg(
@@ -95,7 +94,7 @@ def waiting_on_parts(headers: DataFrame, co24: DataFrame) -> DataFrame:
         "subtotal_level",
         "orders",
         "missing_parts",
-        (F.col("shortage") / SCALE).alias("shortage_quantity"),
+        F.col("shortage").cast("double").alias("shortage_quantity"),
     )
 
 
@@ -122,11 +121,11 @@ def posting_delay(confirmations: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 def order_load(headers: DataFrame, by: Sequence[str]) -> DataFrame:
     """Released orders: count, quantity and open quantity (ordered minus delivered, chosen here)."""
-    quantity, delivered = units("OrderQuantity"), units("DeliveredQuantity")
+    quantity, delivered = amount("OrderQuantity"), amount("DeliveredQuantity")
     return _released(headers).groupBy(*by).agg(
         _rows("released_orders"),
-        (F.sum(quantity) / SCALE).alias("order_quantity"),
-        (F.sum(quantity - delivered) / SCALE).alias("open_quantity"),
+        F.sum(quantity).cast("double").alias("order_quantity"),
+        F.sum(quantity - delivered).cast("double").alias("open_quantity"),
     )
 
 
@@ -138,13 +137,13 @@ def material_buffer(operations: DataFrame, headers: DataFrame) -> DataFrame:
     waiting = (
         operations.where(F.col("StatusShort") != "CNF")
         .groupBy("Order", "WorkCenter")
-        .agg(F.sum(units("TargetQuantity") - units("ActualQuantity")).alias("open_units"))
+        .agg(F.sum(amount("TargetQuantity") - amount("ActualQuantity")).alias("open_units"))
     )
     released = _released(headers).select("Order")
     return (
         waiting.join(released, "Order")
         .groupBy("WorkCenter")
-        .agg(_rows("orders"), (F.sum("open_units") / SCALE).alias("open_quantity"))
+        .agg(_rows("orders"), F.sum("open_units").cast("double").alias("open_quantity"))
     )
 
 
@@ -152,14 +151,14 @@ def _open_hours(operations: DataFrame) -> DataFrame:
     return (
         operations.where(F.col("StatusShort") != "CNF")
         .groupBy("WorkCenter")
-        .agg(F.sum(units("SetupTime") + units("MachineTime")).alias("load_units"))
+        .agg(F.sum(amount("SetupTime") + amount("MachineTime")).alias("load_units"))
     )
 
 
 def utilization(operations: DataFrame, centers: DataFrame) -> DataFrame:
     """Open set-up and machine hours of every centre over its hours per day: days of load
     (chosen here)."""
-    load = F.coalesce("load_units", F.lit(0)) / SCALE
+    load = F.coalesce("load_units", F.lit(0)).cast("double")
     capacity = F.col("TheoreticalCapacityHrDay")
     return centers.join(_open_hours(operations), "WorkCenter", "left").select(
         "WorkCenter",
@@ -271,7 +270,8 @@ def delay_profile(
     ranked = histogram.withColumn("upto", F.sum("n").over(upto)).withColumn(
         "total", F.sum("n").over(group)
     )
-    hours = F.sum(F.col("n") * units("DelayHours")) / SCALE
+    hours = F.sum(F.col("n").cast("decimal(15,0)") * F.col("DelayHours").cast("decimal(22,12)"))
+    hours = hours.cast("double")
     quantiles = [
         F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("DelayHours"))).alias(
             f"p{p}_hours"
@@ -293,19 +293,16 @@ def delay_profile(
     )
 
 
-def queue_time(
-    operations: DataFrame, confirmations: DataFrame, hot: list | None = None
-) -> DataFrame:
+def queue_time(operations: DataFrame, confirmations: DataFrame) -> DataFrame:
     """Wait before every operation but the first (chosen here): planned days from the previous
     finish to the start, and actual hours from the previous real end to the own one, less the
     machine time."""
-    hot = hot_keys(operations.select("Order"), "Order") if hot is None else hot
     rows = joins.with_confirmation(
         operations.select("Order", "Operation", "StartDate", "FinishDate"),
         confirmations.select("Order", "Operation", "ActualEnd", "ActualMachineTime"),
     ).withColumn("_number", operation_number())
     linked = previous_row(
-        rows, "Order", "_number", operation_bin(), ["FinishDate", "ActualEnd"], "_before", hot
+        rows, "Order", "_number", operation_bin(), ["FinishDate", "ActualEnd"], "_before"
     )
     seconds = F.unix_seconds("ActualEnd") - F.unix_seconds("_before.ActualEnd")
     hours = (seconds * SCALE / 3600 - units("ActualMachineTime")) / SCALE
@@ -376,8 +373,6 @@ def bottleneck_board(mart) -> DataFrame:
         "Order",
         "WorkCenter",
         "StatusShort",
-        "TargetQuantity",
-        "ActualQuantity",
         "SetupTime",
         "MachineTime",
     ).join(keys, "WorkCenter", "left_semi")
@@ -392,7 +387,6 @@ def bottleneck_board(mart) -> DataFrame:
             exact_sum("ScrapQuantity").alias("total_scrap"),
         )
     )
-    passing = operations.select("Order", "WorkCenter").distinct()
     missing = (
         mart.table("CO24", "Order", "MissingPart")
         .where(F.col("MissingPart") == 1)
@@ -400,25 +394,29 @@ def bottleneck_board(mart) -> DataFrame:
         .agg(_rows("missing_parts"))
     )
     received = _received(mart.table("MATDOC", "Order", "MovementType", "Quantity"))
-    per_order = _stack(missing, received).groupBy("Order").agg(
-        F.max("missing_parts").alias("missing_parts"), F.max("value").alias("received")
-    )
+    released = _released(headers).select("Order", F.lit(1).alias("released"))
+    per_order = _stack(missing, received, released).groupBy("Order").agg(
+        F.max("missing_parts").alias("missing_parts"),
+        F.max("value").alias("received"),
+        F.max("released").alias("released"),
+    )
+    # Operations are read once: a row for each order and centre, then for each centre.
+    open_ = F.col("StatusShort") != "CNF"
+    work = F.when(open_, amount("SetupTime") + amount("MachineTime"))
     through = (
-        passing.join(per_order, "Order", "left")
+        operations.groupBy("Order", "WorkCenter")
+        .agg(F.max(open_).alias("waiting"), F.sum(work).alias("load"))
+        .join(per_order, "Order", "left")
         .groupBy("WorkCenter")
         .agg(
+            F.nullif(F.count_if(F.col("waiting") & (F.col("released") == 1)), F.lit(0)).alias("buffer_orders"),
+            F.sum("load").cast("double").alias("load_hours"),
             _rows("passing_orders"),
             F.sum("missing_parts").alias("missing_parts"),
             exact_sum("received").alias("received_quantity"),
         )
     )
-    buffer = material_buffer(operations, headers).select(
-        "WorkCenter", F.col("orders").alias("buffer_orders")
-    )
-    load = _open_hours(operations).select(
-        "WorkCenter", (F.col("load_units") / SCALE).alias("load_hours")
-    )
-    facts = _stack(buffer, load, confirmed, through)
+    facts = _stack(confirmed, through)
     values = [c for c in facts.columns if c != "WorkCenter"]
     board = facts.groupBy("WorkCenter").agg(*[F.max(c).alias(c) for c in values])
     return (
@@ -454,19 +452,19 @@ def critical_shortage(co24: DataFrame, d_part: DataFrame) -> DataFrame:
     per_component = (
         co24.where(F.col("MissingPart") == 1)
         .groupBy("Component")
-        .agg(_rows("missing_parts"), F.sum(units("ShortageQuantity")).alias("shortage"))
+        .agg(_rows("missing_parts"), F.sum(amount("ShortageQuantity")).alias("shortage"))
     )
     critical = d_part.where(F.col("CriticalPart") == 1).select(
         "MATNR", "ABC_Class", "XYZ_Class", "CriticalPart"
     )
     return (
-        joins.with_component(per_component, d_part=critical, hot=[])
+        joins.with_component(per_component, d_part=critical)
         .where(F.col("CriticalPart") == 1)
         .groupBy("ABC_Class", "XYZ_Class")
         .agg(
             _rows("components"),
             F.sum("missing_parts").alias("missing_parts"),
-            (F.sum("shortage") / SCALE).alias("shortage_quantity"),
+            F.sum("shortage").cast("double").alias("shortage_quantity"),
         )
     )
 
@@ -517,13 +515,12 @@ def by_hierarchy(mart, measures: Sequence[Measure], level: int) -> DataFrame:
 def consumption(
     matdoc: DataFrame, types: DataFrame, by: Sequence[str] = ("Order", "Matnr")
 ) -> DataFrame:
-    """Goods issued, received and net quantity; transfers move nothing. Movements are summed
-    per type before the type's sign is applied."""
-    per_type = matdoc.groupBy(*by, "MovementType").agg(exact_sum("Quantity").alias("Quantity"))
-    signed = joins.with_movement_type(per_type, types)
-    moved = units("SignedQuantity")
+    """Goods issued, received and net quantity; transfers move nothing. The few types are joined
+    to the rows first, so that a movement is shuffled once, for its sum."""
+    signed = joins.with_movement_type(matdoc.select(*by, "MovementType", "Quantity"), types)
+    moved = amount("SignedQuantity")
     return signed.groupBy(*by).agg(
-        (F.sum(F.when(F.col("Direction") == "GI", -moved).otherwise(0)) / SCALE).alias("issued"),
-        (F.sum(F.when(F.col("Direction") == "GR", moved).otherwise(0)) / SCALE).alias("received"),
-        (F.sum(moved) / SCALE).alias("net"),
+        F.sum(F.when(F.col("Direction") == "GI", -moved).otherwise(0)).cast("double").alias("issued"),
+        F.sum(F.when(F.col("Direction") == "GR", moved).otherwise(0)).cast("double").alias("received"),
+        F.sum(moved).cast("double").alias("net"),
     )

@@ -17,7 +17,7 @@ from forgemart import fixed_values as fixed
 from forgemart.functions import derivations as D
 from forgemart.operators.generate import expand_locations
 from forgemart.operators.sequences import row_numbers
-from forgemart.operators.skew import HOT_ROWS, hot_keys, lookup
+from forgemart.operators.skew import lookup
 from forgemart.sources import schema as S
 
 AS_OF = "2000-01-01"
@@ -41,8 +41,9 @@ BOUND_CONTROLLERS = {
 BOUND_NODES = {group: f"RE-{group}" for group in GROUP_ROLE}
 ROLES = tuple(fixed.ROLE_TEXT)
 
-LINE_BINS = ("l_linenumber", "l_shipdate")
-LINE_REST = (
+LINE_ORDER = (
+    "l_linenumber",
+    "l_shipdate",
     "l_partkey",
     "l_suppkey",
     "l_quantity",
@@ -53,6 +54,10 @@ LINE_REST = (
     "l_linestatus",
 )
 
+# Minutes from an operation's end to its posting, by its part.
+DELAY_MINUTES = (6, 18, 45, 90, 150, 300, 720, 2160)
+LINES_PER_BIN = 1_000  # line numbers of an order that are numbered in one task
+
 # Types of the given tables that are read, so that opening them needs no look into their files.
 SOURCES = {
     "orders": (
@@ -111,8 +116,13 @@ def _order_key(c: str) -> Column:
     return D.pad_key(c, fixed.ORDER_WIDTH)
 
 
+def _hundredths() -> Column:
+    """Quantities have two decimals."""
+    return F.rint(F.col("l_quantity") * 100).cast("bigint")
+
+
 def _quantity() -> Column:
-    return F.col("l_quantity").cast("bigint")
+    return _hundredths() / 100
 
 
 def _machine_hundredths() -> Column:
@@ -128,7 +138,7 @@ def _setup_hours() -> Column:
 
 
 def _role() -> Column:
-    return F.array(*[F.lit(r) for r in ROLES])[F.col("l_linenumber") - 1]
+    return F.try_element_at(F.array(*[F.lit(r) for r in ROLES]), F.col("l_linenumber"))
 
 
 def _ship_day() -> Column:
@@ -140,8 +150,12 @@ def _material_type(group: str) -> Column:
 
 
 def _line_number(width: int) -> Column:
-    """Document number of a line item: its order followed by its position."""
-    return D.pad_key(F.concat(F.col("l_orderkey").cast("string"), D.pad_key("op_seq", 4)), width)
+    """Document number of a line item: its order followed by its position. A position of more
+    than four digits is set off by a dash, so that no two line items share a number."""
+    place = F.when(F.col("op_seq") < 10_000, D.pad_key("op_seq", 4)).otherwise(
+        F.concat(F.lit("-"), F.col("op_seq").cast("string"))
+    )
+    return D.pad_key(F.concat(F.col("l_orderkey").cast("string"), place), width)
 
 
 def _order_status() -> Column:
@@ -172,7 +186,11 @@ def _order_quantity() -> Column:
 
 
 def _delay() -> Column:
-    return F.array(*[F.lit(h) for h in fixed.DELAY_HOURS])[F.col("l_partkey") % 8]
+    return _delay_minutes() / 60
+
+
+def _delay_minutes() -> Column:
+    return F.array(*[F.lit(x) for x in DELAY_MINUTES])[F.col("l_partkey") % len(DELAY_MINUTES)]
 
 
 def _actual_end() -> Column:
@@ -181,15 +199,13 @@ def _actual_end() -> Column:
 
 def _committed() -> Column:
     """Requirement less five times the discount, to tenths."""
-    tenths = "(CAST(l_quantity AS BIGINT) * (100 - 5 * CAST(rint(l_discount * 100) AS BIGINT)) + 5)"
-    return F.expr(f"{tenths} div 10 / 10")
+    share = F.lit(100) - _percent("l_discount") * 5
+    return F.floor((_hundredths() * share + 500) / 1000) / 10
 
 
 def _issued() -> Column:
     """The tax share of the requirement, to tenths."""
-    return F.expr(
-        "(CAST(l_quantity AS BIGINT) * CAST(rint(l_tax * 100) AS BIGINT) + 5) div 10 / 10"
-    )
+    return F.floor((_hundredths() * _percent("l_tax") + 500) / 1000) / 10
 
 
 def _gap() -> Column:
@@ -204,15 +220,10 @@ def _plain(df: DataFrame) -> tuple[DataFrame, Columns]:
 
 
 class BoundMart:
-    """Mart tables over the tables in ``root``.
-
-    ``hot_rows`` is the size from which one order's line items are numbered in bins; ``None``
-    numbers without looking for such orders, for callers that only need the schema.
-    """
+    """Mart tables over the tables in ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, hot_rows: int | None = HOT_ROWS):
-        self.spark, self.root, self._hot_rows = spark, root, hot_rows
-        self._hot_orders: list | None = None if hot_rows else []
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
         self._build: dict[str, Callable[[set[str]], tuple[DataFrame, Columns]]] = {
             "ProductGroup": self._product_group,
             "ProductHierarchy": self._product_hierarchy,
@@ -293,8 +304,8 @@ class BoundMart:
             "DISPO": lambda: D.mrp_controller(plant_of(key), "p_type", BOUND_CONTROLLERS),
             "BESKZ": lambda: D.procurement(_material_type("p_type")),
             "FEVOR": lambda: F.lit("PP01"),
-            "DZEIT": lambda: F.array(*[F.lit(x) for x in (1, 2, 3, 5)])[key % 4],
-            "InHouseProductionTimeDays": lambda: (F.col("p_size") % 26 + 5) / 10,
+            "DZEIT": lambda: key % 6 + 2,
+            "InHouseProductionTimeDays": lambda: (F.col("p_size") % 30 + 3) / 10,
         }
 
     def _mard(self, _: set[str]) -> tuple[DataFrame, Columns]:
@@ -304,8 +315,8 @@ class BoundMart:
             "MATNR": lambda: D.pad_key(key),
             "WERKS": lambda: plant_of(key),
             "LGORT": lambda: F.col("LGORT"),
-            "LABST": lambda: key * factor % 120,
-            "INSME": lambda: (key + factor) % 11,
+            "LABST": lambda: key * factor % 250,
+            "INSME": lambda: (key + factor) % 9,
             "StockDate": lambda: F.date_sub(
                 F.lit(AS_OF).cast("date"), (key % 40 + 1).cast("int")
             ),
@@ -329,7 +340,7 @@ class BoundMart:
         return self.source("part"), {
             "Part": lambda: D.pad_key(key),
             "WERKS": lambda: plant_of(key),
-            "Stock": lambda: key * 7 % 120 + key * 11 % 120,
+            "Stock": lambda: key * 7 % 250 + key * 11 % 250,
             "Unit": lambda: F.lit("PC"),
             "SnapshotTime": lambda: clock - F.make_dt_interval(hours=(key % 12 + 1).cast("int")),
         }
@@ -338,7 +349,7 @@ class BoundMart:
         key = F.col("s_suppkey")
 
         def percent() -> Column:
-            return key % 26 + 70
+            return key % 31 + 60
 
         def units() -> Column:
             return key % 3 + 1
@@ -363,14 +374,12 @@ class BoundMart:
         return (
             self.source("lineitem")
             .groupBy(F.col("l_orderkey").alias("total_order"))
-            .agg(F.min("l_partkey").alias("order_part"), F.sum(_quantity()).alias("order_quantity"))
+            .agg(F.min("l_partkey").alias("order_part"), (F.sum(_hundredths()) / 100).alias("order_quantity"))
         )
 
-    def _with_order_part(
-        self, df: DataFrame, key: str, wanted: set[str], hot: list
-    ) -> DataFrame:
+    def _with_order_part(self, df: DataFrame, key: str, wanted: set[str]) -> DataFrame:
         """Add the order's material number and, where needed, its part row."""
-        df = lookup(df, self._order_totals(), key, "total_order", hot)
+        df = lookup(df, self._order_totals(), key, "total_order")
         if wanted & {"ProductGroup", "MaterialText", "SOP_Relevant"}:
             part = self.source("part").select("p_partkey", "p_name", "p_type")
             df = df.join(part, F.col("order_part") == F.col("p_partkey"), "left")
@@ -405,29 +414,20 @@ class BoundMart:
         }
         df = self.source("orders")
         if wanted & set(joined):
-            df = self._with_order_part(df, "o_orderkey", wanted, [])
+            df = self._with_order_part(df, "o_orderkey", wanted)
         return df, own | joined
 
     # ---- line-item facts ----------------------------------------------------------------
 
-    def _hot_order_keys(self) -> list:
-        if self._hot_orders is None:
-            self._hot_orders = hot_keys(self.source("lineitem"), "l_orderkey", self._hot_rows)
-        return self._hot_orders
-
-    def hot_orders(self) -> list[str]:
-        """Orders with too many line items for one task, looked for once per mart."""
-        return [str(key).zfill(fixed.ORDER_WIDTH) for key in self._hot_order_keys()]
-
     def numbered_lines(self) -> DataFrame:
         """Line items with their position 1, 2, 3 … inside the order."""
-        lines, hot = self.source("lineitem"), self._hot_order_keys()
-        return row_numbers(lines, "l_orderkey", LINE_BINS, LINE_REST, "op_seq", hot)
+        bin_of = F.floor(F.col("l_linenumber") / LINES_PER_BIN)
+        return row_numbers(self.source("lineitem"), "l_orderkey", LINE_ORDER, bin_of, "op_seq")
 
     def _lines(self, wanted: set[str], numbered: set[str], by_order: set[str]) -> DataFrame:
         df = self.numbered_lines() if wanted & numbered else self.source("lineitem")
         if wanted & by_order:
-            df = self._with_order_part(df, "l_orderkey", wanted, self._hot_order_keys())
+            df = self._with_order_part(df, "l_orderkey", wanted)
         return df
 
     def _created(self) -> DataFrame:
@@ -440,8 +440,7 @@ class BoundMart:
     def _order_operations(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         df = self._lines(wanted, {"Operation"}, {"Material", "ProductGroup", "WERKS"})
         if wanted & {"StatusShort", "SystemStatus"}:
-            hot = self._hot_order_keys()
-            df = lookup(df, self._created(), "l_orderkey", "o_orderkey", hot)
+            df = lookup(df, self._created(), "l_orderkey", "o_orderkey")
         flag = F.col("l_returnflag")
 
         def status() -> Column:
@@ -485,8 +484,7 @@ class BoundMart:
             return F.when(F.col("l_returnflag") == "R", _quantity()).otherwise(half)
 
         def posting() -> Column:
-            minutes = F.rint(_delay() * 60).cast("int")
-            return _actual_end() + F.make_dt_interval(mins=minutes)
+            return _actual_end() + F.make_dt_interval(mins=_delay_minutes())
 
         return df.where(F.col("l_returnflag").isin("A", "R")), {
             "Confirmation": lambda: _line_number(fixed.CONFIRMATION_WIDTH),
@@ -562,8 +560,8 @@ class BoundMart:
             self.source("lineitem")
             .groupBy("l_partkey", D.period("l_shipdate").alias("Period"))
             .agg(
-                F.sum(_quantity()).alias("actual"),
-                F.sum(_quantity() * (90 + 5 * (month % 5))).alias("target_hundredths"),
+                F.sum(_hundredths()).alias("actual"),
+                F.sum(_hundredths() * (90 + 5 * (month % 5))).alias("target"),
             )
         )
         part = self.source("part").select("p_partkey", "p_type")
@@ -575,8 +573,8 @@ class BoundMart:
                 "Period",
             )
             .agg(
-                F.sum("actual").cast("double").alias("ActualQuantity"),
-                (F.sum("target_hundredths") / 100).alias("TargetQuantity"),
+                (F.sum("actual") / 100).alias("ActualQuantity"),
+                (F.sum("target") / 10_000).alias("TargetQuantity"),
             )
         )
         same = {c: lambda c=c: F.col(c) for c in df.columns}

@@ -11,7 +11,6 @@ from functools import cache, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgemart import fixed_values as fixed
 from forgemart.sources import schema as S
 
 LOG_SCHEMA = "step string, status string, detail string"
@@ -33,8 +32,13 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_root(spark: SparkSession) -> str:
-    """An unused folder for one set of stored tables."""
-    return f"{work_dir(spark)}/mart-{uuid.uuid4().hex}"
+    """A new folder for one set of stored tables, deleted when the driver ends."""
+    root = f"{work_dir(spark)}/mart-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return root
 
 
 def table_format(spark: SparkSession) -> str:
@@ -61,11 +65,25 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def load(spark: SparkSession, root: str, table: str, fmt: str | None = None) -> DataFrame:
-    fmt = fmt or table_format(spark)
-    reader = spark.read.format(fmt)
-    if fmt != "delta":
-        reader = reader.schema(S.schema(table))
-    return reader.load(path_of(root, table))
+    """The stored table, with the columns that its own files have; an error names those of the
+    model that are missing or of another type."""
+    df = spark.read.format(fmt or table_format(spark)).load(path_of(root, table))
+    if wrong := drift(table, df):
+        raise ValueError(f"stored {table} differs from the model: {wrong}")
+    return df
+
+
+def stored_tables(
+    spark: SparkSession, root: str, fmt: str | None = None, tables: Sequence[str] = S.TABLES
+) -> dict[str, DataFrame]:
+    """Those of the tables that are stored, with their files' own schemas, whatever they are."""
+    hadoop, names = spark.sparkContext._jsc.hadoopConfiguration(), {}
+    for table in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path_of(root, table))
+        if path.getFileSystem(hadoop).exists(path):
+            reader = spark.read.format(fmt or table_format(spark))
+            names[table] = reader.load(path_of(root, table))
+    return names
 
 
 def _overwrite(df: DataFrame, fmt: str | None):
@@ -107,13 +125,6 @@ def refresh(spark: SparkSession, root: str, table: str, fmt: str | None = None)
     return load(spark, root, table, fmt)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back, for one that is read often."""
-    path = f"{work_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table. Pass stored tables: Parquet counts come from file footers."""
     counts = [
@@ -134,12 +145,14 @@ def scan_profile(name: str, df: DataFrame) -> DataFrame:
     )
 
 
-def run_log(spark: SparkSession, steps: Iterable[tuple[str, str, object]]) -> DataFrame:
-    """Log table of (step, status, detail); one placeholder row stands for an empty log."""
+def run_log(
+    spark: SparkSession, steps: Iterable[tuple[str, str, object]], most: int | None = None
+) -> DataFrame:
+    """Log table of (step, status, detail); one placeholder row stands for an empty log. Details
+    stay whole, or keep their last ``most`` characters, where a traceback names its cause."""
     rows = [(step, status, str(detail)) for step, status, detail in steps]
     log = spark.createDataFrame(rows or [("none", "none", "none")], LOG_SCHEMA)
-    detail = F.substring("detail", 1, fixed.LOG_DETAIL_LENGTH)
-    return log.withColumn("detail", detail)
+    return log if most is None else log.withColumn("detail", F.right("detail", F.lit(most)))
 
 
 def run_steps(
@@ -159,22 +172,26 @@ def run_steps(
     return spark.read.format(table_format(spark)).load(path_of(root, "run_log"))
 
 
+def drift(table: str, df: DataFrame) -> list[tuple[str, str, str]]:
+    """(column, expected, found) of the columns that are missing or of another type."""
+    found = {f.name.lower(): f.dataType.simpleString() for f in df.schema}
+    wanted = {f.name: f.dataType.simpleString() for f in S.schema(table)}
+    have = {name: found.get(name.lower(), "missing") for name in wanted}
+    return [(name, kind, have[name]) for name, kind in wanted.items() if have[name] != kind]
+
+
 def validate(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
     expected: Sequence[str] = S.TABLES,
 ) -> DataFrame:
-    """Missing tables, missing columns and changed types. Reads metadata only."""
-    drift = []
+    """Missing tables, missing columns and changed types. Reads metadata only; pass tables with
+    their own schemas, as ``stored_tables`` gives them."""
+    wrong: list[tuple[str, str | None, str, str]] = []
     for table in expected:
         if table not in tables:
-            drift.append((table, None, "table", "missing"))
-            continue
-        found = {f.name.lower(): f.dataType.simpleString() for f in tables[table].schema}
-        for field in S.schema(table):
-            want = field.dataType.simpleString()
-            have = found.get(field.name.lower(), "missing")
-            if have != want:
-                drift.append((table, field.name, want, have))
+            wrong.append((table, None, "table", "missing"))
+        else:
+            wrong += [(table, *row) for row in drift(table, tables[table])]
     columns = ("table", "column", "expected", "found")
-    return spark.createDataFrame(drift, ", ".join(f"{c} string" for c in columns))
+    return spark.createDataFrame(wrong, ", ".join(f"{c} string" for c in columns))

@@ -66,10 +66,10 @@ def test_backlog_is_strict(spark):
 
 def test_status_progress(spark):
     done = D.confirmed_operations("s", "n", "d")
-    assert one(spark, done, s="PCNF", n=4, d=5) == 3
-    assert one(spark, done, s="REL", n=4, d=5) == 2
-    assert one(spark, done, s="REL", n=1, d=5) == 0
-    assert one(spark, done, s="DLV", n=4, d=5) == 4
+    assert one(spark, done, s="PCNF", n=4, d=3) == 3
+    assert one(spark, done, s="REL", n=4, d=5) == 4
+    assert one(spark, done, s="CRTD", n=1, d=5) == 0
+    assert one(spark, done, s="DLV", n=4, d=1) == 4
     status = D.op_status("s", "p", "k")
     assert [one(spark, status, s="PCNF", p=p, k=2) for p in (1, 2, 3, 4)] == [
         "CNF", "CNF", "PCNF", "REL",

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from forgemart.functions import derivations as D
 from forgemart.functions.measures import MEASURES, Measure, measure
 from forgemart.operators import joins, quality
+from forgemart.operators.joins import ancestors
 from forgemart.operators.relations import EDGES, orphans, path, widen
+from forgemart.operators.totals import implicit_sum
 from forgemart.plans import analyses as A
 from forgemart.plans.evaluate import evaluate
+from forgemart.registry import QUERIES
+from forgemart.sources.binding import BoundMart
 
 
 @pytest.fixture(scope="module")
@@ -250,3 +254,77 @@ def test_checks_find_seeded_faults(mart):
     twice = t("COOIS_Confirmations").unionByName(t("COOIS_Confirmations"))
     assert quality.check_k10(t("COOIS_OrderOperations"), twice).count() == 5
     assert quality.duplicate_keys(t("CO24"), "CO24", ["Order", "Component"]).first()["rows"] == 3
+
+
+def test_overrides_chain(mart):
+    """A later override keeps what an earlier one replaces."""
+    both = (
+        measure("Order Count")
+        .where(lambda: F.col("StatusShort") == "REL", ["StatusShort"], override=True)
+        .where(lambda: F.col("Priority") >= 0, ["Priority"], override=True)
+    )
+    assert set(both.replaces) == {"StatusShort", "Priority"}
+    where = {"COOIS_OrderHeaders.StatusShort": lambda c: c == "CNF"}
+    headers = mart.table("COOIS_OrderHeaders")
+    released = headers.where("StatusShort = 'REL' and Priority >= 0").count()
+    assert released > 0
+    assert evaluate(mart, [both], where=where).first()[0] == released
+
+
+def test_sums_keep_small_values(spark):
+    rows = spark.range(10_000).select(F.lit(0.00004).alias("ScrapQuantity"))
+    assert rows.agg(measure("Total Scrap").column()).first()[0] == 0.4
+    assert implicit_sum(rows, "COOIS_Confirmations", ["ScrapQuantity"]).first()[0] == 0.4
+
+
+def test_unknown_quantities_stay_unknown(spark):
+    rows = spark.createDataFrame(
+        [(None, 1.0, 0.0), (5.0, None, 0.0), (5.0, 1.0, None), (5.0, 6.0, 0.0), (5.0, 1.0, 0.0)],
+        "r double, c double, i double",
+    )
+    gap = D.shortage("r", "c", "i")
+    found = [tuple(r) for r in rows.select(gap, D.missing_part(gap)).collect()]
+    assert found == [(None, None)] * 3 + [(0.0, 0), (4.0, 1)]
+    due = rows.select(D.missing_part(gap, F.lit("2026-01-01").cast("date"), "2025-12-31"))
+    assert {r[0] for r in due.collect()} == {0}
+
+
+def test_document_numbers_do_not_meet(spark):
+    from forgemart.sources.binding import _line_number
+
+    rows = spark.createDataFrame([(1, 12345), (11, 2345), (112, 345)], "l_orderkey long, op_seq long")
+    numbers = [r[0] for r in rows.select(_line_number(10)).collect()]
+    assert len(set(numbers)) == 3
+
+
+def test_allowed_days_are_arguments(spark):
+    days = [("a", 0, 0), ("b", 10, 40), ("c", -1, 5), ("d", 2, -1)]
+    start = F.lit("2026-01-10").cast("date")
+    headers = spark.createDataFrame(days, "`Order` string, lead int, span int").select(
+        "Order",
+        start.alias("CreationDate"),
+        F.date_add(start, F.col("lead")).alias("StartDate"),
+        F.date_add(start, F.col("lead") + F.col("span")).alias("FinishDate"),
+    )
+    assert {r["Order"] for r in quality.check_k8(headers).collect()} == {"c", "d"}
+    assert {r["Order"] for r in quality.check_k8(headers, (0, 5), (1, None)).collect()} == {"a", "b", "c", "d"}
+
+
+def test_grid_follows_the_actuals(spark, data, tmp_path):
+    """All line items moved by twenty years: the planning grid still has every actual."""
+    for table in ("part", "orders"):
+        spark.read.parquet(f"{data}/{table}.parquet").write.parquet(str(tmp_path / f"{table}.parquet"))
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    moved = lines.withColumn("l_shipdate", F.col("l_shipdate") + F.expr("interval 240 months"))
+    moved.write.parquet(str(tmp_path / "lineitem.parquet"))
+    grid = QUERIES["x04_sop_grid"](spark, str(tmp_path))
+    actuals = BoundMart(spark, str(tmp_path)).table("SOP_Targets").count()
+    assert grid.where("ActualQuantity is not null").count() == actuals
+
+
+def test_deep_and_circular_hierarchies(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(150)]
+    found = ancestors(spark.createDataFrame(chain, "ProductHierarchy string, Parent string"))
+    assert found.count() == 150 * 151 // 2
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "ProductHierarchy string, Parent string")
+    assert ancestors(ring).count() == 9

@@ -8,6 +8,8 @@ import decimal
 import pytest
 
 import __spark_entry__ as entry
+from forgemart.oracle.queries import ORACLE
+from forgemart.registry import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -46,13 +48,15 @@ def table(columns, rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, data, name):
-    df = entry.queries()[name](spark, data)
-    result = duck.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, data)
+    result = duck.execute(ORACLE[name])
     types = {d[0]: str(d[1]) for d in result.description}
     assert {f.name: TYPES[f.dataType.simpleString()] for f in df.schema} == types
     expected = table(list(types), result.fetchall())

@@ -1,4 +1,4 @@
-"""A key too large for one task takes the binned way; both ways must agree."""
+"""Every key is windowed in bins; the outcome is that of one plain window per key."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forgemart.operators.quality import check_k9
-from forgemart.operators.schedule import schedule
 from forgemart.operators.sequences import previous_row, row_numbers, running_total
-from forgemart.operators.skew import hot_keys
 from forgemart.plans.analyses import queue_time
+from forgemart.sources import binding
 from forgemart.sources.binding import BoundMart
 
 
@@ -31,60 +30,67 @@ def as_set(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_hot_keys(events):
-    assert hot_keys(events, "k", hot_rows=500) == [0]
-    assert hot_keys(events, "k", hot_rows=5000) == []
+def known(value):
+    return F.when(F.col("k").isNotNull(), value)
 
 
-@pytest.mark.parametrize("hot", [[], [0], [0, 1, 2]])
-def test_row_numbers(events, hot):
-    df = events.withColumn("b", F.floor(F.col("seq") / 100))
-    got = row_numbers(df, "k", ["b"], ["seq"], "n", hot)
-    plain = df.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("seq")))
-    assert as_set(got) == as_set(plain)
+@pytest.mark.parametrize("size", [10, 100, 10_000])
+def test_row_numbers(events, size):
+    got = row_numbers(events, "k", ["seq"], F.floor(F.col("seq") / size), "n")
+    plain = known(F.row_number().over(W.partitionBy("k").orderBy("seq")))
+    assert as_set(got) == as_set(events.withColumn("n", plain))
 
 
-@pytest.mark.parametrize("hot", [[], [0], [0, 1, 2]])
-def test_running_total(events, hot):
-    got = running_total(events, "k", "seq", F.floor(F.col("seq") / 50), "v", "t", hot)
+@pytest.mark.parametrize("size", [10, 50, 10_000])
+def test_running_total(events, size):
+    got = running_total(events, "k", "seq", F.floor(F.col("seq") / size), "v", "t")
     before = W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    plain = events.withColumn("t", F.coalesce(F.sum("v").over(before), F.lit(0)))
-    assert as_set(got) == as_set(plain)
+    plain = known(F.coalesce(F.sum("v").over(before), F.lit(0)))
+    assert as_set(got) == as_set(events.withColumn("t", plain))
 
 
-@pytest.mark.parametrize("hot", [[], [0], [0, 1, 2]])
-def test_previous_row(events, hot):
-    got = previous_row(events, "k", "seq", F.floor(F.col("seq") / 50), ["v"], "p", hot)
-    lag = F.lag(F.struct("v")).over(W.partitionBy("k").orderBy("seq"))
+@pytest.mark.parametrize("size", [10, 50, 10_000])
+def test_previous_row(events, size):
+    got = previous_row(events, "k", "seq", F.floor(F.col("seq") / size), ["v"], "p")
+    lag = known(F.lag(F.struct("v")).over(W.partitionBy("k").orderBy("seq")))
     assert as_set(got) == as_set(events.withColumn("p", lag))
 
 
-def test_hot_window_is_bound_to_the_bin(events):
-    got = row_numbers(
-        events.withColumn("b", F.floor(F.col("seq") / 100)), "k", ["b"], ["seq"], "n", [0]
-    )
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("windowspecdefinition(k#") == 3
-    assert "windowspecdefinition(k#" in plan and ", b#" in plan
-
-
-def test_bound_numbering_agrees(spark, data):
-    """Numbering line items with every order of six or more items taken as too large."""
-    plain = BoundMart(spark, data, hot_rows=None).numbered_lines()
-    split_mart = BoundMart(spark, data, hot_rows=6)
-    assert split_mart.hot_orders()
-    assert as_set(split_mart.numbered_lines()) == as_set(plain)
-
-
-def test_order_sequences_agree(spark, data):
-    """Schedule, queue time and sequence check with large orders taken the binned way."""
-    plain, split = (BoundMart(spark, data, hot_rows=n) for n in (None, 6))
-    ops = plain.table("COOIS_OrderOperations").withColumn("OrderStart", F.col("StartDate"))
-    confirmations = plain.table("COOIS_Confirmations")
-    hot = split.hot_orders()
-    for build in (
-        lambda h: schedule(ops, 6, h),
-        lambda h: queue_time(ops, confirmations, h),
-        lambda h: check_k9(ops, h),
-    ):
-        assert as_set(build(hot)) == as_set(build([]))
+def test_rows_of_a_key_are_spread(spark):
+    """1,500 frequent keys, and half of all rows without a key: no task holds much of either."""
+    key = F.when(F.col("id") % 2 == 0, None).otherwise(F.col("id") % 3000)
+    rows = spark.range(300_000).select(key.alias("k"), F.col("id").alias("seq"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        placed = row_numbers(rows, "k", ["seq"], F.floor(F.col("seq") / 30_000), "n")
+        sizes = placed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("rows"), F.max("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(sizes) == 64
+    assert max(r["rows"] for r in sizes) < 1.5 * 300_000 / 64
+
+
+def test_same_plan_at_every_size(spark, data):
+    def shape(root: str) -> list[str]:
+        plan = BoundMart(spark, root).table("COOIS_OrderOperations")._jdf.queryExecution()
+        lines = plan.optimizedPlan().toString().split("\n")
+        return [line.strip(" :+-").split(" ")[0] for line in lines]
+
+    assert shape(data) == shape(data.replace("0.001", "0.1"))
+
+
+def test_bound_numbering_agrees(spark, data, monkeypatch):
+    plain = as_set(BoundMart(spark, data).numbered_lines())
+    monkeypatch.setattr(binding, "LINES_PER_BIN", 2)
+    assert as_set(BoundMart(spark, data).numbered_lines()) == plain
+
+
+def test_rows_without_an_order_are_in_no_sequence(spark):
+    kind = "`Order` string, Operation string, StatusShort string, StartDate date, FinishDate date"
+    rows = [(None, "0010", "REL", None, None), (None, "0020", "CNF", None, None)]
+    operations = spark.createDataFrame(rows, kind)
+    assert check_k9(operations).isEmpty()
+    kind = "`Order` string, Operation string, ActualEnd timestamp, ActualMachineTime double"
+    assert queue_time(operations, spark.createDataFrame([], kind)).isEmpty()

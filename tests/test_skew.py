@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from forgemart.functions.measures import measure
 from forgemart.operators.joins import with_component
 from forgemart.operators.relations import join_edge
-from forgemart.operators.skew import hot_keys, lookup
+from forgemart.operators.skew import lookup
 from forgemart.plans.evaluate import evaluate
 from forgemart.sources.binding import BoundMart
 from forgemart.sources.mart import FrameMart
@@ -63,29 +63,37 @@ def test_measure_sums_before_the_join(skewed, no_broadcast):
     assert result.first()["operation_count"] == 120_000
 
 
-def test_lookup_keeps_hot_rows_in_place(skewed, no_broadcast):
+def test_lookup_of_sums_splits_the_key(skewed, no_broadcast):
+    """Also where the one side is an aggregate by the same key."""
     operations = skewed.table("COOIS_OrderOperations")
     counts = operations.groupBy(F.col("Order").alias("o")).agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(operations, "Order", hot_rows=10_000)
-    assert hot == ["hot"]
-    split = lookup(operations, counts, "Order", "o", hot)
-    plain = lookup(operations, counts, "Order", "o", [])
-    assert "BroadcastHashJoin" in executed(split)
-    assert split.exceptAll(plain).count() == 0 and split.count() == 120_000
+    joined = lookup(operations, counts, "Order", "o")
+    assert "SortMergeJoin(skew=true)" in executed(joined)
+    plain = operations.join(counts, F.col("Order") == F.col("o"), "left")
+    assert joined.exceptAll(plain).count() == 0 and joined.count() == 120_000
 
 
-def test_frequent_component(spark, data):
+def test_lookup_spreads_rows_without_a_key(spark, no_broadcast):
+    rows = spark.range(0, 60_000, 1, 4).select(
+        F.when(F.col("id") % 2 == 1, F.col("id")).alias("k"), F.col("id").alias("v")
+    )
+    ones = spark.range(0, 60_000, 3, 4).select(F.col("id").alias("o"), F.lit("x").alias("n"))
+    joined = lookup(rows, ones, "k", "o")
+    plain = rows.join(ones, F.col("k") == F.col("o"), "left")
+    assert joined.exceptAll(plain).count() == 0 and joined.count() == 60_000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counts = joined.groupBy(F.spark_partition_id().alias("p"))
+        sizes = counts.agg(F.count("*").alias("rows"), F.count("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(r["rows"] for r in sizes) < 1.3 * 60_000 / len(sizes)
+
+
+def test_components_meet_both_masters(spark, data):
     mart = BoundMart(spark, data)
     co24 = mart.table("CO24", "Order", "Component", "ShortageQuantity")
     masters = mart.table("MARA", "MATNR", "MTART"), mart.table("D_Part", "MATNR", "ABC_Class")
-    hot = hot_keys(co24, "Component", hot_rows=30)
-    assert hot
-    split, plain = (with_component(co24, *masters, keys) for keys in (hot, []))
-    assert split.exceptAll(plain).count() == 0 and split.count() == co24.count()
-
-
-def test_bound_facts_agree(spark, data):
-    plain, split = (BoundMart(spark, data, hot_rows=n) for n in (None, 6))
-    for name in ("COOIS_OrderOperations", "COOIS_Confirmations", "CO24", "MATDOC"):
-        a, b = plain.table(name), split.table(name)
-        assert b.exceptAll(a).count() == 0 and a.count() == b.count()
+    found = with_component(co24, *masters)
+    assert found.count() == co24.count()
+    assert found.where("MTART is null or ABC_Class is null").isEmpty()

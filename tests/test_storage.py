@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from forgemart.sources import storage
 from forgemart.sources.binding import AS_OF, BoundMart
 from forgemart.sources.mart import CatalogMart, FrameMart, StoredMart, store
 
+DATA = os.environ.get("FORGEMART_TEST_DATA", "/root/testdata/sf0.001")
+
 
 @pytest.fixture(scope="module")
 def bound(spark, data):
@@ -54,8 +60,9 @@ def test_conform_truncates_and_keeps_null(spark):
 
 def test_run_log(spark):
     assert storage.run_log(spark, []).first()[0] == "none"
-    long = storage.run_log(spark, [("s", "ok", "x" * 6000)]).first()
-    assert len(long["detail"]) == 5000
+    long = "Traceback " + "x" * 6000 + " the cause"
+    assert storage.run_log(spark, [("s", "ok", long)]).first()["detail"] == long
+    assert storage.run_log(spark, [("s", "ok", long)], most=9).first()["detail"] == "the cause"
     root = storage.new_root(spark)
 
     def fail():
@@ -68,6 +75,34 @@ def test_run_log(spark):
     assert any("broken step" in r["detail"] for r in log)
 
 
+def test_dropped_column_is_reported(spark, bound):
+    root = storage.new_root(spark)
+    storage.save(bound.table("MARA").drop("MTART"), root, "MARA")
+    storage.save(bound.table("MARC").withColumn("DZEIT", F.lit("3")), root, "MARC")
+    for table, column in (("MARA", "MTART"), ("MARC", "DZEIT")):
+        with pytest.raises(ValueError, match=column):
+            storage.load(spark, root, table)
+    found = storage.validate(spark, storage.stored_tables(spark, root), ["MARA", "MARC", "MARD"])
+    assert {tuple(r) for r in found.collect()} == {
+        ("MARA", "MTART", "string", "missing"),
+        ("MARC", "DZEIT", "int", "string"),
+        ("MARD", None, "table", "missing"),
+    }
+
+
+def test_nothing_is_left_behind(tmp_path):
+    """A driver's folders go when it ends."""
+    code = (
+        "from forgemart.session import local_session; from forgemart.registry import QUERIES;"
+        "s = local_session(2);"
+        "[QUERIES[q](s, %r).count() for q in ('s04_overwrite', 'j22_hierarchy')]; s.stop()"
+    ) % DATA
+    options = {"PYSPARK_SUBMIT_ARGS": f"--conf spark.checkpoint.dir={tmp_path} pyspark-shell"}
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=repo, env=os.environ | options, check=True, timeout=300)
+    assert not list(tmp_path.glob("mart-*"))
+
+
 def test_work_dir_follows_the_session(spark, monkeypatch):
     class Conf:
         @staticmethod
