@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -12,26 +11,16 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import DataFrame, SparkSession
 
+from forgemart.sources import storage
+
 #: Bytes of text that a Python step works on at once, whatever the size of Arrow's batches.
 BATCH_BYTES = 4 << 20
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, deleted when the driver ends.
-
-    The setting is the session's; only where it is unset, as in tests, a temporary folder stands in.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="forgemart-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(hadoop)
-    files.mkdirs(place)
-    files.deleteOnExit(place)
-    return path
+    """A new folder below the session's spark.checkpoint.dir, deleted when the driver ends. Only where
+    that is unset and Spark runs locally, as in tests, a temporary folder stands in."""
+    return storage.new_root(spark)
 
 
 _shipped: set[str] = set()

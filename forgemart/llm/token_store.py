@@ -23,7 +23,7 @@ from forgemart.llm.scratch import map_arrow, slices, texts_as_bytes
 #: Bytes of compressed documents in a block (a longer document is a block of its own), bytes of the
 #: dictionary, and the documents and characters of each that it is trained on.
 BLOCK_BYTES, DICT_BYTES, SAMPLE, SAMPLE_CHARS, LEVEL = 1 << 20, 1 << 16, 2000, 1 << 13, 3
-MEMO = 250_000  # pieces of words whose ids a Python worker keeps, twice
+MEMO = 300_000  # pieces of words whose ids a Python worker keeps, twice
 
 #: The file format: a Parquet table of blocks, and a table `dictionary` beside it.
 BLOCKS = (
@@ -38,12 +38,12 @@ _PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGN
 _OTHER = re.compile(rf"[^{_LETTERS}0-9{_SIGNS} \n]|[ \n](?:[ \n]|\Z)|\A[ \n]").search
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> dict[int, str]:
     """The characters that byte-level BPE writes for bytes: printable ones stand for themselves, the
     others are counted from 256."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in printable]
-    return {b: 256 + i for i, b in enumerate(others)}
+    return {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
@@ -67,7 +67,11 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        if piece.isascii():
+            letters = piece.replace(" ", self.letters[32]).replace("\n", self.letters[10])
+        else:
+            letters = "".join([self.letters.get(b) or chr(b) for b in piece.encode()])
+        tokens = self.tokenizer.model.tokenize(letters)
         return array("I", [t.id for t in tokens]).tobytes()
 
     def _known(self, text: str) -> bool:
@@ -108,15 +112,16 @@ def deserialize(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
-def train_dictionary(docs: DataFrame, model: str, end: int, text: str = "text") -> bytes:
+def train_dictionary(docs: DataFrame, model: str, end: int, doc_id: str = "doc_id", text: str = "text") -> bytes:
     """A zstandard dictionary trained on the id arrays of SAMPLE texts, of SAMPLE_CHARS characters
-    at most: those with the least hash. Only this sample is bounded; it shapes the size of the files
-    and not what they hold. Too few texts give an empty dictionary."""
-    sample = (
-        docs.select(F.col(text).alias("text")).where(F.length("text") > 0)
-        .orderBy(F.xxhash64("text")).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE)
-    )
-    texts = [row["text"] for row in sample.collect()]
+    at most: those whose ids have the least hashes. Only this sample is bounded; it shapes the size
+    of the files and not what they hold. Too few texts give an empty dictionary."""
+    rows = docs.select(F.xxhash64(doc_id).alias("hash"), F.col(text).alias("text"))
+    # The hashes first, so that no task sends texts that other tasks' texts displace.
+    least = rows.select("hash").orderBy("hash").limit(SAMPLE).agg(F.max("hash")).first()[0]
+    sample = rows.where(F.col("hash") <= F.lit(least)).limit(SAMPLE)
+    sample = sample.select("hash", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where(F.length("text") > 0)
+    texts = [row["text"] for row in sorted(sample.collect(), key=lambda row: (row["hash"], row["text"]))]
     samples = [serialize(np.frombuffer(ids + np.uint32(end).tobytes(), "<u4")) for ids in encoder(model).encode(texts)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -152,7 +157,7 @@ def write_tokens(docs: DataFrame, model_path: str, folder: str, end: int, *, doc
     with open(model_path, encoding="utf-8") as file:
         model = file.read()
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, model, end, text)
+    dictionary = train_dictionary(docs, model, end, doc_id, text)
     key = dictionary_hash(dictionary)
     entry = spark.createDataFrame([(key, bytearray(dictionary))], "dict_hash string, dictionary binary")
     entry.coalesce(1).write.parquet(f"{folder}/dictionary")
