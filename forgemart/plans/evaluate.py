@@ -1,8 +1,8 @@
 """Measures by columns of any reachable dimension, over one or several facts.
 
 A fact is never joined to another fact, so its rows are never multiplied. Where possible a fact
-is summed per foreign key before it is joined to a dimension, and again before each further one
-(see ``partial_sums``). The partial sums of all facts are then stacked and summed once more: one
+is summed per foreign key before it is joined to a dimension, and by what is left before each
+further one (see ``partial_sums``). The partial sums of all facts are then stacked and summed once more: one
 shuffle on the group columns brings all facts together, and rows without a dimension meet in the
 null group.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgemart.functions.measures import Measure, count_of
-from forgemart.operators.relations import dotted, follow, narrow_column, path
+from forgemart.operators.relations import Edge, dotted, follow, narrow_column, path, prefixed
 
 Predicate = Callable[[Column], Column]
 
@@ -32,16 +32,46 @@ def output_names(by: Sequence[str]) -> dict[str, str]:
     return {b: c if short.count(c) == 1 else b.replace(".", "_") for b, c in zip(by, short)}
 
 
+def needed(
+    df: DataFrame, later: Sequence[Edge], by: Sequence[str], values: Mapping[str, Column]
+) -> set[str]:
+    """Columns that further joins or the groups ask for, and the values."""
+    return {f"{e.many}.{e.many_key}" for e in later} | set(by) | set(values)
+
+
+def dimension_map(
+    mart, root: Edge, edges: Sequence[Edge], far: Sequence[str]
+) -> tuple[DataFrame, set[str]]:
+    """One row for each key of the root's dimension, with the wanted columns of all dimensions
+    that are reached through it; and the tables it has."""
+    chain, reached = [], {root.one}
+    for e in edges:
+        if e.many in reached:
+            chain.append(e)
+            reached.add(e.one)
+
+    def columns(table: str) -> list[str]:
+        onward = [e.many_key for e in chain if e.many == table]
+        return list(dict.fromkeys([*onward, *(c for t, c in map(_split, far) if t == table)]))
+
+    own = tuple(dict.fromkeys((root.one_key, *columns(root.one))))
+    dims = prefixed(mart.table(root.one, *own), root.one, own)
+    for e in chain:
+        dims = follow(dims, mart, e, columns(e.one))
+    return dims, reached
+
+
 def partial_sums(
     mart, fact: str, measures: Sequence[Measure], by: Sequence[str], where: Mapping[str, Predicate]
 ) -> DataFrame:
     """Partial sums of one fact by the group columns, ready to be stacked.
 
-    Before a hop, rows are summed per join key if that is the only column they are still told
-    apart by: the sums are then partitioned just as the join needs, and a key shared by very many
-    rows (or by all rows without a key) is one row. With more columns the sums would need a
-    shuffle of their own; there the join stays a plain one, in which adaptive execution splits an
-    overlarge key.
+    The dimensions that a foreign key leads to are joined to each other first, to one row a key, so
+    a fact meets each of its keys once. Rows are summed per key before the first such join if that
+    is the only column they are still told apart by: the sums are then partitioned just as the join
+    needs, and a key shared by very many rows (or by all rows without a key) is one row. With more
+    columns that join stays a plain one, in which adaptive execution splits an overlarge key. Before
+    each later join, rows are summed by what is left of them: dimension columns and further keys.
     """
     wanted = list(dict.fromkeys([*by, *where]))
     far = [c for c in wanted if _split(c)[0] != fact]
@@ -64,17 +94,18 @@ def partial_sums(
         *[value.alias(name) for name, value in values.items()],
     )
 
-    for at, e in enumerate(edges):
-        later = edges[at:]
-        needed = {f"{n.many}.{n.many_key}" for n in later} | set(by)
-        kept = [c for c in df.columns if c in needed]
-        if len(kept) == 1:
-            df = df.groupBy(dotted(kept[0])).agg(*[F.sum(dotted(c)).alias(c) for c in values])
-        onward = [n.many_key for n in later if n.many == e.one]
-        asked = [_split(c)[1] for c in far if _split(c)[0] == e.one]
-        df = follow(df, mart, e, (*onward, *asked))
+    sums = [F.sum(dotted(c)).alias(c) for c in values]
+    roots = [e for e in edges if e.many == fact]
+    for at, root in enumerate(roots):
+        df = df.select(*[dotted(c) for c in df.columns if c in needed(df, roots[at:], by, values)])
+        kept = [c for c in df.columns if c not in values]
+        if len(kept) == 1 or at > 0:
+            df = df.groupBy(*map(dotted, kept)).agg(*sums)
+        dims, reached = dimension_map(mart, root, edges, far)
+        same = dotted(f"{fact}.{root.many_key}") == dotted(f"{root.one}.{root.one_key}")
+        df = df.join(dims, same, "left")
         for name in far:
-            if name in where and _split(name)[0] == e.one:
+            if name in where and _split(name)[0] in reached:
                 df = df.where(where[name](dotted(name)))
     return df.select(
         *[dotted(b).alias(n) for b, n in output_names(by).items()], *[dotted(c) for c in values]
