@@ -1,8 +1,9 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR, BENCH_CPUS and BENCH_RUNS override the data folder, the cores and the timed runs
-per query. Each query runs once untimed, then its median counts. Results go to Spark's no-op
-sink, so every row and column is computed and nothing is collected.
+per query (five). Each query runs once untimed, then its median counts; "spread" has the least and
+the most of its runs. Results go to Spark's no-op sink, so every row and column is computed and
+nothing is collected.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus)
 
@@ -59,10 +60,12 @@ def main() -> None:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    seconds = {}
+    seconds, spread = {}, {}
     for name in names:
         timed(name)
-        seconds[name] = round(statistics.median(timed(name) for _ in range(runs)), 3)
+        took = [timed(name) for _ in range(runs)]
+        seconds[name] = round(statistics.median(took), 3)
+        spread[name] = [round(min(took), 3), round(max(took), 3)]
     print(
         json.dumps(
             {
@@ -70,6 +73,8 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "spread": spread,
+                "runs": runs,
                 "sf": os.path.basename(folder).removeprefix("sf"),
                 "cpus": cpus,
             }

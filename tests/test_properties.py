@@ -88,3 +88,23 @@ def test_sums_precede_joins(spark, data):
         assert plan.rindex("Exchange", 0, scan) < plan.rindex("partial_sum", 0, scan)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_facts_meet_one_dimension_map(spark, data):
+    """Without broadcasts, raw rows are shuffled once, by the first key; and several facts share the
+    map from orders to the wanted columns, whose shuffle is reused."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES["i04_measure_by_dims"](spark, data))
+        assert plan.count("hashpartitioning(COOIS_Confirmations.Order") == 1
+        center = plan.index("Exchange hashpartitioning(COOIS_Confirmations.WorkCenter")
+        assert center < plan.index("partial_sum(total_yield#0", center)
+        df = QUERIES["i05_drill_across"](spark, data)
+        df.collect()
+        final = plan_of(df).split("Initial Plan")[0]
+        assert final.count("lineitem.parquet") <= 4
+        assert "ReusedExchange" in final
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
