@@ -79,6 +79,15 @@ class Lines(HTMLParser):
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers aren't needed
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        end = self.rawdata.find(">", i)  # HTML skips "<![" to the next ">", whatever it says
+        return end + 1 if end >= 0 else -1
+
+    def close(self) -> None:
+        if re.match("<[a-zA-Z/!?]", self.rawdata):
+            self.rawdata = ""  # a tag or comment that the page's end cuts off
+        super().close()
+
     def _new_line(self) -> None:
         _, apart, article = self.open[-1]
         self.line = Line(article, apart)

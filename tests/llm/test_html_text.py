@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 
 import pytest
@@ -23,6 +24,9 @@ LONG = "Stones lie in the river, and the light of the evening goes over them slo
         ("<article><p><b>bold<p>next<br><p>third</article>", "bold\n\nnext\n\nthird"),
         ("<article><script>var t='</p>';</script><style>p{}</style><p>Text</p><!-- note --></article>", "Text"),
         ("<article><p>cut off in the mid", "cut off in the mid"),
+        ("<article><p>one</p><p>two</p", "one\n\ntwo"),
+        ("<article><p>one<!-- two <p>three", "one"),
+        ("<article><p>a<![foo[x]]>b</p><![endif]>", "ab"),
         ("<article><p>one</p><p>two &am", "one\n\ntwo &am"),
         ("plain words without a tag", "plain words without a tag"),
         ("", ""),
@@ -34,6 +38,16 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_any_page_has_a_text():
+    draw = random.Random(1)
+    parts = (
+        "<p> </p> <div_class=ad> </div> <![ [ ]]> <! <!-- --> & &amp text < /> <script> </script> <article> </article>"
+        " ' \" = <br/> <h1> <textarea> <title> &#x110000; &#xD800; <?php ?> \0"
+    ).split(" ")
+    for _ in range(3000):
+        html_text.main_text("".join(draw.choice(parts).replace("_", " ") for _ in range(draw.randint(0, 14)))).encode()
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>Text</p></article>", "clash"), (2, None, None, None), (None, "u", "", "x")]
     rows += [rows[0], (5, "u", "<article>" + "<p>line of words</p>" * 20_000 + "</article>", "x")]
