@@ -7,7 +7,7 @@ rows. Amounts are computed in whole cents, tenths or hundredths and divided once
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +56,7 @@ LINE_ORDER = (
 
 # Minutes from an operation's end to its posting, by its part.
 DELAY_MINUTES = (6, 18, 45, 90, 150, 300, 720, 2160)
+LINE_SPREAD = ("l_partkey", "l_suppkey")  # deal out line items without an order
 LINES_PER_BIN = 1_000  # line numbers of an order that are numbered in one task
 
 # Types of the given tables that are read, so that opening them needs no look into their files.
@@ -377,9 +378,11 @@ class BoundMart:
             .agg(F.min("l_partkey").alias("order_part"), (F.sum(_hundredths()) / 100).alias("order_quantity"))
         )
 
-    def _with_order_part(self, df: DataFrame, key: str, wanted: set[str]) -> DataFrame:
+    def _with_order_part(
+        self, df: DataFrame, key: str, wanted: set[str], by: Sequence[str]
+    ) -> DataFrame:
         """Add the order's material number and, where needed, its part row."""
-        df = lookup(df, self._order_totals(), key, "total_order")
+        df = lookup(df, self._order_totals(), key, "total_order", by)
         if wanted & {"ProductGroup", "MaterialText", "SOP_Relevant"}:
             part = self.source("part").select("p_partkey", "p_name", "p_type")
             df = df.join(part, F.col("order_part") == F.col("p_partkey"), "left")
@@ -414,7 +417,7 @@ class BoundMart:
         }
         df = self.source("orders")
         if wanted & set(joined):
-            df = self._with_order_part(df, "o_orderkey", wanted)
+            df = self._with_order_part(df, "o_orderkey", wanted, ["o_custkey"])
         return df, own | joined
 
     # ---- line-item facts ----------------------------------------------------------------
@@ -427,7 +430,7 @@ class BoundMart:
     def _lines(self, wanted: set[str], numbered: set[str], by_order: set[str]) -> DataFrame:
         df = self.numbered_lines() if wanted & numbered else self.source("lineitem")
         if wanted & by_order:
-            df = self._with_order_part(df, "l_orderkey", wanted)
+            df = self._with_order_part(df, "l_orderkey", wanted, LINE_SPREAD)
         return df
 
     def _created(self) -> DataFrame:
@@ -440,7 +443,7 @@ class BoundMart:
     def _order_operations(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         df = self._lines(wanted, {"Operation"}, {"Material", "ProductGroup", "WERKS"})
         if wanted & {"StatusShort", "SystemStatus"}:
-            df = lookup(df, self._created(), "l_orderkey", "o_orderkey")
+            df = lookup(df, self._created(), "l_orderkey", "o_orderkey", LINE_SPREAD)
         flag = F.col("l_returnflag")
 
         def status() -> Column:

@@ -108,3 +108,9 @@ def test_facts_meet_one_dimension_map(spark, data):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_lookups_read_few_columns(spark, data):
+    plan = plan_of(BoundMart(spark, data).table("COOIS_OrderHeaders", "Order", "Material"))
+    read = [line.split("ReadSchema: struct<")[1] for line in plan.split("\n") if "orders.parquet" in line]
+    assert [sorted(c.split(":")[0] for c in r.rstrip(">").split(",")) for r in read] == [["o_custkey", "o_orderkey"]]
