@@ -181,7 +181,8 @@ def mix(
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + extent - 1) / block)
     parts = rows.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     same = F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.block") == F.col("r.block"))
-    pieces = parts.alias("l").join(slots(known, shard).alias("r"), same)
+    # Slots are counted out from far fewer rows, which would make them look small enough to broadcast.
+    pieces = parts.alias("l").join(slots(known, shard).hint("merge").alias("r"), same)
     here = F.col("l.block") * block
     pieces = pieces.select(
         "l.key", "check", "doc_id", "l.source", "size", "shard", "slot", "pass",
