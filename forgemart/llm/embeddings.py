@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from forgemart.llm.components import components, merge_links
 from forgemart.llm.scratch import map_arrow, saved, ship_code, whole_number
 
-#: Vectors of one tree, centres of cells in all at most (a fixed bound of what is sent to tasks),
-#: and the slack of bounds against rounding.
-PIECE, CENTRES, SLACK = 2048, 4096, 1e-9
+#: Vectors of one tree, and centres of cells in all at most (a fixed bound of what is sent to tasks).
+PIECE, CENTRES = 2048, 4096
+#: Distance below which points are compared by value, and the slack of bounds against rounding.
+NEAR, SLACK = 1e-7, 1e-6
 
 
 class CoverTree:
@@ -31,38 +32,39 @@ class CoverTree:
         self.points = points
         self.order = np.arange(len(points))
         self.centre, self.begin, self.end, self.radius, self.children = [], [], [], [], []
-        away = np.sqrt(np.maximum(((points - points[0]) ** 2).sum(1), 0))
-        self._node(0, len(points), away, float(away.max()))
-
-    def _node(self, begin: int, end: int, away: np.ndarray, scale: float) -> int:
-        """A node for order[begin:end], whose first is the centre; `away` are the distances from it."""
-        me = len(self.centre)
-        self.centre.append(int(self.order[begin]))
+        # All distances of the piece at once, to about 1e-8; bounds leave a hundred times as much.
+        self.apart = np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
+        self._node(0, len(points), 2.0)
+        del self.apart
+
+    def _node(self, begin: int, end: int, scale: float) -> int:
+        """A node for order[begin:end], whose first is the centre."""
+        me, rows = len(self.centre), self.order[begin:end].copy()
+        centre = int(rows[0])
+        distance = self.apart[centre, rows]
+        same = len(rows) == 1 or bool(distance.max() < NEAR and (self.points[rows] == self.points[centre]).all())
+        self.centre.append(centre)
         self.begin.append(begin)
         self.end.append(end)
-        self.radius.append(float(away.max()))
+        self.radius.append(0.0 if same else max(float(distance.max()), NEAR))
         self.children.append(())
-        if self.radius[me] == 0:
+        if same:
             return me  # copies of one point
         scale = min(scale, self.radius[me]) / 2
         kids = []
-        rows, distance = self.order[begin:end], away
         while len(rows):
-            near = distance <= scale
-            near[0] = True
-            kids.append((rows[near], distance[near]))
+            if self.radius[me] <= NEAR:  # too near to tell by distance: a child for each point
+                near = (self.points[rows] == self.points[rows[0]]).all(1)
+            else:
+                near = self.apart[rows[0], rows] <= scale
+                near[0] = True
+            kids.append(rows[near])
             rows = rows[~near]
-            if len(rows):
-                gap = self.points[rows] - self.points[rows[0]]
-                distance = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        self.order[begin:end] = np.concatenate(kids)
         at, children = begin, []
-        for rows, _ in kids:
-            self.order[at : at + len(rows)] = rows
-            at += len(rows)
-        at = begin
-        for rows, distance in kids:
-            children.append(self._node(at, at + len(rows), distance, scale))
-            at += len(rows)
+        for kid in kids:
+            children.append(self._node(at, at + len(kid), scale))
+            at += len(kid)
         self.children[me] = np.array(children)
         return me
 
@@ -72,12 +74,12 @@ class CoverTree:
         return self
 
 
-def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Covers the pairs of unit vectors of a and b at `cosine` or more exactly once.
 
-    Gives (rows of a, rows of b, whole): all pairs of both if whole, else one pair each place. A pair
-    of nodes is dropped if its centres are further apart than the threshold and both radii allow,
-    and taken whole if they are so near that all pairs are within it.
+    Gives (rows of a, rows of b), all pairs of which are near. A pair of nodes is dropped if its
+    centres are further apart than the threshold and both radii allow, and taken whole if they are
+    so near that all pairs are within it; otherwise children meet children.
     """
     reach = np.sqrt(2 - 2 * cosine)
     todo = [(np.array([0]), np.array([0]))]
@@ -85,15 +87,21 @@ def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.n
         left, right = todo.pop()
         x, y = a.points[a.centre[left]], b.points[b.centre[right]]
         dot = x @ y.T
+        thick_left, thick_right = a.radius[left] > 0, b.radius[right] > 0
+        if not thick_left.any() and not thick_right.any():
+            for i, j in zip(*np.nonzero(dot >= cosine), strict=True):
+                p, q = left[i], right[j]
+                yield a.order[a.begin[p] : a.end[p]], b.order[b.begin[q] : b.end[q]]
+            continue
         apart = np.sqrt(np.maximum(2 - 2 * dot, 0))
         radii = a.radius[left][:, None] + b.radius[right][None, :]
         single = radii == 0
         exact = single & (dot >= cosine)
-        inside = ~single & (apart + radii <= reach - 1e-6)
-        further = ~single & ~inside & (apart - radii <= reach + 1e-6)
+        inside = ~single & (apart + radii <= reach - SLACK)
+        further = ~single & ~inside & (apart - radii <= reach + SLACK)
         for i, j in zip(*np.nonzero(inside | exact), strict=True):
             p, q = left[i], right[j]
-            yield a.order[a.begin[p] : a.end[p]], b.order[b.begin[q] : b.end[q]], True
+            yield a.order[a.begin[p] : a.end[p]], b.order[b.begin[q] : b.end[q]]
         # Each node's children meet the children of all its partners in one product.
         for i in np.flatnonzero(further.any(1)):
             p = left[i]
@@ -122,7 +130,7 @@ def link_cell(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
     trees = CoverTree(unit[inside]).freeze(), CoverTree(unit[asked]).freeze()
     singles = []
-    for left, right, _ in near_pairs(*trees, cosine):
+    for left, right in near_pairs(*trees, cosine):
         left, right = inside[left], asked[right]
         links[left] += weight[right].sum()
         singles.append((left[0], right[0]))
@@ -201,7 +209,7 @@ def _links(nodes: DataFrame, cosine: float) -> DataFrame:
         centres.setdefault((str(row["label"]), len(row["vector"])), []).append(row["vector"])
     centres = {key: _unit(np.array(some)) for key, some in centres.items()}
     sent = spark.sparkContext.broadcast(centres)
-    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
+    reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
