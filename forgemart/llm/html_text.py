@@ -29,26 +29,54 @@ APART = frozenset(
 ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split()
 )
-#: Words of class and id values that mark what stands around an article.
+#: Class names and ids, as a whole, that mark what stands around an article.
 MARKS = frozenset(
-    "ad ads adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
-    "commentlist comments consent cookie cookies disclaimer disqus discussion footer gdpr masthead "
-    "menu menus modal nav navbar navigation newsletter notice notices notification overlay pager "
-    "pagination popup privacy promo promoted promotion recommended related replies reply "
-    "respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
-    "teaser toc toolbar topbar widget widgets".split()
+    "ad ads adslot advert adverts advertisement advertisements ad-banner ad-box ad-container ad-slot ad-unit "
+    "ad-wrapper breadcrumb breadcrumbs commentlist comment-form comment-list comment-section comments "
+    "comments-area comments-section post-comments cookie-banner cookie-bar cookie-consent cookie-notice "
+    "cookie-popup disqus gdpr gdpr-banner main-footer page-footer site-footer main-menu site-menu masthead "
+    "main-nav nav-bar nav-menu navbar page-nav site-nav newsletter-form newsletter-signup pager pagination "
+    "popup respond share-bar share-buttons share-links sidebar side-bar sidebar-widget signup skip-link "
+    "skip-links social-buttons social-icons social-links social-share teaser toc toolbar topbar".split()
 )
+#: The same for names that sections and paragraphs have after what they are about; these mark only
+#: elements without a meaning of their own, and lists.
+TOPICS = frozenset(
+    "advertising banner comment consent cookie cookies disclaimer discussion footer menu menus modal nav "
+    "navigation newsletter notice notices notification overlay privacy promo promoted promotion recommended "
+    "recommended-articles recommended-posts related related-articles related-links related-posts "
+    "related-stories replies reply share sharing skip social social-media sponsor sponsored subscribe "
+    "subscription widget widgets".split()
+)
+PLAIN = frozenset("center details div dl fieldset ol table ul".split())
+#: Of these, the names that an article element can have, and those of elements whose articles are
+#: readers' comments.
+REMARKS = frozenset("ad comment comment-body comment-content reply".split())
+THREADS = frozenset(
+    "commentlist comment-list comment-section comments comments-area comments-section discussion disqus "
+    "post-comments replies respond".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 STREAM = 1 << 14  # characters fed to the parser at a time
 
 
+class Mark:
+    """An element that a class or id marks as apart, unless it turns out to hold an article."""
+
+    __slots__ = ("articles", "holds", "outer", "thread")
+
+    def __init__(self, outer: Mark | None, articles: int, thread: bool):
+        self.outer, self.articles, self.thread, self.holds = outer, articles, thread, False
+
+
 class Line:
-    """A block of the page: its text, the tags met in it, the article it is in (0: none), and
-    whether it stands apart from any article by its elements."""
+    """A block of the page: its text, the tags met in it, the article it is in (0: none), whether
+    it stands apart from any article by its elements, and the innermost mark around it."""
 
-    __slots__ = ("apart", "article", "parts", "tags")
+    __slots__ = ("apart", "article", "mark", "parts", "tags")
 
-    def __init__(self, article: int, apart: bool):
-        self.article, self.apart = article, apart
+    def __init__(self, article: int, apart: bool, mark: Mark | None):
+        self.article, self.apart, self.mark = article, apart, mark
         self.parts: list[str] = []
         self.tags = 0
 
@@ -57,13 +85,18 @@ class Line:
 
 
 @functools.lru_cache(maxsize=4096)
-def _stands_apart(role: str, names: str, tag: str) -> bool:
-    """Whether role, class or id mark an element as apart."""
-    if tag in ("html", "body", "main", "h1") or role in ("main", "article"):
-        return False
-    words = re.split(r"[^a-z]+", names)
-    marks = ("comment", "reply", "ad") if tag == "article" else MARKS
-    return role in ROLES or not frozenset(marks).isdisjoint(words)
+def _marks(classes: str, name: str, tag: str) -> tuple[bool, bool]:
+    """Whether class or id mark an element as apart, and as a thread of comments."""
+    if tag in ("html", "body", "main") or tag in HEADINGS:
+        return False, False
+    classes = classes.replace("_", "-").split()
+    names = {*classes, name.replace("_", "-").strip()}
+    if tag == "article":
+        return not REMARKS.isdisjoint(names), False
+    marked = not MARKS.isdisjoint(names)
+    if tag in PLAIN and "section" not in classes:
+        marked = marked or not TOPICS.isdisjoint(names)
+    return marked, marked and not THREADS.isdisjoint(names)
 
 
 class Lines(HTMLParser):
@@ -71,9 +104,11 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = [("", False, 0)]  # tag; apart and article inside
-        self.articles = self.paragraphs = 0
-        self.line = Line(0, False)
+        # tag; apart, article and innermost mark inside
+        self.open: list[tuple[str, bool, int, Mark | None]] = [("", False, 0, None)]
+        self.articles = self.paragraphs = self.depth = 0  # depth: article elements open
+        self.kinds = [""]  # of the open elements: the tag, or article or main by role
+        self.line = Line(0, False, None)
         self.lines = [self.line]
 
     def updatepos(self, i: int, j: int) -> int:
@@ -89,10 +124,27 @@ class Lines(HTMLParser):
         super().close()
 
     def _new_line(self) -> None:
-        _, apart, article = self.open[-1]
-        self.line = Line(article, apart)
+        _, apart, article, mark = self.open[-1]
+        self.line = Line(article, apart, mark)
         self.lines.append(self.line)
 
+    def _holds(self, mark: Mark | None, kind: str) -> None:
+        """Takes back the marks around an article, main or h1.
+
+        An article inside an article is a remark on it, and so is one in a thread of comments.
+        """
+        marks = []
+        while mark:
+            if not mark.holds:
+                if kind == "article" and (mark.articles or mark.thread):
+                    return
+                if kind == "h1" and mark.articles != self.depth:
+                    return
+                marks.append(mark)
+            mark = mark.outer
+        for mark in marks:
+            mark.holds = True
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.line.parts.append("\n")
@@ -105,18 +157,32 @@ class Lines(HTMLParser):
             if self.paragraphs:
                 self.handle_endtag("p")  # paragraphs don't nest
             self.paragraphs += 1
-        _, apart, article = self.open[-1]
+        _, apart, article, mark = self.open[-1]
         role = ""
+        marked = thread = False
         if attrs and not apart:
             values = {k: (v or "").lower() for k, v in attrs}
             role = values.get("role", "")
-            names = f"{values.get('class', '')} {values.get('id', '')}"
-            apart = "hidden" in values or _stands_apart(role, names, tag)
+            named = tag not in ("html", "body", "main", "h1") and role not in ("main", "article")
+            apart = "hidden" in values or (named and role in ROLES)
+            if "class" in values or "id" in values:
+                kind = "main" if role == "main" else "article" if role == "article" else tag
+                marked, thread = _marks(values.get("class", ""), values.get("id", ""), kind)
         apart = apart or tag in APART or (tag == "header" and not article)
-        if (tag in ("article", "main") or role in ("article", "main")) and not article and not apart:
+        kind = tag if tag in ("article", "main") else role if role in ("article", "main") else tag
+        if kind == "article" and marked and self.depth:
+            apart, marked = True, False
+        if kind in ("article", "main", "h1") and mark and not apart and not marked:
+            self._holds(mark, kind)
+        if kind == "article":
+            self.depth += 1
+        if marked and not apart:
+            mark = Mark(mark, self.depth, thread)
+        if kind in ("article", "main") and not article and not apart:
             self.articles += 1
             article = self.articles
-        self.open.append((tag, apart, article))
+        self.open.append((tag, apart, article, mark))
+        self.kinds.append(kind)
         if tag in BLOCK or tag in APART:
             self._new_line()
         self.line.tags += 1
@@ -128,9 +194,10 @@ class Lines(HTMLParser):
         for i in range(len(self.open) - 1, 0, -1):
             at = self.open[i][0]
             if at == tag:
-                ended = [t for t, _, _ in self.open[i:]]
+                ended = [t for t, *_ in self.open[i:]]
                 self.paragraphs -= ended.count("p")
-                del self.open[i:]
+                self.depth -= self.kinds[i:].count("article")
+                del self.open[i:], self.kinds[i:]
                 if any(t in BLOCK or t in APART for t in ended):
                     self._new_line()
                 break
@@ -153,7 +220,8 @@ def main_text(html: str, width: float = 1.0, level: float = 0.5) -> str:
     """The article of a page; its blocks are joined by two line feeds.
 
     Each block of text is a line with the ratio of its characters to its tags, 0 if it stands apart
-    (menus, footers, forms, notices and such, by element, role, class or id). Ratios are smoothed;
+    (menus, footers, forms, notices and such, by element, role, class or id; classes and ids never
+    mark headings nor what an article, main or h1 element is in). Ratios are smoothed;
     lines at `level` times the mean of the text lines or more are content. An article or main
     element with content in it is the region, and all its lines stay, short ones as well. Without
     such elements the region reaches from the first content line to the last, less what is apart.
@@ -163,6 +231,10 @@ def main_text(html: str, width: float = 1.0, level: float = 0.5) -> str:
         parser.feed(html[i : i + STREAM])
     parser.close()
     lines = [(line, text) for line in parser.lines if (text := line.text())]
+    for line, _ in lines:
+        mark = line.mark
+        while mark and not line.apart:
+            line.apart, mark = not mark.holds, mark.outer
     eligible = np.array([not line.apart for line, _ in lines], bool)
     if not eligible.any():
         return ""

@@ -68,3 +68,24 @@ def test_articles_of_the_table(spark, data):
         blocks = re.split(r"</?(?:p|h1|article)\b[^>]*>", body)
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
         assert found[row.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='content has-sidebar'><article>{BODY}</article></div>", LONG),
+        (f"<div class='no-sidebar'><article>{BODY}</article></div><div class='sidebar'><p>Other things</p></div>", LONG),
+        (f"<div id='widget' class='sidebar'><div class='menu'><article>{BODY}</article></div></div>", LONG),
+        (f"<div class='social'><main>{BODY}</main></div>", LONG),
+        (f"<div class='banner'><h1>Title</h1>{BODY}</div>", f"Title\n\n{LONG}"),
+        (f"<article><section id='discussion'><h2 id='related-work'>Work</h2>{BODY}</section></article>", f"Work\n\n{LONG}"),
+        (f"<article>{BODY}<h2 id='privacy'>Privacy</h2><p class='social'>Alone.</p></article>", f"{LONG}\n\nPrivacy\n\nAlone."),
+        (f"<article>{BODY}<div class='section level2' id='discussion'><p>More.</p></div></article>", f"{LONG}\n\nMore."),
+        # What is marked still goes, also where articles are readers' comments.
+        (f"<article>{BODY}<div class='widget'><article><h1>Card</h1></article></div></article>", LONG),
+        (f"<main><article>{BODY}</article><div id='comments'><article><p>I like it.</p></article></div></main>", LONG),
+        (f"<main>{BODY}<div class='cookie_notice'>Cookies</div><ul class='menu'><li>Home</li></ul></main>", LONG),
+    ],
+)
+def test_classes_and_ids(page, text):
+    assert html_text.main_text(page) == text
