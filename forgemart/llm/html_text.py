@@ -56,6 +56,10 @@ THREADS = frozenset(
     "commentlist comment-list comment-section comments comments-area comments-section discussion disqus "
     "post-comments replies respond".split()
 )
+#: Elements that hold blocks or text, or both, side by side.
+AROUND = frozenset("body center div html section td th".split())
+#: Elements that the next of their kind ends where the end tag is left out.
+ITEMS = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "li": ("li",), "td": ("td", "th"), "th": ("td", "th")}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 STREAM = 1 << 14  # characters fed to the parser at a time
 
@@ -63,20 +67,22 @@ STREAM = 1 << 14  # characters fed to the parser at a time
 class Mark:
     """An element that a class or id marks as apart, unless it turns out to hold an article."""
 
-    __slots__ = ("articles", "holds", "outer", "thread")
+    __slots__ = ("apart", "articles", "holds", "outer", "thread")
 
     def __init__(self, outer: Mark | None, articles: int, thread: bool):
-        self.outer, self.articles, self.thread, self.holds = outer, articles, thread, False
+        self.outer, self.articles, self.thread = outer, articles, thread
+        self.apart = self.holds = False
 
 
 class Line:
-    """A block of the page: its text, the tags met in it, the article it is in (0: none), whether
-    it stands apart from any article by its elements, and the innermost mark around it."""
+    """A block of the page: its text, the tags met in it, the element it is directly in, the article
+    around it (0: none), whether it stands apart from any article by its elements, and the innermost
+    mark around it."""
 
-    __slots__ = ("apart", "article", "mark", "parts", "tags")
+    __slots__ = ("apart", "article", "block", "mark", "parts", "tags")
 
-    def __init__(self, article: int, apart: bool, mark: Mark | None):
-        self.article, self.apart, self.mark = article, apart, mark
+    def __init__(self, article: int, apart: bool, mark: Mark | None, block: int):
+        self.article, self.apart, self.mark, self.block = article, apart, mark, block
         self.parts: list[str] = []
         self.tags = 0
 
@@ -104,11 +110,15 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # tag; apart, article and innermost mark inside
-        self.open: list[tuple[str, bool, int, Mark | None]] = [("", False, 0, None)]
+        # tag; apart, article, innermost mark and block inside
+        self.open: list[tuple[str, bool, int, Mark | None, int]] = [("", False, 0, None, 0)]
+        # Of each block, by number in the order of their starts: its tag, the block around it, the
+        # last block in it, and whether it may have loose text between blocks.
+        self.tags, self.outer, self.last, self.loose = [""], [0], [0], [False]
+        self.marks: list[Mark] = []
         self.articles = self.paragraphs = self.depth = 0  # depth: article elements open
         self.kinds = [""]  # of the open elements: the tag, or article or main by role
-        self.line = Line(0, False, None)
+        self.line = Line(0, False, None, 0)
         self.lines = [self.line]
 
     def updatepos(self, i: int, j: int) -> int:
@@ -122,10 +132,16 @@ class Lines(HTMLParser):
         if re.match("<[a-zA-Z/!?]", self.rawdata):
             self.rawdata = ""  # a tag or comment that the page's end cuts off
         super().close()
+        for *_, block in self.open:
+            self.last[block] = len(self.last) - 1
+        for mark in self.marks:  # outer ones come first
+            mark.apart = not mark.holds or bool(mark.outer and mark.outer.apart)
+        for line in self.lines:
+            line.apart = line.apart or bool(line.mark and line.mark.apart)
 
     def _new_line(self) -> None:
-        _, apart, article, mark = self.open[-1]
-        self.line = Line(article, apart, mark)
+        _, apart, article, mark, block = self.open[-1]
+        self.line = Line(article, apart, mark, block)
         self.lines.append(self.line)
 
     def _holds(self, mark: Mark | None, kind: str) -> None:
@@ -157,7 +173,7 @@ class Lines(HTMLParser):
             if self.paragraphs:
                 self.handle_endtag("p")  # paragraphs don't nest
             self.paragraphs += 1
-        _, apart, article, mark = self.open[-1]
+        _, apart, article, mark, block = self.open[-1]
         role = ""
         marked = thread = False
         if attrs and not apart:
@@ -178,12 +194,22 @@ class Lines(HTMLParser):
             self.depth += 1
         if marked and not apart:
             mark = Mark(mark, self.depth, thread)
+            self.marks.append(mark)
         if kind in ("article", "main") and not article and not apart:
             self.articles += 1
             article = self.articles
-        self.open.append((tag, apart, article, mark))
+        starts = tag in BLOCK or tag in APART
+        if starts:
+            if not apart and (not self.tags[block] or self.tags[block] in AROUND):
+                self.loose[block] = True
+            self.tags.append(tag)
+            self.outer.append(block)
+            self.loose.append(False)
+            block = len(self.last)
+            self.last.append(block)
+        self.open.append((tag, apart, article, mark, block))
         self.kinds.append(kind)
-        if tag in BLOCK or tag in APART:
+        if starts:
             self._new_line()
         self.line.tags += 1
 
@@ -197,6 +223,8 @@ class Lines(HTMLParser):
                 ended = [t for t, *_ in self.open[i:]]
                 self.paragraphs -= ended.count("p")
                 self.depth -= self.kinds[i:].count("article")
+                for *_, block in self.open[i:]:
+                    self.last[block] = len(self.last) - 1
                 del self.open[i:], self.kinds[i:]
                 if any(t in BLOCK or t in APART for t in ended):
                     self._new_line()
@@ -216,25 +244,35 @@ def smooth(values: np.ndarray, width: float) -> np.ndarray:
     return np.convolve(values, kernel / kernel.sum(), "full")[reach : reach + len(values)]
 
 
+def _beside(parser: Lines, lines: list[Line]) -> np.ndarray:
+    """Whether a block, by number, is in an element that one of the lines is a block of: the element
+    around the line's own, or this itself where the line is loose text between blocks."""
+    change = np.zeros(len(parser.last) + 1, np.int64)
+    for block in {line.block for line in lines}:
+        around = block if parser.loose[block] else parser.outer[block]
+        while parser.tags[around] in ITEMS.get(parser.tags[block], ()):
+            around = parser.outer[around]
+        change[around] += 1
+        change[parser.last[around] + 1] -= 1
+    return np.cumsum(change) > 0
+
+
 def main_text(html: str, width: float = 1.0, level: float = 0.5) -> str:
     """The article of a page; its blocks are joined by two line feeds.
 
     Each block of text is a line with the ratio of its characters to its tags, 0 if it stands apart
     (menus, footers, forms, notices and such, by element, role, class or id; classes and ids never
-    mark headings nor what an article, main or h1 element is in). Ratios are smoothed;
-    lines at `level` times the mean of the text lines or more are content. An article or main
-    element with content in it is the region, and all its lines stay, short ones as well. Without
-    such elements the region reaches from the first content line to the last, less what is apart.
+    mark headings nor what an article, main or h1 element is in). Ratios are smoothed; lines at
+    `level` times the mean of the text lines or more are content. All lines of all article and main
+    elements stay, short ones as well. Where these hold less of the content than the rest of the
+    page, or there are none, the region from the first other content line to the last stays too, and
+    on both sides the blocks beside content lines in one element, less what is apart.
     """
     parser = Lines()
     for i in range(0, len(html), STREAM):
         parser.feed(html[i : i + STREAM])
     parser.close()
     lines = [(line, text) for line in parser.lines if (text := line.text())]
-    for line, _ in lines:
-        mark = line.mark
-        while mark and not line.apart:
-            line.apart, mark = not mark.holds, mark.outer
     eligible = np.array([not line.apart for line, _ in lines], bool)
     if not eligible.any():
         return ""
@@ -242,11 +280,14 @@ def main_text(html: str, width: float = 1.0, level: float = 0.5) -> str:
     score = smooth(ratio, width)
     content = eligible & (score >= level * score[eligible].mean())
     found = np.flatnonzero(content).tolist()
-    regions = {lines[i][0].article for i in found} - {0}
-    if regions:
-        kept = (text for line, text in lines if not line.apart and line.article in regions)
-    else:
-        kept = (text for line, text in lines[found[0] : found[-1] + 1] if not line.apart)
+    other = [i for i in found if not lines[i][0].article]
+    most = 2 * sum(len(lines[i][1]) for i in other) > sum(len(lines[i][1]) for i in found)
+    first, last = (other[0], other[-1]) if most else (len(lines), -1)
+    beside = _beside(parser, [lines[i][0] for i in other if most])
+    kept = (
+        text for i, (line, text) in enumerate(lines)
+        if not line.apart and (line.article or first <= i <= last or beside[line.block])
+    )
     return "\n\n".join(kept)
 
 

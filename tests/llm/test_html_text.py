@@ -89,3 +89,27 @@ def test_articles_of_the_table(spark, data):
 )
 def test_classes_and_ids(page, text):
     assert html_text.main_text(page) == text
+
+
+SHORT = "<p>Twenty letters long.</p>"
+WIDE = f"<p>{'Words of the text. ' * 60}</p>"
+
+
+def kept(page):
+    return [block[:20] for block in html_text.main_text(page).split("\n\n")]
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        (f"<article>{WIDE * 9}</article><nav>Home</nav><div><p>Far</p></div><article><p>Short.</p></article>", ["Words of the text. W"] * 9 + ["Short."]),
+        (f"<article>{WIDE * 9}</article><footer>end</footer><main><p>Short.</p></main>", ["Words of the text. W"] * 9 + ["Short."]),
+        (f"<div><p>First</p><article><p>a</p></article>{WIDE}</div>", ["First", "a", "Words of the text. W"]),
+        (f"<body><div><p>Other</p></div><div>{SHORT * 3}{WIDE}{SHORT * 3}</div><footer>end</footer>", ["Twenty letters long."] * 3 + ["Words of the text. W"] + ["Twenty letters long."] * 3),
+        (f"<div>{SHORT}<div class='ad'>Buy</div><ul><li>one</li><li>two</li></ul>{SHORT}{WIDE}</div>", ["Twenty letters long.", "one", "two", "Twenty letters long.", "Words of the text. W"]),
+        (f"<div><p>Other</p></div><div><ul><li>a<li>b<li>c<li>{'word ' * 100}<ul><li>d</ul><li>e<li>f<li>g</ul></div>", ["a", "b", "c", "word word word word ", "d", "e", "f", "g"]),
+        (f"<div>a<p>b</p>c<p>d</p>{'Loose text of a page ' * 50}<p>e</p>f<p>g</p>h</div><div>x</div>", ["a", "b", "c", "d", "Loose text of a page", "e", "f", "g", "h"]),
+    ],
+)
+def test_whole_regions(page, blocks):
+    assert kept(page) == blocks
