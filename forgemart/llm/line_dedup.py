@@ -61,10 +61,13 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, *, doc_id="doc_id", text="text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, *, copies_from: int | None = None, doc_id="doc_id", text="text"
+) -> DataFrame:
     """(doc_id, text, n_lines, n_copies, n_near, kept): documents without lines seen before.
 
-    Lines end at line feeds. Lines of fewer than `min_chars` characters are kept and not compared.
+    Lines end at line feeds. Lines of fewer than `min_chars` characters are kept and not compared;
+    with `copies_from`, those of that many characters or more are compared for copies alone.
     Of equal lines, the first by (doc_id, content hash of the document, place) stays; it goes too if
     a line within one character edit (inserted, deleted or replaced) has an earlier first place,
     kept or not, so the outcome doesn't depend on an order of work. `text` is the lines left, `kept`
@@ -78,11 +81,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, *, doc_id="doc_id",
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
     lines = rows.select("id", "content", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
-    compared = F.length("line") >= min_chars
+    least = min_chars if copies_from is None else min(copies_from, min_chars)
+    halves = F.when(F.length("line") >= min_chars, _halves(F.col("line")))
     first = F.struct("id", "content", "place")
     distinct = saved(
-        lines.where(compared)
-        .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), first.alias("first"), _halves(F.col("line")).alias("halves"))
+        lines.where(F.length("line") >= least)
+        .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), first.alias("first"), halves.alias("halves"))
         .groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min("halves").alias("halves"))
     )
     keys = distinct.select("h1", "h2", F.explode("halves").alias("half")).select("h1", "h2", "half.*")
@@ -106,7 +110,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, *, doc_id="doc_id",
     found = rows.join(decisions, same, "left").withColumn("lines", _lines(F.col("text")))
     listed = F.coalesce("stays", F.array().cast("array<int>"))
     # Numbers of lines in order: those that stay, and those not compared.
-    short = F.filter(F.transform("lines", lambda line, i: F.when(F.length(line) < min_chars, i)), lambda i: i.isNotNull())
+    short = F.filter(F.transform("lines", lambda line, i: F.when(F.length(line) < least, i)), lambda i: i.isNotNull())
     found = found.withColumn("kept", F.sort_array(F.concat(listed, F.coalesce(short, F.array().cast("array<int>")))))
     left = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
     lines_in = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")

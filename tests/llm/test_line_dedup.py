@@ -90,3 +90,23 @@ def test_repeated_rows_and_missing_ids(spark):
     twice = [r for r in found if r.n_lines == 1 and r.doc_id == 4]
     assert twice[0] == twice[1]
     assert line_dedup.dedup_lines(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_copies_of_short_lines(spark):
+    """Every line that isn't empty is compared for copies, and long ones for near copies too."""
+    rows = [*corpus(), (300, "short\n\nshorter\nx\nx"), (301, "shorter\nshort\ntail \r\n\n")]
+    first, expected = {}, []
+    for doc, text in rows:
+        for place, line in enumerate((text or "").split("\n")):
+            first.setdefault(line, (doc, place))
+    long = {line: at for line, at in first.items() if len(line) >= 16}
+    near = {a for a in long if any(long[b] < long[a] and within_one(a, b) for b in long)}
+    for doc, text in rows:
+        lines = [] if text is None else text.split("\n")
+        copies = [line != "" and first[line] != (doc, i) for i, line in enumerate(lines)]
+        gone = [not c and line in near for c, line in zip(copies, lines, strict=True)]
+        left = "\n".join(line for line, c, g in zip(lines, copies, gone, strict=True) if not c and not g)
+        expected.append((doc, None if text is None else left, len(lines), sum(copies), sum(gone)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = line_dedup.dedup_lines(docs, copies_from=1).collect()
+    assert sorted([(r.doc_id, r.text, r.n_lines, r.n_copies, r.n_near) for r in found]) == expected
