@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgemart.llm.components import components, merge_links
@@ -43,16 +43,26 @@ def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > last, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, *, doc_id="doc_id", text="text") -> DataFrame:
-    """(doc_id, simhash) of every row; the 64 bits as a signed long. Null text has none set."""
+def _content(text: str) -> dict[str, Column]:
+    return {"content": F.xxhash64(F.col(text)), "check": F.xxhash64(F.lit(1), F.col(text))}
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, *, hashed: bool = False, doc_id="doc_id", text="text") -> DataFrame:
+    """(doc_id, simhash) of every row; the 64 bits as a signed long. Null text has none set. If
+    `hashed`, also content and check, the text's hash in two parts."""
+    hashes = _content(text) if hashed else {}
+    names = ["doc_id", *hashes, "simhash"]
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         values = [simhash(t, shingle) for t in texts_as_bytes(rows, "text")]
         values = np.array(values, np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(values)], ["doc_id", "simhash"])
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in names[:-1]), pa.array(values)], names)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_texts(rows, "text", batch, "doc_id long, simhash long")
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        *(c.alias(name) for name, c in hashes.items()), F.col(text).alias("text"),
+    )
+    return map_texts(rows, "text", batch, ", ".join(f"{name} long" for name in names))
 
 
 class BkForest:
@@ -217,11 +227,19 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4, *, doc_id="doc_id", text="text") -> DataFrame:
-    """The rows of documents, all columns, that near_duplicates names as their groups' least.
+    """The first row, all columns, of each group of rows whose fingerprints links of `radius` bits or
+    less connect: by (doc_id, fingerprint, hash of the text).
 
-    Of repeated rows of one id one stays. Rows without an id can't be named, so all of them stay.
+    Groups are of fingerprints, so rows of one id but different texts are apart unless these link.
+    Of rows that agree in id and text one stays. Rows without an id have no place: all of them stay.
     """
-    found = near_duplicates(docs, shingle, radius, doc_id=doc_id, text=text)
-    least = saved(found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct())
-    named = docs.join(least, doc_id, "left_semi").dropDuplicates([doc_id])
+    prints = fingerprints(docs, shingle, hashed=True, doc_id=doc_id, text=text).where("doc_id is not null")
+    first = F.min(F.struct("doc_id", "simhash", "content", "check")).alias("first")
+    nodes = saved(prints.groupBy("simhash").agg(first).select(F.col("simhash").alias("node"), "simhash", "first"))
+    found = components(link_fingerprints(nodes.select("node", "simhash"), radius))
+    groups = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
+    least = saved(groups.select("first.doc_id", "first.content", "first.check").toDF("of", "_content", "_check"))
+    rows = docs.withColumns({f"_{name}": c for name, c in _content(text).items()})
+    same = [F.col(doc_id).cast("long") == F.col("of"), *(rows[c] == least[c] for c in ("_content", "_check"))]
+    named = rows.join(least, same, "left_semi").dropDuplicates([doc_id, "_content", "_check"])
     return named.select(docs.columns).union(docs.where(F.col(doc_id).isNull()))

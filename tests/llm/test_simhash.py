@@ -109,3 +109,10 @@ def test_empty_and_null_ids(spark):
     found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert found == {(None, 4), (None, None), (4, 4)}
     assert simhash.keep_first(docs).count() == 3
+
+
+def test_first_rows_where_ids_clash(spark):
+    one, two, three, four = (" ".join(f"{word}{i}" for i in range(30)) for word in "abcd")
+    rows = [(2, one), (1, one), (2, two), (7, three), (7, four), (7, four), (9, three)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, one), (2, two), (7, three), (7, four)]
