@@ -132,9 +132,8 @@ def packed(docs: DataFrame) -> DataFrame:
 def slots(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     """(shard, slot, source, pass, block, words) of the whole mix, a row for each block taken.
 
-    The multinomial draw of the shards' source counts is conditioned on the sources' totals: all
-    slots are permuted over all output places, so each shard's counts are random and the totals
-    exact. A source's slots map through a permutation of its blocks, a new one for each pass.
+    No counts are drawn for the shards: in place of a multinomial draw all slots are permuted over
+    all output places, so a shard's counts are what falls into it, and the totals are exact. A source's slots map through a permutation of its blocks, a new one for each pass.
     `sources` is from block_counts; sources without slots give no rows.
     """
     known = saved(running(sources.where("slots > 0"), "source", F.col("slots"), "first"))
