@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgemart.llm import (
@@ -14,6 +14,7 @@ from forgemart.llm import (
     html_text,
     line_dedup,
     mixing,
+    pii,
     quality,
     repeats,
     simhash,
@@ -86,6 +87,23 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_copies", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts are of the base spans."""
+    found = pii.personal_data(_table(spark, folder, "documents"))
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.begin, s.end)), ",")
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s.base)
+    return found.select(
+        "doc_id", *map(of, pii.KINDS), F.sha2(told(base), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,5 +117,6 @@ QUERIES = {
         op8_decontamination,
         op9_mixing,
         op10_line_dedup,
+        op11_pii,
     )
 }
