@@ -98,9 +98,58 @@ SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(copies, 0)::BI
 FROM d LEFT JOIN sums USING (doc_id)
 """
 
+OP12 = """
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v
+    FROM range(256) AS r(i)
+  )
+), run AS (
+  SELECT doc_id, r, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS r
+    FROM documents
+  ) GROUP BY ALL
+), byte AS (
+  SELECT doc_id, r, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || r, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::UBIGINT] ELSE [195::UBIGINT, (unicode(c) - 64)::UBIGINT] END)) AS b
+  FROM run
+), hashed AS (
+  SELECT r, n, xor(list_reduce(list_concat([4294967295::UBIGINT], b),
+    lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) AS h
+  FROM byte, crc
+), word AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN substring(r, 1, (h % length(r))::BIGINT) || substring(r, (h % length(r))::BIGINT + 2) ELSE r END AS word
+    FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (
+  SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM word)
+), near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN word b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN word b ON a.rest = b.word
+), best AS (
+  SELECT word, any_value(n) AS n, count(*) AS n_near, max(near_n) AS form_n,
+    arg_min(near, {'k': -near_n, 'w': encode(near)}) AS form
+  FROM near GROUP BY word
+), told AS (
+  SELECT word.word, word.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN form_n >= 5 * word.n THEN form END AS form, CASE WHEN form_n >= 5 * word.n THEN form_n END AS form_n
+  FROM word LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS place, 0 AS k FROM told
+  UNION ALL SELECT walk.word, told.form, k + 1 FROM walk JOIN told ON told.word = walk.place WHERE told.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n
+FROM told JOIN (SELECT word, arg_max(place, k) AS root FROM walk GROUP BY word) USING (word)
+"""
+
 ORACLE = {
     "op2_embedding_near_dedup": OP2,
     "op3_suffix_array_dedup": OP3,
     "op8_decontamination": OP8,
     "op10_line_dedup": OP10,
+    "op12_spelling_variants": OP12,
 }

@@ -18,6 +18,7 @@ from forgemart.llm import (
     quality,
     repeats,
     simhash,
+    spelling,
     token_counts,
     token_store,
 )
@@ -104,6 +105,10 @@ def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, folder, "documents"), typo_every=199, least_chars=6, least_count=5, ratio=5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,5 +123,6 @@ QUERIES = {
         op9_mixing,
         op10_line_dedup,
         op11_pii,
+        op12_spelling_variants,
     )
 }
