@@ -21,6 +21,7 @@ from forgemart.llm import (
     spelling,
     token_counts,
     token_store,
+    whitening,
 )
 from forgemart.llm.oracle import ORACLE  # noqa: F401  served with QUERIES
 from forgemart.llm.scratch import scratch_folder
@@ -109,6 +110,10 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_groups(_table(spark, folder, "documents"), typo_every=199, least_chars=6, least_count=5, ratio=5)
 
 
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"), components=4, scale=256.0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -124,5 +129,6 @@ QUERIES = {
         op10_line_dedup,
         op11_pii,
         op12_spelling_variants,
+        op13_embedding_whitening,
     )
 }
