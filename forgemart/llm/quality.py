@@ -131,8 +131,11 @@ class Network:
     temperature: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        hidden = np.tanh((x - self.mean) / self.spread @ self.first + self.bias)
-        return hidden @ self.last + self.offset
+        """Sums run in one order for each row, so that rows of a batch don't change each other's
+        last digits, as they do in a matrix product."""
+        z = (x - self.mean) / self.spread
+        hidden = np.tanh(np.einsum("ij,jk->ik", z, self.first, optimize=False) + self.bias)
+        return np.einsum("ij,j->i", hidden, self.last, optimize=False) + self.offset
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -60, 60)))

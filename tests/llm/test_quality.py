@@ -45,6 +45,34 @@ def test_held_out_accuracy_and_rules(spark):
     assert kept.count() == sum(r.predicted for r in got)
 
 
+def test_scores_by_hand_and_by_any_batch():
+    """Pooling and network against plain loops; a row's score is the same in batches of any size."""
+    rows, labels = corpus(300)
+    draw = np.random.default_rng(4)
+    vectors = draw.normal(size=(quality.WORDS, quality.DIMS)).astype(np.float32)
+    texts = [t.encode() for _, t, *_ in rows]
+    x = np.array([quality.pool(t, vectors) for t in texts])
+    truth = dict((i, q) for i, q, _ in labels)
+    net = quality.fit_network(x[1::2], np.array([float(truth[i]) for i in range(1, 300, 2)]))
+    scores = net.scores(x)
+    for size in (1, 2, 7, 64):
+        parts = [net.scores(x[i : i + size]) for i in range(0, len(x), size)]
+        assert np.array_equal(np.concatenate(parts), scores)
+    for text, score in list(zip(texts, scores, strict=True))[:40]:
+        pooled = []
+        for slots in quality._slots(text):
+            for d in range(quality.DIMS):
+                pooled.append([float(vectors[s][d]) for s in slots])
+        half = len(pooled) // 2
+        mean = [sum(v) / len(v) for v in pooled]
+        deviation = [max(sum(a * a for a in v) / len(v) - m * m, 0) ** 0.5 for v, m in zip(pooled, mean, strict=True)]
+        features = [*mean[:half], *deviation[:half], *mean[half:], *deviation[half:]]
+        z = [(f - m) / s for f, m, s in zip(features, net.mean, net.spread, strict=True)]
+        hidden = [np.tanh(sum(a * w for a, w in zip(z, column, strict=True)) + b) for column, b in zip(net.first.T, net.bias, strict=True)]
+        logit = sum(h * w for h, w in zip(hidden, net.last, strict=True)) + net.offset
+        assert abs(score - 1 / (1 + np.exp(-logit / net.temperature))) < 1e-5
+
+
 def test_held_out_labels_teach_nothing(spark):
     """Other labels of held-out rows leave every score as it is."""
     rows, labels = corpus(120)
