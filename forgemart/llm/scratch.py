@@ -61,6 +61,15 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with marks before those that the columns have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    mark = ""
+    while any((mark + name).lower() in taken for name in names):
+        mark += "_"
+    return [mark + name for name in names]
+
+
 def whole_number(df: DataFrame, column) -> int:
     """The value of an aggregate over all rows, 0 for none."""
     return df.agg(column).first()[0] or 0

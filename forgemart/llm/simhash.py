@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgemart.llm.components import components, merge_links
-from forgemart.llm.scratch import map_pandas, map_texts, saved, texts_as_bytes
+from forgemart.llm.scratch import free_names, map_pandas, map_texts, saved, texts_as_bytes
 
 #: Fingerprints of one shard tree at most; larger shards are searched piece by piece.
 PIECE = 2048
@@ -207,22 +207,20 @@ def near_duplicates(
 
     Rows whose fingerprints differ in `radius` bits or less are linked; component_id is the least
     doc_id that links lead to. Null, empty and blank texts have fingerprint 0 and link like others.
-    Repeated rows repeat. A null doc_id names no component: such rows get that of their fingerprint,
-    null if no row with an id is linked to it. An empty table gives an empty result.
+    Repeated rows repeat. A null doc_id names no component, but rows without one link others: they
+    get the component of their fingerprint, null if links lead to no id. An empty table gives an
+    empty result.
 
-    Rows of one fingerprint become one node before anything is compared.
+    Rows of one fingerprint become one node, named by it, before anything is compared.
     """
     prints = saved(fingerprints(docs, shingle, doc_id=doc_id, text=text))
     nodes = saved(
-        prints.groupBy("simhash").agg(F.min("doc_id").alias("node"))
-        .where("node is not null").select("node", "simhash")
-    )
-    found = components(link_fingerprints(nodes, radius))
-    groups = saved(
-        nodes.join(found, "node", "left").select(
-            "simhash", F.coalesce("component", "node").alias("component_id")
-        )
+        prints.groupBy("simhash").agg(F.min("doc_id").alias("least")).select(F.col("simhash").alias("node"), "simhash", "least")
     )
+    found = components(link_fingerprints(nodes.select("node", "simhash"), radius))
+    joined = saved(nodes.join(found, "node", "left").select("simhash", "least", F.coalesce("component", "node").alias("group")))
+    named = saved(joined.groupBy("group").agg(F.min("least").alias("component_id")))
+    groups = joined.join(named, "group").select("simhash", "component_id")
     return prints.join(groups, "simhash", "left").select("doc_id", "simhash", "component_id")
 
 
@@ -231,15 +229,19 @@ def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4, *, doc_id="do
     less connect: by (doc_id, fingerprint, hash of the text).
 
     Groups are of fingerprints, so rows of one id but different texts are apart unless these link.
-    Of rows that agree in id and text one stays. Rows without an id have no place: all of them stay.
+    Of rows that agree in id and text one stays. Rows without an id have no place: all of them stay,
+    and they link others.
     """
-    prints = fingerprints(docs, shingle, hashed=True, doc_id=doc_id, text=text).where("doc_id is not null")
-    first = F.min(F.struct("doc_id", "simhash", "content", "check")).alias("first")
+    prints = fingerprints(docs, shingle, hashed=True, doc_id=doc_id, text=text)
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "simhash", "content", "check"))
+    first = F.min(known).alias("first")
     nodes = saved(prints.groupBy("simhash").agg(first).select(F.col("simhash").alias("node"), "simhash", "first"))
     found = components(link_fingerprints(nodes.select("node", "simhash"), radius))
     groups = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
-    least = saved(groups.select("first.doc_id", "first.content", "first.check").toDF("of", "_content", "_check"))
-    rows = docs.withColumns({f"_{name}": c for name, c in _content(text).items()})
-    same = [F.col(doc_id).cast("long") == F.col("of"), *(rows[c] == least[c] for c in ("_content", "_check"))]
-    named = rows.join(least, same, "left_semi").dropDuplicates([doc_id, "_content", "_check"])
+    of, content, check = free_names(docs, "of", "content", "check")
+    least = groups.where("first is not null").select("first.doc_id", "first.content", "first.check")
+    least = saved(least.toDF(of, content, check))
+    rows = docs.withColumns(dict(zip((content, check), _content(text).values(), strict=True)))
+    same = [F.col(doc_id).cast("long") == F.col(of), *(rows[c] == least[c] for c in (content, check))]
+    named = rows.join(least, same, "left_semi").dropDuplicates([doc_id, content, check])
     return named.select(docs.columns).union(docs.where(F.col(doc_id).isNull()))

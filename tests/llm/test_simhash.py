@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from forgemart.llm import simhash
 from forgemart.llm.components import components
@@ -111,6 +112,29 @@ def test_empty_and_null_ids(spark):
     assert simhash.keep_first(docs).count() == 3
 
 
+def test_rows_without_ids_link_others(spark, monkeypatch):
+    """A chain whose middle has no id is one component, and one group of near copies."""
+    prints = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": 1 << 63 | 0xFFFF << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle, hashed=False, doc_id="doc_id", text="text": docs.select(
+        F.col(doc_id).alias("doc_id"), *(c.alias(n) for n, c in (simhash._content(text) if hashed else {}).items()),
+        F.expr("case " + " ".join(f"when {text} = '{k}' then {v - 2**64 if v >> 63 else v}" for k, v in prints.items()) + " end").alias("simhash")))
+    rows = [(1, "a"), (None, "b"), (2, "c"), (3, "d"), (None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in found), key=repr) == sorted([(1, 1), (None, 1), (2, 1), (3, 3), (None, 3)], key=repr)
+    kept = sorted(map(tuple, simhash.keep_first(docs).collect()), key=repr)
+    assert kept == sorted([(1, "a"), (3, "d"), (None, "b"), (None, "d")], key=repr)
+    pair = docs.where("text = 'a' or text = 'b'")
+    assert {r.component_id for r in simhash.near_duplicates(pair).collect()} == {1}
+
+
+def test_columns_of_any_name(spark):
+    names = ["of", "content", "_CONTENT", "check", "_of", "n", "key", "mix_key"]
+    rows = [(i, text, *range(10 * i, 10 * i + len(names))) for i, text in [(2, "a b c d"), (1, "a b c d"), (3, "e f g h i j k")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    assert sorted(map(tuple, simhash.keep_first(docs).collect())) == [rows[1], rows[2]]
+
+
 def test_first_rows_where_ids_clash(spark):
     one, two, three, four = (" ".join(f"{word}{i}" for i in range(30)) for word in "abcd")
     rows = [(2, one), (1, one), (2, two), (7, three), (7, four), (7, four), (9, three)]
