@@ -10,10 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forgemart.llm.scratch import saved
+from forgemart.llm.scratch import free_names, saved
 
 BLOCK = 128  # words
 SHARD = 1024  # slots, one block each
+SLOTS = 1 << 17  # that one task counts out
 BINS = 1024  # of a source's documents, so that its running totals need no single task
 ROUNDS = 12  # of a permutation
 SPACE = r"[\x20\x09-\x0D]+"
@@ -139,7 +140,8 @@ def slots(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     known = saved(running(sources.where("slots > 0"), "source", F.col("slots"), "first"))
     total = known.agg(F.sum("slots")).first()[0] or 0
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard)))
-    runs = known.withColumn("run", each).repartition("first", "run")
+    # Few rows become many: the number of tasks follows the slots, not what arrives here.
+    runs = known.withColumn("run", each).repartition(total // SLOTS + 1, "first", "run")
     begin = F.col("run") * shard
     until = F.least(begin + shard, F.col("slots")) - 1
     rows = runs.withColumn("k", F.explode(F.sequence(begin, until)))
@@ -227,13 +229,14 @@ def mixed_texts(
     runs = pieces.groupBy("key", "check", "copy", "pass").agg(
         F.sort_array(F.collect_list(F.struct("offset", "taken"))).alias("runs"), F.sum("taken").alias("taken")
     )
-    runs = runs.select(*(F.col(c).alias(f"mix_{c}") for c in ("key", "check", "runs", "taken")))
-    keys = {f"mix_{name}": c for name, c in _key(doc_id, text, source).items()}
-    one = docs.withColumns(keys).groupBy("mix_key", "mix_check").agg(*(F.first(c).alias(c) for c in docs.columns))
-    rows = one.join(runs, ["mix_key", "mix_check"])
-    rows = rows.withColumn("mix_words", words(F.col(text)))
-    cut = F.transform("mix_runs", lambda r: F.array_join(F.slice("mix_words", r.offset.cast("int") + 1, r.taken.cast("int")), " "))
-    whole = F.col("mix_taken") == F.size("mix_words")
+    key, check, run, taken, parts = free_names(docs, "key", "check", "runs", "taken", "words")
+    runs = runs.select(*(F.col(c).alias(name) for c, name in zip(("key", "check", "runs", "taken"), (key, check, run, taken), strict=True)))
+    keys = dict(zip((key, check), _key(doc_id, text, source).values(), strict=True))
+    one = docs.withColumns(keys).groupBy(key, check).agg(*(F.first(c).alias(c) for c in docs.columns))
+    rows = one.join(runs, [key, check])
+    rows = rows.withColumn(parts, words(F.col(text)))
+    cut = F.transform(run, lambda r: F.array_join(F.slice(parts, r.offset.cast("int") + 1, r.taken.cast("int")), " "))
+    whole = F.col(taken) == F.size(parts)
     rows = rows.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(cut, " ")))
     if n_chars in docs.columns:
         rows = rows.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
