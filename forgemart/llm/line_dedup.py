@@ -125,13 +125,27 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(first, line, halves) of the wanted places of documents; copies of a document count once."""
     same = F.col("id").eqNullSafe(F.col("of")) & F.col("content").eqNullSafe(F.col("with"))
     wanted = wanted.select(F.col("id").alias("of"), F.col("content").alias("with"), "wanted")
-    found = rows.join(wanted, same, "left").where("wanted is not null").withColumn("lines", _lines(F.col("text")))
-    found = found.select("id", "content", F.transform("wanted", lambda w: F.struct(
-        w.place.alias("place"), F.get("lines", w.place).alias("line"), w.halves.alias("halves"))).alias("each"))
-    found = found.select("id", "content", F.explode("each").alias("each"))
-    return found.select(
-        F.struct("id", "content", F.col("each.place").alias("place")).alias("first"), "each.line", "each.halves"
-    )
+    found = rows.join(wanted, same, "left").where("wanted is not null").select("id", "content", "wanted", "text")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The wanted lines of a batch of texts, each of which is cut up once."""
+        wanted = batch.column("wanted")
+        each = wanted.flatten()
+        owner = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy())
+        places = each.field("place").to_numpy()
+        lines, at, cut_up = [], -1, []
+        for of, place in zip(owner.tolist(), places.tolist(), strict=True):
+            if of != at:
+                at, cut_up = of, batch.column("text")[of].as_py().split("\n")
+            lines.append(cut_up[place])
+        owner = pa.array(owner)
+        columns = [batch.column("id").take(owner), batch.column("content").take(owner), each.field("place"), pa.array(lines, pa.string()), each.field("halves")]
+        return pa.RecordBatch.from_arrays(columns, ["id", "content", "place", "line", "halves"])
+
+    kind = found.schema["id"].dataType.simpleString()
+    halves = "array<struct<longer:int,half:int>>"
+    lines = map_texts(found, "text", cut, f"id {kind}, content long, place int, line string, halves {halves}")
+    return lines.select(F.struct("id", "content", "place").alias("first"), "line", "halves")
 
 
 def _near(lines: DataFrame) -> DataFrame:

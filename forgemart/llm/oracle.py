@@ -77,13 +77,18 @@ OP10 = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 line AS (SELECT doc_id, i, l[i + 1] AS line FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM d)),
 first AS (
-  SELECT line, min({'doc': doc_id, 'place': i}) AS f, length(line) AS n FROM line WHERE length(line) >= 16 GROUP BY line
+  SELECT line, min({'doc': doc_id, 'place': i}) AS f, length(line) AS n FROM line WHERE length(line) >= 1 GROUP BY line
 ), half AS (
   SELECT line, f, m, h, CASE h WHEN 1 THEN substring(line, 1, m // 2) ELSE substring(line, n - (m - m // 2) + 1) END AS x
-  FROM first, LATERAL (SELECT unnest([n, n + 1]) AS m), (SELECT unnest([0, 1]) AS h)
+  FROM first, LATERAL (SELECT unnest([n, n + 1]) AS m), (SELECT unnest([0, 1]) AS h) WHERE n >= 2
 ), near AS (
   SELECT DISTINCT a.f FROM half a JOIN half b USING (m, h, x)
-  WHERE b.f < a.f AND abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1
+  WHERE b.f < a.f AND abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 4 -- bytes
+    AND CASE WHEN length(a.line) = length(b.line)
+      THEN len(list_filter(range(1, m + 1), lambda i: substring(a.line, i, 1) <> substring(b.line, i, 1))) <= 1
+      ELSE len(list_filter(range(m), lambda i: CASE WHEN length(a.line) = m
+        THEN substring(a.line, 1, i) || substring(a.line, i + 2) = b.line
+        ELSE substring(b.line, 1, i) || substring(b.line, i + 2) = a.line END)) > 0 END
 ), told AS (
   SELECT line.doc_id, i, line.line, first.f IS NOT NULL AND first.f <> {'doc': doc_id, 'place': i} AS copy,
     near.f IS NOT NULL AND first.f = {'doc': doc_id, 'place': i} AS near

@@ -85,7 +85,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = line_dedup.dedup_lines(_table(spark, folder, "documents"), min_chars=16)
+    found = line_dedup.dedup_lines(_table(spark, folder, "documents"), min_chars=2, copies_from=1)
     return found.select("doc_id", "n_lines", "n_copies", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+import time
+
+import pytest
 
 from forgemart.llm import line_dedup
 
@@ -92,14 +95,30 @@ def test_repeated_rows_and_missing_ids(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], kind)).count() == 0
 
 
-def test_copies_of_short_lines(spark):
+def test_long_texts_cost_by_their_length(spark):
+    """Lines are cut out of their texts once: many lines in one text take about as long as spread out."""
+    draw = random.Random(8)
+    lines = ["".join(draw.choice("abcdefgh ") for _ in range(30)) for _ in range(3000)]
+    lines += [line[:-1] + "x" for line in lines]
+    took = {}
+    for size in (6000, 60):
+        rows = [(i, "\n".join(lines[i : i + size])) for i in range(0, len(lines), size)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        start = time.perf_counter()
+        assert sum(r.n_near for r in line_dedup.dedup_lines(docs).collect()) == 3000
+        took[size] = time.perf_counter() - start
+    assert took[6000] < 2 * took[60] + 5
+
+
+@pytest.mark.parametrize("least", [16, 2])
+def test_copies_of_short_lines(spark, least):
     """Every line that isn't empty is compared for copies, and long ones for near copies too."""
     rows = [*corpus(), (300, "short\n\nshorter\nx\nx"), (301, "shorter\nshort\ntail \r\n\n")]
     first, expected = {}, []
     for doc, text in rows:
         for place, line in enumerate((text or "").split("\n")):
             first.setdefault(line, (doc, place))
-    long = {line: at for line, at in first.items() if len(line) >= 16}
+    long = {line: at for line, at in first.items() if len(line) >= least}
     near = {a for a in long if any(long[b] < long[a] and within_one(a, b) for b in long)}
     for doc, text in rows:
         lines = [] if text is None else text.split("\n")
@@ -108,5 +127,5 @@ def test_copies_of_short_lines(spark):
         left = "\n".join(line for line, c, g in zip(lines, copies, gone, strict=True) if not c and not g)
         expected.append((doc, None if text is None else left, len(lines), sum(copies), sum(gone)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    found = line_dedup.dedup_lines(docs, copies_from=1).collect()
+    found = line_dedup.dedup_lines(docs, least, copies_from=1).collect()
     assert sorted([(r.doc_id, r.text, r.n_lines, r.n_copies, r.n_near) for r in found]) == expected
