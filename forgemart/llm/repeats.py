@@ -91,7 +91,7 @@ class Transform:
     """Burrows-Wheeler transform of a shard of byte strings, each ended by a mark of its own.
 
     Row r stands for the suffix at `suffixes[r]`, in lexicographic order; `before[r]` is the symbol in
-    front of it (0: the string begins), and `left[r]` the row of the suffix that begins there.
+    front of it (0: the string begins).
     """
 
     def __init__(self, strings: list[bytes]):
@@ -108,7 +108,7 @@ class Transform:
             key = (key << 9) | np.where(rest > gap, padded[gap : gap + n], 0)
         reach = 7
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
@@ -119,34 +119,58 @@ class Transform:
             key = rank * n + np.where(rest < reach, string, ahead)
             reach *= 2
         self.suffixes, self.string, self.begin = order, string, ends - lengths
+        self.text, self.rank = text, rank
         self.before = text[order - 1]
         self.before[order == 0] = 0
-        self.left = rank[order - 1]
+
+    def back(self, many: int, codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row, the `many` symbols before it as one number of codes of `bits` bits, the
+        farthest first (0: the string begins earlier), and the row of the suffix that begins there."""
+        code = codes[self.text]
+        key, whole = np.zeros(len(code), np.int64), np.ones(len(code), bool)
+        for gap in range(1, many + 1):
+            here = np.concatenate((np.zeros(min(gap, len(code)), np.int64), code[:-gap]))
+            key |= here << bits * (gap - 1)
+            whole &= here > 0
+        return np.where(whole, key, 0)[self.suffixes], self.rank[self.suffixes - many]
 
 
 def repeated_intervals(shards: list[Transform], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Merges shard transforms: (interval, row) of all rows, numbered through the shards, whose suffix
     has its first `length` symbols in common with another's.
 
-    The interleave of the shards' rows is refined symbol by symbol (Holt and McMillan 2014): stably
-    sorting the rows by the symbols before them, and stepping each to the left in its own shard,
-    turns their order by k symbols into that by k + 1. Rows that part there have a common prefix of
-    k, so the rows still in one interval after `length` turns agree that far. Intervals of one row
-    can't become larger and are left out of further turns; no suffix is sorted again.
+    The interleave of the shards' rows is refined by a few symbols a turn (Holt and McMillan 2014):
+    stably sorting the rows by the symbols before them, and stepping each to the left in its own
+    shard, turns their order by k symbols into that by a few more. Rows that part there have less in
+    common, so the rows still in one interval after `length` symbols agree that far. Intervals of one
+    row can't become larger and are left out of further turns; no suffix is sorted again. A turn
+    takes as many symbols as fit a long beside a row's place, which keeps the sort stable.
     """
     shift = np.cumsum([0] + [len(s.before) for s in shards])
-    before = np.concatenate([s.before for s in shards])
-    left = np.concatenate([s.left + n for s, n in zip(shards, shift, strict=False)])
+    used = np.unique(np.concatenate([s.before for s in shards]))
+    codes = np.zeros(257, np.int64)
+    codes[used[used > 0]] = np.arange(1, (used > 0).sum() + 1)
+    bits, place = int(codes.max()).bit_length() or 1, int(shift[-1]).bit_length()
+    most = max(min((63 - place) // bits, length), 1)
+    steps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     rows = np.arange(shift[-1])
     interval = np.zeros(len(rows), np.int64)
-    for _ in range(length):
+    for done in range(0, length, most):
+        many = min(most, length - done)
+        if many not in steps:
+            both = [s.back(many, codes, bits) for s in shards]
+            left = [b + n for (_, b), n in zip(both, shift, strict=False)]
+            steps = {many: (np.concatenate([a for a, _ in both]), np.concatenate(left))}
+        before, left = steps[many]
         symbol = before[rows]
         open_ = symbol > 0
         rows, interval, symbol = rows[open_], interval[open_], symbol[open_]
         if not len(rows):
             break
-        order = np.argsort(symbol, kind="stable")
-        rows, interval, symbol = left[rows[order]], interval[order], symbol[order]
+        key = symbol << place | np.arange(len(rows))
+        key.sort()
+        order, symbol = key & ((1 << place) - 1), key >> place
+        rows, interval = left[rows[order]], interval[order]
         new = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])))
         single = new & np.concatenate((new[1:], [True]))
         interval = np.cumsum(new)
@@ -179,7 +203,10 @@ def later_windows(strings: list[bytes], places: np.ndarray, length: int) -> list
         string[mine], offset[mine] = np.array(group)[inner], suffix - shard.begin[inner]
     document, start, tag = places[string].T
     order = np.lexsort((tag, start + offset, document, interval))
-    later = np.concatenate(([False], interval[order][1:] == interval[order][:-1]))
+    at = np.stack((interval, document, start + offset, tag))[:, order]
+    # A run may stand here under several keys: what is at the first's own place is no repeat of it.
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], at[0, 1:] != at[0, :-1])), np.arange(len(order)), 0))
+    later = (at != at[:, first]).any(0)
     string, offset = string[order][later], offset[order][later]
     order = np.lexsort((offset, string))
     string, offset = string[order], offset[order]
@@ -236,9 +263,62 @@ def _decided(runs: DataFrame) -> DataFrame:
     return runs.select("id", "packed", F.when(~F.col("repeat"), F.col("anchor")).alias("anchor"))
 
 
+def _contexts(rows: DataFrame, wanted: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(key, id, packed, data) of the wanted runs (id, tag, packed, anchor): the bytes of a run's
+    windows, once for each side on which a window could be equal to one of another run.
+
+    A window has length - anchor bytes besides its anchor, so that two equal ones agree in the half
+    of these that stands before the anchor, or in as many behind it. Each of the two, together with
+    the anchor, is a longer anchor: equal windows meet at one of its two keys, and runs that share
+    neither with another run have no repeat.
+    """
+    half = (length - anchor + 1) // 2
+    listed = wanted.groupBy("id", "tag").agg(F.sort_array(F.collect_list(F.struct("packed", "anchor"))).alias("wanted"))
+    found = rows.join(listed, ["id", "tag"], "left").where("wanted is not null").select("id", "text", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in slices(batches, "text"):
+            lists, texts = batch.column("wanted"), texts_as_bytes(batch, "text")
+            each = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            packed, marks = (each.field(c).to_numpy() for c in ("packed", "anchor"))
+            start, _, windows = _split(packed)
+            stop = start + windows + (length - 1)
+            data = [texts[i][a:b] for i, a, b in zip(owner.tolist(), start.tolist(), stop.tolist(), strict=True)]
+            # The anchor's place in each: where its bytes have its hash, inside all of the run's windows.
+            joined = np.frombuffer(b"".join(data) + bytes(anchor), np.uint8)
+            ends = np.cumsum(stop - start)
+            begin = ends - (stop - start)
+            hashes, _ = anchors(joined, anchor, anchor)
+            low = begin + windows - 1  # where the last window begins
+            high = begin + (length - anchor)  # the first window's last place for an anchor
+            place = np.full(len(data), -1)
+            for gap in range(int((high - low).max(initial=-1)) + 1):
+                at = low + gap
+                hit = (place < 0) & (at <= high)
+                hit[hit] = hashes[at[hit]].view(np.int64) == marks[hit]
+                place[hit] = at[hit]
+            at = place - begin
+            keys, rows_of = [], []
+            for i, (p, mark) in enumerate(zip(at.tolist(), marks.tolist(), strict=True)):
+                for side, a, b in ((0, p - half, p), (1, p + anchor, p + anchor + half)):
+                    if a >= 0 and b <= len(data[i]):
+                        keys.append((digest(data[i][a:b], mark & 0xFFFFFFFF) << 1 | side) & (1 << 64) - 1)
+                        rows_of.append(i)
+            take = pa.array(rows_of, pa.int64())
+            yield _batch(
+                [np.array(keys, np.uint64).view(np.int64), batch.column("id").take(pa.array(owner)).take(take),
+                 pa.array(packed).take(take), pa.array(data, pa.binary()).take(take)],
+                ["key", "id", "packed", "data"],
+            )
+
+    return map_arrow(found, run, "key long, id long, packed long, data binary")
+
+
 def _merged(contexts: DataFrame, length: int) -> DataFrame:
-    """(id, packed) of the runs of repeated windows in contexts (anchor, id, packed, data): all of one
-    anchor meet in one task, which merges the transforms of whole anchors at a time."""
+    """(id, packed) of the runs of repeated windows in contexts (key, id, packed, data): all of one
+    key meet in one task, which merges the transforms of whole keys at a time."""
 
     def merge(rows: list[tuple]) -> pa.RecordBatch:
         packed = np.array([r[2] for r in rows], np.int64)
@@ -260,13 +340,13 @@ def _merged(contexts: DataFrame, length: int) -> DataFrame:
         if rows:
             yield merge(rows)
 
-    rows = contexts.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "id", "packed", "data")
+    rows = contexts.repartition("key").sortWithinPartitions("key").select("key", "id", "packed", "data")
     return map_arrow(rows, run, "id long, packed long")
 
 
 def _crowds(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of more than CROWD contexts, by a 128-bit hash of each window, so that no
-    task holds such an anchor's contexts."""
+    """The same for keys of more than CROWD contexts, by a 128-bit hash of each window, so that no
+    task holds such a key's contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data", BATCH_BYTES // 16):
@@ -309,17 +389,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, doc_id="doc_id", te
     decided = saved(_decided(runs))
     tag = F.shiftright("packed", _WINDOWS).bitwiseAND((1 << _TAG) - 1)
     several = decided.where("anchor is not null").withColumn("tag", tag)
-    crowds = several.groupBy("anchor").agg((F.count("*") > crowd).alias("crowd"))
-    wanted = several.join(crowds, "anchor").groupBy("id", "tag").agg(
-        F.collect_list(F.struct("packed", "anchor", "crowd")).alias("wanted")
-    )
-    # Both this and the last step join documents by (id, tag); one exchange of texts serves both.
     texts = rows.select("id", "tag", "doc_id", "text")
-    start = lambda p: F.shiftright(p, _WINDOWS + _TAG).cast("int")
-    size = lambda p: p.bitwiseAND((1 << _WINDOWS) - 1).cast("int") + (length - 1)
-    contexts = texts.join(wanted, ["id", "tag"], "left").where("wanted is not null").select("id", F.explode(F.transform(
-        "wanted", lambda w: F.struct(w.packed.alias("packed"), w.anchor.alias("anchor"), w.crowd.alias("crowd"),
-            F.substr(F.col("text").cast("binary"), start(w.packed) + 1, size(w.packed)).alias("data")))).alias("w")).select("id", "w.*")
+    contexts = saved(_contexts(texts, several, length, ANCHOR))
+    counts = contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    contexts = contexts.join(counts.select("key", (F.col("n") > crowd).alias("crowd")), "key")
     found = decided.where("anchor is null").select("id", "packed")
     found = found.union(_merged(contexts.where("not crowd"), length)).union(_crowds(contexts.where("crowd"), length))
     found = found.withColumn("tag", tag).groupBy("id", "tag").agg(F.collect_list("packed").alias("runs"))
