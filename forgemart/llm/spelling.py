@@ -21,6 +21,7 @@ RUN = re.compile("[a-zÀ-ÿ]+")
 COUNTED = 1 << 18
 #: Words of a cell that one index holds at most, and characters of the cells that share an index.
 PIECE, SHARD = 1 << 14, 1 << 18
+ASKED = 1 << 13  # words, in all their cells, for each task
 STEP = 32  # symbols between stored ranks
 
 
@@ -278,7 +279,8 @@ def near_words(words: DataFrame, piece: int = PIECE, shard: int = SHARD) -> Data
         if kept:
             yield _pairs(pd.concat(kept))
 
-    spread = rows.repartition("cell").sortWithinPartitions("cell")
+    # Rows are small and searches long: the number of tasks follows the words, not the bytes.
+    spread = rows.repartition(words.count() // ASKED + 1, "cell").sortWithinPartitions("cell")
     return map_pandas(spread, run, "word string, n long, near string, near_n long").distinct()
 
 
