@@ -183,8 +183,8 @@ def op_status(
 
 
 def rnd(c: Column | str, digits: int, half_even: bool = False) -> Column:
-    """Round the decimal value, halves away from zero or to even."""
-    value = exact(c)
+    """Round the decimal value once, halves away from zero or to even."""
+    value = amount(c)
     return (F.bround(value, digits) if half_even else F.round(value, digits)).cast("double")
 
 
@@ -198,8 +198,8 @@ def shortage(
     required: Column | str, committed: Column | str, issued: Column | str
 ) -> Column:
     """Uncovered requirement, never negative, to one decimal; unknown where a quantity is."""
-    gap = units(required) - units(committed) - units(issued)
-    return F.floor((F.when(gap < 0, 0).otherwise(gap) + 500) / 1000) / 10
+    gap = amount(required) - amount(committed) - amount(issued)
+    return F.round(F.when(gap < 0, 0).otherwise(gap), 1).cast("double")
 
 
 def missing_part(
@@ -225,7 +225,7 @@ def delay_hours(actual_end: Column | str, posting: Column | str) -> Column:
 
 
 def sop_deviation(actual: Column | str, target: Column | str) -> Column:
-    return F.round(exact(actual) - exact(target), 1).cast("double")
+    return F.round(amount(actual) - amount(target), 1).cast("double")
 
 
 def op_duration(setup: Column | str, machine: Column | str) -> Column:
