@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forgemart.functions.derivations import is_released, signed_quantity
 from forgemart.operators.skew import lookup
+from forgemart.sources.steps import written
 
 
 def orders_with_missing_parts(co24: DataFrame) -> DataFrame:
@@ -75,31 +76,57 @@ def with_controller(headers: DataFrame, marc: DataFrame, controllers: DataFrame)
 
 
 def ancestors(hierarchy: DataFrame) -> DataFrame:
-    """Every (node, ancestor, distance) of a parent/child table, the node itself included. The walk
-    has no limit of levels or rows; a branch that comes back to a node of its own ends there."""
-    spark = hierarchy.sparkSession
-    for limit in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
-        spark.conf.set(limit, "-1")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk (node, ancestor, distance, passed) AS (
-          SELECT ProductHierarchy, ProductHierarchy, 0, array(ProductHierarchy) FROM {hierarchy}
-          UNION ALL
-          SELECT walk.node, up.Parent, walk.distance + 1, array_append(walk.passed, up.Parent)
-          FROM walk JOIN {hierarchy} up ON walk.ancestor = up.ProductHierarchy
-          WHERE up.Parent IS NOT NULL AND NOT array_contains(walk.passed, up.Parent)
-        )
-        SELECT node, ancestor, distance FROM walk
-        """,
-        hierarchy=hierarchy.select("ProductHierarchy", "Parent"),
+    """Every (node, ancestor, distance) of a parent/child table, each once with its least distance,
+    the node itself included.
+
+    Paths double: pairs known up to a distance are continued, from those at that very distance, by
+    all of them, so a walk of any depth takes as many steps as its binary logarithm, each a join
+    that is written down. A path that meets its start, or a pair known at less distance, ends there:
+    cycles and several parents are allowed. The jobs run while the result is built.
+    """
+    node = F.col("ProductHierarchy")
+    own = hierarchy.select(node.alias("node"), node.alias("ancestor"), F.lit(0).alias("distance"))
+    up = hierarchy.where(node != F.col("Parent"))
+    known = written(
+        up.select(node.alias("node"), F.col("Parent").alias("ancestor"), F.lit(1).alias("distance")).distinct()
     )
+    reach = 1
+    while not known.where(F.col("distance") == reach).isEmpty():
+        far = known.where(F.col("distance") == reach).select("node", F.col("ancestor").alias("middle"))
+        onward = known.select(F.col("node").alias("middle"), "ancestor", "distance")
+        further = (
+            far.join(onward, "middle")
+            .where("node != ancestor")
+            .select("node", "ancestor", (F.col("distance") + reach).alias("distance"))
+        )
+        pairs = known.union(further).groupBy("node", "ancestor")
+        known = written(pairs.agg(F.min("distance").alias("distance")))
+        reach *= 2
+    return own.distinct().union(known)
 
 
 def ancestors_at_level(hierarchy: DataFrame, level: int) -> DataFrame:
-    """The one ancestor of each node at ``level``; nodes above it have none."""
-    levels = hierarchy.where(F.col("Level") == level).select(
-        F.col("ProductHierarchy").alias("ancestor"), F.col("Description").alias("ancestor_text")
-    )
-    return ancestors(hierarchy).join(levels, "ancestor").select(
-        "node", "ancestor", "ancestor_text"
+    """(node, ancestor, ancestor_text): the first ancestor of each node at ``level``, nodes there
+    being their own; nodes above it have none. A node has one parent.
+
+    Every node points to its parent, those at the level to themselves; pointers are then replaced by
+    their pointers' pointers, one row a node, until all have arrived or, in cycles and branches that
+    miss the level, as many steps have been made as the hierarchy can have levels.
+    """
+    node, here = F.col("ProductHierarchy"), F.coalesce(F.col("Level") == level, F.lit(False))
+    pointers = written(
+        hierarchy.select(
+            node.alias("node"), F.when(here, node).otherwise(F.col("Parent")).alias("ancestor"), here.alias("there")
+        ).where("ancestor IS NOT NULL")
     )
+    for _ in range(pointers.count().bit_length()):
+        if pointers.where("NOT there").isEmpty():
+            break
+        onward = pointers.select(F.col("node").alias("middle"), F.col("ancestor").alias("next"), F.col("there").alias("arrived"))
+        pointers = written(
+            pointers.join(onward, F.col("ancestor") == F.col("middle")).select(
+                "node", F.col("next").alias("ancestor"), F.col("arrived").alias("there")
+            )
+        )
+    levels = hierarchy.where(here).select(node.alias("ancestor"), F.col("Description").alias("ancestor_text"))
+    return pointers.where("there").join(levels, "ancestor").select("node", "ancestor", "ancestor_text")
