@@ -2,8 +2,10 @@
 
 A measure is a set of parts. Every part is a sum or a count over rows of one fact, so it can be
 taken per foreign key before a join and summed again afterwards; ratios and averages are formed
-from the summed parts only. Sums run on decimals of 16 places: results do not depend
-on the order in which partitions arrive, and an overflow raises instead of wrapping.
+from the summed parts only. Counts of distinct values can't be summed: their parts are sets of
+values, which ``evaluate`` counts where the groups are known. Sums run on decimals of 16 places:
+results do not depend on the order in which partitions arrive, and an overflow raises instead of
+wrapping.
 """
 
 from __future__ import annotations
@@ -27,15 +29,22 @@ def exact_avg(c: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Part:
-    kind: str  # "sum", "count" (of non-null values) or "rows"
+    kind: str  # "sum", "count" (of non-null values), "rows" or "distinct" (non-null values)
     column: str = ""
     keep: Callable[[], Column] | None = None
 
+    @property
+    def additive(self) -> bool:
+        """Whether the part of a whole is the sum of its parts': not so for distinct values."""
+        return self.kind != "distinct"
+
     def value(self) -> Column:
-        """What one row adds to the part."""
+        """What one row adds to the part, or the value that it counts."""
         keep = self.keep() if self.keep else F.lit(True)
         if self.kind == "sum":
             return F.when(keep, amount(self.column))
+        if self.kind == "distinct":
+            return F.when(keep, F.col(self.column))
         counted = keep if self.kind == "rows" else keep & F.col(self.column).isNotNull()
         return F.when(counted, 1).otherwise(0).cast("bigint")
 
@@ -46,6 +55,8 @@ class Part:
         value = amount(self.column) if self.kind == "sum" else F.col(self.column)
         if keep is not None:
             value = F.when(keep, value)
+        if self.kind == "distinct":
+            return F.count_distinct(value)
         return F.sum(value) if self.kind == "sum" else F.count(value)
 
 
@@ -129,6 +140,11 @@ def sum_of(name: str, fact: str, column: str) -> Measure:
     return Measure(name, fact, (Part("sum", column),), lambda v: v[0].cast("double"), (column,))
 
 
+def distinct_of(name: str, fact: str, column: str) -> Measure:
+    """How many different values a column of a fact has."""
+    return Measure(name, fact, (Part("distinct", column),), lambda v: v[0], (column,))
+
+
 def average_of(name: str, fact: str, column: str) -> Measure:
     parts = (Part("sum", column), Part("count", column))
     return Measure(name, fact, parts, lambda v: F.try_divide(v[0].cast("double"), v[1]), (column,))

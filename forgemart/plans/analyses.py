@@ -505,6 +505,8 @@ def by_hierarchy(mart, measures: Sequence[Measure], level: int) -> DataFrame:
     facts = {m.fact for m in measures}
     if len(facts) != 1:
         raise ValueError("measures of one fact are needed")
+    if not all(part.additive for m in measures for part in m.parts):
+        raise ValueError("distinct counts of nodes can't be summed to their ancestor's")
     node = "ProductHierarchy.ProductHierarchy"
     sums = partial_sums(mart, facts.pop(), measures, [node], {})
     above = joins.ancestors_at_level(mart.table("ProductHierarchy"), level)

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forgemart.functions.measures import Measure, count_of
+from forgemart.functions.measures import Measure, Part, count_of
 from forgemart.operators.relations import Edge, dotted, follow, narrow_column, path, prefixed
 
 Predicate = Callable[[Column], Column]
@@ -73,34 +73,69 @@ def partial_sums(
     columns that join stays a plain one, in which adaptive execution splits an overlarge key. Before
     each later join, rows are summed by what is left of them: dimension columns and further keys.
     """
+    values = {
+        f"{m.alias}#{i}": part.value()
+        for m in measures
+        for i, part in enumerate(m.parts)
+        if part.additive
+    }
+    sums = [F.sum(dotted(c)).alias(c) for c in values]
+
+    def summed(df: DataFrame, kept: Sequence[str], at: int) -> DataFrame:
+        return df.groupBy(*map(dotted, kept)).agg(*sums) if len(kept) == 1 or at > 0 else df
+
+    columns = [c for m in measures for c in m.columns]
+    return _joined(mart, fact, columns, values, by, where, summed)
+
+
+def distinct_values(
+    mart, fact: str, part: Part, by: Sequence[str], where: Mapping[str, Predicate], columns: Sequence[str]
+) -> DataFrame:
+    """The set of values that a distinct count has in each group: one row a group and value.
+
+    Sets, unlike counts, can be joined on and grouped further. A value is a group column of its own,
+    so that a frequent group is spread over its values, and rows shrink to distinct ones before each
+    join but the first. Groups without values keep one row, of a null value.
+    """
+    def distinct(df: DataFrame, kept: Sequence[str], at: int) -> DataFrame:
+        return df.distinct() if at > 0 else df
+
+    return _joined(mart, fact, columns, {"#value": part.value()}, by, where, distinct).distinct()
+
+
+def _joined(
+    mart,
+    fact: str,
+    columns: Sequence[str],
+    values: Mapping[str, Column],
+    by: Sequence[str],
+    where: Mapping[str, Predicate],
+    reduce_rows: Callable[[DataFrame, Sequence[str], int], DataFrame],
+) -> DataFrame:
+    """Group columns and values of a fact's rows that pass the filters; ``reduce_rows`` may shrink
+    the rows, told apart by some columns, before the join of that number."""
     wanted = list(dict.fromkeys([*by, *where]))
     far = [c for c in wanted if _split(c)[0] != fact]
     edges = list(dict.fromkeys(e for c in far for e in path(fact, _split(c)[0])))
 
     own = [_split(c)[1] for c in wanted if _split(c)[0] == fact]
     keys = [e.many_key for e in edges if e.many == fact]
-    read = [*own, *keys, *(c for m in measures for c in m.columns)]
+    read = [*own, *keys, *columns]
     df = mart.table(fact, *dict.fromkeys(read or [narrow_column(fact)]))
     for name in where:
         if name not in far:
             df = df.where(where[name](F.col(_split(name)[1])))
 
     group = list(dict.fromkeys([_split(c)[1] for c in by if c not in far] + keys))
-    values = {
-        f"{m.alias}#{i}": part.value() for m in measures for i, part in enumerate(m.parts)
-    }
     df = df.select(
         *[F.col(c).alias(f"{fact}.{c}") for c in group],
         *[value.alias(name) for name, value in values.items()],
     )
 
-    sums = [F.sum(dotted(c)).alias(c) for c in values]
     roots = [e for e in edges if e.many == fact]
     for at, root in enumerate(roots):
         df = df.select(*[dotted(c) for c in df.columns if c in needed(df, roots[at:], by, values)])
-        kept = [c for c in df.columns if c not in values]
-        if len(kept) == 1 or at > 0:
-            df = df.groupBy(*map(dotted, kept)).agg(*sums)
+        df = reduce_rows(df, [c for c in df.columns if c not in values], at)
         dims, reached = dimension_map(mart, root, edges, far)
         same = dotted(f"{fact}.{root.many_key}") == dotted(f"{root.one}.{root.one_key}")
         df = df.join(dims, same, "left")
@@ -158,10 +193,78 @@ def evaluate(
 def _stacked(
     mart, measures: Sequence[Measure], by: Sequence[str], where: Mapping[str, Predicate]
 ) -> DataFrame:
-    facts = dict.fromkeys(m.fact for m in measures)
-    sides = [partial_sums(mart, f, [m for m in measures if m.fact == f], by, where) for f in facts]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
-    return finish(measures, stacked, list(output_names(by).values()))
+    names = list(output_names(by).values())
+    sides = _additive_sides(mart, measures, by, where)
+    for column, values in _distinct_sides(mart, measures, by, where):
+        sides.append(values.groupBy(*names).agg(F.count(dotted("#value")).alias(column)))
+    return finish(measures, _stack(sides), names)
+
+
+def _stack(sides: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+
+
+def _additive_sides(
+    mart, measures: Sequence[Measure], by: Sequence[str], where: Mapping[str, Predicate]
+) -> list[DataFrame]:
+    """Partial sums of each fact that has any."""
+    facts: dict[str, list[Measure]] = {}
+    for m in measures:
+        if any(p.additive for p in m.parts):
+            facts.setdefault(m.fact, []).append(m)
+    return [partial_sums(mart, fact, own, by, where) for fact, own in facts.items()]
+
+
+def _distinct_sides(
+    mart, measures: Sequence[Measure], by: Sequence[str], where: Mapping[str, Predicate]
+) -> list[tuple[str, DataFrame]]:
+    """The sets of values of each distinct count, under the name of its partial."""
+    return [
+        (f"{m.alias}#{i}", distinct_values(mart, m.fact, part, by, where, m.columns))
+        for m in measures
+        for i, part in enumerate(m.parts)
+        if not part.additive
+    ]
+
+
+def evaluate_levels(
+    mart,
+    measures: Sequence[Measure],
+    by: Sequence[str],
+    where: Mapping[str, Predicate] | None = None,
+    cube: bool = False,
+) -> DataFrame:
+    """``evaluate`` with subtotals over the last group columns, or with ``cube`` over any of them.
+
+    ``subtotal_level`` is 0 for a plain group and has one bit per group column summed over, the last
+    column's being the lowest; it tells a subtotal from the group of rows that have no value. Partial
+    sums of all facts are stacked and summed by all group columns before they are rolled up, and
+    measures are formed from the sums of each level, so a ratio is one of sums there. Distinct counts
+    roll up their sets of values. Measures with an overriding condition are not taken.
+    """
+    if any(m.replaces for m in measures):
+        raise ValueError("subtotals need measures without overriding conditions")
+    where, names = dict(where or {}), list(output_names(by).values())
+    width = len(names)
+    levels = [
+        [n for at, n in enumerate(names) if not hidden >> (width - 1 - at) & 1]
+        for hidden in (range(1 << width) if cube else ((1 << k) - 1 for k in range(width + 1)))
+    ]
+    sides = []
+    if additive := _additive_sides(mart, measures, by, where):
+        stacked = _stack(additive)
+        sums = [F.sum(dotted(c)).alias(c) for c in stacked.columns if c not in names]
+        groups = stacked.groupBy(*names).agg(*sums)
+        level = F.grouping_id().alias("subtotal_level")
+        sides.append(groups.groupingSets(levels, *names).agg(level, *sums))
+    for column, values in _distinct_sides(mart, measures, by, where):
+        sets = values.withColumnRenamed("#value", "_value").groupingSets(
+            [[*level, "_value"] for level in levels], *names, "_value"
+        )
+        told = sets.agg(F.shiftright(F.grouping_id(), 1).alias("subtotal_level"))
+        sides.append(told.groupBy(*names, "subtotal_level").agg(F.count("_value").alias(column)))
+    result = finish(measures, _stack(sides), [*names, "subtotal_level"])
+    return result.select(*names, "subtotal_level", *[m.alias for m in measures])
 
 
 def _groups(mart, fact: str, by: Sequence[str], where: Mapping[str, Predicate]):
