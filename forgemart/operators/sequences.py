@@ -77,6 +77,18 @@ def running_total(
     return placed.withColumn(name, _known(key, total)).drop("_bin", "_carry")
 
 
+def running_max(
+    df: DataFrame, key: str, order_by: str, bin_of: Column, value: str, name: str
+) -> DataFrame:
+    """Add the greatest ``value`` of the rows of ``key`` that precede the row, null on the first."""
+    rows = _binned(df, key, bin_of)
+    carried = _carried(rows, key, F.max(value), F.max("_summary"))
+    before = W.partitionBy(key, "_bin").orderBy(order_by)
+    inside = F.max(value).over(before.rowsBetween(W.unboundedPreceding, -1))
+    placed = _with_carry(rows.withColumn(name, inside), carried, key)
+    return placed.withColumn(name, _known(key, F.greatest(name, "_carry"))).drop("_bin", "_carry")
+
+
 def previous_row(
     df: DataFrame, key: str, order_by: str, bin_of: Column, fields: Sequence[str], name: str
 ) -> DataFrame:
