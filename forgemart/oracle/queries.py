@@ -723,4 +723,89 @@ SELECT MATNR, WERKS, Stock, LABST AS LocationStock
 FROM mard JOIN (SELECT Part AS MATNR, WERKS, Stock FROM stock) USING (MATNR, WERKS)
 WHERE LGORT = '0001' AND LABST <> Stock"""
 
+# ---- distinct counts, levels, idle times, layouts -----------------------------------------
+
+RAW["i08_distinct_orders"] = f"""
+SELECT gkey AS ProductGroup, wplant AS WERKS,
+  count(DISTINCT CASE WHEN f.StatusShort <> 'CNF' THEN f."Order" END) AS orders_waiting,
+  count(DISTINCT f.Material) AS materials, count(*) AS operation_count
+FROM ops f LEFT JOIN (SELECT "Order" AS ord, SystemStatus AS sys, Material AS mat FROM hdr) h
+  ON h.ord = f."Order" {_BY_MATERIAL}{_BY_GROUP}{_BY_CENTER}
+WHERE contains(sys, 'REL') GROUP BY gkey, wplant"""
+RAW["i09_distinct_drill"] = f"""
+WITH a AS (SELECT MTART, prio, count(DISTINCT f."Order") AS orders_confirmed, {_sum("YieldQuantity")} AS y
+  FROM conf f {_BY_HEADER}{_BY_MATERIAL} GROUP BY MTART, prio),
+b AS (SELECT MTART, prio, count(DISTINCT Component) FILTER (MissingPart = 1) AS components_missing
+  FROM co24 f {_BY_HEADER}{_BY_MATERIAL} GROUP BY MTART, prio),
+c AS (SELECT MTART, Priority AS prio, count(DISTINCT h.Material) AS materials_ordered
+  FROM hdr h LEFT JOIN mara ON MATNR = h.Material GROUP BY ALL),
+k AS (SELECT MTART, prio FROM a UNION SELECT MTART, prio FROM b UNION SELECT MTART, prio FROM c)
+SELECT k.MTART, k.prio AS Priority, orders_confirmed, y / nullif(orders_confirmed, 0) AS yield_per_order,
+  components_missing, materials_ordered
+FROM k LEFT JOIN a ON a.MTART IS NOT DISTINCT FROM k.MTART AND a.prio IS NOT DISTINCT FROM k.prio
+  LEFT JOIN b ON b.MTART IS NOT DISTINCT FROM k.MTART AND b.prio IS NOT DISTINCT FROM k.prio
+  LEFT JOIN c ON c.MTART IS NOT DISTINCT FROM k.MTART AND c.prio IS NOT DISTINCT FROM k.prio"""
+RAW["i10_levels"] = f"""
+WITH a AS (SELECT gkey AS g, Priority AS p, CAST(grouping(gkey, Priority) AS BIGINT) AS subtotal_level,
+    count(*) AS order_count, count(*) FILTER (contains(SystemStatus, 'REL')) AS released_order_load
+  FROM (SELECT Priority, SystemStatus, Material AS mat FROM hdr) h {_BY_MATERIAL}{_BY_GROUP}
+  GROUP BY ROLLUP (gkey, Priority)),
+b AS (SELECT gkey AS g, prio AS p, CAST(grouping(gkey, prio) AS BIGINT) AS subtotal_level,
+    {_RATE} AS scrap_rate, {_sum("YieldQuantity")} AS total_yield, count(DISTINCT f."Order") AS orders_confirmed
+  FROM conf f {_BY_HEADER}{_BY_MATERIAL}{_BY_GROUP} GROUP BY ROLLUP (gkey, prio)),
+c AS (SELECT gkey AS g, prio AS p, CAST(grouping(gkey, prio) AS BIGINT) AS subtotal_level,
+    count(*) FILTER (MissingPart = 1) AS missing_part_count
+  FROM co24 f {_BY_HEADER}{_BY_MATERIAL}{_BY_GROUP} GROUP BY ROLLUP (gkey, prio)),
+k AS (SELECT g, p, subtotal_level FROM a UNION SELECT g, p, subtotal_level FROM b
+  UNION SELECT g, p, subtotal_level FROM c)
+SELECT k.g AS ProductGroup, k.p AS Priority, k.subtotal_level, order_count, released_order_load, scrap_rate,
+  total_yield, missing_part_count, orders_confirmed
+FROM k LEFT JOIN a ON a.g IS NOT DISTINCT FROM k.g AND a.p IS NOT DISTINCT FROM k.p AND a.subtotal_level = k.subtotal_level
+  LEFT JOIN b ON b.g IS NOT DISTINCT FROM k.g AND b.p IS NOT DISTINCT FROM k.p AND b.subtotal_level = k.subtotal_level
+  LEFT JOIN c ON c.g IS NOT DISTINCT FROM k.g AND c.p IS NOT DISTINCT FROM k.p AND c.subtotal_level = k.subtotal_level"""
+RAW["i11_distinct_rollup"] = """
+SELECT w.WERKS, strftime(ActualEnd, '%Y%m') AS Period, count(DISTINCT c."Order") AS orders
+FROM conf c LEFT JOIN wc w ON w.WorkCenter = c.WorkCenter GROUP BY ALL"""
+# Another way than the query's: how many intervals run between one event and the next.
+RAW["a19_idle_time"] = """
+WITH iv AS (SELECT WorkCenter AS c, e - s AS b, e FROM (
+    SELECT WorkCenter, CAST(epoch(ActualEnd) AS BIGINT) AS e,
+      CAST(round(ActualMachineTime * 3600) AS BIGINT) AS s FROM conf) WHERE s > 0 AND WorkCenter IS NOT NULL),
+event AS (SELECT c, t, sum(d) AS d FROM (
+    SELECT c, b AS t, 1 AS d FROM iv UNION ALL SELECT c, e, -1 FROM iv) GROUP BY c, t),
+run AS (SELECT c, t, sum(d) OVER w AS running, lead(t) OVER w AS until
+  FROM event WINDOW w AS (PARTITION BY c ORDER BY t)),
+cut AS (SELECT c, d, running, greatest(t, d * 86400) AS a, least(until, (d + 1) * 86400) AS z FROM (
+    SELECT *, unnest(range(t // 86400, (until - 1) // 86400 + 1)) AS d FROM run WHERE until IS NOT NULL)),
+-- Neighbouring stretches of one state are one gap: only a state change ends it.
+idle AS (SELECT c, d, sum(z - a) AS idle, max(z - a) AS longest FROM cut WHERE running = 0 GROUP BY c, d),
+busy AS (SELECT c, d, sum(z - a) AS busy FROM cut WHERE running > 0 GROUP BY c, d),
+day AS (SELECT c, d FROM cut GROUP BY c, d)
+SELECT c AS WorkCenter, CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS DATE) AS day,
+  coalesce(busy, 0) / 3600.0::DOUBLE AS busy_hours, coalesce(idle, 0) / 3600.0::DOUBLE AS idle_hours,
+  coalesce(longest, 0) / 3600.0::DOUBLE AS longest_gap_hours
+FROM day LEFT JOIN busy USING (c, d) LEFT JOIN idle USING (c, d)"""
+RAW["a20_delay_sketch"] = """
+SELECT strftime(ActualEnd, '%Y%m') AS Period, count(DelayHours) AS postings, CAST(0 AS BIGINT) AS off
+FROM conf WHERE DelayHours IS NOT NULL GROUP BY ALL"""
+RAW["s09_by_order"] = "\nUNION ALL\n".join(
+    f"""SELECT '{t}' AS "table", h.StatusShort, count(*) AS "rows"
+    FROM {TABLE_CTE[t]} f JOIN hdr h ON h."Order" = f."Order" GROUP BY h.StatusShort"""
+    for t in ("COOIS_OrderOperations", "COOIS_Confirmations", "CO24", "MATDOC")
+)
+RAW["s10_periods"] = f"""
+SELECT strftime(ActualEnd, '%Y%m') AS Period, count(*) AS "rows",
+  CASE WHEN strftime(ActualEnd, '%Y%m') = '199503' THEN 2 ELSE 1 END * {_sum("YieldQuantity")} AS total_yield
+FROM conf WHERE year(ActualEnd) = 1995 GROUP BY ALL"""
+RAW["s11_swap"] = f"""
+SELECT 'before' AS state, count(*) AS "rows", {_sum("DeliveredQuantity")} AS delivered FROM hdr
+UNION ALL
+SELECT 'after', count(*), {_sum("DeliveredQuantity")} FROM hdr WHERE StatusShort IN ('CRTD', 'REL', 'PCNF')"""
+RAW["k13_checks_on_load"] = """
+SELECT 'rows' AS "check", count(*) AS "rows" FROM co24
+UNION ALL SELECT 'shortage', count(*) FROM co24
+WHERE ceil(ShortageQuantity) <> round(greatest(Reqmnt_qty - Comm_qty, 0), 1)
+UNION ALL SELECT 'component', 0
+UNION ALL SELECT 'negative', 0"""
+
 ORACLE = {name: with_mart(sql.strip()) for name, sql in RAW.items()}

@@ -11,19 +11,21 @@ from pyspark.sql import types as T
 
 from forgemart import fixed_values as fixed
 from forgemart.functions import derivations as D
-from forgemart.functions.measures import Measure, measure
-from forgemart.operators import joins, quality, totals
+from forgemart.functions.measures import Measure, distinct_of, measure
+from forgemart.operators import joins, quality, sketches, totals
 from forgemart.operators.generate import expand_locations, expand_routing, periods, sop_grid
 from forgemart.operators.relations import EDGES, join_edge, orphans, widen
 from forgemart.operators.schedule import schedule
 from forgemart.operators.skew import lookup
 from forgemart.plans import analyses as A
-from forgemart.plans.evaluate import evaluate
+from forgemart.plans.evaluate import evaluate, evaluate_levels
+from forgemart.plans.idle import idle_time
 from forgemart.sources import binding as B
 from forgemart.sources import schema as S
-from forgemart.sources import storage
+from forgemart.sources import layout, storage
 from forgemart.sources.binding import BoundMart
-from forgemart.sources.mart import FrameMart, StoredMart, store
+from forgemart.sources.mart import CatalogMart, FrameMart, StoredMart, store
+from forgemart.sources.steps import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,6 +151,68 @@ def s08_validate(m):
     return storage.validate(m.spark, stored).join(counts, "table", "left")
 
 
+def _by_order(m) -> CatalogMart:
+    database = layout.new_database(m.spark)
+    layout.store_by_order(m, database, buckets=16)
+    return CatalogMart(m.spark, database)
+
+
+@query
+def s09_by_order(m):
+    """Rows of the four facts that meet their header, from tables stored in buckets by order."""
+    mart = _by_order(m)
+    headers = mart.table(HEADERS, "Order", "StatusShort")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            mart.table(fact, "Order")
+            .join(headers, "Order")
+            .groupBy("StatusShort")
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .select(F.lit(fact).alias("table"), "StatusShort", "rows")
+            for fact in layout.BY_ORDER[1:]
+        ],
+    )
+
+
+@query
+def s10_periods(m):
+    """Confirmations stored by month; one month is written anew with twice the yield, the others stay;
+    then the months of one year are read through a dimension of periods."""
+    root = storage.new_root(m.spark)
+    rows = m.table(CONFIRMATIONS, "Order", "Operation", "ActualEnd", "YieldQuantity")
+    layout.save_partitioned(layout.with_period(rows, "ActualEnd"), root, CONFIRMATIONS)
+    stored = layout.load_partitioned(m.spark, root, CONFIRMATIONS)
+    again = stored.where("Period = '199503'").withColumn("YieldQuantity", F.col("YieldQuantity") * 2)
+    layout.replace_partitions(written(again), root, CONFIRMATIONS)
+    stored = layout.load_partitioned(m.spark, root, CONFIRMATIONS)
+    year = periods(m.spark.range(1), F.lit("1995-01-01").cast("date"), 12).select("Period")
+    return (
+        stored.join(F.broadcast(year), "Period")
+        .groupBy("Period")
+        .agg(F.count(F.lit(1)).alias("rows"), totals.exact_sum("YieldQuantity").alias("total_yield"))
+    )
+
+
+@query
+def s11_swap(m):
+    """Rows and delivered quantity of a table before and after its rows were swapped, both read from
+    frames that were made at their time."""
+    database = layout.new_database(m.spark)
+    headers = m.table(HEADERS, "Order", "StatusShort", "DeliveredQuantity")
+    layout.swap_table(headers, database, HEADERS)
+    before = storage.load_table(m.spark, database, HEADERS)
+    open_orders = headers.where("StatusShort IN ('CRTD', 'REL', 'PCNF')")
+    layout.swap_table(open_orders, database, HEADERS)
+    after = storage.load_table(m.spark, database, HEADERS)
+
+    def told(name: str, df: DataFrame) -> DataFrame:
+        quantity = totals.exact_sum("DeliveredQuantity").alias("delivered")
+        return df.agg(F.count(F.lit(1)).alias("rows"), quantity).select(F.lit(name).alias("state"), "*")
+
+    return told("before", before).unionByName(told("after", after))
+
+
 # ---- derivations ------------------------------------------------------------------------
 
 
@@ -665,6 +729,66 @@ def i07_stock_total(m):
     return totals.stock_total(m.table("MARD", "MATNR", "WERKS", "LABST"))
 
 
+@query
+def i08_distinct_orders(m):
+    """Distinct released orders with an unfinished operation, by what the order's material and the
+    centre say: a distinct count of a fact by dimensions on two paths."""
+    waiting = distinct_of("Orders Waiting", OPERATIONS, "Order").where(
+        lambda: F.col("StatusShort") != "CNF", ["StatusShort"]
+    )
+    return evaluate(
+        m,
+        [waiting, distinct_of("Materials", OPERATIONS, "Material"), measure("Operation Count")],
+        ["ProductGroup.ProductGroup", "WorkCenters.WERKS"],
+        {"COOIS_OrderHeaders.SystemStatus": lambda c: c.contains("REL")},
+    )
+
+
+@query
+def i09_distinct_drill(m):
+    """Distinct counts of three facts and a sum beside one another, and a ratio with one of them."""
+    confirmed = distinct_of("Orders Confirmed", CONFIRMATIONS, "Order")
+    return evaluate(
+        m,
+        [
+            confirmed,
+            Measure.compose(
+                "Yield Per Order", lambda v: F.try_divide(v[0], v[1]), measure("Total Yield"), confirmed
+            ),
+            distinct_of("Components Missing", "CO24", "Component").where(
+                lambda: F.col("MissingPart") == 1, ["MissingPart"]
+            ),
+            distinct_of("Materials Ordered", HEADERS, "Material"),
+        ],
+        ["MARA.MTART", "COOIS_OrderHeaders.Priority"],
+    )
+
+
+@query
+def i10_levels(m):
+    """Six measures of three facts at three levels, a distinct count among them."""
+    names = ("Order Count", "Released Order Load", "Scrap Rate", "Total Yield", "Missing Part Count")
+    return evaluate_levels(
+        m,
+        [*map(measure, names), distinct_of("Orders Confirmed", CONFIRMATIONS, "Order")],
+        ["ProductGroup.ProductGroup", "COOIS_OrderHeaders.Priority"],
+    )
+
+
+@query
+def i11_distinct_rollup(m):
+    """Distinct confirmed orders a plant and month, from bitmaps kept by centre and day."""
+    rows = m.table(CONFIRMATIONS, "Order", "WorkCenter", "ActualEnd")
+    numbers = sketches.numbered(m.table(HEADERS, "Order"), "Order")
+    daily = sketches.value_bitmaps(
+        rows.join(numbers, "Order").withColumn("day", F.to_date("ActualEnd")), ["WorkCenter", "day"]
+    )
+    centers = m.table("WorkCenters", "WorkCenter", "WERKS")
+    monthly = daily.join(centers, "WorkCenter", "left").withColumn("Period", D.period("day"))
+    by = ["WERKS", "Period"]
+    return sketches.bitmap_counts(sketches.merge_bitmaps(monthly, by), by, "orders")
+
+
 # ---- questions and analyses -------------------------------------------------------------
 
 
@@ -829,6 +953,24 @@ def a18_consumption(m):
     )
 
 
+@query
+def a19_idle_time(m):
+    return idle_time(m.table(CONFIRMATIONS, "WorkCenter", "ActualEnd", "ActualMachineTime"))
+
+
+@query
+def a20_delay_sketch(m):
+    """Percentiles of delay by month, merged from sketches by centre and day: how many of them are
+    further than 1.5 % of the rows from their rank."""
+    rows = m.table(CONFIRMATIONS, "WorkCenter", "ActualEnd", "DelayHours")
+    rows = rows.withColumns({"day": F.to_date("ActualEnd"), "Period": D.period("ActualEnd")})
+    daily = sketches.quantile_sketches(rows, ["WorkCenter", "day", "Period"], "DelayHours")
+    monthly = sketches.merge_sketches(daily, ["Period"])
+    errors = sketches.quantile_errors(rows, monthly, ["Period"], "DelayHours", (50, 90, 99))
+    off = [F.when(F.col(f"off_{p}") > 0.015, 1).otherwise(0) for p in (50, 90, 99)]
+    return errors.select("Period", F.col("rows").alias("postings"), reduce(lambda a, b: a + b, off).alias("off"))
+
+
 # ---- quality checks ---------------------------------------------------------------------
 # Valid data has no violations, so each check runs on a table with one column made wrong.
 
@@ -939,3 +1081,17 @@ def k12_stock(m):
         "LABST", F.when(F.col("LGORT") == "0001", F.col("LABST")).otherwise(0.0)
     )
     return quality.check_k12(mard, m.table("tmp_PartStockV1", "Part", "WERKS", "Stock"))
+
+
+@query
+def k13_checks_on_load(m):
+    """Rows that break a rule, counted in the pass that stores the table; one column is made wrong."""
+    lines = m.table("CO24").withColumn("ShortageQuantity", F.ceil("ShortageQuantity").cast("double"))
+    expected = D.shortage("Reqmnt_qty", "Comm_qty", F.lit(0))
+    checks = [
+        layout.Check("shortage", F.col("ShortageQuantity") != expected),
+        layout.Check("component", F.col("Component").isNull(), limit=0),
+        layout.Check("negative", F.col("Reqmnt_qty") < 0, limit=0),
+    ]
+    found = layout.save_checked(lines, storage.new_root(m.spark), "CO24", checks)
+    return m.spark.createDataFrame(list(found.items()), "check string, rows bigint")
