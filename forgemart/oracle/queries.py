@@ -794,9 +794,9 @@ RAW["s09_by_order"] = "\nUNION ALL\n".join(
     for t in ("COOIS_OrderOperations", "COOIS_Confirmations", "CO24", "MATDOC")
 )
 RAW["s10_periods"] = f"""
-SELECT strftime(ActualEnd, '%Y%m') AS Period, count(*) AS "rows",
-  CASE WHEN strftime(ActualEnd, '%Y%m') = '199503' THEN 2 ELSE 1 END * {_sum("YieldQuantity")} AS total_yield
-FROM conf WHERE year(ActualEnd) = 1995 GROUP BY ALL"""
+SELECT Period, n AS "rows", CASE WHEN Period = '199503' THEN 2 ELSE 1 END * y AS total_yield
+FROM (SELECT strftime(ActualEnd, '%Y%m') AS Period, count(*) AS n, {_sum("YieldQuantity")} AS y
+  FROM conf WHERE year(ActualEnd) = 1995 GROUP BY ALL)"""
 RAW["s11_swap"] = f"""
 SELECT 'before' AS state, count(*) AS "rows", {_sum("DeliveredQuantity")} AS delivered FROM hdr
 UNION ALL
