@@ -763,6 +763,11 @@ SELECT k.g AS ProductGroup, k.p AS Priority, k.subtotal_level, order_count, rele
 FROM k LEFT JOIN a ON a.g IS NOT DISTINCT FROM k.g AND a.p IS NOT DISTINCT FROM k.p AND a.subtotal_level = k.subtotal_level
   LEFT JOIN b ON b.g IS NOT DISTINCT FROM k.g AND b.p IS NOT DISTINCT FROM k.p AND b.subtotal_level = k.subtotal_level
   LEFT JOIN c ON c.g IS NOT DISTINCT FROM k.g AND c.p IS NOT DISTINCT FROM k.p AND c.subtotal_level = k.subtotal_level"""
+RAW["i12_case_blind"] = """
+SELECT MTART, StatusShort, count(*) AS order_count,
+  count(*) FILTER (contains(SystemStatus, 'REL')) AS released_order_load,
+  count(DISTINCT SystemStatus) AS statuses
+FROM hdr LEFT JOIN mara ON MATNR = Material WHERE StatusShort IN ('REL', 'PCNF', 'CNF') GROUP BY ALL"""
 RAW["i11_distinct_rollup"] = """
 SELECT w.WERKS, strftime(ActualEnd, '%Y%m') AS Period, count(DISTINCT c."Order") AS orders
 FROM conf c LEFT JOIN wc w ON w.WorkCenter = c.WorkCenter GROUP BY ALL"""

@@ -24,6 +24,7 @@ from forgemart.sources import binding as B
 from forgemart.sources import schema as S
 from forgemart.sources import layout, storage
 from forgemart.sources.binding import BoundMart
+from forgemart.sources.case_blind import CaseBlindMart
 from forgemart.sources.mart import CatalogMart, FrameMart, StoredMart, store
 from forgemart.sources.steps import written
 
@@ -789,6 +790,27 @@ def i11_distinct_rollup(m):
     return sketches.bitmap_counts(sketches.merge_bitmaps(monthly, by), by, "orders")
 
 
+@query
+def i12_case_blind(m):
+    """Measures where half of the orders and materials have their codes in small letters, as if all
+    were written alike."""
+    odd = F.crc32("Order") % 2 == 1
+    headers = m.table(HEADERS, "Order", "Material", "StatusShort", "SystemStatus").withColumns(
+        {c: F.when(odd, F.lower(c)).otherwise(F.col(c)) for c in ("StatusShort", "SystemStatus")}
+    )
+    materials = m.table("MARA", "MATNR", "MTART").withColumn(
+        "MTART", F.when(F.crc32("MATNR") % 2 == 1, F.lower("MTART")).otherwise(F.col("MTART"))
+    )
+    found = evaluate(
+        CaseBlindMart(FrameMart({HEADERS: headers, "MARA": materials})),
+        [measure("Order Count"), measure("Released Order Load"), distinct_of("Statuses", HEADERS, "SystemStatus")],
+        ["MARA.MTART", "COOIS_OrderHeaders.StatusShort"],
+        {"COOIS_OrderHeaders.StatusShort": lambda c: c.isin("rel", "Pcnf", "CNF")},
+    )
+    texts = [F.upper(F.col(c).cast("string")).alias(c) for c in ("MTART", "StatusShort")]
+    return found.select(*texts, *found.columns[2:])
+
+
 # ---- questions and analyses -------------------------------------------------------------
 
 
