@@ -1,4 +1,4 @@
-"""Mixes sources to target weights: fixed-length blocks of words dealt to output shards.
+"""Mixes sources to target weights: fixed-length blocks of words, drawn for each output shard.
 
 DataFrame functions only.
 """
@@ -15,7 +15,7 @@ from forgemart.llm.scratch import free_names, saved
 BLOCK = 128  # words
 SHARD = 1024  # slots, one block each
 SLOTS = 1 << 17  # that one task counts out
-BINS = 1024  # of a source's documents, so that its running totals need no single task
+BINS = 1024  # of a source's documents, and shards of a bin, so that running totals need no single task
 ROUNDS = 12  # of a permutation
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -130,28 +130,78 @@ def packed(docs: DataFrame) -> DataFrame:
     return rows.alias("l").join(bins.alias("r"), same).select("l.*", begin.alias("begin")).drop("bin", "inside")
 
 
+def draws(sources: DataFrame, total: int, shard: int = SHARD) -> DataFrame:
+    """(shard, first, n) from (first, slots): how many of a shard's slots fall to the source whose
+    slots begin at `first`; counts of 0 have no row.
+
+    Shards hold `shard` slots each, the last one what is left of `total`. A shard's counts are a
+    multinomial draw at the sources' shares: each slot picks a number below the total by a hash, and
+    the source that holds this number. Numbers are looked up in stretches of `width`, in which few
+    sources begin on average, so that slots join few candidates.
+    """
+    count = sources.count()
+    width = max(1, min(1024, total // max(count, 1)))
+    # Stretches are counted out in two steps, so that no row holds an array that grows with a source.
+    some = F.lit(width * 4096)
+    last = F.col("first") + F.col("slots") - 1
+    held = sources.withColumn("run", F.explode(F.sequence(F.floor(F.col("first") / some), F.floor(last / some))))
+    held = held.repartition(total // (SLOTS * width) + 1, "first", "run")
+    begin = F.greatest(F.floor(F.col("first") / width), F.col("run") * 4096)
+    until = F.least(F.floor(last / width), F.col("run") * 4096 + 4095)
+    held = saved(held.select("first", last.alias("end"), F.explode(F.sequence(begin, until)).alias("stretch")))
+    slot = F.col("id")
+    drawn = sources.sparkSession.range(0, total, 1, total // SLOTS + 1).select(
+        F.floor(slot / shard).alias("shard"), F.pmod(F.xxhash64(slot, F.lit("draw")), F.lit(total)).alias("number")
+    )
+    drawn = drawn.withColumn("stretch", F.floor(F.col("number") / width)).join(held, "stretch")
+    return drawn.where(F.col("number").between(F.col("first"), F.col("end"))).groupBy("shard", "first").agg(F.count("*").alias("n"))
+
+
 def slots(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     """(shard, slot, source, pass, block, words) of the whole mix, a row for each block taken.
 
-    No counts are drawn for the shards: in place of a multinomial draw all slots are permuted over
-    all output places, so a shard's counts are what falls into it, and the totals are exact. A source's slots map through a permutation of its blocks, a new one for each pass.
+    `draws` gives each shard its counts of the sources. The slots drawn for a source are numbered
+    through the shards and map through a permutation of their own number to the source's indexes:
+    index // blocks is the pass, and a permutation for each pass gives the block. Totals close by
+    index: a source drawn more often than it has slots hands over the slots whose index is beyond
+    them, spread over all shards, and sources drawn too seldom take them in their order. So every
+    index is taken once. In a shard, slots stand by a permutation.
     `sources` is from block_counts; sources without slots give no rows.
     """
     known = saved(running(sources.where("slots > 0"), "source", F.col("slots"), "first"))
-    total = known.agg(F.sum("slots")).first()[0] or 0
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard)))
+    total = int(known.agg(F.sum("slots")).first()[0] or 0)
+    counts = saved(draws(known.select("first", "slots"), total, shard).withColumn("bin", F.floor(F.col("shard") / BINS)))
+    bins = saved(counts.groupBy("first", "bin").agg(F.sum("n").alias("n")))
+    drawn = bins.groupBy("first").agg(F.sum("n").alias("drawn"))
+    known = known.select("source", "slots", "blocks", "last", "first").join(drawn, "first", "left")
+    known = saved(known.withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long"))))
+    over = Window.partitionBy("first").orderBy("bin")
+    spare = running(known.select("first", F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)).alias("n")), "first", F.col("n"), "spare")
+    bins = bins.select("first", "bin", (F.sum("n").over(over) - F.col("n")).alias("before"))
+    bins = bins.join(known.drop("source", "blocks", "last"), "first").join(spare.drop("n"), "first")
+    inside = F.sum("n").over(Window.partitionBy("first", "bin").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    here = F.sum("n").over(Window.partitionBy("shard").orderBy("first").rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.withColumns({"inside": inside - F.col("n"), "here": here - F.col("n")}).join(bins, ["first", "bin"])
     # Few rows become many: the number of tasks follows the slots, not what arrives here.
-    runs = known.withColumn("run", each).repartition(total // SLOTS + 1, "first", "run")
-    begin = F.col("run") * shard
-    until = F.least(begin + shard, F.col("slots")) - 1
-    rows = runs.withColumn("k", F.explode(F.sequence(begin, until)))
-    place = permuted(F.col("first") + F.col("k"), F.lit(total).cast("long"), F.lit("places"))
-    turn = F.floor(F.col("k") / F.col("blocks"))
-    block = permuted(F.pmod("k", "blocks"), F.col("blocks"), turn, F.col("first"))
+    rows = rows.repartition(total // SLOTS + 1, "shard", "first")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    size = F.least(F.lit(shard).cast("long"), F.lit(total) - F.col("shard") * shard)
+    index = permuted(F.col("before") + F.col("inside") + F.col("i"), F.col("drawn"), F.col("first"), F.lit("index"))
+    rows = saved(rows.select(
+        "shard", permuted(F.col("here") + F.col("i"), size, F.col("shard"), F.lit("slot")).alias("slot"),
+        "first", index.alias("index"), "slots", "spare",
+    ))
+    own = rows.where("index < slots").select("shard", "slot", "first", "index")
+    handed = rows.where("index >= slots").select("shard", "slot", (F.col("spare") + F.col("index") - F.col("slots")).alias("turn"))
+    wanting = running(known.where("drawn < slots"), "first", F.col("slots") - F.col("drawn"), "turn")
+    wanting = wanting.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - F.col("drawn") - 1)))
+    wanting = wanting.select("first", (F.col("drawn") + F.col("i")).alias("index"), (F.col("turn") + F.col("i")).alias("turn"))
+    rows = own.unionByName(handed.join(wanting, "turn").drop("turn")).join(known.drop("drawn"), "first")
+    turn = F.floor(F.col("index") / F.col("blocks"))
+    block = permuted(F.pmod("index", "blocks"), F.col("blocks"), turn, F.col("first"))
     return rows.select(
-        F.floor(place / shard).alias("shard"), F.pmod(place, F.lit(shard)).alias("slot"), "source",
-        turn.alias("pass"), block.alias("block"),
-        F.when(F.col("k") == F.col("slots") - 1, F.col("last")).otherwise(F.lit(2**62)).alias("words"),
+        "shard", "slot", "source", turn.alias("pass"), block.alias("block"),
+        F.when(F.col("index") == F.col("slots") - 1, F.col("last")).otherwise(F.lit(2**62)).alias("words"),
     )
 
 

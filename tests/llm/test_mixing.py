@@ -76,6 +76,39 @@ def test_slots_are_dealt_once_and_at_random(spark):
     assert 0.4 < spread / (50 * share * (1 - share)) < 2
 
 
+def test_counts_of_shards_are_multinomial_draws(spark):
+    slots = {0: 4000, 4000: 1, 4001: 6000, 10001: 3, 10004: 9996}
+    total = sum(slots.values())
+    sources = spark.createDataFrame([*slots.items()], "first long, slots long")
+    found = mixing.draws(sources, total, shard=100).collect()
+    counts = {(r.shard, r["first"]): r.n for r in found}
+    assert len(counts) == len(found)
+    assert all(sum(n for (s, _), n in counts.items() if s == shard) == 100 for shard in range(total // 100))
+    for a in (0, 4001, 10004):
+        share, mean = slots[a] / total, 100 * slots[a] / total
+        spread = sum((counts.get((s, a), 0) - mean) ** 2 for s in range(200)) / 200
+        assert 0.75 < spread / (mean * (1 - share)) < 1.3
+    # Two sources' counts in a shard vary against each other, as one draw's do.
+    both = sum((counts[s, 0] - 20) * (counts[s, 10004] - 49.98) for s in range(200)) / 200
+    assert -15 < both < -5  # -100 * 0.2 * 0.4998
+    assert counts == {(r.shard, r["first"]): r.n for r in mixing.draws(sources.repartition(3), total, shard=100).collect()}
+
+
+def test_totals_close_after_the_draw(spark):
+    """Many sources of a block each, which draws hit twice or not at all, beside a large one."""
+    rows = [(f"s{i:03}", 1, 1, 1, 7) for i in range(300)] + [("big", 500, 200, 500, 5), ("none", 4, 4, 0, 7)]
+    sources = spark.createDataFrame(rows, "source string, source_size long, blocks long, slots long, last long")
+    found = mixing.slots(sources, shard=50).collect()
+    assert sorted(50 * r["shard"] + r["slot"] for r in found) == list(range(800))
+    taken = {}
+    for r in found:
+        taken.setdefault(r.source, []).append((r["pass"], r.block))
+    assert taken.keys() == {r[0] for r in rows} - {"none"}
+    assert sorted(taken.pop("big"))[:400] == [(p, b) for p in range(2) for b in range(200)]
+    assert all(v == [(0, 0)] for v in taken.values())
+    assert sum(r.words != 2**62 for r in found) == 301
+
+
 def test_permutations_are_bijections(spark):
     for size in (1, 2, 3, 97, 1000):
         rows = spark.range(size).select(mixing.permuted(F.col("id"), F.lit(size), F.lit(5)).alias("to")).collect()
