@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -11,8 +12,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from forgemart.llm.scratch import map_arrow, slices, texts_as_bytes, whole_number
+from forgemart.llm.scratch import map_arrow, saved, slices, texts_as_bytes, whole_number
 
 #: Characters of benchmark text that are sent to the tasks at once.
 BLOCK_CHARS = 4 << 20
@@ -185,16 +188,17 @@ class Queries:
         return counts, hits, items
 
 
-def _blocks(benchmark: DataFrame, window: int, item_id: str, text: str) -> list[Broadcast]:
-    """The benchmark in blocks of about BLOCK_CHARS, each sent to the tasks by itself."""
+def _blocks(benchmark: DataFrame, window: int, item_id: str, text: str) -> tuple[int, Iterator[Broadcast]]:
+    """The number of blocks of about BLOCK_CHARS that the benchmark falls into, and the blocks, each
+    fetched and sent to the tasks when its turn comes."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
     blocks = whole_number(rows, F.sum(F.length("text"))) // BLOCK_CHARS + 1
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     context = benchmark.sparkSession.sparkContext
-    return [
+    return blocks, (
         context.broadcast(Queries.of([tuple(r) for r in rows.where(block == b).collect()], window))
         for b in range(blocks)
-    ]
+    )
 
 
 def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -202,6 +206,17 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that touch or overlap become one."""
+    found: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if found and begin <= found[-1][1]:
+            found[-1] = found[-1][0], max(end, found[-1][1])
+        else:
+            found.append((begin, end))
+    return found
+
+
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, *,
     doc_id="doc_id", text="text", item_id="item_id", item_text="text",
@@ -212,30 +227,54 @@ def find_overlaps(
     words. spans are the merged word ranges [begin, end) that occurrences of windows cover; items
     are the ids, as sorted strings, of the items with occurring windows. Null and empty texts have
     no words; items without an id hit but aren't named; repeated rows repeat. An empty benchmark
-    hits nothing. Each block of the benchmark is a pass over the texts (one up to BLOCK_CHARS).
+    hits nothing. Each block of the benchmark (one up to BLOCK_CHARS) is a pass over the texts; of
+    several, a pass writes its spans and frees its block before the next one starts.
     """
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<begin:long,end:long>>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    for block in _blocks(benchmark, window, item_id, item_text):
+    kind = docs.schema[doc_id].dataType.simpleString()
+    found = "n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
+    types = to_arrow_schema(StructType.fromDDL(found))
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+    def searched(rows: DataFrame, block: Broadcast, all_rows: bool, kept: str) -> DataFrame:
+        """Column `kept`, counts, spans and items of all rows, or of those that the block hits."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 counts, hits, items = block.value.search(texts_as_bytes(batch, "text"))
-                for i, spans in enumerate(batch.column("spans").to_pylist()):
-                    for span in spans:
-                        hits[i][span["begin"] : span["end"]] = True
-                    items[i].update(batch.column("items")[i].as_py())
-                spans = [[{"begin": a, "end": b} for a, b in _spans(hit)] for hit in hits]
-                columns = [pa.array(counts, pa.int64()), pa.array(spans, batch.schema.field("spans").type)]
-                columns.append(pa.array([sorted(x) for x in items], batch.schema.field("items").type))
-                names = ["doc_id", "text", "n_words", "spans", "items"]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *columns], names)
+                told = [i for i, hit in enumerate(hits) if all_rows or hit.any()]
+                values = (
+                    [counts[i] for i in told], [[{"begin": a, "end": b} for a, b in _spans(hits[i])] for i in told],
+                    [sorted(items[i]) for i in told],
+                )
+                columns = [pa.array(v, f.type) for v, f in zip(values, types, strict=True)]
+                names = [kept, "n_words", "spans", "items"]
+                yield pa.RecordBatch.from_arrays([batch.column(kept).take(pa.array(told, pa.int64())), *columns], names)
+
+        of = rows.schema[kept].dataType.simpleString()
+        return map_arrow(rows.select(kept, "text"), run, f"{kept} {of}, {found}")
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    count, blocks = _blocks(benchmark, window, item_id, item_text)
+    if count == 1:
+        return searched(rows, next(blocks), True, "doc_id")
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
+    passes = []
+    for i, block in enumerate(blocks):
+        passes.append(saved(searched(rows, block, i == 0, "row")))
+        block.destroy()
+    together = functools.reduce(DataFrame.union, passes).groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = types.get_field_index("spans")
+        for batch in batches:
+            spans = [_merged([(s["begin"], s["end"]) for s in row]) for row in batch.column("spans").to_pylist()]
+            spans = [[{"begin": a, "end": b} for a, b in row] for row in spans]
+            yield batch.set_column(batch.schema.get_field_index("spans"), "spans", pa.array(spans, types.field(at).type))
 
-        rows = map_arrow(rows, run, rows.schema)
-    return rows.drop("text")
+    rows = rows.select("row", "doc_id").join(together, "row").drop("row")
+    return map_arrow(rows, merged, f"doc_id {kind}, {found}")
 
 
 def cut_hits(queries: Queries, text: bytes) -> bytes:
@@ -260,16 +299,18 @@ def remove_overlaps(
 ) -> DataFrame:
     """All rows and columns of documents, with the text that windows cover cut out.
 
-    Where a cut brings other words together that make a window, it is cut as well. n_chars, if
-    there is such a column, is the length of the text that is left. Other rows stay as they are.
+    Where a cut brings other words together that make a window, it is cut as well. Blocks of the
+    benchmark take turns, each on what the one before wrote, in rounds until one cuts nothing more;
+    a single block needs one round. n_chars, if there is such a column, is the length of the text
+    that is left. Other rows stay as they are.
     """
-    for block in _blocks(benchmark, window, item_id, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+    def cleared(docs: DataFrame, block: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text):
                 texts = texts_as_bytes(batch, text)
                 _, hits, _ = block.value.search(texts)
-                cut = {i: cut_hits(block.value, texts[i]).decode() for i, hit in enumerate(hits) if hit.any()}
+                cut = {at: cut_hits(block.value, texts[at]).decode() for at, hit in enumerate(hits) if hit.any()}
                 if cut:
                     for name, value in ((text, str), (n_chars, len)):
                         if name in batch.schema.names:
@@ -279,5 +320,16 @@ def remove_overlaps(
                             batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
                 yield batch
 
-        docs = map_arrow(docs, run, docs.schema)
+        return map_arrow(docs, run, docs.schema)
+
+    count, blocks = _blocks(benchmark, window, item_id, item_text)
+    if count == 1:
+        return cleared(docs, next(blocks))
+    size = F.sum(F.octet_length(text))
+    was, now = None, whole_number(docs, size)
+    while was != now:  # a cut makes a text shorter
+        for block in _blocks(benchmark, window, item_id, item_text)[1]:
+            docs = saved(cleared(docs, block))
+            block.destroy()
+        was, now = now, whole_number(docs, size)
     return docs

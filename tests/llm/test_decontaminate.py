@@ -86,6 +86,21 @@ def test_cuts_that_meet(spark):
     assert decontaminate.cut_hits(queries, b"one (A b c d e f g h i j), two") == b"one (), two"
 
 
+def test_blocks_cut_what_other_blocks_bring_together(spark, monkeypatch):
+    """A cut of one block's item makes a window of another's, whichever comes first."""
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 8)
+    items = [(i, " ".join(f"{c}{k}" for k in range(10))) for i, c in enumerate("abcdef")]
+    rows = []
+    for i, (_, outer) in enumerate(items):
+        for j, (_, inner) in enumerate(items):
+            w = outer.split()
+            rows.append((10 * i + j, "start " + " ".join([*w[:5], inner, *w[5:]]) + " end", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    found = decontaminate.remove_overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == sorted(r[0] for r in rows)
+    assert all(r.text.split() == ["start", "end"] and r.n_chars == len(r.text) for r in found if r.doc_id % 11)
+
+
 def test_ranks_equal_plain_counts():
     draw = np.random.default_rng(1)
     symbols = draw.integers(0, 13, 777)
