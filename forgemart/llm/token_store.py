@@ -21,9 +21,10 @@ from tokenizers import Tokenizer
 from forgemart.llm.scratch import map_arrow, slices, texts_as_bytes
 
 #: Bytes of compressed documents in a block (a longer document is a block of its own), bytes of the
-#: dictionary, and the documents and characters of each that it is trained on.
-BLOCK_BYTES, DICT_BYTES, SAMPLE, SAMPLE_CHARS, LEVEL = 1 << 20, 1 << 16, 2000, 1 << 13, 3
-MEMO = 300_000  # pieces of words whose ids a Python worker keeps, twice
+#: dictionary, and the documents and ids of each that it is trained on.
+BLOCK_BYTES, DICT_BYTES, SAMPLE, SAMPLE_IDS, LEVEL = 1 << 20, 1 << 16, 2000, 1 << 12, 3
+#: Pieces of words whose ids a Python worker keeps, twice, and the characters of the longest of them.
+MEMO, MEMO_CHARS = 300_000, 64
 
 #: The file format: a Parquet table of blocks, and a table `dictionary` beside it.
 BLOCKS = (
@@ -51,7 +52,7 @@ class Encoder:
 
     A byte-level BPE tokenizer with its usual pattern parts texts into pieces before it merges. For
     texts of common characters the pieces are found here, and the library's model encodes each
-    piece once: two generations of MEMO pieces are kept. All other texts, those with an added
+    piece once: two generations of MEMO pieces are kept, longer ones only while their text is encoded. All other texts, those with an added
     token's first character and next, and other kinds of tokenizers go to the library whole.
     """
 
@@ -87,11 +88,15 @@ class Encoder:
             if not parts:
                 found.append(np.array(next(other).ids, "<u4").tobytes())
                 continue
-            pieces = _PIECES(text)
+            pieces, long = _PIECES(text), []
             for piece in set(pieces):
                 if piece not in self.memo:
                     self.memo[piece] = self.older.get(piece) or self._piece(piece)
+                    if len(piece) > MEMO_CHARS:
+                        long.append(piece)
             found.append(b"".join(map(self.memo.__getitem__, pieces)))
+            for piece in long:
+                del self.memo[piece]
             if len(self.memo) > MEMO:
                 self.memo, self.older = {}, self.memo
         return found
@@ -112,19 +117,39 @@ def deserialize(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
-def train_dictionary(docs: DataFrame, model: str, end: int, doc_id: str = "doc_id", text: str = "text") -> bytes:
-    """A zstandard dictionary trained on the id arrays of SAMPLE texts, of SAMPLE_CHARS characters
-    at most: those whose ids have the least hashes. Only this sample is bounded; it shapes the size
-    of the files and not what they hold. Too few texts give an empty dictionary."""
-    rows = docs.select(F.xxhash64(doc_id).alias("hash"), F.col(text).alias("text"))
+def train_dictionary(
+    docs: DataFrame, model: str, end: int, doc_id: str = "doc_id", text: str = "text",
+    sample: int = SAMPLE, sample_ids: int = SAMPLE_IDS,
+) -> bytes:
+    """A zstandard dictionary trained on id arrays: of the `sample` ids with the least hashes one
+    text each (the least of an id's), encoded whole, and of its ids a stretch of `sample_ids` at
+    most from a place that the hash gives. Tasks encode; the driver gets the stretches.
+
+    Only this sample is bounded: it shapes the size of the files and not what they hold. Too few
+    texts give an empty dictionary.
+    """
+    rows = docs.select(F.xxhash64(doc_id).alias("hash"), F.coalesce(text, F.lit("")).alias("text"))
     # The hashes first, so that no task sends texts that other tasks' texts displace.
-    least = rows.select("hash").orderBy("hash").limit(SAMPLE).agg(F.max("hash")).first()[0]
-    sample = rows.where(F.col("hash") <= F.lit(least)).limit(SAMPLE)
-    sample = sample.select("hash", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where(F.length("text") > 0)
-    texts = [row["text"] for row in sorted(sample.collect(), key=lambda row: (row["hash"], row["text"]))]
-    samples = [serialize(np.frombuffer(ids + np.uint32(end).tobytes(), "<u4")) for ids in encoder(model).encode(texts)]
+    least = rows.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    if least is None:
+        return b""
+    rows = rows.where(F.col("hash") <= F.lit(least)).groupBy("hash").agg(F.min("text").alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            hashes, stretches = batch.column("hash").to_pylist(), []
+            texts = [t.decode() for t in texts_as_bytes(batch, "text")]
+            for place, raw in zip(hashes, encoder(sent.value).encode(texts), strict=True):
+                ids = np.frombuffer(raw + np.uint32(end).tobytes(), "<u4")
+                begin = place % max(len(ids) - sample_ids + 1, 1)
+                stretches.append(serialize(ids[begin : begin + sample_ids]))
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(stretches, pa.binary())], ["hash", "ids"])
+
+    found = sorted(map(tuple, map_arrow(rows, run, "hash long, ids binary").collect()))
+    sent.destroy()
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, [bytes(ids) for _, ids in found]).as_bytes()
     except zstandard.ZstdError:
         return b""
 

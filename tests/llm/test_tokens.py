@@ -52,6 +52,42 @@ def test_encoder_equals_the_library(monkeypatch):
         assert found == [library.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_long_pieces_are_not_kept():
+    encoder = token_store.Encoder(open(BYTES, encoding="utf-8").read())
+    library = Tokenizer.from_file(BYTES)
+    some = ["abc" * 40 + " word " + "abc" * 40, "7" * 90 + " word", "word"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(some)] == [library.encode(t).ids for t in some]
+    assert max(map(len, encoder.memo)) <= token_store.MEMO_CHARS
+    assert " word" in encoder.memo
+
+
+def test_dictionary_is_trained_on_stretches_of_whole_arrays(spark, monkeypatch):
+    """Stretches lie anywhere in the arrays and don't depend on partitions."""
+    library, seen = Tokenizer.from_file(BYTES), []
+
+    class Trained:
+        def as_bytes(self):
+            return b"".join(seen[-1])
+
+    with monkeypatch.context() as patch:
+        patch.setattr(token_store.zstandard, "train_dictionary", lambda size, samples: seen.append(samples) or Trained())
+        rows = [(i % 70, " ".join(f"w{i} {k}" for k in range(i))) for i in range(100)] + [(None, "no id"), (None, "no id"), (3, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        model = open(BYTES, encoding="utf-8").read()
+        first = token_store.train_dictionary(docs.repartition(3), model, 2, sample=60, sample_ids=20)
+        assert first == token_store.train_dictionary(docs.repartition(5), model, 2, sample=60, sample_ids=20)
+    arrays = [[*library.encode(t or "").ids, 2] for _, t in rows]
+    begins = []
+    for stretch in map(token_store.deserialize, seen[0]):
+        n = len(stretch)
+        at = [i for a in arrays for i in range(len(a) - n + 1) if n == min(len(a), 20) and a[i : i + n] == stretch.tolist()]
+        assert at
+        begins.append(min(at))
+    assert len(begins) == 60
+    assert sum(b > 20 for b in begins) > 20
+    assert token_store.train_dictionary(docs.limit(0), model, 2) == b""
+
+
 def test_other_tokenizers_are_left_to_the_library():
     encoder = token_store.Encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     assert not encoder.parts
