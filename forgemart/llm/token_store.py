@@ -47,13 +47,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Pieces(dict):
+    """Ids of pieces, worked out on first use; those of more than MEMO_CHARS characters aren't kept."""
+
+    def __init__(self, encode: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece) or self.encode(piece)
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes whole texts with a tokenizer, as little-endian unsigned 32-bit ids.
 
     A byte-level BPE tokenizer with its usual pattern parts texts into pieces before it merges. For
     texts of common characters the pieces are found here, and the library's model encodes each
-    piece once: two generations of MEMO pieces are kept, longer ones only while their text is encoded. All other texts, those with an added
-    token's first character and next, and other kinds of tokenizers go to the library whole.
+    piece once: two generations of MEMO pieces are kept, but for long ones. All other texts, those
+    with an added token's first character and next, and other kinds of tokenizers go to the library
+    whole.
     """
 
     def __init__(self, model: str):
@@ -64,8 +79,7 @@ class Encoder:
         self.parts &= self.tokenizer.normalizer is None and all(len(t) > 1 for t in added)
         self.added = [t[:2] for t in added]
         self.letters = _byte_letters()
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = Pieces(self._piece, {})
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii():
@@ -88,17 +102,9 @@ class Encoder:
             if not parts:
                 found.append(np.array(next(other).ids, "<u4").tobytes())
                 continue
-            pieces, long = _PIECES(text), []
-            for piece in set(pieces):
-                if piece not in self.memo:
-                    self.memo[piece] = self.older.get(piece) or self._piece(piece)
-                    if len(piece) > MEMO_CHARS:
-                        long.append(piece)
-            found.append(b"".join(map(self.memo.__getitem__, pieces)))
-            for piece in long:
-                del self.memo[piece]
+            found.append(b"".join(map(self.memo.__getitem__, _PIECES(text))))
             if len(self.memo) > MEMO:
-                self.memo, self.older = {}, self.memo
+                self.memo = Pieces(self._piece, dict(self.memo))
         return found
 
 
