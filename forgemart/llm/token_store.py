@@ -36,7 +36,6 @@ BLOCKS = (
 #: Latin-1, digits, ASCII punctuation, and single spaces and line feeds between others.
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
 _PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\n").findall
-_OTHER = re.compile(rf"[^{_LETTERS}0-9{_SIGNS} \n]|[ \n](?:[ \n]|\Z)|\A[ \n]").search
 
 
 def _byte_letters() -> dict[int, str]:
@@ -77,7 +76,7 @@ class Encoder:
         self.parts = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts &= self.tokenizer.normalizer is None and all(len(t) > 1 for t in added)
-        self.added = [t[:2] for t in added]
+        self.apart = ["\n\n", "\n ", *(t[:2] for t in added)]
         self.letters = _byte_letters()
         self.memo = Pieces(self._piece, {})
 
@@ -89,23 +88,26 @@ class Encoder:
         tokens = self.tokenizer.model.tokenize(letters)
         return array("I", [t.id for t in tokens]).tobytes()
 
-    def _known(self, text: str) -> bool:
-        return self.parts and not _OTHER(text) and not any(t in text for t in self.added)
+    def _joined(self, text: str) -> bytes | None:
+        """The ids of a text of common characters, with single spaces and line feeds between others;
+        None for all other texts."""
+        if not self.parts or text[:1] in (" ", "\n") or text.endswith("\n") or any(t in text for t in self.apart):
+            return None
+        pieces = _PIECES(text)
+        if sum(map(len, pieces)) != len(text):
+            return None  # something stands between the pieces
+        return b"".join(map(self.memo.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        known = [self._known(t) for t in texts]
-        whole = [t for t, parts in zip(texts, known, strict=True) if not parts]
-        other = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
         found = []
-        for text, parts in zip(texts, known, strict=True):
-            if not parts:
-                found.append(np.array(next(other).ids, "<u4").tobytes())
-                continue
-            found.append(b"".join(map(self.memo.__getitem__, _PIECES(text))))
+        for text in texts:
+            found.append(self._joined(text))
             if len(self.memo) > MEMO:
                 self.memo = Pieces(self._piece, dict(self.memo))
-        return found
+        whole = [t for t, ids in zip(texts, found, strict=True) if ids is None]
+        other = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
+        return [np.array(next(other).ids, "<u4").tobytes() if ids is None else ids for ids in found]
 
 
 @functools.lru_cache(maxsize=2)
