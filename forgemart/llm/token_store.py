@@ -24,7 +24,7 @@ from forgemart.llm.scratch import map_arrow, slices, texts_as_bytes
 #: dictionary, and the documents and ids of each that it is trained on.
 BLOCK_BYTES, DICT_BYTES, SAMPLE, SAMPLE_IDS, LEVEL = 1 << 20, 1 << 16, 2000, 1 << 12, 3
 #: Pieces of words whose ids a Python worker keeps, twice, and the characters of the longest of them.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 600_000, 64
 
 #: The file format: a Parquet table of blocks, and a table `dictionary` beside it.
 BLOCKS = (
@@ -94,7 +94,7 @@ class Encoder:
         if not self.parts or text[:1] in (" ", "\n") or text.endswith("\n") or any(t in text for t in self.apart):
             return None
         pieces = _PIECES(text)
-        if sum(map(len, pieces)) != len(text):
+        if "".join(pieces) != text:
             return None  # something stands between the pieces
         return b"".join(map(self.memo.__getitem__, pieces))
 
@@ -104,7 +104,8 @@ class Encoder:
         for text in texts:
             found.append(self._joined(text))
             if len(self.memo) > MEMO:
-                self.memo = Pieces(self._piece, dict(self.memo))
+                self.memo.older = {}
+                self.memo = Pieces(self._piece, self.memo)
         whole = [t for t, ids in zip(texts, found, strict=True) if ids is None]
         other = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
         return [np.array(next(other).ids, "<u4").tobytes() if ids is None else ids for ids in found]
