@@ -2,82 +2,130 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgemart.llm.components import components, merge_links
-from forgemart.llm.scratch import map_arrow, saved, ship_code, whole_number
+from forgemart.llm.scratch import saved, ship_code, whole_number
 
-#: Vectors of one tree, and centres of cells in all at most (a fixed bound of what is sent to tasks).
-PIECE, CENTRES = 2048, 4096
+#: Vectors of one tree; cells of more than LARGE pieces of members are split, by about FAN centres at
+#: once. Below that, comparing pieces costs less than the copies of rows near borders.
+PIECE, LARGE, FAN = 4096, 8, 256
+#: Candidates whose distances are computed at once, at most.
+BLOCK = 64
+#: Columns that name a cell: the label as text, the vectors' length, the centres chosen level by level.
+CELL = ("label", "size", "path")
 #: Distance below which points are compared by value, and the slack of bounds against rounding.
 NEAR, SLACK = 1e-7, 1e-6
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors, to about 1e-8; bounds leave a hundred times as much."""
+    return np.sqrt(np.maximum(2 - 2 * x @ y.T, 0))
+
+
 class CoverTree:
     """Nested levels of centres with halving radii over rows of `points`.
 
     The first centre covers everything; at each further level a node's points are covered by centres
     of its own, the node's centre among them, within half the radius. A node holds a range of
-    `order`; `radius` is the largest distance of its points from its centre.
+    `order`; `radius` is the largest distance of its points from its centre. Only distances to
+    centres are computed, and a node hands its points' distances on to its first child.
     """
 
     def __init__(self, points: np.ndarray):
         self.points = points
         self.order = np.arange(len(points))
         self.centre, self.begin, self.end, self.radius, self.children = [], [], [], [], []
-        # All distances of the piece at once, to about 1e-8; bounds leave a hundred times as much.
-        self.apart = np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
-        self._node(0, len(points), 2.0)
-        del self.apart
-
-    def _node(self, begin: int, end: int, scale: float) -> int:
-        """A node for order[begin:end], whose first is the centre."""
-        me, rows = len(self.centre), self.order[begin:end].copy()
-        centre = int(rows[0])
-        distance = self.apart[centre, rows]
-        same = len(rows) == 1 or bool(distance.max() < NEAR and (self.points[rows] == self.points[centre]).all())
+        self._node(self.order.copy(), _apart(points[:1], points)[0], 0, 2.0)
+
+    def _node(self, rows: np.ndarray, distance: np.ndarray, begin: int, scale: float) -> int:
+        """A node for `rows`, the centre first, which fill `order` from `begin`; `distance` is that
+        from the centre."""
+        me, centre, points = len(self.centre), int(rows[0]), self.points
+        far = float(distance.max())
+        same = far < NEAR and bool((points[rows] == points[centre]).all())
         self.centre.append(centre)
         self.begin.append(begin)
-        self.end.append(end)
-        self.radius.append(0.0 if same else max(float(distance.max()), NEAR))
+        self.end.append(begin + len(rows))
+        self.radius.append(0.0 if same else max(far, NEAR))
         self.children.append(())
         if same:
+            self.order[begin : begin + len(rows)] = rows
             return me  # copies of one point
         scale = min(scale, self.radius[me]) / 2
-        kids = []
-        while len(rows):
-            if self.radius[me] <= NEAR:  # too near to tell by distance: a child for each point
-                near = (self.points[rows] == self.points[rows[0]]).all(1)
-            else:
-                near = self.apart[rows[0], rows] <= scale
-                near[0] = True
-            kids.append(rows[near])
-            rows = rows[~near]
-        self.order[begin:end] = np.concatenate(kids)
-        at, children = begin, []
-        for kid in kids:
-            children.append(self._node(at, at + len(kid), scale))
-            at += len(kid)
+        kids = self._copies(rows) if self.radius[me] <= NEAR else self._cover(rows, distance, scale)
+        children = []
+        for some, away in kids:
+            children.append(self._node(some, away, begin, scale) if len(some) > 1 else self._point(int(some[0]), begin))
+            begin += len(some)
         self.children[me] = np.array(children)
         return me
 
+    def _point(self, row: int, begin: int) -> int:
+        """A node for one row."""
+        self.order[begin] = row
+        self.centre.append(row)
+        self.begin.append(begin)
+        self.end.append(begin + 1)
+        self.radius.append(0.0)
+        self.children.append(())
+        return len(self.centre) - 1
+
+    def _copies(self, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Points too near to tell by distance: a child for each different one."""
+        _, of = np.unique(self.points[rows], axis=0, return_inverse=True)
+        kids = [rows[of == k] for k in dict.fromkeys(of.ravel().tolist())]
+        return [(some, np.zeros(len(some))) for some in kids]
+
+    def _cover(self, rows: np.ndarray, distance: np.ndarray, scale: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each point with the first centre within `scale`; the first that has none is the next one.
+
+        Candidates' distances come in blocks, which grow while all candidates become centres.
+        """
+        near = distance <= scale
+        near[0] = True
+        kids = [(rows[near], distance[near])]
+        left, block = rows[~near], 1
+        while len(left):
+            away = _apart(self.points[left[:block]], self.points[left])
+            taken, found = np.zeros(len(left), bool), 0
+            for i, far in enumerate(away):
+                if not taken[i]:
+                    near = (far <= scale) & ~taken
+                    near[i] = True
+                    kids.append((left[near], far[near]))
+                    taken |= near
+                    found += 1
+            block = min(2 * block, BLOCK) if found == len(away) else max(found, 1)
+            left = left[~taken]
+        return kids
+
     def freeze(self) -> CoverTree:
         self.centre, self.radius = np.array(self.centre), np.array(self.radius)
         self.begin, self.end = np.array(self.begin), np.array(self.end)
         return self
 
 
-def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _rows(a: CoverTree, b: CoverTree, p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The rows of the node pairs (p[k], q[k]): those of one row each together, others pair by pair."""
+    one = (a.end[p] - a.begin[p] == 1) & (b.end[q] - b.begin[q] == 1)
+    if one.any():
+        yield a.order[a.begin[p[one]]], b.order[b.begin[q[one]]], False
+    for i, j in zip(p[~one], q[~one], strict=True):
+        yield a.order[a.begin[i] : a.end[i]], b.order[b.begin[j] : b.end[j]], True
+
+
+def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Covers the pairs of unit vectors of a and b at `cosine` or more exactly once.
 
-    Gives (rows of a, rows of b), all pairs of which are near. A pair of nodes is dropped if its
+    Gives (rows of a, rows of b, every): if `every`, all pairs of them are near, else those at equal
+    places. A pair of nodes is dropped if its
     centres are further apart than the threshold and both radii allow, and taken whole if they are
     so near that all pairs are within it; otherwise children meet children.
     """
@@ -89,9 +137,8 @@ def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.n
         dot = x @ y.T
         thick_left, thick_right = a.radius[left] > 0, b.radius[right] > 0
         if not thick_left.any() and not thick_right.any():
-            for i, j in zip(*np.nonzero(dot >= cosine), strict=True):
-                p, q = left[i], right[j]
-                yield a.order[a.begin[p] : a.end[p]], b.order[b.begin[q] : b.end[q]]
+            i, j = np.nonzero(dot >= cosine)
+            yield from _rows(a, b, left[i], right[j])
             continue
         apart = np.sqrt(np.maximum(2 - 2 * dot, 0))
         radii = a.radius[left][:, None] + b.radius[right][None, :]
@@ -99,9 +146,8 @@ def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.n
         exact = single & (dot >= cosine)
         inside = ~single & (apart + radii <= reach - SLACK)
         further = ~single & ~inside & (apart - radii <= reach + SLACK)
-        for i, j in zip(*np.nonzero(inside | exact), strict=True):
-            p, q = left[i], right[j]
-            yield a.order[a.begin[p] : a.end[p]], b.order[b.begin[q] : b.end[q]]
+        i, j = np.nonzero(inside | exact)
+        yield from _rows(a, b, left[i], right[j])
         # Each node's children meet the children of all its partners in one product.
         for i in np.flatnonzero(further.any(1)):
             p = left[i]
@@ -129,20 +175,29 @@ def link_cell(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
         return pd.DataFrame({"node": node[:0], "links": weight[:0], "root": node[:0]})
     links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
     trees = CoverTree(unit[inside]).freeze(), CoverTree(unit[asked]).freeze()
-    singles = []
-    for left, right in near_pairs(*trees, cosine):
+    a, b, held = [], [], 0
+
+    def merge() -> None:
+        if held:
+            merge_links(parent, np.concatenate(a), np.concatenate(b))
+            a.clear()
+            b.clear()
+
+    for left, right, every in near_pairs(*trees, cosine):
         left, right = inside[left], asked[right]
-        links[left] += weight[right].sum()
-        singles.append((left[0], right[0]))
-        if len(left) > 1:
-            singles += zip(left[1:], itertools.repeat(right[0]))
-        if len(right) > 1:
-            singles += zip(itertools.repeat(left[0]), right[1:])
-        if len(singles) > 1 << 16:
-            merge_links(parent, *np.array(singles).T)
-            singles = []
-    if singles:
-        merge_links(parent, *np.array(singles).T)
+        if every:  # all with the first of the other side
+            links[left] += weight[right].sum()
+            left = np.concatenate([left, np.full(len(right), left[0])])
+            right = np.concatenate([np.full(len(left) - len(right), right[0]), right])
+        else:
+            np.add.at(links, left, weight[right])
+        a.append(left)
+        b.append(right)
+        held += len(left)
+        if held > 1 << 16:
+            merge()
+            held = 0
+    merge()
     told = np.flatnonzero((links > 0) | (parent != np.arange(len(node))))
     return pd.DataFrame({"node": node[told], "links": links[told], "root": node[parent[told]]})
 
@@ -159,10 +214,12 @@ def near_vectors(
     rows each; a row without an id links, but names no component.
 
     Copies of one vector become one node. A label's nodes fall into cells by the nearest of a
-    bounded, hashed sample of centres. A node joins, as a visitor, each cell whose border lies within
-    the threshold's distance: no link is lost, since the nearer half space of the other centre is no
-    further away than any vector in it. Cells are cut in pieces of PIECE nodes; each piece of
-    members meets each piece of members and visitors in a task of its own, by cover trees.
+    hashed sample of its centres; cells of more than LARGE * PIECE members are split again by
+    centres of their own, level by level. A node joins, as a visitor, each cell whose border lies within the
+    threshold's distance: no link is lost, since the nearer half space of the other centre is no
+    further away than any vector in it. What can't be split (vectors that all lie within the
+    threshold's distance) is cut in pieces of PIECE nodes; each piece of a cell's members meets each
+    piece of its members and visitors in a task of its own, by cover trees.
     """
     rows = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"),
@@ -177,12 +234,12 @@ def near_vectors(
         rows.where("group is not null").groupBy("group").agg(
             F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("label").alias("label"),
             F.first("vector").alias("vector"),
-        ).withColumn("node", F.xxhash64("group"))
+        ).withColumn("node", F.unhex("group"))
     )
     found = _links(nodes, cosine)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    # Nodes are hashes; a component is named by its least vec_id.
+    # Nodes are 256-bit hashes; a component is named by its least vec_id.
     named = nodes.select("node", "vec_id").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     groups = saved(
@@ -198,57 +255,76 @@ def near_vectors(
     )
 
 
+def _split(points: pd.DataFrame, centres: pd.DataFrame, reach: float) -> pd.DataFrame:
+    """Some of a cell's points, each in the cell of its nearest centre and, as a visitor, in those
+    whose half space is within `reach`. A cell without two centres stays whole."""
+    if not len(points) or len(centres) < 2:
+        return points
+    near = _unit(np.stack(centres.sort_values("node")["vector"].to_numpy()).astype(float))
+    dot = _unit(np.stack(points["vector"].to_numpy()).astype(float)) @ near.T
+    home, every = dot.argmax(1), np.arange(len(points))
+    border = np.maximum(_apart(near, near), 1e-9)
+    visits = (dot[every, home][:, None] - dot) / border[home] <= reach
+    visits[every, home] = True
+    row, cell = np.nonzero(visits)
+    found = points.iloc[row].reset_index(drop=True)
+    return found.assign(path=found["path"] + np.char.mod(".%d", cell), home=found["home"].to_numpy() & (cell == home[row]))
+
+
+def _cells(nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """The nodes in their cells (CELL, node, weight, vector, home), and each cell's numbers of members
+    and of all its points. A level splits large cells by about FAN centres each, in tasks of about
+    PIECE points of a cell."""
+    reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
+    key = list(CELL)
+    placed = nodes.select(
+        F.col("label").cast("string").alias("label"), F.size("vector").alias("size"), F.lit("").alias("path"),
+        "node", "weight", "vector", F.lit(True).alias("home"),
+    )
+    above, done, counts, level = None, [], [], 0
+    while True:
+        count = placed.groupBy(*key).agg(F.count_if("home").alias("members"), F.count("*").alias("points")).where("members > 0")
+        large = F.col("members") > LARGE * PIECE
+        if above is not None:
+            # Where a split took little away, pieces meet pieces instead.
+            count = count.withColumn("outer", F.substring_index("path", ".", level)).join(above, ["label", "size", "outer"])
+            large &= (F.col("members") <= 0.9 * F.col("was")) & (F.col("points") <= 0.5 * F.col("had"))
+        count = saved(count.select(*key, "members", "points", large.alias("large")))
+        counts.append(count.where("not large").drop("large"))
+        done.append(placed.join(counts[-1].select(*key), key, "left_semi"))
+        big = count.where("large").drop("large")
+        if not whole_number(big, F.count("*")):
+            break
+        rows = placed.join(big, key)
+        drawn = F.pmod(F.xxhash64("node", F.lit(level)), "members") < FAN
+        parts = F.ceil(F.col("points") / PIECE).cast("int")
+        centres = saved(rows.where(F.col("home") & drawn).select(*key, "node", "vector", parts.alias("parts")))
+        centres = centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")).drop("members", "points")
+        schema, names = placed.schema, placed.columns
+        ship_code(nodes.sparkSession)
+        both = rows.groupBy(*key, "part").cogroup(centres.groupBy(*key, "part"))
+        placed = saved(both.applyInPandas(lambda points, centres: _split(points, centres, reach)[names], schema))  # noqa: B023
+        above = big.select("label", "size", F.col("path").alias("outer"), F.col("members").alias("was"), F.col("points").alias("had"))
+        level += 1
+    return functools.reduce(DataFrame.union, done), functools.reduce(DataFrame.union, counts)
+
+
 def _links(nodes: DataFrame, cosine: float) -> DataFrame:
     """(node, links, root): for each node the weights linked with it, itself included, in parts, and
     links to the roots of its parts."""
-    spark = nodes.sparkSession
-    count = whole_number(nodes, F.count("*"))
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(min(CENTRES, count // PIECE))
-    centres: dict[tuple, np.ndarray] = {}
-    for row in sample.select("label", "vector").collect() if count >= PIECE else ():
-        centres.setdefault((str(row["label"]), len(row["vector"])), []).append(row["vector"])
-    centres = {key: _unit(np.array(some)) for key, some in centres.items()}
-    sent = spark.sparkContext.broadcast(centres)
-    reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column("vector").to_pylist()
-            place: list[list[dict]] = []
-            for label, vector in zip(batch.column("label").to_pylist(), vectors, strict=True):
-                near = sent.value.get((label, len(vector)))
-                if near is None:
-                    place.append([{"cell": 0, "home": True}])
-                    continue
-                x = _unit(np.array([vector]))[0]
-                dot = near @ x
-                home = int(np.argmax(dot))
-                border = np.sqrt(np.maximum(2 - 2 * near @ near[home], 1e-18))
-                # The distance from x to the half space that is nearer to each other centre.
-                visits = np.flatnonzero((dot[home] - dot) / border <= reach)
-                place.append([{"cell": int(c), "home": bool(c == home)} for c in {home, *visits.tolist()}])
-            columns = [batch.column(c) for c in ("node", "weight", "label", "vector")]
-            kind = pa.list_(pa.struct([("cell", pa.int32()), ("home", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(place, kind)], ["node", "weight", "label", "vector", "place"])
-
-    placed = map_arrow(
-        nodes.select("node", "weight", F.col("label").cast("string").alias("label"), "vector"), cells,
-        "node long, weight long, label string, vector array<double>, place array<struct<cell:int,home:boolean>>",
+    placed, counts = _cells(nodes, cosine)
+    pieces = counts.select(
+        *CELL, F.ceil(F.col("members") / PIECE).cast("int").alias("inner"), F.ceil(F.col("points") / PIECE).cast("int").alias("all")
     )
-    placed = saved(placed.withColumn("at", F.explode("place")).select(
-        "node", "weight", "vector", "at.home", F.xxhash64("label", F.size("vector"), "at.cell").alias("cell")
-    ))
-    pieces = saved(placed.groupBy("cell").agg(
-        F.ceil(F.count_if("home") / PIECE).cast("int").alias("inner"), F.ceil(F.count("*") / PIECE).cast("int").alias("all")
-    ))
-    rows = placed.join(pieces.where("inner > 0"), "cell")
+    rows = placed.join(pieces, list(CELL))
     # Members of piece i ask piece j of all points: each row stands once in each cell (i, j) it is in.
     own, any_ = F.pmod(F.xxhash64("node", F.lit(1)), "inner").cast("int"), F.pmod(F.xxhash64("node", F.lit(2)), "all").cast("int")
     member = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("member"))))
     point = F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda i: F.struct(i.alias("i"), any_.alias("j"), F.lit(False).alias("member")))
     both = F.concat(F.coalesce(member, F.array().cast("array<struct<i:int,j:int,member:boolean>>")), point)
-    rows = rows.withColumn("at", F.explode(both)).select("cell", "at.i", "at.j", "at.member", "node", "weight", "vector")
-    ship_code(spark)
+    rows = rows.withColumn("at", F.explode(both)).select(*CELL, "at.i", "at.j", "at.member", "node", "weight", "vector")
+    ship_code(nodes.sparkSession)
     return saved(
-        rows.groupBy("cell", "i", "j").applyInPandas(lambda pdf: link_cell(pdf, cosine), "node long, links long, root long")
+        rows.groupBy(*CELL, "i", "j").applyInPandas(lambda pdf: link_cell(pdf, cosine), "node binary, links long, root binary")
     )

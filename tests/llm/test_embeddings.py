@@ -55,6 +55,20 @@ def test_links_and_components(spark, monkeypatch, piece, cosine):
     assert sorted(tuple(r) for r in found) == brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], c) for i, v, c in rows], cosine)
 
 
+def test_large_cells_are_split_level_by_level(spark, monkeypatch):
+    """Cells of more than four members are split by about six centres, and their cells again."""
+    for name, value in (("PIECE", 2), ("LARGE", 2), ("FAN", 6)):
+        monkeypatch.setattr(embeddings, name, value)
+    rows = [r for r in sample() if r[0] < 120]
+    nodes = spark.createDataFrame([(i.to_bytes(2), 1, c, v) for i, v, c in rows], "node binary, weight long, label int, vector array<double>")
+    placed, counts = embeddings._cells(nodes, 0.98)
+    homes = placed.where("home").groupBy("node").count().collect()
+    assert sorted(r["count"] for r in homes) == [1] * len(rows)
+    assert max(path.count(".") for (path,) in counts.select("path").collect()) >= 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in embeddings.near_vectors(df, 0.98).collect()) == brute(rows)
+
+
 def test_cover_tree_holds_its_invariants():
     draw = np.random.default_rng(2)
     close = draw.normal(size=(1, 6)) + 1e-9 * draw.normal(size=(20, 6))
