@@ -16,8 +16,8 @@ from forgemart.llm.scratch import saved, ship_code, whole_number
 #: Vectors of one tree; cells of more than LARGE pieces of members are split, by about FAN centres at
 #: once. Below that, comparing pieces costs less than the copies of rows near borders.
 PIECE, LARGE, FAN = 4096, 8, 256
-#: Candidates whose distances are computed at once, at most.
-BLOCK = 64
+#: Candidates for centres, and single points, whose distances are computed at once, at most.
+BLOCK, SLAB = 64, 512
 #: Columns that name a cell: the label as text, the vectors' length, the centres chosen level by level.
 CELL = ("label", "size", "path")
 #: Distance below which points are compared by value, and the slack of bounds against rounding.
@@ -125,36 +125,34 @@ def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.n
     """Covers the pairs of unit vectors of a and b at `cosine` or more exactly once.
 
     Gives (rows of a, rows of b, every): if `every`, all pairs of them are near, else those at equal
-    places. A pair of nodes is dropped if its
-    centres are further apart than the threshold and both radii allow, and taken whole if they are
-    so near that all pairs are within it; otherwise children meet children.
+    places. A pair of nodes is dropped if its centres are further apart than the threshold and both
+    radii allow, and taken whole if they are so near that all pairs are within it; otherwise
+    children meet children. Single points meet by their cosines.
     """
     reach = np.sqrt(2 - 2 * cosine)
     todo = [(np.array([0]), np.array([0]))]
     while todo:
         left, right = todo.pop()
-        x, y = a.points[a.centre[left]], b.points[b.centre[right]]
-        dot = x @ y.T
-        thick_left, thick_right = a.radius[left] > 0, b.radius[right] > 0
-        if not thick_left.any() and not thick_right.any():
-            i, j = np.nonzero(dot >= cosine)
-            yield from _rows(a, b, left[i], right[j])
-            continue
-        apart = np.sqrt(np.maximum(2 - 2 * dot, 0))
-        radii = a.radius[left][:, None] + b.radius[right][None, :]
-        single = radii == 0
-        exact = single & (dot >= cosine)
-        inside = ~single & (apart + radii <= reach - SLACK)
-        further = ~single & ~inside & (apart - radii <= reach + SLACK)
-        i, j = np.nonzero(inside | exact)
-        yield from _rows(a, b, left[i], right[j])
-        # Each node's children meet the children of all its partners in one product.
-        for i in np.flatnonzero(further.any(1)):
-            p = left[i]
-            below = a.children[p] if len(a.children[p]) else np.array([p])
-            partners = right[further[i]]
-            nodes = [b.children[q] if len(b.children[q]) else np.array([q]) for q in partners]
-            todo.append((below, np.concatenate(nodes)))
+        thin_left, thin_right = a.radius[left] == 0, b.radius[right] == 0
+        # Single points decide by their cosine alone.
+        p, q = left[thin_left], right[thin_right]
+        for k in range(0, len(p) if len(q) else 0, SLAB):
+            i, j = np.nonzero(a.points[a.centre[p[k : k + SLAB]]] @ b.points[b.centre[q]].T >= cosine)
+            yield from _rows(a, b, p[k + i], q[j])
+        for p, q in ((left[~thin_left], right), (p, right[~thin_right])):
+            if not len(p) or not len(q):
+                continue
+            apart = _apart(a.points[a.centre[p]], b.points[b.centre[q]])
+            radii = a.radius[p][:, None] + b.radius[q][None, :]
+            inside = apart + radii <= reach - SLACK
+            i, j = np.nonzero(inside)
+            yield from _rows(a, b, p[i], q[j])
+            further = ~inside & (apart - radii <= reach + SLACK)
+            # Each node's children meet the children of all its partners in one product.
+            for i in np.flatnonzero(further.any(1)):
+                below = a.children[p[i]] if len(a.children[p[i]]) else p[i : i + 1]
+                nodes = [b.children[k] if len(b.children[k]) else np.array([k]) for k in q[further[i]]]
+                todo.append((below, np.concatenate(nodes)))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
