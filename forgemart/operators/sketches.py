@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from forgemart.sources.steps import written
 
 BINS = 4096  # in which values are numbered
+WORD = 64  # numbers whose bits are kept in one bigint
 
 # ---- quantiles --------------------------------------------------------------------------
 
@@ -73,18 +74,21 @@ def numbered(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_bitmaps(df: DataFrame, by: Sequence[str], number: str = "number") -> DataFrame:
-    """(by, bucket, bits): which numbers occur in each group, 32,768 of them to a bucket."""
+    """(by, bucket, bits): which numbers occur in each group, 64 of them to a bucket, whose bits are
+    one whole number. A group has a row only for buckets that it has numbers in, so that small groups
+    take what their values take and not a page of zeros each, and hashing sums them up in place."""
     known = df.where(F.col(number).isNotNull())
-    return known.groupBy(*by, F.bitmap_bucket_number(number).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(WORD)).cast("int"))
+    return known.groupBy(*by, F.floor(F.col(number) / WORD).alias("bucket")).agg(
+        F.bit_or(bit).alias("bits")
     )
 
 
 def merge_bitmaps(bitmaps: DataFrame, by: Sequence[str]) -> DataFrame:
     """The bitmaps of larger groups from those of smaller ones."""
-    return bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return bitmaps.groupBy(*by, "bucket").agg(F.bit_or("bits").alias("bits"))
 
 
 def bitmap_counts(bitmaps: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     """How many distinct values each group has; ``by`` are the bitmaps' own group columns."""
-    return bitmaps.groupBy(*by).agg(F.sum(F.bitmap_count("bits")).alias(name))
+    return bitmaps.groupBy(*by).agg(F.sum(F.bit_count("bits").cast("bigint")).alias(name))
