@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forgemart.operators import sketches
+from forgemart.plans.idle import idle_time
 
 
 @pytest.fixture(autouse=True)
@@ -40,3 +41,18 @@ def test_bitmaps_of_small_groups_are_small(spark):
     again = rows.unionByName(rows).unionByName(rows.select("day", F.lit(None).cast("long").alias("number")))
     counts = sketches.bitmap_counts(sketches.value_bitmaps(again, ["day"]), ["day"], "n")
     assert {r.n for r in counts.collect()} == {50}
+
+
+def test_free_days_are_not_shuffled(spark):
+    """A gap of years is a result of one row a day; only days with a begin or an end are summed."""
+    rows = spark.sql(
+        "SELECT 'w' || id % 3 AS WorkCenter, timestamp'1990-01-01 10:00:00' + make_dt_interval(id * 500) AS ActualEnd,"
+        " 2.0D AS ActualMachineTime FROM range(6)"
+    )
+    found = idle_time(rows)
+    assert shuffled_by(found, "WorkCenter", "day") == 1 and "Join" not in plan_of(found).split("hashpartitioning(WorkCenter")[0]
+    days = {(r.WorkCenter, str(r.day)): (r.busy_hours, r.idle_hours, r.longest_gap_hours) for r in found.collect()}
+    assert len(days) == 3 * 1501
+    assert days["w0", "1990-01-01"] == (2, 14, 14)
+    assert days["w0", "1992-01-01"] == (0, 24, 24)
+    assert sum(busy for busy, _, _ in days.values()) == 12
