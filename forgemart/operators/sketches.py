@@ -79,7 +79,7 @@ def value_bitmaps(df: DataFrame, by: Sequence[str], number: str = "number") -> D
     take what their values take and not a page of zeros each, and hashing sums them up in place."""
     known = df.where(F.col(number).isNotNull())
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(WORD)).cast("int"))
-    return known.groupBy(*by, F.floor(F.col(number) / WORD).alias("bucket")).agg(
+    return known.groupBy(*by, F.shiftright(F.col(number).cast("bigint"), 6).alias("bucket")).agg(
         F.bit_or(bit).alias("bits")
     )
 

@@ -7,7 +7,7 @@ book only names, and that are chosen here, say so.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -216,20 +216,25 @@ def throughput_compare(matdoc: DataFrame, confirmations: DataFrame) -> DataFrame
     )
 
 
-def by_precedence(key: str, *sources: tuple[str, DataFrame]) -> DataFrame:
-    """First non-null ``value`` per ``key`` in the order of the sources, and its source. Each
-    source has one row per key and gets its own column, so one hash aggregation decides."""
-    columns = [f"_{name}" for name, _ in sources]
+def by_precedence(
+    key: str, *sources: tuple[str, DataFrame, Callable[[Column], Column]]
+) -> DataFrame:
+    """First non-null value per ``key`` in the order of the sources, and its source. A source is a
+    name, rows of (key, value), and the aggregate that makes one value of a key's rows. Each gets its
+    own column, and all are stacked as they are, so one hash aggregation forms the values and
+    decides: a task holds one table of keys, not one for each source."""
+    columns = [f"_{name}" for name, _, _ in sources]
     stacked = _stack(
         *[
             df.select(key, F.col("value").alias(column))
-            for column, (_, df) in zip(columns, sources, strict=True)
+            for column, (_, df, _) in zip(columns, sources, strict=True)
         ]
     )
     found = [F.when(F.col(c).isNotNull(), F.lit(c.removeprefix("_"))) for c in columns]
+    formed = [form(F.col(c)).alias(c) for c, (_, _, form) in zip(columns, sources, strict=True)]
     return (
         stacked.groupBy(key)
-        .agg(*[F.max(c).alias(c) for c in columns])
+        .agg(*formed)
         .select(key, F.coalesce(*columns).alias("value"), F.coalesce(*found).alias("source"))
         .where(F.col("value").isNotNull())
     )
@@ -239,12 +244,21 @@ def delivered_by_precedence(
     matdoc: DataFrame, confirmations: DataFrame, headers: DataFrame, operations: DataFrame
 ) -> DataFrame:
     """Delivered quantity per order: movements, else confirmations, else header, else operations."""
+    receipts = matdoc.where(F.col("MovementType") == GOODS_RECEIPT)
+
+    def numbered(df: DataFrame, column: str) -> DataFrame:
+        row = F.struct(F.col(column).alias("value"), operation_number().alias("number"))
+        return df.select("Order", row.alias("value"))
+
+    def last(c: Column) -> Column:
+        return F.max_by(c["value"], c["number"])
+
     return by_precedence(
         "Order",
-        ("movements", _received(matdoc)),
-        ("confirmations", _last_operation(confirmations, "YieldQuantity")),
-        ("headers", headers.select("Order", F.col("DeliveredQuantity").alias("value"))),
-        ("operations", _last_operation(operations, "ActualQuantity")),
+        ("movements", receipts.select("Order", F.col("Quantity").alias("value")), exact_sum),
+        ("confirmations", numbered(confirmations, "YieldQuantity"), last),
+        ("headers", headers.select("Order", F.col("DeliveredQuantity").alias("value")), F.max),
+        ("operations", numbered(operations, "ActualQuantity"), last),
     )
 
 

@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from forgemart.operators import sketches
+from forgemart.operators import quality, sketches
+from forgemart.plans import analyses as A
 from forgemart.plans.idle import idle_time
 
 
@@ -35,8 +36,8 @@ def test_bitmaps_of_small_groups_are_small(spark):
     """A group of a few values takes a few words, however many values there are in all."""
     rows = spark.range(100_000).select((F.col("id") * 7 % 2_000).alias("day"), F.col("id").alias("number"))
     daily = sketches.value_bitmaps(rows, ["day"])
-    size = F.length(F.col("bits").cast("binary"))
-    assert daily.groupBy("day").agg(F.sum(size).alias("bytes")).agg(F.max("bytes")).first()[0] <= 50 * 8
+    size = F.octet_length(F.col("bits").cast("string"))
+    assert daily.groupBy("day").agg(F.sum(size).alias("bytes")).agg(F.max("bytes")).first()[0] <= 50 * 20
     assert sketches.bitmap_counts(sketches.merge_bitmaps(daily, []), [], "n").first()[0] == 100_000
     again = rows.unionByName(rows).unionByName(rows.select("day", F.lit(None).cast("long").alias("number")))
     counts = sketches.bitmap_counts(sketches.value_bitmaps(again, ["day"]), ["day"], "n")
@@ -56,3 +57,43 @@ def test_free_days_are_not_shuffled(spark):
     assert days["w0", "1990-01-01"] == (2, 14, 14)
     assert days["w0", "1992-01-01"] == (0, 24, 24)
     assert sum(busy for busy, _, _ in days.values()) == 12
+
+
+def test_precedence_holds_one_table_of_orders(spark):
+    """The rows of all sources are aggregated once by order, not once for each source and again."""
+    moves = spark.createDataFrame([("o1", "101", 2.5), ("o1", "101", 1.0), ("o2", "261", 9.0)], "`Order` string, MovementType string, Quantity double")
+    posts = spark.createDataFrame([("o2", "0010", 5.0), ("o2", "0020", 4.0), ("o1", "0010", 8.0)], "`Order` string, Operation string, YieldQuantity double")
+    heads = spark.createDataFrame([("o3", 7.0), ("o3", 6.0), ("o4", None), ("o2", 1.0)], "`Order` string, DeliveredQuantity double")
+    ops = spark.createDataFrame([("o4", "9990", 2.0), ("o4", "10000", 3.0), ("o5", "0010", None)], "`Order` string, Operation string, ActualQuantity double")
+    found = A.delivered_by_precedence(moves, posts, heads, ops)
+    assert shuffled_by(found, "Order") == 1
+    assert {r["Order"]: (r.value, r.source) for r in found.collect()} == {
+        "o1": (3.5, "movements"),
+        "o2": (4.0, "confirmations"),
+        "o3": (7.0, "headers"),
+        "o4": (3.0, "operations"),
+    }
+
+
+def test_confirmed_only_counts_both_sides_once(spark):
+    """One exchange and no sort; operations without a key allow nothing, and nothing is lost."""
+    ops = [("o1", "10", "CNF"), ("o1", "20", "REL"), ("o2", "10", "CNF"), ("o2", "10", "CNF"), (None, "10", "CNF"), ("o3", None, "CNF")]
+    posts = [("o1", "10"), ("o1", "20"), ("o1", "20"), ("o2", "10"), (None, "10"), ("o3", None), ("o4", "10")]
+    found = quality.check_k10(
+        spark.createDataFrame(ops, "`Order` string, Operation string, StatusShort string"),
+        spark.createDataFrame(posts, "`Order` string, Operation string"),
+        allowed=("CNF",),
+    )
+    assert shuffled_by(found, "Order", "Operation") == 1 and "Sort" not in plan_of(found)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(
+        map(
+            str,
+            [
+                ("o1", "20", 2, "not confirmable"),
+                ("o1", "20", 2, "confirmed twice"),
+                (None, "10", 1, "not confirmable"),
+                ("o3", None, 1, "not confirmable"),
+                ("o4", "10", 1, "not confirmable"),
+            ],
+        )
+    )
