@@ -124,17 +124,26 @@ def check_k10(
     confirmations: DataFrame,
     allowed: Sequence[str] = fixed.CONFIRMED_OPERATION_STATUSES,
 ) -> DataFrame:
-    """Confirmations of operations that are not confirmed, and operations confirmed twice."""
+    """Confirmations of operations that are not confirmed, and operations confirmed twice. Both sides
+    are stacked and counted by one hash aggregation, which sorts nothing. An operation without one
+    of its keys confirms nothing."""
     keys = ["Order", "Operation"]
-    confirmed = operations.where(F.col("StatusShort").isin(*allowed)).select(*keys)
-    per_operation = confirmations.groupBy(*keys).agg(F.count(F.lit(1)).alias("confirmations"))
-    unexpected = per_operation.join(confirmed, keys, "left_anti").withColumn(
-        "rule", F.lit("not confirmable")
+    allowing = operations.where(F.col("StatusShort").isin(*allowed)).dropna(subset=keys)
+    stacked = confirmations.select(*keys, F.lit(1).alias("posted"), F.lit(0).alias("allowed")).unionByName(
+        allowing.select(*keys, F.lit(0).alias("posted"), F.lit(1).alias("allowed"))
     )
-    repeated = per_operation.where(F.col("confirmations") > 1).withColumn(
-        "rule", F.lit("confirmed twice")
+    per_operation = (
+        stacked.groupBy(*keys)
+        .agg(F.sum("posted").alias("confirmations"), F.max("allowed").alias("allowed"))
+        .where("confirmations > 0")
     )
-    return unexpected.unionByName(repeated)
+    rules = F.array_compact(
+        F.array(
+            F.when(F.col("allowed") == 0, "not confirmable"),
+            F.when(F.col("confirmations") > 1, "confirmed twice"),
+        )
+    )
+    return per_operation.select(*keys, "confirmations", F.explode(rules).alias("rule"))
 
 
 def duplicate_keys(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
