@@ -10,7 +10,7 @@ sequence: they are dealt out by what they hold, and their result is null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -64,6 +64,39 @@ def row_numbers(
     return placed.withColumn(name, _known(key, number)).drop("_bin", "_carry")
 
 
+def key_bins(
+    df: DataFrame, key: str, bin_of: Column, sums: Mapping[str, tuple[Column, Callable[[str], Column]]]
+) -> DataFrame:
+    """(_key, _at, _place, _carry, sums): one row for each bin of a key, with the place of the bin,
+    the rows of the key in earlier bins, and aggregates over the whole key, each given as that of a
+    bin and as what makes one of several bins' aggregates."""
+    whole = W.partitionBy(key)
+    before = whole.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    known = _binned(df, key, bin_of).where(F.col(key).isNotNull())
+    parts = known.groupBy(key, "_bin").agg(
+        F.count(F.lit(1)).alias("_rows"), *[part.alias(name) for name, (part, _) in sums.items()]
+    )
+    return parts.select(
+        F.col(key).alias("_key"),
+        F.col("_bin").alias("_at"),
+        F.row_number().over(whole.orderBy("_bin")).alias("_place"),
+        F.sum("_rows").over(before).alias("_carry"),
+        *[merge(name).over(whole).alias(name) for name, (_, merge) in sums.items()],
+    )
+
+
+def numbered_with(
+    df: DataFrame, key: str, order: Sequence[str], bin_of: Column, name: str, bins: DataFrame
+) -> DataFrame:
+    """``row_numbers``, and the further columns of the row that ``bins``, made by ``key_bins`` of the
+    same bins, has for a row's key: rows are shuffled once for both."""
+    rows = _binned(df, key, bin_of)
+    inside = F.row_number().over(W.partitionBy(key, "_bin").orderBy(*order)).cast("bigint")
+    placed = _with_carry(rows.withColumn(name, inside), bins.drop("_place"), key)
+    number = F.col(name) + F.coalesce("_carry", F.lit(0))
+    return placed.withColumn(name, _known(key, number)).drop("_bin", "_carry")
+
+
 def running_total(
     df: DataFrame, key: str, order_by: str, bin_of: Column, value: str, name: str
 ) -> DataFrame:

@@ -11,14 +11,17 @@ from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forgemart import fixed_values as fixed
 from forgemart.functions import derivations as D
 from forgemart.operators.generate import expand_locations
-from forgemart.operators.sequences import row_numbers
+from forgemart.operators.sequences import key_bins, numbered_with, row_numbers
 from forgemart.operators.skew import lookup
 from forgemart.sources import schema as S
+from forgemart.sources import storage
+from forgemart.sources.steps import written
 
 AS_OF = "2000-01-01"
 
@@ -220,6 +223,10 @@ def _plain(df: DataFrame) -> tuple[DataFrame, Columns]:
     return df, {c: lambda c=c: F.col(c) for c in df.columns}
 
 
+def _line_bin() -> Column:
+    return F.floor(F.col("l_linenumber") / LINES_PER_BIN)
+
+
 class BoundMart:
     """Mart tables over the tables in ``root``."""
 
@@ -254,6 +261,14 @@ class BoundMart:
     def source(self, name: str) -> DataFrame:
         return self.spark.read.schema(SOURCES[name]).parquet(f"{self.root}/{name}.parquet")
 
+    def kept(self) -> KeptMart:
+        """The same tables, for steps that store several of them."""
+        return KeptMart(self.spark, self.root)
+
+    def dealt(self, database: str, buckets: int) -> DealtMart:
+        """The same tables, for steps that store several of them in buckets by order."""
+        return DealtMart(self.spark, self.root, database, buckets)
+
     # ---- master data --------------------------------------------------------------------
 
     def _groups(self) -> DataFrame:
@@ -378,11 +393,17 @@ class BoundMart:
             .agg(F.min("l_partkey").alias("order_part"), (F.sum(_hundredths()) / 100).alias("order_quantity"))
         )
 
+    def _order_of(self, key: str) -> Column:
+        return _order_key(key)
+
     def _with_order_part(
         self, df: DataFrame, key: str, wanted: set[str], by: Sequence[str]
     ) -> DataFrame:
         """Add the order's material number and, where needed, its part row."""
         df = lookup(df, self._order_totals(), key, "total_order", by)
+        return self._with_part(df, wanted)
+
+    def _with_part(self, df: DataFrame, wanted: set[str]) -> DataFrame:
         if wanted & {"ProductGroup", "MaterialText", "SOP_Relevant"}:
             part = self.source("part").select("p_partkey", "p_name", "p_type")
             df = df.join(part, F.col("order_part") == F.col("p_partkey"), "left")
@@ -391,7 +412,7 @@ class BoundMart:
     def _order_headers(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         relevant = F.col("o_orderkey") % 10 < 7
         own: Columns = {
-            "Order": lambda: _order_key("o_orderkey"),
+            "Order": lambda: self._order_of("o_orderkey"),
             "OrderType": lambda: F.lit("PP01"),
             "Unit": lambda: F.lit("PC"),
             "StatusShort": _order_status,
@@ -424,8 +445,7 @@ class BoundMart:
 
     def numbered_lines(self) -> DataFrame:
         """Line items with their position 1, 2, 3 … inside the order."""
-        bin_of = F.floor(F.col("l_linenumber") / LINES_PER_BIN)
-        return row_numbers(self.source("lineitem"), "l_orderkey", LINE_ORDER, bin_of, "op_seq")
+        return row_numbers(self.source("lineitem"), "l_orderkey", LINE_ORDER, _line_bin(), "op_seq")
 
     def _lines(self, wanted: set[str], numbered: set[str], by_order: set[str]) -> DataFrame:
         df = self.numbered_lines() if wanted & numbered else self.source("lineitem")
@@ -440,10 +460,13 @@ class BoundMart:
         created = F.max((_order_status() == "CRTD").cast("int")).alias("created")
         return self.source("orders").groupBy("o_orderkey").agg(created)
 
+    def _with_created(self, df: DataFrame) -> DataFrame:
+        return lookup(df, self._created(), "l_orderkey", "o_orderkey", LINE_SPREAD)
+
     def _order_operations(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         df = self._lines(wanted, {"Operation"}, {"Material", "ProductGroup", "WERKS"})
         if wanted & {"StatusShort", "SystemStatus"}:
-            df = lookup(df, self._created(), "l_orderkey", "o_orderkey", LINE_SPREAD)
+            df = self._with_created(df)
         flag = F.col("l_returnflag")
 
         def status() -> Column:
@@ -459,7 +482,7 @@ class BoundMart:
             return F.date_add(_ship_day(), F.floor(days).cast("int"))
 
         return df, {
-            "Order": lambda: _order_key("l_orderkey"),
+            "Order": lambda: self._order_of("l_orderkey"),
             "Operation": lambda: D.operation_no("op_seq"),
             "WorkCenter": lambda: center_key(F.col("l_suppkey")),
             "WERKS": lambda: plant_of(F.col("order_part")),
@@ -491,7 +514,7 @@ class BoundMart:
 
         return df.where(F.col("l_returnflag").isin("A", "R")), {
             "Confirmation": lambda: _line_number(fixed.CONFIRMATION_WIDTH),
-            "Order": lambda: _order_key("l_orderkey"),
+            "Order": lambda: self._order_of("l_orderkey"),
             "Operation": lambda: D.operation_no("op_seq"),
             "WorkCenter": lambda: center_key(F.col("l_suppkey")),
             "WERKS": lambda: plant_of(F.col("order_part")),
@@ -507,15 +530,18 @@ class BoundMart:
             "Material": lambda: D.pad_key("order_part"),
         }
 
+    def _with_names(self, df: DataFrame) -> DataFrame:
+        names = self.source("part").select(
+            F.col("p_partkey").alias("name_key"), F.col("p_name").alias("part_name")
+        )
+        return df.join(names, F.col("l_partkey") == F.col("name_key"), "left")
+
     def _missing_parts(self, wanted: set[str]) -> tuple[DataFrame, Columns]:
         df = self._lines(wanted, set(), {"WERKS"})
         if "ComponentText" in wanted:
-            names = self.source("part").select(
-                F.col("p_partkey").alias("name_key"), F.col("p_name").alias("part_name")
-            )
-            df = df.join(names, F.col("l_partkey") == F.col("name_key"), "left")
+            df = self._with_names(df)
         return df, {
-            "Order": lambda: _order_key("l_orderkey"),
+            "Order": lambda: self._order_of("l_orderkey"),
             "Component": lambda: D.pad_key("l_partkey"),
             "WERKS": lambda: plant_of(F.col("order_part")),
             "LGORT": lambda: F.lit(fixed.STORAGE_LOCATIONS[0]),
@@ -551,7 +577,7 @@ class BoundMart:
             "DocumentDate": lambda: F.date_add(
                 _ship_day(), (F.col("l_partkey") % 5 - 2).cast("int")
             ),
-            "Order": lambda: _order_key("l_orderkey"),
+            "Order": lambda: self._order_of("l_orderkey"),
             "CostCenter": lambda: F.lit("CC100"),
         }
 
@@ -586,3 +612,106 @@ class BoundMart:
             "Deviation": lambda: D.sop_deviation("ActualQuantity", "TargetQuantity"),
             "Version": lambda: F.lit("V01"),
         }
+
+
+def _without_names(parts: str) -> Column:
+    return F.transform(parts, lambda part: F.struct(part["p_type"].alias("p_type")))
+
+
+class KeptMart(BoundMart):
+    """The same tables for steps that store several facts. Line items with their positions, and with
+    what they take from their order, are worked out once, by one shuffle, and written; all facts are
+    read from there. Tables that take nothing from it are as before."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__(spark, root)
+        self._order_bins = written(self._bins())
+        self._kept_lines = self._keep()
+
+    def _keep(self) -> DataFrame:
+        return written(self._numbered())
+
+    def _bins(self) -> DataFrame:
+        """Rows of ``key_bins`` with each order's part, quantity, whether it is only created, and the
+        groups of its part; one row for each of an order's bins."""
+        sums = {
+            "order_part": (F.min("l_partkey"), F.min),
+            "order_hundredths": (F.sum(_hundredths()), F.sum),
+        }
+        bins = key_bins(self.source("lineitem"), "l_orderkey", _line_bin(), sums)
+        bins = bins.withColumn("order_quantity", F.col("order_hundredths") / 100).drop("order_hundredths")
+        created = self._created().withColumnRenamed("o_orderkey", "created_order")
+        bins = bins.join(created, F.col("_key") == F.col("created_order"), "left").drop("created_order")
+        # A list, since a part that comes twice repeats the rows of those tables alone that show it.
+        row = F.struct("p_name", "p_type")
+        part = self.source("part").groupBy("p_partkey").agg(F.collect_list(row).alias("order_parts"))
+        return lookup(bins, part, "order_part", "p_partkey", ["_key"]).drop("p_partkey")
+
+    def _numbered(self) -> DataFrame:
+        bins = self._order_bins.withColumn("order_parts", _without_names("order_parts"))
+        lines = self.source("lineitem")
+        return numbered_with(lines, "l_orderkey", LINE_ORDER, _line_bin(), "op_seq", bins)
+
+    def numbered_lines(self) -> DataFrame:
+        return self._kept_lines
+
+    def _lines(self, wanted: set[str], numbered: set[str], by_order: set[str]) -> DataFrame:
+        df = self._kept_lines
+        return self._with_part(df, wanted) if wanted & by_order else df
+
+    def _with_created(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def _first_bins(self) -> DataFrame:
+        return self._order_bins.where("_place = 1")
+
+    def _order_totals(self) -> DataFrame:
+        return self._first_bins().select(F.col("_key").alias("total_order"), "order_part", "order_quantity", "order_parts")
+
+    def _with_part(self, df: DataFrame, wanted: set[str]) -> DataFrame:
+        shown = wanted & {"ProductGroup", "MaterialText", "SOP_Relevant"}
+        return df.select("*", F.inline_outer("order_parts")) if shown else df
+
+
+class DealtMart(KeptMart):
+    """A kept mart for facts that are stored in buckets by order: line items and orders are dealt out
+    by the order's number before anything is derived from them, and line items are kept in such
+    buckets. An order is then in one task, as it is in the bucket that its rows are meant for."""
+
+    def __init__(self, spark: SparkSession, root: str, database: str, buckets: int):
+        self._database, self._buckets = database, buckets
+        super().__init__(spark, root)
+
+    def _keep(self) -> DataFrame:
+        name = f"{self._database}.kept_lines"
+        self._numbered().write.bucketBy(self._buckets, "Order").sortBy("Order").saveAsTable(
+            name, format="parquet", compression=storage.CODEC
+        )
+        return self.spark.table(name)
+
+    def _dealt(self, df: DataFrame, key: str) -> DataFrame:
+        return df.withColumn("Order", _order_key(key)).repartition(self._buckets, "Order")
+
+    def _numbered(self) -> DataFrame:
+        name = F.struct(F.col("p_name").alias("part_name"))
+        names = self.source("part").groupBy(F.col("p_partkey").alias("name_key"))
+        names = names.agg(F.collect_list(name).alias("part_names"))
+        lines = lookup(self.source("lineitem"), names, "l_partkey", "name_key", LINE_SPREAD)
+        place = F.row_number().over(W.partitionBy("Order").orderBy(*LINE_ORDER)).cast("bigint")
+        known = F.when(F.col("Order").isNotNull(), place)
+        numbered = self._dealt(lines.drop("name_key"), "l_orderkey").withColumn("op_seq", known)
+        orders = self._first_bins().withColumn("Order", _order_key("_key"))
+        groups = _without_names("order_parts").alias("order_parts")
+        return numbered.join(orders.select("Order", "order_part", "order_quantity", "created", groups), "Order", "left")
+
+    def _with_order_part(
+        self, df: DataFrame, key: str, wanted: set[str], by: Sequence[str]
+    ) -> DataFrame:
+        totals = self._order_totals().withColumn("Order", _order_key("total_order"))
+        return self._with_part(self._dealt(df, key).join(totals, "Order", "left"), wanted)
+
+    def _order_of(self, key: str) -> Column:
+        return F.col("Order")
+
+    def _with_names(self, df: DataFrame) -> DataFrame:
+        return df.select("*", F.inline_outer("part_names"))

@@ -21,6 +21,8 @@ def new_database(spark: SparkSession) -> str:
     return name
 
 
+BUCKET_BYTES = 16 << 20  # of the source of a fact, for one bucket
+
 # ---- buckets ----------------------------------------------------------------------------
 
 
@@ -33,10 +35,18 @@ def save_bucketed(df: DataFrame, database: str, table: str, key: str, buckets: i
     Rows are dealt out by the key first, so that a bucket is one file.
     """
     rows = df.repartition(buckets, key)
-    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer = rows.write.mode("overwrite").format("parquet").option("compression", storage.CODEC)
+    writer = writer.bucketBy(buckets, key).sortBy(key)
     writer.saveAsTable(f"{database}.{S.physical_name(table)}")
 
 
+def buckets_for(spark: SparkSession, path: str, least: int) -> int:
+    """Buckets for tables that grow with what is stored at ``path``, so that one still fits a task."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max(least, files.getContentSummary(place).getLength() // BUCKET_BYTES)
+
+
 #: Facts and the dimension they share, all stored by order.
 BY_ORDER = (
     "COOIS_OrderHeaders",

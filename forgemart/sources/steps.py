@@ -12,5 +12,5 @@ def written(df: DataFrame) -> DataFrame:
     start from there, also when an executor is lost."""
     spark = df.sparkSession
     path = f"{storage.new_root(spark)}/step"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=storage.CODEC)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from forgemart.operators import quality, sketches
 from forgemart.plans import analyses as A
 from forgemart.plans.idle import idle_time
+from forgemart.sources import layout
+from forgemart.sources.binding import SOURCES, BoundMart
 
 
 @pytest.fixture(autouse=True)
@@ -97,3 +99,66 @@ def test_confirmed_only_counts_both_sides_once(spark):
             ],
         )
     )
+
+
+FACTS = ("COOIS_OrderOperations", "COOIS_Confirmations", "MATDOC")
+
+
+@pytest.fixture(scope="module")
+def root(spark, tmp_path_factory) -> str:
+    """Orders of no, few and 2,500 line items, orders without a key, parts that are missing, and one that comes twice."""
+    at = str(tmp_path_factory.mktemp("tables"))
+    order = "if(id = 7, null, id)"
+    rows = {
+        "part": "SELECT if(id = 9, 3, nullif(id, 8)) AS p_partkey, 'part ' || id AS p_name, 'brand' AS p_brand,"
+        " element_at(array('LARGE', 'PROMO', 'SMALL'), int(id % 3 + 1)) AS p_type, int(id) AS p_size, 1.5D AS p_retailprice FROM range(10)",
+        "supplier": "SELECT id AS s_suppkey, 'supplier ' || id AS s_name, int(id) AS s_nationkey, 1D AS s_acctbal FROM range(5)",
+        "orders": f"SELECT {order} AS o_orderkey, id AS o_custkey, element_at(array('O', 'P', 'F'), int(id % 3 + 1)) AS o_orderstatus,"
+        " 1D AS o_totalprice, timestamp_ntz'1995-02-01 00:00:00' AS o_orderdate, string(id % 5 + 1) || '-X' AS o_orderpriority FROM range(12)",
+        "lineitem": f"SELECT {order} AS l_orderkey, (line * 3 + id) % 11 AS l_partkey, line % 5 AS l_suppkey, int(line) AS l_linenumber,"
+        " double(line % 50) AS l_quantity, 100.25D * line AS l_extendedprice, 0.05D AS l_discount, 0.02D AS l_tax,"
+        " element_at(array('A', 'N', 'R'), int(line % 3 + 1)) AS l_returnflag, if(line % 2 = 0, 'F', 'O') AS l_linestatus,"
+        " timestamp_ntz'1995-03-01 00:00:00' AS l_shipdate FROM (SELECT id, explode(sequence(1L, if(id = 2, 2500L, id + 1))) AS line FROM range(10))",
+    }
+    for name, sql in rows.items():
+        df = spark.sql(sql)
+        types = [part.rsplit(" ", 1) for part in SOURCES[name].split(", ")]
+        df.select(*[F.col(c.strip()).cast(kind).alias(c.strip()) for c, kind in types]).write.parquet(f"{at}/{name}.parquet")
+    return at
+
+
+def rows_of(df) -> list[str]:
+    return sorted(map(str, df.collect()))
+
+
+def test_kept_line_items_feed_all_facts_without_a_shuffle(spark, root):
+    plain = BoundMart(spark, root)
+    kept = plain.kept()
+    for name in FACTS:
+        plan = plan_of(kept.table(name))
+        assert "Exchange" not in plan and "Window" not in plan, name
+    for name in layout.BY_ORDER:
+        assert rows_of(kept.table(name)) == rows_of(plain.table(name)), name
+
+
+def test_facts_dealt_by_order_once_fill_their_buckets(spark, root):
+    plain = BoundMart(spark, root)
+    database = layout.new_database(spark)
+    dealt = plain.dealt(database, 4)
+    try:
+        for name in (*FACTS, "CO24"):
+            df = dealt.table(name).repartition(4, "Order").sortWithinPartitions("Order")
+            df.write.format("noop").mode("overwrite").save()
+            df.collect()
+            assert "Exchange" not in plan_of(df).split("Initial Plan")[0], name
+        for name in layout.BY_ORDER:
+            assert rows_of(dealt.table(name)) == rows_of(plain.table(name)), name
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_buckets_grow_with_the_source(spark, root, monkeypatch):
+    path = f"{root}/lineitem.parquet"
+    assert layout.buckets_for(spark, path, least=16) == 16
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 64)
+    assert layout.buckets_for(spark, path, least=16) > 16
