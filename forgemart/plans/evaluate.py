@@ -95,12 +95,16 @@ def distinct_values(
 
     Sets, unlike counts, can be joined on and grouped further. A value is a group column of its own,
     so that a frequent group is spread over its values, and rows shrink to distinct ones before each
-    join but the first. Groups without values keep one row, of a null value.
+    join but the first. Dimensions that lead to fewest others come first: their key gives way to what
+    is wanted of them, so that fewer rows are left for the others, and a task that joins those holds
+    fewer. Groups without values keep one row, of a null value.
     """
     def distinct(df: DataFrame, kept: Sequence[str], at: int) -> DataFrame:
         return df.distinct() if at > 0 else df
 
-    return _joined(mart, fact, columns, {"#value": part.value()}, by, where, distinct).distinct()
+    return _joined(
+        mart, fact, columns, {"#value": part.value()}, by, where, distinct, short_first=True
+    ).distinct()
 
 
 def _joined(
@@ -111,9 +115,11 @@ def _joined(
     by: Sequence[str],
     where: Mapping[str, Predicate],
     reduce_rows: Callable[[DataFrame, Sequence[str], int], DataFrame],
+    short_first: bool = False,
 ) -> DataFrame:
     """Group columns and values of a fact's rows that pass the filters; ``reduce_rows`` may shrink
-    the rows, told apart by some columns, before the join of that number."""
+    the rows, told apart by some columns, before the join of that number. Joins come in the order of
+    the columns, or those of the shortest paths first."""
     wanted = list(dict.fromkeys([*by, *where]))
     far = [c for c in wanted if _split(c)[0] != fact]
     edges = list(dict.fromkeys(e for c in far for e in path(fact, _split(c)[0])))
@@ -133,6 +139,9 @@ def _joined(
     )
 
     roots = [e for e in edges if e.many == fact]
+    if short_first:
+        longest = {r: max(len(p) for c in far if (p := path(fact, _split(c)[0]))[0] == r) for r in roots}
+        roots.sort(key=longest.get)
     for at, root in enumerate(roots):
         df = df.select(*[dotted(c) for c in df.columns if c in needed(df, roots[at:], by, values)])
         df = reduce_rows(df, [c for c in df.columns if c not in values], at)

@@ -7,8 +7,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from forgemart.functions.measures import distinct_of
 from forgemart.operators import quality, sketches
 from forgemart.plans import analyses as A
+from forgemart.plans.evaluate import evaluate
 from forgemart.plans.idle import idle_time
 from forgemart.sources import layout
 from forgemart.sources.binding import SOURCES, BoundMart
@@ -162,3 +164,12 @@ def test_buckets_grow_with_the_source(spark, root, monkeypatch):
     assert layout.buckets_for(spark, path, least=16) == 16
     monkeypatch.setattr(layout, "BUCKET_BYTES", 64)
     assert layout.buckets_for(spark, path, least=16) > 16
+
+
+def test_distinct_counts_join_short_dimensions_first(spark, root):
+    """A centre gives way to its plant before the rows meet their orders."""
+    orders = distinct_of("Orders", "COOIS_OrderOperations", "Order")
+    found = evaluate(BoundMart(spark, root), [orders], ["ProductGroup.ProductGroup", "WorkCenters.WERKS"])
+    keys = re.findall(r"HashAggregate\(keys=\[([^]]*)\]", plan_of(found))
+    assert any("OrderOperations.Order#" in k and "WorkCenters.WERKS#" in k for k in keys)
+    assert not any("OrderOperations.WorkCenter#" in k for k in keys)
